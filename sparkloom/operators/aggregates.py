@@ -75,7 +75,8 @@ def quantiles(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     cols = columns or numeric_columns(df)
     one = missing_as_null(df).agg(*[percentiles(c, list(QUANTILES)).alias(c) for c in cols])
     at = F.array(*map(F.lit, QUANTILES))
-    parts = [F.transform(F.arrays_zip(at.alias("q"), F.col(f"`{c}`").alias("v")), lambda x, c=c: F.struct(F.lit(c).alias("column"), x["q"].alias("quantile"), x["v"].alias("value"))) for c in cols]
+    row = lambda c: lambda x: F.struct(F.lit(c).alias("column"), x["q"].alias("quantile"), x["v"].alias("value"))
+    parts = [F.transform(F.arrays_zip(at.alias("q"), F.col(f"`{c}`").alias("v")), row(c)) for c in cols]
     return one.select(F.inline(F.flatten(F.array(*parts))))
 
 

@@ -110,7 +110,9 @@ def grouped_bars(df: DataFrame, x: str, group: str, y: str | None = None, how: s
     v = d.groupBy(F.col(f"`{x}`").alias("x"), F.col(f"`{group}`").cast("string").alias("group")).agg(a.alias("value"))
     xs, gs = v.select("x").distinct().orderBy("x").limit(most), v.select("group").distinct().orderBy("group").limit(series)
     grid = xs.crossJoin(F.broadcast(gs))  # at most `most` times `series` rows
-    return grid.join(v, grid.x.eqNullSafe(v.x) & grid.group.eqNullSafe(v.group), "left").select(grid.x, grid.group, F.coalesce("value", F.lit(0.0)).alias("value"))
+    v = v.toDF("__x", "__g", "value")
+    j = grid.join(v, F.col("x").eqNullSafe(F.col("__x")) & F.col("group").eqNullSafe(F.col("__g")), "left")
+    return j.select("x", "group", F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
 def missingness(df: DataFrame, order: list[str], rows: int = 100, columns: int = 60) -> DataFrame:

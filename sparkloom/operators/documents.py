@@ -22,9 +22,13 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(TOKEN), 0)
 
 
-@F.pandas_udf("string")
-def _normal(text: pd.Series, form: pd.Series) -> pd.Series:
-    return pd.Series([None if t is None else unicodedata.normalize(f, t) for t, f in zip(text, form, strict=True)])
+def _normal(c: Column, form: str) -> Column:
+    """Unicode normal form; the function is made when used, since it needs a session."""
+
+    def run(text: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else unicodedata.normalize(form, t) for t in text])
+
+    return F.pandas_udf(run, "string")(c)
 
 
 def clean(df: DataFrame, column: str, form: str | None = "NFC", find: str | None = None, replacement: str = "", regex: bool = False, collapse: bool = True) -> DataFrame:
@@ -32,7 +36,7 @@ def clean(df: DataFrame, column: str, form: str | None = "NFC", find: str | None
     need(df, column)
     c = F.col(f"`{column}`")
     if form:
-        c = _normal(c, F.lit(one_of(form, ("NFC", "NFKC", "NFD", "NFKD"), "form")))
+        c = _normal(c, one_of(form, ("NFC", "NFKC", "NFD", "NFKD"), "form"))
     if find:
         c = F.regexp_replace(c, safe_regex(find), replacement.replace("$", "\\$")) if regex else F.replace(c, F.lit(find), F.lit(replacement))
     if collapse:

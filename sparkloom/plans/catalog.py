@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar
 from ..operators import acquisition, aggregates, charts, cleaning, combine, documents, groups, ordering, predicates, prepare, reshape, versions
 from . import recipe
-from .registry import registry, sort
+from .registry import sort
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, tuple[Query, str | None]] = {}
@@ -187,10 +187,10 @@ def dates_ops(df):
     return df.select("o_orderkey", "y", "wd", "fd", "fm")
 
 
-@query("lineitem", """select l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount) / l_quantity, 4) as unit, round((0 - l_quantity) - 7 * floor((0 - l_quantity) / 7), 4) as m from lineitem""")
+@query("lineitem", """select l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) / l_quantity as unit, round((0 - l_quantity) - 7 * floor((0 - l_quantity) / 7), 4) as m from lineitem""")
 def derive_math(df):
     d = cleaning.derive(df, "unit", "l_extendedprice * (1 - l_discount) / l_quantity")
-    return cleaning.derive(d, "m", "-l_quantity % 7").select("l_orderkey", "l_linenumber", r("unit").alias("unit"), r("m").alias("m"))
+    return cleaning.derive(d, "m", "-l_quantity % 7").select("l_orderkey", "l_linenumber", "unit", r("m").alias("m"))
 
 
 @query("orders", "select o_orderkey, case o_orderstatus when 'F' then 'final' when 'O' then 'open' else o_orderstatus end as o_orderstatus from orders")
@@ -544,7 +544,7 @@ def bayes_language(df):
     return documents.bayes_classify(df, model, "doc_id")
 
 
-@query("documents", """with w as (select doc_id, list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\v]+'), x -> x <> '') as w from documents), s as (select doc_id, w, unnest(range(0, greatest(0, ceil((len(w) - 420) / 356.0))::bigint + 1)) as chunk from w where len(w) > 0)
+@query("documents", """with w as (select doc_id, list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '') as w from documents), s as (select doc_id, w, unnest(range(0, greatest(0, ceil((len(w) - 420) / 356.0))::bigint + 1)) as chunk from w where len(w) > 0)
     select doc_id, chunk, chunk * 356 as start, least(420, len(w) - chunk * 356)::bigint as n from s""")
 def chunk_windows(df):
     return documents.word_windows(df, "doc_id").select("doc_id", "chunk", "start", "n")
@@ -560,8 +560,8 @@ def chunk_strategies(df):
     return documents.compare_strategies(df, "doc_id")
 
 
-@query("documents", """select doc_id, length(text) as chars, len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\v]+'), x -> x <> ''))::bigint as words,
-    (len(list_filter(string_split(text, chr(10)), x -> trim(x) <> '')) - len(list_distinct(list_filter(string_split(text, chr(10)), x -> trim(x) <> ''))))::bigint as duplicate_blocks from documents""")
+@query("documents", """select doc_id, length(text) as chars, len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> ''))::bigint as words,
+    (len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) - len(list_distinct(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''))))::bigint as duplicate_blocks from documents""")
 def document_quality(df):
     return documents.quality(df).select("doc_id", "chars", "words", "duplicate_blocks")
 
@@ -655,7 +655,7 @@ def license_match(df):
     return df.select("n_nationkey", scalar.license_allowed(F.get(names, F.col("n_nationkey") % 4), ["cc-by-4.0"]).alias("ok"))
 
 
-@query("part", "with w as (select p_partkey, list_distinct(list_filter(regexp_extract_all(lower(p_name), '[a-z0-9]+'), x -> length(x) > 2)) as w from part) select p_partkey, round(least(1.0, len(list_intersect(w, ['red', 'green', 'blue', 'almond']))::double / 4), 4)::double as relevance from w")
+@query("part", "with w as (select p_partkey, list_distinct(list_filter(regexp_extract_all(lower(p_name), '[a-z0-9]+'), lambda x: length(x) > 2)) as w from part) select p_partkey, round(least(1.0, len(list_intersect(w, ['red', 'green', 'blue', 'almond']))::double / 4), 4)::double as relevance from w")
 def keyword_relevance(df):
     return df.select("p_partkey", r(scalar.relevance(F.col("p_name"), F.array(*map(F.lit, ("red", "green", "blue", "almond"))))).alias("relevance"))
 
@@ -676,19 +676,20 @@ def acquisition_cascade(df):
     return acquisition.cascade(_candidates(df), spec).select("candidate_id", "reason")
 
 
-@query("lineitem", "select l_orderkey * 10 + l_linenumber as candidate_id, sum(l_quantity::bigint) over (order by l_orderkey * 10 + l_linenumber)::bigint as used from lineitem")
+@query("events", "select event_id as candidate_id, sum(event_id % 97) over (order by event_id)::bigint as used from events")
 def acquisition_budget(df):
-    return acquisition.running_total(_candidates(df).select("candidate_id", "bytes"), "bytes", ["candidate_id"], "used").select("candidate_id", "used")
+    c = df.selectExpr("event_id candidate_id", "event_id % 97 bytes")
+    return acquisition.running_total(c, "bytes", ["candidate_id"], "used").select("candidate_id", "used")
 
 
 _ST = "['accepted', 'rejected', 'review', 'discovered', 'failed']"
 
 
-@query("orders", f"""with c as (select o_custkey % 4 as run_id, {_ST}[(o_orderkey % 5 + 1)::int] as state, (o_totalprice)::bigint as bytes from orders) select run_id, count(*) filter (state = 'accepted') as accepted, count(*) filter (state = 'rejected') as rejected,
+@query("orders", f"""with c as (select o_custkey % 4 as run_id, {_ST}[(o_orderkey % 5 + 1)::int] as state, floor(o_totalprice)::bigint as bytes from orders) select run_id, count(*) filter (state = 'accepted') as accepted, count(*) filter (state = 'rejected') as rejected,
     round(count(*) filter (state = 'accepted') / count(*) filter (state in ('accepted', 'rejected', 'review')), 4)::double as yield, coalesce(sum(floor(o)) filter (state = 'accepted'), 0)::bigint as stored_bytes from (select *, bytes as o from c) group by 1""")
 def acquisition_counters(df):
     states = F.array(*map(F.lit, ("accepted", "rejected", "review", "discovered", "failed")))
-    c = df.select((F.col("o_custkey") % 4).alias("run_id"), F.get(states, (F.col("o_orderkey") % 5).cast("int")).alias("state"), F.round("o_totalprice", 0).cast("long").alias("bytes"))
+    c = df.select((F.col("o_custkey") % 4).alias("run_id"), F.get(states, (F.col("o_orderkey") % 5).cast("int")).alias("state"), F.floor("o_totalprice").cast("long").alias("bytes"))
     return acquisition.counters(c).select("run_id", "accepted", "rejected", r("yield").alias("yield"), "stored_bytes")
 
 
@@ -704,10 +705,10 @@ def query_first_decisions(df):
     return acquisition.query_counts(d)
 
 
-@tables("select r_name as provider, n_name as query, greatest(0.1, 1 - 0.01 * n_nationkey)::double as priority from region, nation")
+@tables("select r_name as provider, n_name as query, round(greatest(0.1, 1 - 0.01 * n_nationkey)::double, 4) as priority from region, nation")
 def query_fan_out(spark, d):
     q = _t(spark, d, "nation").selectExpr("n_name query", "n_nationkey position")
-    return acquisition.fan_out(_t(spark, d, "region").selectExpr("r_name provider"), q).select("provider", "query", F.col("priority").cast("double").alias("priority"))
+    return acquisition.fan_out(_t(spark, d, "region").selectExpr("r_name provider"), q).select("provider", "query", r(F.col("priority").cast("double")).alias("priority"))
 
 
 # --- recipes
@@ -734,6 +735,3 @@ def recipe_placeholders(df):
 @query("events", "select user_id, event_id, row_number() over (order by ts, event_id) - 1 as position from events")
 def positions(df):
     return ordering.with_position(df, ["ts", "event_id"]).select("user_id", "event_id", "position")
-
-
-assert registry
