@@ -38,10 +38,10 @@ def token_counts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     kind = src.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = loaded(path, "lengths", len)
+        count = loaded(path, "lengths")
         for whole in batches:
             for b in by_bytes(whole, 2):
-                n = [sum(x) for x in count(b.column(2).to_pylist())]
+                n = count(b.column(2).to_pylist())
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], [id_col, "n_bytes", "n_tokens"])
 
     return src.mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Callable, Iterator
+import unicodedata
+from array import array
+from collections.abc import Iterator
 from itertools import chain
 from typing import Any
 
+import numpy as np
+
 from .bpe import PrefixBpe
 
 #: Pieces a worker remembers, and the longest that it remembers, in characters.
@@ -17,8 +21,11 @@ BATCH_BYTES = 1 << 18
 
 
 def _spaces(text: str) -> list[str]:
-    """Cut at white space that the tokenizer drops anyway."""
-    return [p for p in text.replace("\n", " ").split(" ") if p]
+    """Cut at white space that the tokenizer drops anyway; in lower case, where that is the same character by character."""
+    if text.isascii():
+        text = text.lower()
+    out = text.replace("\n", " ").split(" ")
+    return list(filter(None, out)) if "" in out else out
 
 
 def _whole(text: str) -> list[str]:
@@ -50,9 +57,10 @@ class Pieces:
     models, are not cut.
     """
 
-    def __init__(self, path: str, value: Callable[[Any], Any]):
-        self.value, self.cache = value, {}
-        self.ends: set[int] = set()  # ids that end a word, where the vocabulary marks them
+    def __init__(self, path: str, kind: str):
+        """kind: "ids" for packed little-endian unsigned 32-bit ids, "lengths" for their numbers."""
+        self.kind, self.cache = kind, {}
+        self.ends: np.ndarray | None = None  # whether an id ends a word, where the vocabulary marks that
         if path.endswith(".model"):
             import sentencepiece
 
@@ -76,48 +84,62 @@ class Pieces:
             self.cut = PrefixBpe.pieces
         elif steps[0].get("type") == "Split" and steps[0].get("behavior") == "Removed" and steps[0].get("invert") and r"[^\s\p{L}\p{N}]+" in steps[0]["pattern"].get("Regex", ""):
             self.cut = _spaces
-            suffix = spec["model"].get("end_of_word_suffix")
-            self.ends = {i for w, i in spec["model"]["vocab"].items() if w.endswith(suffix)} if suffix else set()
+            if suffix := spec["model"].get("end_of_word_suffix"):
+                from tokenizers import pre_tokenizers
+
+                self.ends = np.zeros(1 + max(spec["model"]["vocab"].values()), bool)
+                self.ends[[i for w, i in spec["model"]["vocab"].items() if w.endswith(suffix)]] = True
+                plain = Tokenizer(model.model)  # for words that the normalizer would leave as they are
+                plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+                self.encode_plain = lambda text: plain.encode_batch_fast([text], add_special_tokens=False)[0].ids
         else:
             self.cut = _whole
 
-    def _words(self, new: set[str], cache: dict[str, Any]) -> set[str]:
-        """Fills the cache for pieces that are a word, or a word and one mark after it; returns the others.
-
-        A word is one pre-token and ends in one marked id, so thousands of words are encoded as one text and told
-        apart by their ends.
-        """
-        of = {}
+    def value(self, ids: list[int]) -> Any:
+        return array("I", ids).tobytes() if self.kind == "ids" else len(ids)
+
+    def _apart(self, words: list[str]) -> list[Any]:
+        """Values of words that end in one marked id each, encoded as one text and told apart by their ends."""
+        ids = np.array(self.encode_plain(" ".join(words)), np.uint32)
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(words):
+            return [self.value(x) for x in self.encode(words)]
+        if self.kind == "lengths":
+            return np.diff(ends, prepend=0).tolist()
+        raw, at = ids.astype("<u4").tobytes(), (4 * ends).tolist()
+        return [raw[a:b] for a, b in zip([0, *at], at, strict=False)]
+
+    def _words(self, new: set[str]) -> set[str]:
+        """Fills the cache for pieces that are a word, or a word and one mark after it; returns the others."""
+        words: set[str] = set()
+        marked: list[str] = []
         for p in new:
-            if len(p) <= CACHE_CHARS:
-                word, mark = (p[:-1], p[-1]) if p[-1] in ",.;:!?" else (p, "")
-                if word.isalpha() and (low := word.lower()).isalpha():
-                    of[p] = low if word.isascii() else word, mark  # else the library's own lower case
+            if p.isalpha():
+                words.add(p)
+            elif p[-1] in ",.;:!?" and p[:-1].isalpha():
+                words.add(p[:-1])
+                marked.append(p)
+        odd = {w for w in words if len(w) > CACHE_CHARS or not (w.isascii() or (w == w.lower() and "\u03a3" not in w and unicodedata.is_normalized("NFC", w)))}
+        odd.update([w for w in words if w.isascii() and not w.islower()])
         known: dict[str, Any] = {}
-        for batch in balanced(list({w for w, _ in of.values()})):
-            one, start, got = self.encode([" ".join(batch)])[0], 0, []
-            for i, t in enumerate(one, 1):
-                if t in self.ends:
-                    got.append(one[start:i])
-                    start = i
-            if len(got) != len(batch):
-                got = self.encode(batch)
-            known.update(zip(batch, map(self.value, got), strict=True))
-        marks = [*{m for _, m in of.values() if m}]
-        marked = dict(zip(marks, map(self.value, self.encode(marks)), strict=True)) if marks else {}
-        cache.update((p, known[w] + marked[m] if m else known[w]) for p, (w, m) in of.items())
-        return new.difference(of)
-
-    def __call__(self, texts: list[str]) -> list[list[Any]]:
-        """For each text the values of its pieces, in order."""
+        for batch in balanced(list(words - odd)):
+            known.update(zip(batch, self._apart(batch), strict=True))
+        mark = {m: self.value(x) for m, x in zip(",.;:!?", self.encode(list(",.;:!?")), strict=True)}
+        done = [p for p in marked if p[:-1] in known]
+        self.cache.update([(p, known[p[:-1]] + mark[p[-1]]) for p in done])
+        self.cache.update([(w, v) for w, v in known.items() if w in new])
+        return new.difference(known, done)
+
+    def __call__(self, texts: list[str]) -> list[Any]:
+        """The value of each text: its packed ids, or their number."""
         cut, cache = [self.cut(t or "") for t in texts], self.cache
         if len(cache) > CACHE_PIECES:
             cache.clear()
         new = set(chain.from_iterable(cut)).difference(cache)
-        left = self._words(new, cache) if self.ends else new
-        for batch in balanced(list(left)):
+        for batch in balanced(list(new if self.ends is None else self._words(new))):
             cache.update(zip(batch, map(self.value, self.encode(batch)), strict=True))
-        out = [list(map(cache.__getitem__, pieces)) for pieces in cut]
+        total = b"".join if self.kind == "ids" else sum
+        out = [total(map(cache.__getitem__, pieces)) for pieces in cut]
         for p in [p for p in new if len(p) > CACHE_CHARS]:
             del cache[p]
         return out
@@ -126,7 +148,7 @@ class Pieces:
 _LOADED: dict[tuple[str, str], Pieces] = {}
 
 
-def loaded(path: str, kind: str, value: Callable[[Any], Any]) -> Pieces:
+def loaded(path: str, kind: str) -> Pieces:
     if (path, kind) not in _LOADED:
-        _LOADED[path, kind] = Pieces(path, value)
+        _LOADED[path, kind] = Pieces(path, kind)
     return _LOADED[path, kind]

@@ -39,13 +39,13 @@ def pieces(df: DataFrame, path: str, end_id: int = 1, length: int = 2048, id_col
     src = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = loaded(path, "ids", lambda ids: struct.pack(f"<{len(ids)}I", *ids))
+        encode = loaded(path, "ids")
         end, row = struct.pack("<I", end_id), 0
         for whole in batches:
             for b in by_bytes(whole, 1, 2 << 20):
                 out: list[list] = [[], [], [], [], [], [], []]
-                for doc, parts in zip(b.column(0).to_pylist(), encode(b.column(1).to_pylist()), strict=True):
-                    ids, at = b"".join(parts) + end, 0
+                for doc, body in zip(b.column(0).to_pylist(), encode(b.column(1).to_pylist()), strict=True):
+                    ids, at = body + end, 0
                     n = len(ids) // 4
                     for k, m in enumerate(binary_lengths(n, length)):
                         for column, x in zip(out, (doc, row, k, at, m, ids[4 * at : 4 * (at + m)], n), strict=True):
