@@ -3,7 +3,7 @@
 A record is hashed into one of SLOTS virtual slots by its id and text. The bytes of each slot are summed, which is all
 that ever leaves the data: SLOTS rows, whatever the input. Slots are then dealt to shards, the heaviest first, each to
 the shard with the fewest bytes so far. The map from slot to shard is stored with a version; rebalancing for more
-shards edits it, moving as few slots as the new shards need, and moves them only there.
+shards edits it: slots move to the new shards alone.
 
 Cases: null text has size 16 and the CRC-32 of no bytes; a null id hashes like any other value; equal rows go to one
 slot and are numbered there in turn; an empty table gives no rows; extra columns are not read.
@@ -66,13 +66,13 @@ def slot_map(weights: DataFrame, shards: int, version: int = 1) -> DataFrame:
 def grow(current: DataFrame, shards: int, more: int = 1) -> DataFrame:
     """The next version of a map for `more` new shards.
 
-    Each old shard gives its lightest slots, up to its part of what the new shards need; nothing moves between old
-    shards.
+    Each old shard gives its lightest slots that hold anything, up to its part of the bytes that the new shards need, so
+    that loads end close to even; empty slots stay and nothing moves between old shards.
     """
     part = more / (shards + more)
     light = Window.partitionBy("shard").orderBy("bytes", "virtual_slot")
     w = current.withColumn("__sum", F.sum("bytes").over(light)).withColumn("__all", F.sum("bytes").over(Window.partitionBy("shard")))
-    w = w.withColumn("__go", F.col("__sum") <= F.col("__all") * part)
+    w = w.withColumn("__go", (F.col("bytes") > 0) & (F.col("__sum") <= F.col("__all") * part))
     turn = F.row_number().over(Window.partitionBy("__go").orderBy(F.col("bytes").desc(), "virtual_slot")) - 1
     new = F.lit(shards) + F.pmod(turn, F.lit(more))
     return w.select((F.col("version") + 1).alias("version"), "virtual_slot", F.when(F.col("__go"), new).otherwise(F.col("shard")).cast("int").alias("shard"), "bytes", "n")
