@@ -196,11 +196,11 @@ def fit(df: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     ids = ids.orderBy("k", "lang").limit(MAX_ALL).select("doc_id", "lang")
     rows, chars = [], 0
     picked = known.select("doc_id", "text", "lang").join(F.broadcast(ids), ["doc_id", "lang"], "left_semi")
-    for r in picked.orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(2 * MAX_ALL).toLocalIterator():
-        if chars > MAX_CHARS:
+    for r in picked.orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(MAX_ALL).toLocalIterator():
+        if rows and chars + len(r["text"]) > MAX_CHARS:
             break
-        rows.append((r["text"][:20_000], r["lang"]))  # of a bounded sample, a bounded part: the fit alone
-        chars += min(len(r["text"]), 20_000)
+        rows.append((r["text"], r["lang"]))
+        chars += len(r["text"])
     return fit_texts(rows)
 
 
