@@ -264,6 +264,61 @@ def docx_paragraphs(content: bytes) -> list[tuple[str, str]]:
     return out
 
 
+def pdf_pages(content: bytes, most: int = 10_000) -> list[str]:
+    """Text of each page of a PDF; needs pypdf on the workers."""
+    import io
+
+    from pypdf import PdfReader
+
+    pages = PdfReader(io.BytesIO(content)).pages
+    if len(pages) > most:
+        raise ValueError(f"more than {most} pages")
+    return [p.extract_text() or "" for p in pages]
+
+
+def file_blocks(binary: DataFrame) -> DataFrame:
+    """path, block, kind, text, heading, page, error of DOCX, PDF, HTML, Markdown and text files (binaryFile rows).
+
+    A file that can't be parsed is one row with an error.
+    """
+
+    def parse(path: str, content: bytes) -> list[tuple]:
+        suffix = path.rsplit(".", 1)[-1].lower()
+        if suffix == "docx":
+            out, heading = [], ""
+            for style, text in docx_paragraphs(content):
+                if is_head := style.lower().startswith(("heading", "title")):
+                    heading = text
+                out.append(("heading" if is_head else "paragraph", text, heading, None))
+            return out
+        if suffix == "pdf":
+            return [("paragraph", re.sub(r"\s+", " ", p).strip(), "", n) for n, page in enumerate(pdf_pages(content), 1) for p in re.split(r"\n\s*\n", page) if p.strip()]
+        text = content.decode("utf-8-sig")
+        if suffix in ("html", "htm"):
+            return [(k, t, h, None) for k, t, h in parse_html(text)[1]]
+        out, heading = [], ""
+        for p in re.split(r"\n\s*\n|(?<=\n)(?=#{1,6}\s)", text):
+            for i, part in enumerate(re.split(r"(?m)^(#{1,6}\s+.*)$", p)):
+                if part.strip():
+                    if i % 2:
+                        heading = part.lstrip("#").strip()
+                    out.append(("heading" if i % 2 else "paragraph", heading if i % 2 else " ".join(part.split()), heading, None))
+        return out
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            rows = []
+            for path, content in zip(p["path"], p["content"], strict=True):
+                try:
+                    rows += [(path, i, *b, None) for i, b in enumerate(parse(path, content))]
+                except Exception as e:  # noqa: BLE001  a broken file is a row with an error
+                    rows.append((path, None, None, None, None, None, f"{type(e).__name__}: {e}"[:200]))
+            d = pd.DataFrame(rows, columns=["path", "block", "kind", "text", "heading", "page", "error"])
+            yield d.astype({"block": "Int64", "page": "Int64"})
+
+    return binary.select("path", "content").mapInPandas(run, "path string, block long, kind string, text string, heading string, page long, error string")
+
+
 def hashed_vectors(df: DataFrame, id_col: str, text: str = "text", dims: int = 384) -> DataFrame:
     """id, vector: words and pairs of neighbours hashed to signed dimensions, 1 + ln(count) each, unit length."""
     words = F.regexp_extract_all(F.lower(F.coalesce(F.col(f"`{text}`"), F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), 0)

@@ -91,3 +91,22 @@ def test_stream(spark, tmp_path):
     q = incremental.sink(df, str(tmp_path / "out"), str(tmp_path / "cp"), [{"rule": "maximum", "column": "v", "value": 50}], str(tmp_path / "bad"))
     q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 6 and spark.read.parquet(str(tmp_path / "bad")).count() == 4
+
+
+def test_file_blocks(spark, tmp_path):
+    from sparkloom.operators import documents
+
+    ns = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    body = f'<w:document xmlns:w="{ns}"><w:body><w:p><w:pPr><w:pStyle w:val="Heading1"/></w:pPr><w:r><w:t>Top</w:t></w:r></w:p><w:p><w:r><w:t>Text</w:t></w:r></w:p></w:body></w:document>'
+    with zipfile.ZipFile(tmp_path / "a.docx", "w") as z:
+        z.writestr("word/document.xml", body)
+    (tmp_path / "b.md").write_text("# One\npara a\n\npara b\n")
+    (tmp_path / "c.html").write_text("<h2>H</h2><p>x</p>")
+    (tmp_path / "d.docx").write_bytes(b"junk")
+    out = documents.file_blocks(readers.binary_assets(spark, str(tmp_path))).collect()
+    name = lambda r: r.path.rsplit("/", 1)[-1]
+    assert sorted((name(r), r.block, r.kind, r.text, r.heading) for r in out if not r.error) == [
+        ("a.docx", 0, "heading", "Top", "Top"), ("a.docx", 1, "paragraph", "Text", "Top"), ("b.md", 0, "heading", "One", "One"), ("b.md", 1, "paragraph", "para a", "One"),
+        ("b.md", 2, "paragraph", "para b", "One"), ("c.html", 0, "h2", "H", "H"), ("c.html", 1, "p", "x", "H"),
+    ]
+    assert [name(r) for r in out if r.error] == ["d.docx"]
