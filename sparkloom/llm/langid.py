@@ -23,6 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .counts import by_bytes
 
@@ -204,17 +205,21 @@ def fit(df: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     return fit_texts(rows)
 
 
-def predict(df: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred, score of every row."""
-    src = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("__text"))
+def predict(df: DataFrame, model: Model, keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns of df to keep (doc_id unless named) with prediction and score of every row; nothing is shuffled."""
+    kept = [F.col("doc_id").cast("long").alias("doc_id")] if keep is None else [F.col(f"`{c}`") for c in keep]
+    src = df.select(*kept, F.coalesce(F.col("text"), F.lit("")).alias("__text"))
+    n = len(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in by_bytes(whole, 1):
-                got = model.predict(b.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())], ["doc_id", "lang_pred", "score"])
+            for b in by_bytes(whole, n):
+                got = model.predict(b.column(n).to_pylist())
+                new = [pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())]
+                yield pa.RecordBatch.from_arrays([*b.columns[:n], *new], [*b.schema.names[:n], *names])
 
-    return src.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    fields = [*src.schema.fields[:n], T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]
+    return src.mapInArrow(run, T.StructType(fields))
 
 
 def identified(df: DataFrame) -> DataFrame:

@@ -26,6 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .counts import by_bytes
 
@@ -136,22 +137,23 @@ def fit(documents: DataFrame, labels: DataFrame, categories: dict[str, str], max
     return fit_chain([r["text"] for r in got], {c: [r[f"__{c}"] for r in got] for c in categories})
 
 
-def score(documents: DataFrame, chain: Chain, threshold: float = 0.25) -> DataFrame:
-    """doc_id, p_<category>..., toxic (the last category's probability reaches the threshold)."""
-    src = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("__text"))
-    names = [f"p_{c}" for c in chain.categories]
+def score(documents: DataFrame, chain: Chain, threshold: float = 0.25, keep: list[str] | None = None, prefix: str = "") -> DataFrame:
+    """The columns to keep (doc_id unless named) with p_<category>... and toxic (the last category's probability reaches
+    the threshold), their names after prefix; nothing is shuffled."""
+    kept = [F.col("doc_id").cast("long").alias("doc_id")] if keep is None else [F.col(f"`{c}`") for c in keep]
+    src = documents.select(*kept, F.coalesce(F.col("text"), F.lit("")).alias("__text"))
+    names, n = [f"{prefix}p_{c}" for c in chain.categories], len(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = chain.vocabulary
         known = vocabulary.keys()
         for whole in batches:
-            for b in by_bytes(whole, 1):
-                found = [[vocabulary[w] for w in known & words(t)] for t in b.column(1).to_pylist()]
-                p = chain.score(found)
-                yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(p[:, k]) for k in range(p.shape[1])]], ["doc_id", *names])
+            for b in by_bytes(whole, n):
+                p = chain.score([[vocabulary[w] for w in known & words(t)] for t in b.column(n).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*b.columns[:n], *[pa.array(p[:, k]) for k in range(p.shape[1])]], [*b.schema.names[:n], *names])
 
-    out = src.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} double" for n in names))
-    return out.withColumn("toxic", F.col(names[-1]) >= threshold)
+    out = src.mapInArrow(run, T.StructType([*src.schema.fields[:n], *[T.StructField(x, T.DoubleType()) for x in names]]))
+    return out.withColumn(f"{prefix}toxic", F.col(names[-1]) >= threshold)
 
 
 #: The chain of the labels table: low quality first, then toxicity given it.
