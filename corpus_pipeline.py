@@ -19,15 +19,16 @@ LEAST_SHARE = 0.3
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without letters and those of no main language."""
-    kept = langid.identified(docs).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    own = docs.columns
+    out = langid.predict(docs, langid.fit(docs), own, ("__lang_pred", "__share"))
+    return out.where((F.col("__lang_pred") != "und") & (F.col("__share") >= LEAST_SHARE)).select(own)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects toxic documents."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    bad = toxicity.toxicity(docs, labels).where("toxic").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    labels, own = spark.read.parquet(f"{sf_dir}/labels.parquet"), docs.columns
+    chain = toxicity.fit(docs, labels, toxicity.CATEGORIES)
+    return toxicity.score(docs, chain, keep=own, prefix="__").where("not __toxic").select(own)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
