@@ -27,9 +27,9 @@ from pyspark.sql import types as T
 #: Fixed value: the pre-token pattern of the byte-level vocabularies.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Transitions and token pairs a worker remembers.
-CACHE_STEPS, CACHE_PAIRS = 1_000_000, 1_500_000
+CACHE_STEPS, CACHE_PAIRS = 500_000, 600_000
 #: Distinct pieces a worker remembers before it starts afresh.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 250_000
 #: Pieces longer than this are not remembered.
 CACHE_CHARS = 64
 
@@ -94,8 +94,8 @@ class SuffixAutomaton:
         return out
 
 
-class PrefixBpe:
-    """Encoder and decoder for one vocabulary file."""
+class TokenBytes:
+    """What the ids of a vocabulary file stand for: all that decoding needs."""
 
     def __init__(self, path: str):
         spec = json.load(open(path, encoding="utf-8"))
@@ -108,10 +108,25 @@ class PrefixBpe:
         self.special = {a["content"]: a["id"] for a in spec["added_tokens"]}
         for word, i in self.special.items():
             self.bytes_of[i] = word.encode()
+        self._learn(spec["model"], alphabet, size)
+
+    def _learn(self, model: dict, alphabet: dict[str, int], size: int) -> None:
+        """What else is kept of the file."""
+
+    def decode(self, ids: bytes) -> str:
+        """Text of ids; byte sequences that are no UTF-8 become U+FFFD."""
+        return b"".join(map(self.bytes_of.__getitem__, memoryview(ids).cast("I"))).decode("utf-8", "replace")
+
+
+class PrefixBpe(TokenBytes):
+    """Encoder and decoder for one vocabulary file."""
+
+    def _learn(self, model: dict, alphabet: dict[str, int], size: int) -> None:
+        vocab = model["vocab"]
         # merges: rank of a pair, and of each token the rank at which it is formed and its two parts
         self.rank: dict[int, int] = {}
         formed, parts = [-1] * size, [None] * size
-        for r, m in enumerate(spec["model"]["merges"]):
+        for r, m in enumerate(model["merges"]):
             a, b = m if isinstance(m, list) else m.split(" ")
             left, right, whole = vocab[a], vocab[b], vocab[a + b]
             self.rank.setdefault(left << 32 | right, r)
@@ -260,18 +275,14 @@ class PrefixBpe:
     def encode(self, text: str) -> bytes:
         return self.encode_batch([text])[0]
 
-    def decode(self, ids: bytes) -> str:
-        """Text of ids; byte sequences that are no UTF-8 become U+FFFD."""
-        return b"".join(map(self.bytes_of.__getitem__, memoryview(ids).cast("I"))).decode("utf-8", "replace")
-
 
-_LOADED: dict[str, PrefixBpe] = {}
+_LOADED: dict[tuple[str, type], TokenBytes] = {}
 
 
-def loaded(path: str) -> PrefixBpe:
-    if path not in _LOADED:
-        _LOADED[path] = PrefixBpe(path)
-    return _LOADED[path]
+def loaded(path: str, kind: type = PrefixBpe) -> TokenBytes:
+    if (path, kind) not in _LOADED:
+        _LOADED[path, kind] = kind(path)
+    return _LOADED[path, kind]
 
 
 def _parts(batch: pa.RecordBatch, rows: int = 1024) -> Iterator[pa.RecordBatch]:
@@ -305,7 +316,7 @@ def bpe_decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "
     at = keep.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = loaded(path)
+        model = loaded(path, TokenBytes)
         for whole in batches:
             for b in _parts(whole):
                 text = [model.decode(x or b"") for x in b.column(at).to_pylist()]
