@@ -66,11 +66,12 @@ class Model:
         """(words, languages): each word's log-likelihood less that of its best language; very low where its script rules a language out."""
         if not words:
             return np.zeros((0, len(self.languages)))
-        codes, n = _codes([w[:40] for w in words])
+        codes, n = _codes(words)
         i = np.searchsorted(self.grams, codes)
         hit = (i < len(self.grams)) & (self.grams[np.minimum(i, len(self.grams) - 1)] == codes) if len(self.grams) else np.zeros(len(codes), bool)
-        rows = self.weights[np.where(hit, i, len(self.grams))]
-        out = np.add.reduceat(rows, np.concatenate([[0], np.cumsum(n)[:-1]])) / np.sqrt(n)[:, None]
+        row, first = np.where(hit, i, len(self.grams)), np.concatenate([[0], np.cumsum(n)[:-1]])
+        # a language at a time, since one word may be as long as its text
+        out = np.stack([np.add.reduceat(w[row], first) for w in self.weights.T], axis=1) / np.sqrt(n)[:, None]
         kinds = [script(w) for w in words]
         for kind in set(kinds):
             may = self.scripts.get(kind)
@@ -166,7 +167,7 @@ def fit_texts(rows: list[tuple[str, str]], least: int = 2) -> Model:
     for lang in languages:
         words = [w for text, of in rows if of == lang for w in WORD.findall(text.lower())]
         scripts[lang].update(map(script, words))
-        codes, _ = _codes([w[:40] for w in words]) if words else (np.zeros(0, np.int64), None)
+        codes, _ = _codes(words) if words else (np.zeros(0, np.int64), None)
         counts[lang] = dict(zip(*(x.tolist() for x in np.unique(codes, return_counts=True)), strict=True))
     every: Counter = Counter()
     for c in counts.values():
