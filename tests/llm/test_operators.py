@@ -374,3 +374,9 @@ def test_embedding_near_duplicates(spark, monkeypatch):
         assert len(got ^ want) <= 0.02 * len(want)
         assert got == want or shard == 64
     assert hnsw.near_duplicates(df.where("false")).count() == 0
+
+
+def test_language_reads_long_words_to_their_end():
+    rows = [("abab abab bab", "aa"), ("xyxy xyxy yxy", "xx")] * 3
+    model = langid.fit_texts(rows)
+    assert model.predict(["ab" * 25 + "xy" * 100, "xy" * 25 + "ab" * 100]) == [("xx", 1.0), ("aa", 1.0)]
