@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm import langid, packing, simhash, toxicity
+from sparkloom.llm import langid, near, packing, toxicity
 from sparkloom.llm.common import cut, ensure_checkpoint_dir, tokenizer_path
 
 #: Documents whose language holds a smaller share of their letters are rejected.
@@ -32,8 +32,11 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, the one with the smallest id, of each group of near copies."""
-    kept = simhash.components(docs).where("doc_id = component_id").select("doc_id").distinct()
+    """Keeps one document, the one with the smallest id, of each group of near copies: texts linked by sharing at least
+    80 % of their distinct 5-word shingles."""
+    found = near.components(docs).withColumnRenamed("class", "__class")
+    grouped = near.with_class(docs).join(found, "__class", "left").withColumn("__group", F.coalesce("component", "__class"))
+    kept = grouped.groupBy("__group").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
     copies = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
     return docs.join(kept, "doc_id", "left_semi").withColumn("__k", F.row_number().over(copies)).where("__k = 1").select(docs.columns)
 
@@ -43,8 +46,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.packed(docs, tokenizer_path("word_bpe_49k.json"), end_id=1, length=2048)
 
 
-STAGES = [("language ID", language), ("toxicity", toxic), ("SimHash near-dedup", near_copies), ("packing", pack)]
-#: SQL can't say language ID, toxicity, SimHash or the tokenizer; tests hold the stages against brute force.
+STAGES = [("language ID", language), ("toxicity", toxic), ("near-dedup", near_copies), ("packing", pack)]
+#: SQL can't say language ID, toxicity, near copies or the tokenizer; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
