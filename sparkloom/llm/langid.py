@@ -4,8 +4,8 @@ A word's script narrows the languages it can be in; each language scores the wor
 with a penalty for switching labels every word, so that runs of words become spans of one language. The document's
 language is the one with the most letters.
 
-Learned from at most MAX_ROWS labelled documents a language (a documented bound), chosen by a hash of the id; every
-text is predicted whole.
+Learned from at most MAX_ROWS labelled documents a language (a documented bound), chosen by a hash of the id, and from
+MAX_CHARS characters, of which each language has its own share; every text is predicted whole.
 
 Cases: null text, or text without letters, is `und` with score 0; words of a script that no language was seen in are
 open to every language; ties go to the language that comes first in sorted order; without anything to learn from,
@@ -185,6 +185,25 @@ def held_out(c: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(c).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def within(sizes: list[tuple[str, int]], most: int) -> list[int]:
+    """Numbers of the (language, size) rows taken: each language has an equal share of `most`, to which those before it
+    that need less add what they leave. A row that doesn't fit is skipped; where none fits, the shortest is taken."""
+    rows: dict[str, list[int]] = {}
+    for i, (lang, _) in enumerate(sizes):
+        rows.setdefault(lang, []).append(i)
+    out, left = [], most
+    for turn, lang in enumerate(sorted(rows, key=lambda x: (sum(sizes[i][1] for i in rows[x]), x))):
+        budget, own = left // (len(rows) - turn), []
+        for i in rows[lang]:
+            if sizes[i][1] <= budget:
+                own.append(i)
+                budget -= sizes[i][1]
+        own = own or [min(rows[lang], key=lambda i: sizes[i][1])]
+        left = max(left - sum(sizes[i][1] for i in own), 0)
+        out += own
+    return sorted(out)
+
+
 def fit(df: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     """Learns from documents that have a text and a language and are not held out."""
     from pyspark.sql import Window
@@ -196,13 +215,16 @@ def fit(df: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     first = F.row_number().over(Window.partitionBy("lang", "part").orderBy("h", "doc_id"))
     ids = ids.withColumn("k", first).where(F.col("k") <= max_rows).withColumn("k", turn).where(F.col("k") <= max_rows)
     ids = ids.orderBy("k", "lang").limit(MAX_ALL).select("doc_id", "lang")
-    rows, chars = [], 0
-    picked = known.select("doc_id", "text", "lang").join(F.broadcast(ids), ["doc_id", "lang"], "left_semi")
-    for r in picked.orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(MAX_ALL).toLocalIterator():
-        if rows and chars + len(r["text"]) > MAX_CHARS:
-            break
-        rows.append((r["text"], r["lang"]))
-        chars += len(r["text"])
+    picked = known.select("doc_id", "text", "lang").join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").withColumn("digest", F.xxhash64("text"))
+    key = ["doc_id", "lang", "digest"]
+    # sizes first; texts that aren't taken never leave the executors
+    again = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "digest"))
+    sizes = picked.select(*key, F.length("text").alias("size")).withColumn("k", again).where(F.col("k") <= max_rows)
+    sizes = sizes.orderBy("k", "lang").limit(MAX_ALL).collect()
+    times = Counter(tuple(sizes[i][c] for c in key) for i in within([(r["lang"], r["size"]) for r in sizes], MAX_CHARS))
+    taken = df.sparkSession.createDataFrame(list(times), T.StructType([picked.schema[c] for c in key]))
+    texts = picked.join(F.broadcast(taken), key, "left_semi").dropDuplicates(key).toLocalIterator()
+    rows = [(r["text"], r["lang"]) for r in texts for _ in range(times[tuple(r[c] for c in key)])]
     return fit_texts(rows)
 
 
