@@ -32,13 +32,17 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, the one with the smallest id, of each group of near copies: texts linked by sharing at least
-    80 % of their distinct 5-word shingles."""
-    found = near.components(docs).withColumnRenamed("class", "__class")
-    grouped = near.with_class(docs).join(found, "__class", "left").withColumn("__group", F.coalesce("component", "__class"))
-    kept = grouped.groupBy("__group").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    copies = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    return docs.join(kept, "doc_id", "left_semi").withColumn("__k", F.row_number().over(copies)).where("__k = 1").select(docs.columns)
+    """Keeps one row, the one with the smallest id, of each group of near copies: texts linked by sharing at least 80 %
+    of their distinct 5-word shingles. Only texts decide: a row with a null id stays unless a row with an id is its near
+    copy, and unlike texts with one id all stay."""
+    found = cut(near.components(docs).withColumnRenamed("class", "__class"))
+    rows = near.with_class(docs)
+    # of each component the class with the smallest id stays, and of each class one row; texts are shuffled once
+    ids = near.with_class(docs.select("doc_id", "text")).groupBy("__class").agg(F.min("doc_id").alias("id")).join(found, "__class")
+    first = ids.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "__class")).alias("first"))
+    gone = cut(ids.join(first, "component").where("__class <> first.__class").select("__class"))
+    copies = Window.partitionBy("__class").orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), "text")
+    return rows.withColumn("__k", F.row_number().over(copies)).where("__k = 1").join(gone, "__class", "left_anti").select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

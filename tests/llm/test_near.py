@@ -60,3 +60,11 @@ def test_links_do_not_depend_on_the_sample(spark, monkeypatch):
         monkeypatch.setattr(near, "SAMPLE", size)
         groups.append({(r["class"], r["component"]) for r in near.components(docs).collect()})
     assert groups[0] == groups[1] == groups[2] and groups[0]
+
+
+def test_rows_are_kept_by_text_not_by_id(spark, sf):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(None, a), (7, b), (7, c), (9, b), (None, c), (None, a)]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], SCHEMA)
+    got = [(r.doc_id, r.text) for r in pipeline.near_copies(spark, docs, sf).collect()]
+    assert sorted(got, key=lambda x: x[1]) == [(None, a), (7, b), (7, c)]
