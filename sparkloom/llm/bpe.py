@@ -7,8 +7,9 @@ from the end gives the ids that greedy pair merging gives, in time linear in the
 million bytes.
 
 Cases: null text encodes as the empty text (no ids, empty decoded text); special strings inside a text become their
-own id, as the tokenizers library does by default; repeated rows give repeated results; columns of the input beside
-the named ones pass through, and if one has the name of an output column, the output column replaces it.
+own id, as the tokenizers library does by default; repeated rows give repeated results; null ids of documents pass
+through; columns of the input beside the named ones pass through, whatever their names, and if one has the name of an
+output column, the output column replaces it.
 """
 
 from __future__ import annotations
@@ -16,25 +17,22 @@ from __future__ import annotations
 import json
 from array import array
 from collections.abc import Iterator
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import unused
+from .pieces import MARKS, Pieces, binaries, by_bytes, column_bytes, cut_nowhere, cut_pretokens, gathered
+
 #: Fixed value: the pre-token pattern of the byte-level vocabularies.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Transitions and token pairs a worker remembers.
 CACHE_STEPS, CACHE_PAIRS = 500_000, 600_000
-#: Distinct pieces a worker remembers before it starts afresh.
-CACHE_PIECES = 250_000
-#: Pieces longer than this are not remembered.
-CACHE_CHARS = 64
 
-_UNSAFE = regex.compile(r"\s ")
-_SAFE_CUT = regex.compile(r"(?<=\S)(?= )")
 _INF = 1 << 60
 _START = 1 << 41
 
@@ -108,6 +106,8 @@ class TokenBytes:
         self.special = {a["content"]: a["id"] for a in spec["added_tokens"]}
         for word, i in self.special.items():
             self.bytes_of[i] = word.encode()
+        self.sizes = np.fromiter(map(len, self.bytes_of), np.int64, size)
+        self.starts, self.flat = np.cumsum(self.sizes) - self.sizes, np.frombuffer(b"".join(self.bytes_of), np.uint8)
         self._learn(spec["model"], alphabet, size)
 
     def _learn(self, model: dict, alphabet: dict[str, int], size: int) -> None:
@@ -115,7 +115,25 @@ class TokenBytes:
 
     def decode(self, ids: bytes) -> str:
         """Text of ids; byte sequences that are no UTF-8 become U+FFFD."""
-        return b"".join(map(self.bytes_of.__getitem__, memoryview(ids).cast("I"))).decode("utf-8", "replace")
+        return self.decode_column(pa.array([ids], pa.binary()))[0].as_py()
+
+    def decode_column(self, ids: pa.Array) -> pa.Array:
+        """The text of each value of a binary column of packed ids without nulls."""
+        raw, offsets = column_bytes(ids)
+        numbers = raw.view("<u4")
+        sizes = self.sizes[numbers]
+        data = gathered(self.flat, self.starts[numbers], sizes)
+        ends = np.concatenate([[0], np.cumsum(sizes)])[offsets // 4]
+        begins = ends[:-1][ends[:-1] < ends[1:]]
+        try:
+            data.tobytes().decode()
+            whole = not ((data[begins] & 0xC0) == 0x80).any()
+        except UnicodeDecodeError:
+            whole = False
+        if whole:
+            return pa.LargeStringArray.from_buffers(len(ids), pa.py_buffer(ends), pa.py_buffer(data)).cast(pa.string())
+        raw = data.tobytes()
+        return pa.array([raw[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.string())
 
 
 class PrefixBpe(TokenBytes):
@@ -144,7 +162,8 @@ class PrefixBpe(TokenBytes):
         self.bad: set[int] = set()
         self.pretoken = regex.compile(PRETOKEN)
         self.splitter = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.cache: dict[str, bytes] = {}
+        breaks = any(regex.search(rf"\s|[A-Za-z][{MARKS.decode()}]|^[{MARKS.decode()}]", word) for word in self.special)
+        self.pieces = Pieces(cut_nowhere if breaks else cut_pretokens, self._fill)
 
     @staticmethod
     def _edge(i: int, side: int, formed: list[int], parts: list) -> tuple[tuple[int, int], ...]:
@@ -234,46 +253,22 @@ class PrefixBpe(TokenBytes):
             at = m.end()
         return out + self.pretoken.findall(piece[at:])
 
-    def _fill(self, missing: set[str]) -> dict[str, bytes]:
+    def _fill(self, missing: list[str]) -> list[bytes]:
         """Packed ids of pieces."""
-        alone = [p for p in missing if p[1:].isalpha() and (p[0] == " " or p[0].isalpha())]
-        cut = {p: [w if isinstance(w, int) else w.encode() for w in self.pretokens(p)] for p in missing.difference(alone)}
-        words = {p.encode() for p in alone}
-        for ws in cut.values():
+        cut = [None if p[1:].isalpha() and (p[0] == " " or p[0].isalpha()) else [w if isinstance(w, int) else w.encode() for w in self.pretokens(p)] for p in missing]
+        words = {p.encode() for p, ws in zip(missing, cut, strict=True) if ws is None}
+        for ws in filter(None, cut):
             words.update([w for w in ws if isinstance(w, bytes)])
         ordered = sorted(words)
         ids = dict(zip(ordered, self.words_ids(ordered), strict=True))
-        out = {p: ids[p.encode()] for p in alone}
-        out.update((p, b"".join([w.to_bytes(4, "little") if isinstance(w, int) else ids[w] for w in ws])) for p, ws in cut.items())
-        return out
+        return [ids[p.encode()] if ws is None else b"".join([w.to_bytes(4, "little") if isinstance(w, int) else ids[w] for w in ws]) for p, ws in zip(missing, cut, strict=True)]
 
-    @staticmethod
-    def pieces(text: str) -> list[str]:
-        """The text, cut where a space follows a character that is no white space.
-
-        No pre-token crosses such a place and the pattern looks no further, so pieces can be encoded alone.
-        """
-        if not text:
-            return []
-        if "\0" in text or text[0] == " " or _UNSAFE.search(text):
-            return _SAFE_CUT.split(text)
-        return text.replace(" ", "\0 ").split("\0")
-
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """Ids of whole texts as little-endian unsigned 32-bit integers."""
-        cut = [self.pieces(t) for t in texts]
-        cache = self.cache
-        if len(cache) > CACHE_PIECES:
-            cache.clear()
-        new = self._fill(set(chain.from_iterable(cut)).difference(cache))
-        cache.update(new)
-        out = [b"".join(map(cache.__getitem__, pieces)) for pieces in cut]
-        for p in [p for p in new if len(p) > CACHE_CHARS]:
-            del cache[p]
-        return out
+    def encode_column(self, texts: pa.Array) -> pa.Array:
+        """Ids of each of a column of whole texts, without nulls, as little-endian unsigned 32-bit integers."""
+        return binaries(*self.pieces.ids(texts))
 
     def encode(self, text: str) -> bytes:
-        return self.encode_batch([text])[0]
+        return self.encode_column(pa.array([text]))[0].as_py()
 
 
 _LOADED: dict[tuple[str, type], TokenBytes] = {}
@@ -285,44 +280,32 @@ def loaded(path: str, kind: type = PrefixBpe) -> TokenBytes:
     return _LOADED[path, kind]
 
 
-def _parts(batch: pa.RecordBatch, rows: int = 1024) -> Iterator[pa.RecordBatch]:
-    for i in range(0, batch.num_rows, rows):
-        yield batch.slice(i, rows)
-
-
-def _with(df: DataFrame, drop: str, name: str, kind: T.DataType) -> T.StructType:
-    return T.StructType([f for f in df.schema.fields if f.name not in (drop, name)] + [T.StructField(name, kind, True)])
-
-
 def bpe_encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", keep: list[str] | None = None) -> DataFrame:
     """keep (all others by default) and ids_col: the ids of text_col as packed little-endian unsigned 32-bit binary."""
     keep = [c for c in (df.columns if keep is None else keep) if c not in (text_col, ids_col)]
-    src = df.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
+    src = df.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(text_col), F.lit("")).alias(unused("text", keep)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = loaded(path)
         for whole in batches:
-            for b in _parts(whole):
-                ids = model.encode_batch(b.column(b.num_columns - 1).to_pylist())
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(ids, pa.binary())], [*b.schema.names[:-1], ids_col])
+            for b in by_bytes(whole, whole.num_columns - 1):
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], model.encode_column(b.columns[-1])], [*b.schema.names[:-1], ids_col])
 
-    return src.mapInArrow(run, _with(src, "__text", ids_col, T.BinaryType()))
+    return src.mapInArrow(run, T.StructType([*src.schema.fields[:-1], T.StructField(ids_col, T.BinaryType())]))
 
 
 def bpe_decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """The columns of df with text_col, the text that the ids stand for (special tokens included; null: empty)."""
-    keep = [c for c in df.columns if c != text_col]
-    src = df.select(*[F.col(f"`{c}`") for c in keep])
-    at = keep.index(ids_col)
+    src = df.select(*[F.col(f"`{c}`") for c in df.columns if c != text_col])
+    at = src.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = loaded(path, TokenBytes)
         for whole in batches:
-            for b in _parts(whole):
-                text = [model.decode(x or b"") for x in b.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(text, pa.string())], [*b.schema.names, text_col])
+            for b in by_bytes(whole, at):
+                yield pa.RecordBatch.from_arrays([*b.columns, model.decode_column(b.column(at).fill_null(b""))], [*b.schema.names, text_col])
 
-    return src.mapInArrow(run, _with(src, "", text_col, T.StringType()))
+    return src.mapInArrow(run, T.StructType([*src.schema.fields, T.StructField(text_col, T.StringType())]))
 
 
 def digest(df: DataFrame, path: str) -> DataFrame:

@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Folder for cutting lineage: spark.checkpoint.dir where the cluster names one, else a local one (tests)."""
+    """Folder for cutting lineage: spark.checkpoint.dir where the cluster names one; a local one only for a local master,
+    as in tests, since the machines of a cluster wouldn't see each other's."""
     sc = spark.sparkContext
     found = sc.getCheckpointDir()
     if found:
         return found
     named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local[") and sc.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="sparkloom-checkpoint-"))
     return sc.getCheckpointDir()
 
@@ -26,6 +29,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def unused(name: str, taken: list[str]) -> str:
+    """name, behind as many underscores as no column of taken has (Spark's names don't tell case)."""
+    name, taken = f"__{name}", {c.lower() for c in taken}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 

@@ -13,23 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .library import loaded
-
-#: Bytes of text whose rows are taken together.
-SLICE_BYTES = 4 << 20
-
-
-def by_bytes(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of about equal bytes of text, whatever the number of rows."""
-    start = held = 0
-    for i, x in enumerate(batch.column(column)):
-        n = x.as_buffer().size if x.is_valid else 0
-        if i > start and held + n > most:
-            yield batch.slice(start, i - start)
-            start, held = i, 0
-        held += n
-    if start < batch.num_rows:
-        yield batch.slice(start)
-
+from .pieces import by_bytes
 
 def token_counts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024) -> DataFrame:
     """id_col, n_bytes, n_tokens and over_limit (n_tokens > limit) of every row."""
@@ -38,10 +22,9 @@ def token_counts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     kind = src.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = loaded(path, "lengths")
+        pieces = loaded(path)
         for whole in batches:
             for b in by_bytes(whole, 2):
-                n = count(b.column(2).to_pylist())
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], [id_col, "n_bytes", "n_tokens"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(pieces.counts(b.column(2)), pa.int64())], [id_col, "n_bytes", "n_tokens"])
 
     return src.mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)

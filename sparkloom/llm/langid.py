@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .counts import by_bytes
+from .pieces import by_bytes
 
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 #: Most labelled documents of a language, and of all languages, that the fit takes; characters taken of them together.

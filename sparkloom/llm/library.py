@@ -4,151 +4,129 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import unicodedata
 from array import array
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import numpy as np
 
-from .bpe import PrefixBpe
+from .pieces import CACHE_CHARS, MARKS, Pieces, cut_nowhere, cut_pretokens, cut_spaces, cut_words, plain
 
-#: Pieces a worker remembers, and the longest that it remembers, in characters.
-CACHE_PIECES, CACHE_CHARS = 400_000, 64
-#: Bytes of text handed to the library at once.
-BATCH_BYTES = 1 << 18
+#: Short pieces, and bytes of longer ones, handed to the library at once.
+BATCH_PIECES, BATCH_BYTES = 8192, 1 << 20
 
+Encoder = Callable[[list[str]], list[bytes]]
 
-def _spaces(text: str) -> list[str]:
-    """Cut at white space that the tokenizer drops anyway; in lower case, where that is the same character by character."""
-    if text.isascii():
-        text = text.lower()
-    out = text.replace("\n", " ").split(" ")
-    return list(filter(None, out)) if "" in out else out
 
+def packed(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes()
 
-def _whole(text: str) -> list[str]:
-    return [text] if text else []
 
-
-def balanced(pieces: list[str], most: int = BATCH_BYTES) -> Iterator[list[str]]:
-    """Batches of at most `most` bytes (UTF-8 bounded by four bytes a character), but for single longer pieces.
-
-    Longest first, so that a batch holds texts of like length.
-    """
+def batches(pieces: list[str]) -> Iterator[list[int]]:
+    """Numbers of pieces: so many short ones at once, long ones (UTF-8 takes four bytes a character at most) by bytes."""
+    short = [i for i, p in enumerate(pieces) if len(p) <= CACHE_CHARS]
+    for k in range(0, len(short), BATCH_PIECES):
+        yield short[k : k + BATCH_PIECES]
     batch, held = [], 0
-    for p in sorted(pieces, key=len, reverse=True):
-        n = len(p) if p.isascii() else 4 * len(p)
-        if batch and held + n > most:
+    for i in [i for i, p in enumerate(pieces) if len(p) > CACHE_CHARS] if len(short) < len(pieces) else ():
+        if batch and held + 4 * len(pieces[i]) > BATCH_BYTES:
             yield batch
             batch, held = [], 0
-        batch.append(p)
-        held += n
+        batch.append(i)
+        held += 4 * len(pieces[i])
     if batch:
         yield batch
 
 
-class Pieces:
-    """Values of texts, of which each is made from the values of its pieces.
-
-    What is safe depends on the vocabulary: a byte-level one with its pattern may be cut where a space follows a
-    character that is no white space; one that drops white space may be cut at any space; others, and sentencepiece
-    models, are not cut.
-    """
-
-    def __init__(self, path: str, kind: str):
-        """kind: "ids" for packed little-endian unsigned 32-bit ids, "lengths" for their numbers."""
-        self.kind, self.cache = kind, {}
-        self.ends: np.ndarray | None = None  # whether an id ends a word, where the vocabulary marks that
-        if path.endswith(".model"):
-            import sentencepiece
-
-            model = sentencepiece.SentencePieceProcessor(model_file=path)
-            self.cut, self.encode = _whole, lambda batch: model.encode(batch, num_threads=1)
-            return
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        model = Tokenizer.from_file(path)
-        model.no_truncation()
-        model.no_padding()
-        self.encode = lambda batch: [e.ids for e in model.encode_batch_fast(batch, add_special_tokens=False)]
-        spec = json.load(open(path, encoding="utf-8"))
-        before, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
-        steps = before.get("pretokenizers", [before])
-        special = any(" " in a["content"] or a["lstrip"] or a["rstrip"] or a["single_word"] for a in spec["added_tokens"])
-        if special:
-            self.cut = _whole
-        elif not norm and steps[0].get("type") == "ByteLevel" and steps[0].get("use_regex") and not steps[0].get("add_prefix_space"):
-            self.cut = PrefixBpe.pieces
-        elif steps[0].get("type") == "Split" and steps[0].get("behavior") == "Removed" and steps[0].get("invert") and r"[^\s\p{L}\p{N}]+" in steps[0]["pattern"].get("Regex", ""):
-            self.cut = _spaces
-            if suffix := spec["model"].get("end_of_word_suffix"):
-                from tokenizers import pre_tokenizers
-
-                self.ends = np.zeros(1 + max(spec["model"]["vocab"].values()), bool)
-                self.ends[[i for w, i in spec["model"]["vocab"].items() if w.endswith(suffix)]] = True
-                plain = Tokenizer(model.model)  # for words that the normalizer would leave as they are
-                plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-                self.encode_plain = lambda text: plain.encode_batch_fast([text], add_special_tokens=False)[0].ids
-        else:
-            self.cut = _whole
-
-    def value(self, ids: list[int]) -> Any:
-        return array("I", ids).tobytes() if self.kind == "ids" else len(ids)
-
-    def _apart(self, words: list[str]) -> list[Any]:
-        """Values of words that end in one marked id each, encoded as one text and told apart by their ends."""
-        ids = np.array(self.encode_plain(" ".join(words)), np.uint32)
-        ends = np.flatnonzero(self.ends[ids]) + 1
-        if len(ends) != len(words):
-            return [self.value(x) for x in self.encode(words)]
-        if self.kind == "lengths":
-            return np.diff(ends, prepend=0).tolist()
-        raw, at = ids.astype("<u4").tobytes(), (4 * ends).tolist()
-        return [raw[a:b] for a, b in zip([0, *at], at, strict=False)]
-
-    def _words(self, new: set[str]) -> set[str]:
-        """Fills the cache for pieces that are a word, or a word and one mark after it; returns the others."""
-        words: set[str] = set()
-        marked: list[str] = []
-        for p in new:
-            if p.isalpha():
-                words.add(p)
-            elif p[-1] in ",.;:!?" and p[:-1].isalpha():
-                words.add(p[:-1])
-                marked.append(p)
-        odd = {w for w in words if len(w) > CACHE_CHARS or not (w.isascii() or (w == w.lower() and "\u03a3" not in w and unicodedata.is_normalized("NFC", w)))}
-        odd.update([w for w in words if w.isascii() and not w.islower()])
-        known: dict[str, Any] = {}
-        for batch in balanced(list(words - odd)):
-            known.update(zip(batch, self._apart(batch), strict=True))
-        mark = {m: self.value(x) for m, x in zip(",.;:!?", self.encode(list(",.;:!?")), strict=True)}
-        done = [p for p in marked if p[:-1] in known]
-        self.cache.update([(p, known[p[:-1]] + mark[p[-1]]) for p in done])
-        self.cache.update([(w, v) for w, v in known.items() if w in new])
-        return new.difference(known, done)
-
-    def __call__(self, texts: list[str]) -> list[Any]:
-        """The value of each text: its packed ids, or their number."""
-        cut, cache = [self.cut(t or "") for t in texts], self.cache
-        if len(cache) > CACHE_PIECES:
-            cache.clear()
-        new = set(chain.from_iterable(cut)).difference(cache)
-        for batch in balanced(list(new if self.ends is None else self._words(new))):
-            cache.update(zip(batch, map(self.value, self.encode(batch)), strict=True))
-        total = b"".join if self.kind == "ids" else sum
-        out = [total(map(cache.__getitem__, pieces)) for pieces in cut]
-        for p in [p for p in new if len(p) > CACHE_CHARS]:
-            del cache[p]
+def _batched(encode: Callable[[list[str]], list[list[int]]]) -> Encoder:
+    def run(pieces: list[str]) -> list[bytes]:
+        out = [b""] * len(pieces)
+        for batch in batches(pieces):
+            for i, ids in zip(batch, encode([pieces[i] for i in batch]), strict=True):
+                out[i] = packed(ids)
+        return out
+
+    return run
+
+
+def _word_ends(model: Any, spec: dict, encode: Encoder) -> Encoder:
+    """For a vocabulary that marks the ends of words: plain words are encoded as one text and told apart by the ids that
+    end a word. Plain is what the normalizer leaves as it is and the pattern keeps whole; all else goes through encode."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    vocab, suffix = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"]
+    ends = np.zeros(1 + max(vocab.values()), bool)
+    ends[[i for w, i in vocab.items() if w.endswith(suffix)]] = True
+    bare = Tokenizer(model.model)
+    bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+
+    def lowered(w: str) -> bool:
+        if w.isascii():
+            return w.islower()
+        return w == w.lower() and "\u03a3" not in w and unicodedata.is_normalized("NFC", w)
+
+    def run(pieces: list[str]) -> list[bytes]:
+        out = [b""] * len(pieces)
+        words = [i for i, w in enumerate(pieces) if w.isalpha() and len(w) <= CACHE_CHARS and lowered(w)]
+        for k in range(0, len(words), BATCH_PIECES):
+            part = words[k : k + BATCH_PIECES]
+            ids = np.array(bare.encode_batch_fast([" ".join([pieces[i] for i in part])], add_special_tokens=False)[0].ids, np.uint32)
+            at = np.flatnonzero(ends[ids]) + 1
+            if len(at) != len(part):
+                raise ValueError("a word doesn't end in one marked id")
+            raw, last = ids.tobytes(), 0
+            for i, end in zip(part, (4 * at).tolist(), strict=True):
+                out[i] = raw[last:end]
+                last = end
+        rest = sorted(set(range(len(pieces))).difference(words))
+        for i, x in zip(rest, encode([pieces[i] for i in rest]), strict=True):
+            out[i] = x
         return out
 
+    return run
+
+
+def _json_pieces(path: str) -> Pieces:
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(path)
+    model.no_truncation()
+    model.no_padding()
+    spec = json.load(open(path, encoding="utf-8"))
+    encode = _batched(lambda batch: [e.ids for e in model.encode_batch_fast(batch, add_special_tokens=False)])
+    before, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer") or {}
+    steps = before.get("pretokenizers", [before])
+    breaks = re.compile(rf"\s|[A-Za-z][{re.escape(MARKS.decode())}]|^[^<]*$")
+    if any(breaks.search(a["content"]) or a["lstrip"] or a["rstrip"] or a["single_word"] or a["normalized"] for a in spec["added_tokens"]):
+        return Pieces(cut_nowhere, encode)
+    if not norm and steps[0].get("type") == "ByteLevel" and steps[0].get("use_regex") and not steps[0].get("add_prefix_space"):
+        return Pieces(cut_pretokens, encode)
+    drops = steps[0].get("type") == "Split" and steps[0].get("behavior") == "Removed" and steps[0].get("invert") and r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" in steps[0]["pattern"].get("Regex", "")
+    lowers = [n.get("type") for n in norm.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+    if drops and lowers:
+        return Pieces(cut_spaces, _word_ends(model, spec, encode) if spec["model"].get("end_of_word_suffix") else encode, plain)
+    return Pieces(cut_nowhere, encode)
+
+
+def _model_pieces(path: str) -> Pieces:
+    """A sentencepiece file. A space between words is a safe place if no piece of the vocabulary has one past its start
+    and what stands after it encodes alone as it does in a text."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    crosses = re.compile("[^\u2581]\u2581")
+    alone = not any(crosses.search(model.id_to_piece(i)) for i in range(model.vocab_size()))
+    alone = alone and all(model.encode(f"a1 {x}") == model.encode("a1") + model.encode(f" {x}") for x in ("b", "2", "Word", "1 x"))
+    return Pieces(cut_words if alone else cut_nowhere, _batched(lambda batch: model.encode(batch, num_threads=1)))
+
 
-_LOADED: dict[tuple[str, str], Pieces] = {}
+_LOADED: dict[str, Pieces] = {}
 
 
-def loaded(path: str, kind: str) -> Pieces:
-    if (path, kind) not in _LOADED:
-        _LOADED[path, kind] = Pieces(path, kind)
-    return _LOADED[path, kind]
+def loaded(path: str) -> Pieces:
+    if path not in _LOADED:
+        _LOADED[path] = _model_pieces(path) if path.endswith(".model") else _json_pieces(path)
+    return _LOADED[path]

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import connected_components, cut
-from .counts import by_bytes
+from .pieces import by_bytes
 
 SHINGLE = 5
 #: Texts of the sample that finds common shingles (only the cost depends on it), and their greatest length.

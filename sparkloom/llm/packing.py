@@ -4,6 +4,8 @@ A document of n tokens is cut into as many pieces of `length` tokens as it fills
 each bit of its length, longest first. Each piece is a sequence of its own, without padding; sequences of equal length
 belong to one bucket, from which training draws batches of equal shape. So padding is zero.
 
+Pieces are made for whole slices of rows at once.
+
 Cases: null text counts as the empty text and so makes one piece that holds only the end id; texts of any length are
 encoded whole; equal rows are packed each on its own; an empty table gives no pieces; columns of the input other than
 the named ones are not read.
@@ -11,25 +13,33 @@ the named ones are not read.
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
-from .counts import by_bytes
 from .library import loaded
+from .pieces import binaries, by_bytes
 
 #: Groups of documents that are numbered on their own; their totals, so many rows, are what is broadcast.
 SLOTS = 4096
 
 
-def binary_lengths(n: int, length: int) -> list[int]:
-    """Lengths of the pieces of a document of n tokens."""
-    rest = n % length
-    return [length] * (n // length) + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
+def decomposed(n: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For documents of n tokens each, in order: the document, number, start and length of every piece."""
+    full, rest = n // length, n % length
+    bits = np.arange(length.bit_length() - 2, -1, -1)
+    row, column = np.nonzero(rest[:, None] >> bits & 1)
+    count = full + np.bincount(row, minlength=len(n))
+    doc = np.repeat(np.arange(len(n)), count)
+    piece = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+    size = np.full(len(doc), length)
+    size[piece >= full[doc]] = 1 << bits[column]
+    end = np.cumsum(size)
+    return doc, piece, end - size - np.repeat(np.cumsum(n) - n, count), size
 
 
 def pieces(df: DataFrame, path: str, end_id: int = 1, length: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -39,21 +49,19 @@ def pieces(df: DataFrame, path: str, end_id: int = 1, length: int = 2048, id_col
     src = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = loaded(path, "ids")
-        end, row = struct.pack("<I", end_id), 0
+        encode, row = loaded(path), 0
         for whole in batches:
-            for b in by_bytes(whole, 1, 2 << 20):
-                out: list[list] = [[], [], [], [], [], [], []]
-                for doc, body in zip(b.column(0).to_pylist(), encode(b.column(1).to_pylist()), strict=True):
-                    ids, at = body + end, 0
-                    n = len(ids) // 4
-                    for k, m in enumerate(binary_lengths(n, length)):
-                        for column, x in zip(out, (doc, row, k, at, m, ids[4 * at : 4 * (at + m)], n), strict=True):
-                            column.append(x)
-                        at += m
-                    row += 1
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["doc_id", "salt", "piece", "start", "length", "ids", "doc_tokens"])
+            for b in by_bytes(whole, 1):
+                flat, n = encode.ids(b.column(1))
+                n = n + 1
+                ids = np.full(n.sum(), end_id, np.uint32)
+                held = np.ones(len(ids), bool)
+                held[np.cumsum(n) - 1] = False
+                ids[held] = flat
+                doc, piece, start, size = decomposed(n, length)
+                columns = [b.column(0).take(pa.array(doc)), pa.array(row + doc), pa.array(piece), pa.array(start), pa.array(size), binaries(ids, size), pa.array(n[doc])]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "salt", "piece", "start", "length", "ids", "doc_tokens"])
+                row += b.num_rows
 
     return src.mapInArrow(run, "doc_id long, salt long, piece long, start long, length long, ids binary, doc_tokens long")
 

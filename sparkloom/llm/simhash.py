@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, cut
-from .counts import by_bytes
+from .pieces import by_bytes
 
 #: Positions of which a pair within three bits shares all, for one of them at least.
 TRIPLES = [t for half in (range(4), range(4, 8)) for t in combinations(half, 3)]

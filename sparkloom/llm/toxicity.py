@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .counts import by_bytes
+from .pieces import by_bytes
 
 WORD = regex.compile(r"[\p{L}\p{N}]+")
 #: Most labelled rows, and characters of them, that the fit takes.

@@ -17,7 +17,7 @@ from sparkloom.llm import ann, bpe, counts, hnsw, langid, licenses, packing, sha
 from sparkloom.llm.common import connected_components
 
 BYTES, WORDS = P.path("byte_bpe_50k.json"), P.path("word_bpe_49k.json")
-ODD = [None, "", " ", "a", "  double  spaces \n\n tabs\t", "it's we'll <|endoftext|> x", "日本語 テスト 😀 ´ ſ İ Σας", "x" * 5000, "word " * 3000, "Ünïcode ÀB", "\x00\x1c \x85z", "%%% ### ,,, .", "a a a a", "MIT License"]
+ODD = [None, "", " ", "a", "see <|ENDOFTEXT|> here <|EndOfText|>, <|endoftext|>.", "J\u030c \u01f0 A\u030a.B", "a\x00 b\u00a0 c\u3000 d", "  double  spaces \n\n tabs\t", "it's we'll <|endoftext|> x", "日本語 テスト 😀 ´ ſ İ Σας", "x" * 5000, "word " * 3000, "Ünïcode ÀB", "\x00\x1c \x85z", "%%% ### ,,, .", "a a a a", "MIT License"]
 
 
 @pytest.fixture(scope="module")
@@ -162,6 +162,11 @@ def test_slot_map_versions(spark, docs, tmp_path):
 # 5
 
 
+def binary_lengths(n, length):
+    rest = n % length
+    return [length] * (n // length) + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
+
+
 def test_packing(odd, docs):
     t = tokenizer(WORDS)
     for df in (odd, docs):
@@ -172,13 +177,15 @@ def test_packing(odd, docs):
         expected = Counter()
         for (doc, ids), k in want.items():
             n, at = len(ids) // 4, 0
-            for m in packing.binary_lengths(n, 2048):
+            for m in binary_lengths(n, 2048):
                 expected[doc, at, m, zlib.crc32(ids[4 * at : 4 * (at + m)]), n] += k
                 at += m
             assert at == n
         assert got == expected
     assert packing.packed(docs.where("false"), WORDS).count() == 0
-    assert packing.binary_lengths(2048 * 2 + 5, 2048) == [2048, 2048, 4, 1]
+    doc, piece, start, size = packing.decomposed(np.array([2048 * 2 + 5, 1, 2048]), 2048)
+    assert doc.tolist() == [0, 0, 0, 0, 1, 2] and piece.tolist() == [0, 1, 2, 3, 0, 0]
+    assert start.tolist() == [0, 2048, 4096, 4100, 0, 0] and size.tolist() == [2048, 2048, 4, 1, 1, 2048]
 
 
 # 6
