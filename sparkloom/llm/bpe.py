@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import unused
+from .common import with_text
 from .pieces import MARKS, Pieces, binaries, by_bytes, column_bytes, cut_nowhere, cut_pretokens, gathered
 
 #: Fixed value: the pre-token pattern of the byte-level vocabularies.
@@ -282,30 +282,30 @@ def loaded(path: str, kind: type = PrefixBpe) -> TokenBytes:
 
 def bpe_encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", keep: list[str] | None = None) -> DataFrame:
     """keep (all others by default) and ids_col: the ids of text_col as packed little-endian unsigned 32-bit binary."""
-    keep = [c for c in (df.columns if keep is None else keep) if c not in (text_col, ids_col)]
-    src = df.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(text_col), F.lit("")).alias(unused("text", keep)))
+    src, fields = with_text(df, [c for c in (df.columns if keep is None else keep) if c not in (text_col, ids_col)], text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = loaded(path)
         for whole in batches:
-            for b in by_bytes(whole, whole.num_columns - 1):
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], model.encode_column(b.columns[-1])], [*b.schema.names[:-1], ids_col])
+            for b in by_bytes(whole, len(fields)):
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], model.encode_column(b.columns[-1])], [*[f.name for f in fields], ids_col])
 
-    return src.mapInArrow(run, T.StructType([*src.schema.fields[:-1], T.StructField(ids_col, T.BinaryType())]))
+    return src.mapInArrow(run, T.StructType([*fields, T.StructField(ids_col, T.BinaryType())]))
 
 
 def bpe_decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """The columns of df with text_col, the text that the ids stand for (special tokens included; null: empty)."""
-    src = df.select(*[F.col(f"`{c}`") for c in df.columns if c != text_col])
-    at = src.columns.index(ids_col)
+    fields = [f for f in df.schema.fields if f.name != text_col]
+    at = [f.name for f in fields].index(ids_col)
+    src = df.select(*[F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(fields)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = loaded(path, TokenBytes)
         for whole in batches:
             for b in by_bytes(whole, at):
-                yield pa.RecordBatch.from_arrays([*b.columns, model.decode_column(b.column(at).fill_null(b""))], [*b.schema.names, text_col])
+                yield pa.RecordBatch.from_arrays([*b.columns, model.decode_column(b.column(at).fill_null(b""))], [*[f.name for f in fields], text_col])
 
-    return src.mapInArrow(run, T.StructType([*src.schema.fields, T.StructField(text_col, T.StringType())]))
+    return src.mapInArrow(run, T.StructType([*fields, T.StructField(text_col, T.StringType())]))
 
 
 def digest(df: DataFrame, path: str) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -95,3 +96,11 @@ def _star(e: DataFrame, large: bool) -> DataFrame:
 
 def text_or_empty(c: str | Column = "text") -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
+
+
+def with_text(df: DataFrame, keep: list[str] | None, text: str = "text") -> tuple[DataFrame, list[T.StructField]]:
+    """The columns to keep (doc_id as long unless named) and at the end the text, null as the empty one, all under names
+    that can't clash or be misread; and the fields of the columns kept."""
+    fields = [T.StructField("doc_id", T.LongType())] if keep is None else [next(f for f in df.schema.fields if f.name == c) for c in keep]
+    kept = [F.col(f"`{f.name}`").cast(f.dataType).alias(f"c{i}") for i, f in enumerate(fields)]
+    return df.select(*kept, text_or_empty(text).alias(f"c{len(kept)}")), fields

@@ -4,12 +4,13 @@ A word's script narrows the languages it can be in; each language scores the wor
 with a penalty for switching labels every word, so that runs of words become spans of one language. The document's
 language is the one with the most letters.
 
-Learned from at most MAX_ROWS labelled documents a language (a documented bound), chosen by a hash of the id, and from
-MAX_CHARS characters, of which each language has its own share; every text is predicted whole.
+Learned from at most `max_rows` labelled documents a language and `max_all` of all (documented bounds), chosen by a hash
+of id and text, and from `max_chars` characters, of which each language has its own share; every text is predicted whole.
 
 Cases: null text, or text without letters, is `und` with score 0; words of a script that no language was seen in are
-open to every language; ties go to the language that comes first in sorted order; without anything to learn from,
-everything is `und`; equal rows are predicted each on its own; extra columns are not read.
+open to every language but count for none in the score; ties go to the language that comes first in sorted order;
+without anything to learn from, everything is `und`; equal rows are predicted each on its own and learned from once; a
+null id is never held out; extra columns are not read, those kept pass through whatever their names.
 """
 
 from __future__ import annotations
@@ -25,11 +26,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import with_text
 from .pieces import by_bytes
 
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
-#: Most labelled documents of a language, and of all languages, that the fit takes; characters taken of them together.
+#: Most labelled documents of a language, and of all languages, that a fit takes; characters taken of them together.
 MAX_ROWS, MAX_ALL, MAX_CHARS = 250, 4000, 4_000_000
+#: Of a language's documents, a threshold of their hashes lets pass so many times max_rows before they are ranked.
+SLACK = 2
 #: Scripts by code point ranges (fixed values of the Unicode blocks).
 SCRIPTS = (
     ("latin", 0x41, 0x24F), ("greek", 0x370, 0x3FF), ("cyrillic", 0x400, 0x52F), ("armenian", 0x530, 0x58F),
@@ -62,6 +66,9 @@ class Model:
     weights: np.ndarray
     scripts: dict[str, np.ndarray]
 
+    def _is_plain(self, word: str) -> bool:
+        return word.isascii() and "latin" in self.scripts
+
     def scores(self, words: list[str]) -> np.ndarray:
         """(words, languages): each word's log-likelihood less that of its best language; very low where its script rules a language out."""
         if not words:
@@ -145,7 +152,7 @@ class Model:
         return out
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        """Language and score: the share of the letters that lie in spans of it."""
+        """Language and score: the share of the letters that lie in spans of it, in words of scripts that were learned."""
         words = [WORD.findall((t or "").lower()) for t in texts]
         if not self.languages:
             return [("und", 0.0) for _ in texts]
@@ -154,9 +161,10 @@ class Model:
             if not ws:
                 out.append(("und", 0.0))
                 continue
-            letters = np.bincount(p, np.fromiter(map(len, ws), float, len(ws)), len(self.languages))
-            k = int(letters.argmax())
-            out.append((self.languages[k], float(letters[k] / letters.sum())))
+            size = np.fromiter(map(len, ws), float, len(ws))
+            k = int(np.bincount(p, size, len(self.languages)).argmax())
+            own = (p == k) & ([True] * len(ws) if all(map(self._is_plain, ws)) else [script(w) in self.scripts for w in ws])
+            out.append((self.languages[k], float(size[own].sum() / size.sum())))
         return out
 
 
@@ -204,45 +212,52 @@ def within(sizes: list[tuple[str, int]], most: int) -> list[int]:
     return sorted(out)
 
 
-def fit(df: DataFrame, max_rows: int = MAX_ROWS) -> Model:
-    """Learns from documents that have a text and a language and are not held out."""
+def sample(known: DataFrame, max_rows: int, max_all: int) -> DataFrame:
+    """doc_id, lang, digest and size of the rows to learn from, by language and hash; equal rows are one.
+
+    A threshold of the hash, by the number of a language's rows, leaves about SLACK * max_rows of each to be ranked, so
+    that no task gets more, however many rows a language has.
+    """
     from pyspark.sql import Window
 
-    known = df.where("text is not null and lang is not null").where(~held_out())
-    turn = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    # a sample of ids first, bounded for each language on each of the 64 shares before it is bounded over all
-    ids = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("part", F.pmod("h", F.lit(64)))
-    first = F.row_number().over(Window.partitionBy("lang", "part").orderBy("h", "doc_id"))
-    ids = ids.withColumn("k", first).where(F.col("k") <= max_rows).withColumn("k", turn).where(F.col("k") <= max_rows)
-    ids = ids.orderBy("k", "lang").limit(MAX_ALL).select("doc_id", "lang")
-    picked = known.select("doc_id", "text", "lang").join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").withColumn("digest", F.xxhash64("text"))
-    key = ["doc_id", "lang", "digest"]
+    rows = known.select("doc_id", "lang", F.xxhash64("text").alias("digest"), F.length("text").alias("size"))
+    rows = rows.withColumn("h", F.xxhash64("doc_id", "digest"))
+    count = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    share = F.pmod("h", F.lit(1 << 31)) / float(1 << 31)
+    few = rows.join(count, "lang").where(share * F.col("n") <= SLACK * max_rows).drop("n").distinct()
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "digest"))
+    return few.withColumn("k", turn).where(F.col("k") <= max_rows).orderBy("k", "lang").limit(max_all).select("doc_id", "lang", "digest", "size")
+
+
+def fit(df: DataFrame, max_rows: int = MAX_ROWS, max_all: int = MAX_ALL, max_chars: int = MAX_CHARS) -> Model:
+    """Learns from documents that have a text and a language and are not held out."""
+    known = df.select("doc_id", "text", "lang").where("text is not null and lang is not null").where(~held_out())
     # sizes first; texts that aren't taken never leave the executors
-    again = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "digest"))
-    sizes = picked.select(*key, F.length("text").alias("size")).withColumn("k", again).where(F.col("k") <= max_rows)
-    sizes = sizes.orderBy("k", "lang").limit(MAX_ALL).collect()
-    times = Counter(tuple(sizes[i][c] for c in key) for i in within([(r["lang"], r["size"]) for r in sizes], MAX_CHARS))
-    taken = df.sparkSession.createDataFrame(list(times), T.StructType([picked.schema[c] for c in key]))
-    texts = picked.join(F.broadcast(taken), key, "left_semi").dropDuplicates(key).toLocalIterator()
-    rows = [(r["text"], r["lang"]) for r in texts for _ in range(times[tuple(r[c] for c in key)])]
-    return fit_texts(rows)
+    rows = sample(known, max_rows, max_all).collect()
+    picked = [rows[i] for i in within([(r["lang"], r["size"]) for r in rows], max_chars)]
+    if not picked:
+        return fit_texts([])
+    key = ["doc_id", "lang", "digest"]
+    known = known.withColumn("digest", F.xxhash64("text"))
+    taken = df.sparkSession.createDataFrame([tuple(r[c] for c in key) for r in picked], T.StructType([known.schema[c] for c in key]))
+    match = F.expr(" and ".join(f"k.{c} <=> t.{c}" for c in key))
+    texts = known.alias("k").join(F.broadcast(taken).alias("t"), match, "left_semi").dropDuplicates(key)
+    return fit_texts([(r["text"], r["lang"]) for r in texts.orderBy("lang", F.xxhash64("doc_id", "digest"), "doc_id").toLocalIterator()])
 
 
 def predict(df: DataFrame, model: Model, keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """The columns of df to keep (doc_id unless named) with prediction and score of every row; nothing is shuffled."""
-    kept = [F.col("doc_id").cast("long").alias("doc_id")] if keep is None else [F.col(f"`{c}`") for c in keep]
-    src = df.select(*kept, F.coalesce(F.col("text"), F.lit("")).alias("__text"))
-    n = len(kept)
+    src, fields = with_text(df, keep)
+    n = len(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in by_bytes(whole, n):
                 got = model.predict(b.column(n).to_pylist())
                 new = [pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())]
-                yield pa.RecordBatch.from_arrays([*b.columns[:n], *new], [*b.schema.names[:n], *names])
+                yield pa.RecordBatch.from_arrays([*b.columns[:n], *new], [*[f.name for f in fields], *names])
 
-    fields = [*src.schema.fields[:n], T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]
-    return src.mapInArrow(run, T.StructType(fields))
+    return src.mapInArrow(run, T.StructType([*fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]))
 
 
 def identified(df: DataFrame) -> DataFrame:

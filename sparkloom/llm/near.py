@@ -1,18 +1,24 @@
 """Near copies by exact similarity: texts that share at least 80 % of all their distinct 5-word shingles (Jaccard).
 
-Two shingle sets of sizes n and m that are that similar share a shingle among the first n - ceil(0.8 n) + 1 and
-m - ceil(0.8 m) + 1 of any common order (prefix filter), so the index holds these prefixes and no pair is missed. The
-order puts shingles that a sample finds common last, by their count, and the rest by hash: the sample decides how many
-candidates meet, never which links are found. Of two entries of one shingle, the places leave an upper bound of the
-overlap; pairs whose bound is too low are left out before their texts are compared.
-
-Texts with the same words are one class. Each class is first compared with the leading entry of each of its shingles;
-the second round compares only pairs of components that the first left apart, so that a dense group of near copies
-costs little more than its size.
+Candidates come from two indexes and every one is verified on the whole shingle sets:
+
+* the byte-position index of simhash.py over 64-bit fingerprints of the 5-word shingles, which pairs lightly edited
+  copies (at most 3 bits apart);
+* for what fingerprints of 64 bits can't tell from unlike texts (at similarity 0.8 they differ in some ten bits), an index
+  of shingles. Two sets of sizes n and m that are that similar share a shingle among the first n - ceil(0.8 n) + 1 and
+  m - ceil(0.8 m) + 1 of any common order. The order puts shingles that a sample finds common last and the rest by hash.
+  Of shingles in hash order the first K do: what is first in the union of two sets lies in both with the chance of their
+  similarity, so that all K miss with the chance (1 - similarity) ** K, and K is chosen to keep that below MISS for every
+  pair. Texts of which the common shingles are too large a part keep the whole prefix.
+
+Of two entries of one shingle, the places leave an upper bound of the overlap; pairs whose bound is too low are left out
+before their texts are compared. Texts with the same words are one class. Each class is first compared with the leading
+entry of each of its shingles; the second round compares only pairs of components that the first left apart, so that a
+dense group of near copies costs little more than its size.
 
 Cases: case and white space don't count; null text and white space only are one class; fewer words than a shingle are
-one shingle; texts of any length are read whole; an empty table gives no rows. Words and shingles are compared by their
-64-bit hashes.
+one shingle; texts of any length are read whole; an empty table gives no rows; ids and other columns are not read, but
+pass through with_class, whatever their names. Words, shingles and texts are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -21,40 +27,61 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from . import simhash
 from .common import connected_components, cut
-from .pieces import by_bytes
+from .pieces import by_bytes, column_bytes
 
 SHINGLE = 5
 #: Texts of the sample that finds common shingles (only the cost depends on it), and their greatest length.
 SAMPLE, SAMPLE_CHARS = 2000, 100_000
-#: Bytes of text taken together; classes that are broadcast at most (more are joined by a shuffle).
-SLICE, BROADCAST = 1 << 20, 500_000
-
-
-def _words(text: str | None) -> list[bytes]:
-    return (text or "").lower().encode().split()
-
-
-def text_class(words: list[bytes]) -> int:
-    """The same signed number for the same words."""
-    return int(np.uint64(xxhash.xxh64_intdigest(b" ".join(words))).view(np.int64))
-
-
-def shingles(words: list[bytes]) -> np.ndarray:
-    """Hashes of the distinct shingles, sorted."""
-    if not words:
-        return np.zeros(0, np.int64)
-    each = [b" ".join(words)] if len(words) <= SHINGLE else map(b" ".join, zip(*[words[i:] for i in range(SHINGLE)], strict=False))
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, each), np.uint64).view(np.int64))
+#: Chance that the shortened prefixes of two similar texts share nothing.
+MISS = 1e-8
+#: Classes that are broadcast at most (more are joined by a shuffle).
+BROADCAST = 500_000
+
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20]] = True
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """A bijection of 64 bits in which every bit depends on all (the finaliser of splitmix64; its fixed values)."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def shingles(texts: pa.Array) -> list[np.ndarray]:
+    """For each text the hashes of its shingles (unsigned), repeats included."""
+    data, offsets = column_bytes(pc.utf8_lower(texts))
+    held = ~_BLANK[data]
+    begins = held.copy()
+    begins[1:] &= ~held[:-1]
+    begins[offsets[:-1][offsets[:-1] < len(data)]] = True
+    begins &= held
+    at = np.flatnonzero(begins)
+    first = np.searchsorted(at, offsets)
+    place = np.concatenate([[0], np.cumsum(held)])
+    words = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(place[np.append(at, len(data))]), pa.py_buffer(data[held])).dictionary_encode()
+    known = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words.dictionary.to_pylist()), np.uint64, len(words.dictionary))
+    h = known[words.indices.to_numpy()]
+    out = []
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        n = b - a
+        size = min(n, SHINGLE)
+        s = np.zeros(max(n - SHINGLE + 1, min(n, 1)), np.uint64)
+        for k in range(size):
+            s = _mixed(s + h[a + k : a + k + len(s)])
+        out.append(s)
+    return out
 
 
 def prefix(found: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The shingles, least common first, of which a similar text shares one."""
+    """Of distinct shingles, least common first, those of which a similar text has one."""
     n = len(found)
     if not n:
         return found
@@ -62,85 +89,124 @@ def prefix(found: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndar
     if len(common):
         i = np.minimum(np.searchsorted(common, found), len(common) - 1)
         times = np.where(common[i] == found, counts[i], 0)
-    return found[np.lexsort((found, times))[: n - (4 * n + 4) // 5 + 1]]
+    size, rare = n - (4 * n + 4) // 5 + 1, int((times == 0).sum())
+    # of shingles that aren't common, a similar text has this part at least
+    part = (0.8 * n - (n - rare)) / max(rare, 1)
+    if size <= rare and part > 0.2:
+        size = min(size, int(np.ceil(np.log(MISS) / np.log(1 - part))))
+    return found[np.lexsort((found, times))[:size]]
 
 
-def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles of three or more texts of the sample, sorted, and of how many."""
-    some = docs.where(F.length("text") <= SAMPLE_CHARS).orderBy(F.xxhash64("doc_id", "text")).select("text").limit(SAMPLE)
-    texts = {text_class(w): shingles(w) for w in (_words(r["text"]) for r in some.toLocalIterator())}
-    found, n = np.unique(np.concatenate([np.zeros(0, np.int64), *texts.values()]), return_counts=True)
-    return found[n >= 3], n[n >= 3]
+def text_class() -> Column:
+    """The same number for texts with the same words."""
+    words = F.btrim(F.regexp_replace(F.lower(F.coalesce(F.col("text"), F.lit(""))), "[ \t\n\x0b\f\r]+", " "))
+    return F.xxhash64(words)
 
 
-def with_class(docs: DataFrame, name: str = "__class") -> DataFrame:
+def with_class(docs: DataFrame, name: str) -> DataFrame:
     """The columns of docs and the class of each row's text."""
-    n = len(docs.columns)
-    src = docs.withColumn("__text", F.coalesce(F.col("text"), F.lit("")))
+    return docs.withColumn(name, text_class())
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(text_class().alias("class"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+
+
+def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of three or more texts of the sample, sorted, and of how many."""
+    some = docs.where(F.length("text") <= SAMPLE_CHARS).select("text").orderBy(F.xxhash64("text")).limit(SAMPLE)
+    texts = _texts(some).dropDuplicates(["class"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in by_bytes(whole, n, SLICE):
-                new = pa.array([text_class(_words(t.as_py())) for t in b.column(n)], pa.int64())
-                yield pa.RecordBatch.from_arrays([*b.columns[:n], new], [*b.schema.names[:n], name])
+            for b in by_bytes(whole, 1):
+                for s in shingles(b.column(1)):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.unique(s.view(np.int64)))], ["tok"])
 
-    return src.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
+    found = texts.mapInArrow(run, "tok long").groupBy("tok").agg(F.count(F.lit(1)).alias("k")).where("k >= 3").toArrow()
+    tok, k = found.column("tok").to_numpy(), found.column("k").to_numpy()
+    order = np.argsort(tok)
+    return tok[order], k[order]
 
 
-def _sets(docs: DataFrame, common: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
-    """class, n (distinct shingles) and toks (all of them, or the prefix) of every row."""
-    src = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("__text"))
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, np.int64), *parts])))
+
+
+def _sets(texts: DataFrame) -> DataFrame:
+    """class, n and toks (the distinct shingles) of every row of class and text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in by_bytes(whole, 1):
+                toks = [np.unique(s.view(np.int64)) for s in shingles(b.column(1))]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t) for t in toks], pa.int32()), _lists(toks)], ["class", "n", "toks"])
+
+    return texts.mapInArrow(run, "class long, n int, toks array<long>")
+
+
+def _heads(texts: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """class, n, toks (the prefix) and fp (the fingerprint) of every row of class and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in by_bytes(whole, 0, SLICE):
-                classes, n, toks = [], [], []
-                for text in b.column(0):
-                    words = _words(text.as_py())
-                    found = shingles(words)
-                    classes.append(text_class(words))
-                    n.append(len(found))
-                    toks.append(found if common is None else prefix(found, *common))
-                yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(n, pa.int32()), pa.array(toks, pa.list_(pa.int64()))], ["class", "n", "toks"])
+            for b in by_bytes(whole, 1):
+                every = shingles(b.column(1))
+                sets = [np.unique(s.view(np.int64)) for s in every]
+                fp = np.array([simhash.majority(s) for s in every], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t) for t in sets], pa.int32()), _lists([prefix(t, *common) for t in sets]), pa.array(fp)], ["class", "n", "toks", "fp"])
+
+    return texts.mapInArrow(run, "class long, n int, toks array<long>, fp long")
 
-    return src.mapInArrow(run, "class long, n int, toks array<long>")
+
+def _pair(x: str, y: str) -> list[Column]:
+    return [F.least(x, y).alias("src"), F.greatest(x, y).alias("dst")]
 
 
 def _possible(x: str, y: str) -> Column:
     """Whether two entries of a shingle that is the first the prefixes share leave room for the similarity."""
-    return F.expr(f"9 * least({x}.n - {x}.at, {y}.n - {y}.at) >= 4 * ({x}.n + {y}.n)")
+    return F.expr(f"9 * least({x}n - {x}at, {y}n - {y}at) >= 4 * ({x}n + {y}n)")
 
 
 def _similar(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Pairs (src, dst) of classes whose shingle sets, taken whole, are similar."""
-    wanted = cut(pairs.select(F.explode(F.array("src", "dst")).alias("__class")).distinct())
+    wanted = cut(pairs.select(F.explode(F.array("src", "dst")).alias("class")).distinct())
     if wanted.count() <= BROADCAST:
         wanted = F.broadcast(wanted)
-    texts = with_class(docs.select("text")).join(wanted, "__class", "left_semi").dropDuplicates(["__class"])
-    sets = cut(_sets(texts))
+    sets = cut(_sets(_texts(docs).join(wanted, "class", "left_semi").dropDuplicates(["class"])))
     x, y = (sets.select(F.col("class").alias(c), F.col("n").alias(f"n_{c}"), F.col("toks").alias(f"t_{c}")) for c in ("src", "dst"))
     shared = F.size(F.array_intersect("t_src", "t_dst"))
     return pairs.join(x, "src").join(y, "dst").where(9 * shared >= 4 * (F.col("n_src") + F.col("n_dst"))).select("src", "dst")
 
 
+def _by_fingerprint(heads: DataFrame) -> DataFrame:
+    """Pairs of classes: the first of every fingerprint with the others of it, and with that of each linked one."""
+    firsts = heads.groupBy("fp").agg(F.min("class").alias("least"))
+    same = heads.join(firsts, "fp").where("class <> least").select(*_pair("class", "least"))
+    found = simhash.links(firsts.select("fp"), joined=True).distinct()
+    a, b = firsts.toDF("src", "a"), firsts.toDF("dst", "b")
+    return same.unionByName(found.join(a, "src").join(b, "dst").select(*_pair("a", "b")))
+
+
 def links(docs: DataFrame) -> DataFrame:
     """(src, dst) pairs of similar classes that span the components of all such pairs."""
-    sets = cut(_sets(docs, common_shingles(docs)).dropDuplicates(["class"]))
-    index = sets.select("class", "n", F.posexplode("toks").alias("at", "tok"))
+    heads = cut(_heads(_texts(docs), _common(docs)).dropDuplicates(["class"]))
+    index = heads.select("class", "n", F.posexplode("toks").alias("at", "tok"))
     met = index.groupBy("tok").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("tok")
     entries = cut(index.join(met, "tok"))
-    shared = cut(entries.join(entries.groupBy("tok").agg(F.min(F.struct("at", "class", "n")).alias("lead")), "tok"))
-    first = shared.where("class <> lead.class and 9 * least(n - at, lead.n - lead.at) >= 4 * (n + lead.n)")
-    pair = [F.least("class", "lead.class").alias("src"), F.greatest("class", "lead.class").alias("dst")]
-    found = cut(_similar(docs, cut(first.select(*pair).distinct())))
+    lead = entries.groupBy("tok").agg(F.min(F.struct("class", "n", "at")).alias("lead"))
+    shared = cut(entries.join(lead, "tok").select("tok", "class", "n", "at", F.col("lead.class").alias("lead_class"), F.col("lead.n").alias("lead_n"), F.col("lead.at").alias("lead_at")))
+    first = shared.where(F.col("class") != F.col("lead_class")).where(_possible("", "lead_")).select(*_pair("class", "lead_class"))
+    found = cut(_similar(docs, cut(first.unionByName(_by_fingerprint(heads.select("class", "fp"))).distinct())))
     comp = connected_components(found)
     mine, its = comp.toDF("class", "c"), comp.toDF("lead_class", "lead_c")
-    known = shared.withColumn("lead_class", F.col("lead.class")).join(mine, "class", "left").join(its, "lead_class", "left")
+    known = shared.join(mine, "class", "left").join(its, "lead_class", "left")
     known = known.select("tok", "class", "n", "at", F.coalesce("c", "class").alias("c"), F.coalesce("lead_c", "lead_class").alias("lead_c"))
     # of two components that meet, one at least is not the leading entry's
-    apart = known.where("c <> lead_c").alias("x").join(known.alias("y"), "tok").where(F.expr("x.c <> y.c") & _possible("x", "y"))
-    rest = apart.select(F.least("x.class", "y.class").alias("src"), F.greatest("x.class", "y.class").alias("dst")).distinct()
-    return found.unionByName(_similar(docs, cut(rest)))
+    apart = known.where("c <> lead_c").alias("x").join(known.alias("y"), "tok").where(F.expr("x.c <> y.c")).where(_possible("x.", "y."))
+    rest = cut(apart.select(*_pair("x.class", "y.class")).distinct())
+    return found if rest.isEmpty() else found.unionByName(_similar(docs, rest))
 
 
 def components(docs: DataFrame) -> DataFrame:

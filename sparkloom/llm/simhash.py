@@ -45,7 +45,11 @@ def fingerprint(text: str | None, shingle: int = 3, chunk: int = 1 << 14) -> int
         shingles = [b" ".join(words)]
     else:
         shingles = list(map(b" ".join, zip(*[words[i:] for i in range(shingle)], strict=False)))
-    h = np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in shingles), np.uint64, len(shingles))
+    return majority(np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in shingles), np.uint64, len(shingles)), chunk)
+
+
+def majority(h: np.ndarray, chunk: int = 1 << 14) -> int:
+    """The 64 bits of which each is 1 if set in over half of the hashes; 0 without hashes."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(h), chunk):
         ones += np.unpackbits(h[i : i + chunk].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
@@ -69,8 +73,9 @@ def _positional(fp: np.ndarray) -> np.ndarray:
     return fp.astype(np.int64).view(np.uint64).astype(">u8").view(np.uint8).reshape(-1, 8)
 
 
-def forest(fp: np.ndarray, bits: int) -> list[tuple[int, int]]:
-    """Edges (i, j) that connect exactly what links of at most `bits` differing bits connect.
+def forest(fp: np.ndarray, bits: int, joined: bool = False) -> list[tuple[int, int]]:
+    """Edges (i, j) that connect exactly what links of at most `bits` differing bits connect; joined: links themselves,
+    else from the first of each component.
 
     Searches breadth first: whatever is reached leaves the set of those still compared, so a dense group costs little
     more than its size.
@@ -87,13 +92,14 @@ def forest(fp: np.ndarray, bits: int) -> list[tuple[int, int]]:
             near[near] = np.bitwise_count(ones[left[near]] ^ ones[i]) <= bits
             hit = left[near]
             queue += hit.tolist()
-            edges += [(root, int(j)) for j in hit]
+            edges += [(i if joined else root, int(j)) for j in hit]
             left = left[~near]
     return edges
 
 
-def links(fps: DataFrame, bits: int = 3) -> DataFrame:
-    """(src, dst) edges among distinct fingerprints (column fp) that span the components of all links."""
+def links(fps: DataFrame, bits: int = 3, joined: bool = False) -> DataFrame:
+    """(src, dst) edges among distinct fingerprints (column fp) that span the components of all links; joined: every
+    edge is a link."""
     if not 0 <= bits <= 3:
         raise ValueError("the index guarantees links of at most 3 bits")
     keys = [F.concat(F.lit(bytes([k])), *[F.substring(F.unhex(F.lpad(F.hex("fp"), 16, "0")), p + 1, 1) for p in t]) for k, t in enumerate(TRIPLES)]
@@ -107,7 +113,7 @@ def links(fps: DataFrame, bits: int = 3) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         fp = np.sort(pdf["fp"].to_numpy())
-        e = np.array(forest(fp, bits), np.int64).reshape(-1, 2)
+        e = np.array(forest(fp, bits, joined), np.int64).reshape(-1, 2)
         return pd.DataFrame({"src": fp[e[:, 0]], "dst": fp[e[:, 1]]})
 
     # many keys a task: one Arrow group each would cost more than the comparison, so pairs of equal keys go native

@@ -1,18 +1,21 @@
 """Toxicity by a classifier chain.
 
-The categories are predicted one after the other by linear models over words and
-word beginnings; each later model also gets the earlier
-categories' probabilities. In training these are out-of-fold predictions, so that a later model meets probabilities of
-the same quality as in use.
+The categories are predicted one after the other by linear models over words and word beginnings; each later model also
+gets the earlier categories' probabilities. In training these are out-of-fold predictions, so that a later model meets
+probabilities of the same quality as in use.
 
-Fitting uses at most `max_rows` labelled rows, chosen by a hash of the id (a documented bound; the driver holds the
-words of no more than these). The vocabulary is what separates some category from the rest of the sample: a word enters
-if its document frequencies differ by more than `z` standard errors. Scoring reads the whole text of every document.
+Fitting uses at most `max_rows` labelled rows of together at most `max_chars` characters, chosen by a hash of the id
+(documented bounds; the driver holds no more than these); a text that doesn't fit into what is left is passed over, and
+if none does, the shortest is taken. The vocabulary is what separates some category from the rest of the sample: features
+are ranked by how many standard deviations their number of documents of the category lies off the expected one, and enter
+as long as so much isn't to be expected of the best of so many by chance; the first LEAST of them enter in any case.
+Scoring reads the whole text of every document.
 
 Cases: null or empty text has no words and gets the models' base rates; a document without label is scored like any
-other; duplicate label rows of a document count as given, null labels are left out; if there are no labels, or all of
-a kind, every document gets the observed rate (0 without labels) and no words; equal rows are scored each on its own;
-extra columns are not read.
+other; duplicate label rows of a document count as given, null labels and labels without an id are left out; if there
+are no labels, or all of a kind, every document gets the observed rate (0 without labels) and no words; equal rows are
+scored each on its own, and rows with a null id too; extra columns are not read, those kept pass through whatever their
+names.
 """
 
 from __future__ import annotations
@@ -28,12 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import with_text
+from .langid import within
 from .pieces import by_bytes
 
 WORD = regex.compile(r"[\p{L}\p{N}]+")
-#: Most labelled rows, and characters of them, that the fit takes.
+#: Most labelled rows, and characters of them, that a fit takes.
 MAX_ROWS, MAX_CHARS = 4000, 20_000_000
-
+#: Features that enter in any case, and at most.
+LEAST, MOST = 32, 400
 
 #: Beside each word, its beginnings of these lengths are features (marked by an asterisk): inflected forms share them.
 STEMS = (4, 5, 6)
@@ -79,25 +85,35 @@ def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 25) ->
     return w
 
 
-def fit_chain(texts: list[str | None], labels: dict[str, list[int]], folds: int = 5, z: float = 6.0, most: int = 400) -> Chain:
+def separating(found: list[set[str]], marks: dict[str, np.ndarray], most: int = MOST) -> list[str]:
+    """The features of the vocabulary, best first.
+
+    Of N documents, n1 of the category, k with a feature: k * n1 / N of these are expected, with the deviation of the
+    hypergeometric distribution; half a document is taken off the difference. Of V features the best reaches about
+    sqrt(2 ln V) deviations by chance.
+    """
+    total = Counter(w for f in found for w in f)
+    n, best = len(found), dict.fromkeys(total, 0.0)
+    for y in marks.values():
+        n1 = y.sum()
+        if not 0 < n1 < n:
+            continue
+        with_c = Counter(w for f, v in zip(found, y, strict=True) if v for w in f)
+        for w, k in total.items():
+            spread = (k * n1 / n * (n - n1) / n * (n - k) / max(n - 1, 1)) ** 0.5
+            if spread:
+                best[w] = max(best[w], (abs(with_c[w] - k * n1 / n) - 0.5) / spread)
+    chance = (2 * np.log(max(len(total), 1))) ** 0.5
+    ranked = sorted((w for w in best if best[w] > 0), key=lambda w: (-best[w], w))
+    return [w for i, w in enumerate(ranked[:most]) if i < LEAST or best[w] > chance]
+
+
+def fit_chain(texts: list[str | None], labels: dict[str, list[int]], folds: int = 5, most: int = MOST) -> Chain:
     """labels: for each category, in the chain's order, 0 or 1 of every text."""
     found = [words(t) for t in texts]
-    names, total = list(labels), Counter(w for f in found for w in f)
+    names = list(labels)
     y = {c: np.asarray(labels[c], float) for c in names}
-    best: dict[str, float] = {}
-    for c in names:
-        n1 = y[c].sum()
-        if not 0 < n1 < len(found):
-            continue
-        with_c = Counter(w for f, v in zip(found, y[c], strict=True) if v for w in f)
-        for w, k in total.items():
-            if k >= 8:
-                share = k / len(found)
-                err = (share * (1 - share) * (1 / n1 + 1 / (len(found) - n1))) ** 0.5
-                d = abs(with_c[w] / n1 - (k - with_c[w]) / (len(found) - n1)) / max(err, 1e-9)
-                if d > z:
-                    best[w] = max(best.get(w, 0), d)
-    chosen = sorted(best, key=lambda w: (-best[w], w))[:most]
+    chosen = separating(found, y, most)
     vocabulary = {w: i for i, w in enumerate(chosen)}
     x = np.zeros((len(found), len(chosen)))
     for i, f in enumerate(found):
@@ -121,28 +137,30 @@ def fit_chain(texts: list[str | None], labels: dict[str, list[int]], folds: int
     return Chain(names, vocabulary, weights)
 
 
-def fit(documents: DataFrame, labels: DataFrame, categories: dict[str, str], max_rows: int = MAX_ROWS) -> Chain:
+def fit(documents: DataFrame, labels: DataFrame, categories: dict[str, str], max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> Chain:
     """categories: name and SQL condition over the label columns, in the chain's order."""
-    marks = labels.select(F.col("doc_id"), *[F.expr(e).cast("int").alias(f"__{c}") for c, e in categories.items()]).na.drop()
+    names = [f"c{k}" for k in range(len(categories))]
+    marks = labels.select("doc_id", *[F.expr(e).cast("int").alias(n) for n, e in zip(names, categories.values(), strict=True)]).na.drop()
     texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    # the sample first, by id alone; then only its texts are read
-    ids = marks.join(texts.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    rows = texts.join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", F.length("text")).limit(max_rows).toLocalIterator()
-    got, chars = [], 0
-    for r in rows:
-        if got and chars + len(r["text"]) > MAX_CHARS:
-            break
-        got.append(r)
-        chars += len(r["text"])
-    return fit_chain([r["text"] for r in got], {c: [r[f"__{c}"] for r in got] for c in categories})
+    # the sample first, by id alone; then sizes; then only the texts that fit are read
+    ids = marks.join(texts.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id", *names).limit(max_rows)
+    digest = F.xxhash64("text").alias("digest")
+    order = [F.xxhash64("doc_id"), "doc_id", "digest", *names]
+    sized = texts.select("doc_id", F.length("text").alias("size"), digest).join(F.broadcast(ids), "doc_id").orderBy(*order).limit(max_rows).collect()
+    picked = [sized[i] for i in within([("", r["size"]) for r in sized], max_chars)]
+    if not picked:
+        return fit_chain([], {c: [] for c in categories})
+    wanted = documents.sparkSession.createDataFrame(sorted({(r["doc_id"], r["digest"]) for r in picked}), T.StructType([marks.schema["doc_id"], T.StructField("digest", T.LongType())]))
+    rows = texts.withColumn("digest", digest).join(F.broadcast(wanted), ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"])
+    text = {(r["doc_id"], r["digest"]): r["text"] for r in rows.toLocalIterator()}
+    return fit_chain([text[r["doc_id"], r["digest"]] for r in picked], {c: [r[n] for r in picked] for c, n in zip(categories, names, strict=True)})
 
 
 def score(documents: DataFrame, chain: Chain, threshold: float = 0.25, keep: list[str] | None = None, prefix: str = "") -> DataFrame:
     """The columns to keep (doc_id unless named) with p_<category>... and toxic (the last category's probability reaches
     the threshold), their names after prefix; nothing is shuffled."""
-    kept = [F.col("doc_id").cast("long").alias("doc_id")] if keep is None else [F.col(f"`{c}`") for c in keep]
-    src = documents.select(*kept, F.coalesce(F.col("text"), F.lit("")).alias("__text"))
-    names, n = [f"{prefix}p_{c}" for c in chain.categories], len(kept)
+    src, fields = with_text(documents, keep)
+    names, n = [f"{prefix}p_{c}" for c in chain.categories], len(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = chain.vocabulary
@@ -150,9 +168,9 @@ def score(documents: DataFrame, chain: Chain, threshold: float = 0.25, keep: lis
         for whole in batches:
             for b in by_bytes(whole, n):
                 p = chain.score([[vocabulary[w] for w in known & words(t)] for t in b.column(n).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*b.columns[:n], *[pa.array(p[:, k]) for k in range(p.shape[1])]], [*b.schema.names[:n], *names])
+                yield pa.RecordBatch.from_arrays([*b.columns[:n], *[pa.array(p[:, k]) for k in range(p.shape[1])]], [*[f.name for f in fields], *names])
 
-    out = src.mapInArrow(run, T.StructType([*src.schema.fields[:n], *[T.StructField(x, T.DoubleType()) for x in names]]))
+    out = src.mapInArrow(run, T.StructType([*fields, *[T.StructField(x, T.DoubleType()) for x in names]]))
     return out.withColumn(f"{prefix}toxic", F.col(names[-1]) >= threshold)
 
 

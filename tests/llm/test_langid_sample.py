@@ -5,12 +5,11 @@ from sparkloom.llm import langid
 WORDS = {"de": "das haus und der baum ", "en": "the house and the tree ", "ru": "дом и дерево стоят "}
 
 
-def test_long_texts_do_not_end_the_sample(spark, monkeypatch):
-    monkeypatch.setattr(langid, "MAX_CHARS", 6000)
+def test_long_texts_do_not_end_the_sample(spark):
     short = [(i, WORDS[lang], lang) for i, lang in enumerate(["de", "en", "ru"] * 30)]
     long = [(1000 + i, WORDS["en"] * 1000, "en") for i in range(100)]
     for rows in (short + long, short + long + [(5000 + i, WORDS["de"] * 100, "de") for i in range(100)]):
-        m = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+        m = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_chars=6000)
         assert m.languages == ["de", "en", "ru"]
         assert [x for x, _ in m.predict([*WORDS.values()])] == ["de", "en", "ru"]
 
