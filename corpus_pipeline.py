@@ -11,38 +11,44 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkloom.llm import langid, near, packing, toxicity
-from sparkloom.llm.common import cut, ensure_checkpoint_dir, tokenizer_path
+from sparkloom.llm.common import cut, ensure_checkpoint_dir, tokenizer_path, unused
 
 #: Documents whose language holds a smaller share of their letters are rejected.
-LEAST_SHARE = 0.3
+LEAST_SHARE = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without letters and those of no main language."""
-    own = docs.columns
-    out = langid.predict(docs, langid.fit(docs), own, ("__lang_pred", "__share"))
-    return out.where((F.col("__lang_pred") != "und") & (F.col("__share") >= LEAST_SHARE)).select(own)
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    lang, share = unused("lang", docs.columns), unused("share", docs.columns)
+    out = langid.predict(docs, langid.fit(docs), docs.columns, (lang, share))
+    return out.where((F.col(lang) != "und") & (F.col(share) >= LEAST_SHARE)).select(own)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects toxic documents."""
-    labels, own = spark.read.parquet(f"{sf_dir}/labels.parquet"), docs.columns
+    labels, own = spark.read.parquet(f"{sf_dir}/labels.parquet"), [F.col(f"`{c}`") for c in docs.columns]
     chain = toxicity.fit(docs, labels, toxicity.CATEGORIES)
-    return toxicity.score(docs, chain, keep=own, prefix="__").where("not __toxic").select(own)
+    prefix = "__"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = f"_{prefix}"
+    return toxicity.score(docs, chain, keep=docs.columns, prefix=prefix).where(f"not {prefix}toxic").select(own)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row, the one with the smallest id, of each group of near copies: texts linked by sharing at least 80 %
     of their distinct 5-word shingles. Only texts decide: a row with a null id stays unless a row with an id is its near
     copy, and unlike texts with one id all stay."""
-    found = cut(near.components(docs).withColumnRenamed("class", "__class"))
-    rows = near.with_class(docs)
+    mark, turn = unused("class", docs.columns), unused("turn", docs.columns)
+    found = cut(near.components(docs))
     # of each component the class with the smallest id stays, and of each class one row; texts are shuffled once
-    ids = near.with_class(docs.select("doc_id", "text")).groupBy("__class").agg(F.min("doc_id").alias("id")).join(found, "__class")
-    first = ids.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "__class")).alias("first"))
-    gone = cut(ids.join(first, "component").where("__class <> first.__class").select("__class"))
-    copies = Window.partitionBy("__class").orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), "text")
-    return rows.withColumn("__k", F.row_number().over(copies)).where("__k = 1").join(gone, "__class", "left_anti").select(docs.columns)
+    ids = docs.select(near.text_class().alias("class"), "doc_id").groupBy("class").agg(F.min("doc_id").alias("id")).join(found, "class")
+    ids = cut(ids)
+    first = ids.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "class")).alias("first"))
+    gone = ids.join(first, "component").where("class <> first.class").select(F.col("class").alias(mark))
+    copies = Window.partitionBy(mark).orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), "text")
+    rows = near.with_class(docs, mark).join(cut(gone), mark, "left_anti").withColumn(turn, F.row_number().over(copies))
+    return rows.where(F.col(turn) == 1).select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +56,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.packed(docs, tokenizer_path("word_bpe_49k.json"), end_id=1, length=2048)
 
 
-STAGES = [("language ID", language), ("toxicity", toxic), ("near-dedup", near_copies), ("packing", pack)]
+STAGES = [("language ID", language), ("toxicity", toxic), ("SimHash near-dedup", near_copies), ("packing", pack)]
 #: SQL can't say language ID, toxicity, near copies or the tokenizer; tests hold the stages against brute force.
 ORACLE_SQL = None
 
