@@ -6,23 +6,28 @@ import math
 import re
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalar import canonical_url, in_domains, license_allowed, relevance, url_host
+from ..plans.session import cut
 from .ordering import with_position
 
 #: The checks in their order; the first that fails gives the reason.
-REASONS = ("license_not_allowed", "domain_not_allowed", "declared_size", "byte_budget", "decode_failed", "mime_not_allowed", "too_small", "exact_duplicate", "low_quality", "near_duplicate", "not_relevant", "storage_budget")
+REASONS = ("license_not_allowed", "domain_not_allowed", "declared_size", "byte_budget", "decode_failed", "mime_not_allowed", "too_small", "exact_duplicate", "low_quality", "near_duplicate", "storage_budget", "not_relevant")
+#: Rows that are gone through one after another in one task where a budget runs out.
+BLOCK = 50_000
 
 
 @dataclass(frozen=True)
 class Spec:
-    """What an acquisition asks for."""
+    """What an acquisition asks for. mimes: those allowed; None: every image type."""
 
     licenses: list[str] = field(default_factory=list)
     domains: list[str] = field(default_factory=list)
-    mimes: list[str] = field(default_factory=lambda: ["image/jpeg", "image/png", "image/webp"])
+    mimes: list[str] | None = None
     min_width: int = 0
     min_height: int = 0
     min_quality: float = 15.0
@@ -107,38 +112,104 @@ def running_total(df: DataFrame, column: str, order: list[str], name: str) -> Da
     return d.withColumn("__own", own).join(F.broadcast(before), "__b").withColumn(name, F.col("__own") + F.col("__from")).drop("__own", "__from", "__b", "__pos")
 
 
+def _went_in(sizes: list[int], left: int) -> tuple[list[int], int]:
+    """What is left before each of the sizes if each that fits is taken, and what is left in the end."""
+    before = []
+    for n in sizes:
+        before.append(left)
+        if n <= left:
+            left -= n
+    return before, left
+
+
+def fill_budget(df: DataFrame, column: str, budget: int, order: list[str], name: str) -> DataFrame:
+    """Adds what is left of a budget before each row, if rows take their size from it in order and one that doesn't fit
+    takes nothing.
+
+    What fits depends on all rows before, so the table is cut into blocks of BLOCK rows in order. Of each block the
+    driver gets sum and least size: most blocks fit as a whole or not at all, and only where neither is so is a block
+    gone through to learn what it leaves. With that, all blocks are gone through at once.
+    """
+    d = with_position(df.withColumn("__size", F.coalesce(F.col(column).cast("long"), F.lit(0))), order, "__pos")
+    d = cut(d.withColumn("__block", F.floor(F.col("__pos") / BLOCK)))
+    left, carry = budget, []
+    for b in d.groupBy("__block").agg(F.sum("__size").alias("total"), F.min("__size").alias("least")).orderBy("__block").toLocalIterator():
+        carry.append((b["__block"], left))
+        if b["total"] <= left:
+            left -= b["total"]
+        elif b["least"] <= left:
+            sizes = [r[0] for r in d.where(F.col("__block") == b["__block"]).orderBy("__pos").select("__size").toLocalIterator()]
+            left = _went_in(sizes, left)[1]
+    kinds = T.StructType([T.StructField("__pos", T.LongType()), T.StructField(name, T.LongType())])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("__pos")
+        return pd.DataFrame({"__pos": pdf["__pos"], name: _went_in(pdf["__size"].tolist(), int(pdf["__from"].iloc[0]))[0]})
+
+    starts = df.sparkSession.createDataFrame(carry, "__block long, __from long")
+    found = d.select("__pos", "__size", "__block").join(F.broadcast(starts), "__block").groupBy("__block").applyInPandas(run, kinds)
+    return d.join(found, "__pos").drop("__pos", "__block", "__size")
+
+
 def cascade(candidates: DataFrame, spec: Spec, known_digests: DataFrame | None = None, near: DataFrame | None = None, order: list[str] = ("candidate_id",)) -> DataFrame:
-    """Adds state (accepted, review, rejected) and reason: the first failing check in order wins.
+    """Adds state (accepted, review, rejected, failed) and reason: the first failing check in order wins.
+
+    candidates: candidate_id, url, license, declared_width, declared_height, bytes, decoded, mime, width, height, sha256,
+    quality, phash, text. known_digests: of assets stored before; near: the phashes that are near an active one.
 
-    candidates: candidate_id, url, license, declared_bytes, bytes, decoded, mime, width, height, sha256, quality, phash,
-    text. near: the phashes that are near an active one. Budgets run in the order of candidates.
+    Candidates are taken in the order given, which must tell all of them apart. Only those that pass licence, domain and
+    declared size are downloaded and take from the byte budget; one larger than what is left fails (no reason; it may be
+    tried again), one after its end is rejected. A candidate is an exact duplicate of a known asset or of an earlier
+    candidate that was stored, not of one that was itself rejected. What is stored takes from the storage budget, and is
+    then judged by relevance. Cheap checks of a row come first: nothing that fails one is sorted or shuffled for a budget.
     """
-    d = candidates
-    if spec.byte_budget is not None:
-        d = running_total(d.withColumn("__d", F.coalesce("declared_bytes", F.lit(0))), "__d", list(order), "__declared").drop("__d")
-    else:
-        d = d.withColumn("__declared", F.lit(0))
-    first = F.row_number().over(Window.partitionBy("sha256").orderBy(*order)) > 1
-    d = d.withColumn("__again", F.col("sha256").isNotNull() & first)
-    d = d.join(known_digests.select("sha256", F.lit(True).alias("__known")).distinct(), "sha256", "left") if known_digests is not None else d.withColumn("__known", F.lit(False))
-    d = d.join(near.select("phash", F.lit(True).alias("__near")).distinct(), "phash", "left") if near is not None else d.withColumn("__near", F.lit(False))
+    order, names = list(order), candidates.columns
     r = relevance(F.col("text"), F.array(*map(F.lit, spec.keywords))) if spec.keywords else F.lit(1.0)
-    small = lambda w, h: (F.coalesce(F.col(w), F.lit(1 << 30)) < spec.min_width) | (F.coalesce(F.col(h), F.lit(1 << 30)) < spec.min_height)
-    checks = {
-        "license_not_allowed": ~license_allowed(F.col("license"), spec.licenses) if spec.licenses else F.lit(False), "domain_not_allowed": ~in_domains(url_host(F.col("url")), spec.domains),
-        "declared_size": small("declared_width", "declared_height"), "byte_budget": F.col("__declared") > spec.byte_budget if spec.byte_budget is not None else F.lit(False),
-        "decode_failed": ~F.coalesce("decoded", F.lit(False)), "mime_not_allowed": ~F.col("mime").isin(spec.mimes), "too_small": small("width", "height"),
-        "exact_duplicate": F.col("__again") | F.coalesce("__known", F.lit(False)), "low_quality": F.col("quality") < spec.min_quality, "near_duplicate": F.coalesce("__near", F.lit(False)), "not_relevant": r < spec.review_relevance,
+    less = lambda c, n: F.coalesce(F.col(c), F.lit(0)) < n
+    declared = lambda c, n: F.coalesce(F.col(c).cast("long"), F.lit(0)).between(F.lit(1), F.lit(n - 1))
+    first = {
+        "license_not_allowed": ~license_allowed(F.col("license"), spec.licenses) if spec.licenses else F.lit(False),
+        "domain_not_allowed": ~in_domains(url_host(F.col("url")), spec.domains) if spec.domains else F.lit(False),
+        "declared_size": declared("declared_width", spec.min_width) | declared("declared_height", spec.min_height),
     }
-    reason = F.lit(None).cast("string")
-    for name in reversed(list(checks)):
-        reason = F.when(F.coalesce(checks[name], F.lit(False)), name).otherwise(reason)
-    d = d.withColumn("reason", reason).withColumn("__r", r)
+    loaded = {
+        "decode_failed": ~F.coalesce("decoded", F.lit(False)),
+        "mime_not_allowed": ~F.coalesce(F.col("mime").isin(spec.mimes) if spec.mimes is not None else F.col("mime").startswith("image/"), F.lit(False)),
+        "too_small": less("width", spec.min_width) | less("height", spec.min_height),
+    }
+
+    def failing(checks: dict[str, Column]) -> Column:
+        return F.coalesce(*[F.when(F.coalesce(c, F.lit(False)), F.lit(name)) for name, c in checks.items()])
+
+    d = candidates.withColumns({"reason": failing(first), "__failed": F.lit(False), "__r": r})
+    if spec.byte_budget is not None:
+        open_ = fill_budget(d.where("reason is null"), "bytes", spec.byte_budget, order, "__left")
+        open_ = open_.withColumn("reason", F.when(F.col("__left") <= 0, "byte_budget")).withColumn("__failed", F.col("reason").isNull() & (F.coalesce("bytes", F.lit(0)) > F.col("__left")))
+        d = open_.drop("__left").unionByName(d.where("reason is not null"))
+    d = d.withColumn("reason", F.coalesce("reason", F.when(~F.col("__failed"), failing(loaded))))
+    d = d.join(known_digests.select("sha256", F.lit(True).alias("__known")).distinct(), "sha256", "left") if known_digests is not None else d.withColumn("__known", F.lit(None).cast("boolean"))
+    d = d.join(near.select("phash", F.lit(True).alias("__near")).distinct(), "phash", "left") if near is not None else d.withColumn("__near", F.lit(None).cast("boolean"))
+    later = failing({"low_quality": less("quality", spec.min_quality), "near_duplicate": F.coalesce("__near", F.lit(False))})
+    d = d.withColumn("__open", F.col("reason").isNull() & ~F.col("__failed")).withColumn("__known", F.coalesce("__known", F.lit(False))).withColumn("__later", later)
+    key = F.struct(*[F.col(f"`{c}`") for c in order])
+    d = d.withColumn("__key", key)
+    # of each digest, the first candidate that every other check lets through is stored if the storage holds it
+    able = d.where("__open and not __known and __later is null")
+    firsts = able.where("sha256 is not null").groupBy("sha256").agg(F.min("__key").alias("__first"))
+    d = d.join(firsts, "sha256", "left")
+    stores = "__open and not __known and __later is null and (__first is null or __first = __key)"
     if spec.storage_budget is not None:
-        d = running_total(d.withColumn("__kept", F.when(F.col("reason").isNull(), F.coalesce("bytes", F.lit(0))).otherwise(0)), "__kept", list(order), "__stored")
-        d = d.withColumn("reason", F.when(F.col("reason").isNull() & (F.col("__stored") > spec.storage_budget), "storage_budget").otherwise(F.col("reason"))).drop("__kept", "__stored")
-    state = F.when(F.col("reason").isNotNull(), "rejected").when(F.col("__r") < spec.accept_relevance, "review").otherwise("accepted")
-    return d.withColumn("state", state).drop("__declared", "__again", "__known", "__near", "__r")
+        d = cut(d)
+        stored = fill_budget(d.where(stores).select("__key", "bytes", *order), "bytes", spec.storage_budget, order, "__left")
+        full = stored.where(F.coalesce("bytes", F.lit(0)) > F.col("__left")).select(F.col("__key").alias("__full"))
+        d = d.join(full, F.coalesce("__first", "__key") == F.col("__full"), "left")
+    else:
+        d = d.withColumn("__full", F.lit(None).cast(d.schema["__key"].dataType))
+    again = F.col("__known") | F.coalesce((F.col("__first") < F.col("__key")) & F.col("__full").isNull(), F.lit(False))
+    last = {"exact_duplicate": again, "low_quality": F.col("__later") == "low_quality", "near_duplicate": F.col("__later") == "near_duplicate", "storage_budget": F.col("__full").isNotNull(), "not_relevant": F.col("__r") < spec.review_relevance}
+    d = d.withColumn("reason", F.coalesce("reason", F.when(F.col("__open"), failing(last))))
+    state = F.when(F.col("__failed"), "failed").when(F.col("reason").isNotNull(), "rejected").when(F.col("__r") < spec.accept_relevance, "review").otherwise("accepted")
+    return d.withColumn("state", state).select(*[F.col(f"`{c}`") for c in names], "reason", "state")
 
 
 def counters(candidates: DataFrame) -> DataFrame:

@@ -662,18 +662,67 @@ def keyword_relevance(df):
 
 def _candidates(df: DataFrame) -> DataFrame:
     return df.selectExpr(
-        "l_orderkey * 10 + l_linenumber candidate_id", "concat('https://a', l_suppkey % 3, '.example.org/', l_orderkey) url", "if(l_returnflag = 'N', 'CC BY 4.0', if(l_returnflag = 'A', 'CC BY-SA 4.0', 'CC BY-NC 4.0')) license",
-        "1000 declared_width", "1000 declared_height", "cast(l_quantity as bigint) declared_bytes", "cast(l_quantity as bigint) bytes", "l_linenumber <> 7 decoded", "if(l_linenumber = 6, 'image/gif', 'image/png') mime", "int(l_quantity) * 20 width", "500 height",
-        "sha2(cast(l_partkey as string), 256) sha256", "l_discount * 1000 quality", "cast(null as string) phash", "'red fox' text",
-    )
+        "l_orderkey * 10 + l_linenumber candidate_id",
+        "concat('https://a', l_suppkey % 3, '.example.org/', l_orderkey) url",
+        "if(l_returnflag = 'N', 'CC BY 4.0', if(l_returnflag = 'A', 'CC BY-SA 4.0', 'CC BY-NC 4.0')) license",
+        "if(l_orderkey % 11 = 0, 100, if(l_orderkey % 13 = 0, 0, 1000)) declared_width",
+        "1000 declared_height",
+        "cast(l_quantity as bigint) bytes",
+        "l_linenumber <> 7 decoded",
+        "if(l_linenumber = 6, 'text/html', 'image/png') mime",
+        "int(l_quantity) * 20 width",
+        "500 height",
+        "sha2(cast(l_partkey as string), 256) sha256",
+        "l_discount * 1000 quality",
+        "lpad(hex(l_suppkey % 40), 16, '0') phash",
+        "if(l_orderkey % 5 = 0, 'blue sky', if(l_orderkey % 5 = 1, 'a red car', 'red fox')) text",
+    )
 
 
-@query("lineitem", """with c as (select l_orderkey * 10 + l_linenumber id, *, row_number() over (partition by l_partkey order by l_orderkey * 10 + l_linenumber) > 1 again from lineitem)
-    select id as candidate_id, case when l_returnflag not in ('N', 'A') then 'license_not_allowed' when l_suppkey % 3 = 2 then 'domain_not_allowed' when l_linenumber = 7 then 'decode_failed' when l_linenumber = 6 then 'mime_not_allowed' when l_quantity * 20 < 200 then 'too_small'
-    when again then 'exact_duplicate' when l_discount * 1000 < 15 then 'low_quality' end as reason from c""")
-def acquisition_cascade(df):
-    spec = acquisition.Spec(licenses=["CC BY", "CC BY-SA"], domains=["a0.example.org", "a1.example.org"], min_width=200, mimes=["image/png"])
-    return acquisition.cascade(_candidates(df), spec).select("candidate_id", "reason")
+@tables("""
+    with c as (
+        select l_orderkey * 10 + l_linenumber as id, l_partkey, l_partkey % 50 = 0 as known,
+            case when l_returnflag not in ('N', 'A') then 'license_not_allowed' when l_suppkey % 3 = 2 then 'domain_not_allowed'
+                when l_orderkey % 11 = 0 then 'declared_size' when l_linenumber = 7 then 'decode_failed'
+                when l_linenumber = 6 then 'mime_not_allowed' when l_quantity * 20 < 200 then 'too_small' end as early,
+            case when l_discount * 1000 < 15 then 'low_quality' when l_suppkey % 40 = 3 then 'near_duplicate' end as late,
+            case l_orderkey % 5 when 0 then 0 when 1 then 0.5 else 1 end as rel
+        from lineitem
+    ), f as (select l_partkey, min(id) as first from c where early is null and late is null and not known group by 1
+    ), d as (
+        select id, rel, coalesce(early, case when known or first < id then 'exact_duplicate' end, late, case when rel < 0.2 then 'not_relevant' end) as reason
+        from c left join f using (l_partkey)
+    )
+    select id as candidate_id, reason, case when reason is not null then 'rejected' when rel < 0.6 then 'review' else 'accepted' end as state from d
+""")
+def acquisition_cascade(spark, d):
+    spec = acquisition.Spec(licenses=["CC BY", "CC BY-SA"], domains=["a0.example.org", "a1.example.org"], min_width=200, keywords=["red", "fox"])
+    known = _t(spark, d, "part").where("p_partkey % 50 = 0").selectExpr("sha2(cast(p_partkey as string), 256) sha256")
+    near = spark.range(1).selectExpr("lpad(hex(3L), 16, '0') phash")
+    return acquisition.cascade(_candidates(_t(spark, d, "lineitem")), spec, known, near).select("candidate_id", "reason", "state")
+
+
+@query("supplier", """
+    with recursive c as (
+        select row_number() over (order by s_suppkey) as pos, s_suppkey as id, (s_suppkey * 7919) % 100 + 1 as n, s_nationkey % 5 = 0 as bad from supplier
+    ), r(pos, loads, loads_after, stores, stores_after) as (
+        select 0::bigint, 1500::bigint, 1500::bigint, 700::bigint, 700::bigint
+        union all
+        select c.pos, loads_after, loads_after - case when not bad and n <= loads_after then n else 0 end,
+            stores_after, stores_after - case when not bad and n <= loads_after and n <= stores_after then n else 0 end
+        from r join c on c.pos = r.pos + 1
+    )
+    select id as candidate_id, case when bad then 'license_not_allowed' when loads <= 0 then 'byte_budget' when n > loads then null when n > stores then 'storage_budget' end as reason,
+        case when bad or loads <= 0 then 'rejected' when n > loads then 'failed' when n > stores then 'rejected' else 'accepted' end as state
+    from c join r using (pos)
+""")
+def acquisition_budgets(df):
+    c = df.selectExpr(
+        "s_suppkey candidate_id", "'https://a.org/' url", "if(s_nationkey % 5 = 0, 'none', 'CC BY 4.0') license", "0 declared_width", "0 declared_height", "(s_suppkey * 7919) % 100 + 1 bytes",
+        "true decoded", "'image/png' mime", "10 width", "10 height", "cast(null as string) sha256", "90.0D quality", "cast(null as string) phash", "'' text",
+    )
+    spec = acquisition.Spec(licenses=["CC BY"], byte_budget=1500, storage_budget=700)
+    return acquisition.cascade(c, spec).select("candidate_id", "reason", "state")
 
 
 @query("events", "select event_id as candidate_id, sum(event_id % 97) over (order by event_id)::bigint as used from events")

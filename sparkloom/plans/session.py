@@ -19,11 +19,14 @@ def build_session(name: str = "sparkloom", master: str | None = None, **conf: st
 def cut(df):
     """Materialise df in the shared checkpoint folder: later uses read the same rows, whatever executors are lost.
 
-    The folder is the one that the cluster names in spark.checkpoint.dir; where it is unset, as in tests, a local one.
+    The folder is the one that the cluster names in spark.checkpoint.dir; where it is unset, as in tests, a local one if the master is local.
     """
     import tempfile
 
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sparkloom-checkpoint-"))
+        named = sc.getConf().get("spark.checkpoint.dir", None)
+        if not named and sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="sparkloom-checkpoint-"))
     return df.checkpoint(eager=True)

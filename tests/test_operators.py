@@ -148,6 +148,62 @@ def test_cascade(spark):
     assert acquisition.estimates(75, 1000) == (100, 167) and acquisition.trial(100, 10) == (10, 30)
 
 
+def slow_cascade(rows, spec, known, near):
+    """The checks, one candidate after another, with what was downloaded and stored so far."""
+    loaded = stored = 0
+    held, out = set(known), {}
+    for r in sorted(rows, key=lambda r: r["candidate_id"]):
+        i, size = r["candidate_id"], r["bytes"]
+        if r["license"] != "CC BY 4.0":
+            out[i] = "rejected", "license_not_allowed"
+        elif r["url"].split("/")[2] != "a.org":
+            out[i] = "rejected", "domain_not_allowed"
+        elif 0 < (r["declared_width"] or 0) < spec.min_width:
+            out[i] = "rejected", "declared_size"
+        elif loaded >= spec.byte_budget:
+            out[i] = "rejected", "byte_budget"
+        elif size > spec.byte_budget - loaded:
+            out[i] = "failed", None
+        else:
+            loaded += size
+            late = {
+                "decode_failed": not r["decoded"], "mime_not_allowed": not (r["mime"] or "").startswith("image/"), "too_small": (r["width"] or 0) < spec.min_width,
+                "exact_duplicate": r["sha256"] in held, "low_quality": (r["quality"] or 0) < spec.min_quality, "near_duplicate": r["phash"] in near, "storage_budget": stored + size > spec.storage_budget,
+            }
+            reason = next((k for k, bad in late.items() if bad), None)
+            if reason is None:
+                stored += size
+                held |= {r["sha256"]} - {None}
+                if "red" not in r["text"]:
+                    reason = "not_relevant"
+            out[i] = "rejected" if reason else "accepted", reason
+    return out
+
+
+def test_cascade_like_one_candidate_after_another(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(acquisition, "BLOCK", 40)
+    rnd = random.Random(7)
+    kind = "candidate_id long, url string, license string, declared_width int, declared_height int, bytes long, decoded boolean, mime string, width int, height int, sha256 string, quality double, phash string, text string"
+    pick = lambda *xs: rnd.choice(xs)
+    content = {}
+    rows = []
+    for i in range(900):
+        sha = pick(None, *[f"s{k}" for k in range(150)])
+        body = content.setdefault(sha or i, (pick(*range(1, 60), 400), rnd.random() > 0.1, pick("image/png", "image/gif", "text/html", None) if rnd.random() < 0.3 else "image/png", pick(5, 50, 50, 50, None), pick(None, 1.0, 90.0, 90.0, 90.0), pick("p1", "p2", "p3", "p4", None)))
+        size, decoded, mime, width, quality, phash = body
+        rows.append((i, pick("https://a.org/x", "https://a.org/x", "https://b.org/x"), pick("CC BY 4.0", "CC BY 4.0", "none"), pick(None, 0, 5, 100, 100), 60, size, decoded, mime, width, 60, sha, quality, phash, pick("red fox", "red fox", "blue")))
+    names = [c.split()[0] for c in kind.split(", ")]
+    spec = acquisition.Spec(licenses=["CC BY"], domains=["a.org"], min_width=10, byte_budget=9000, storage_budget=600, keywords=["red"])
+    known, near = spark.createDataFrame([("s1",), ("s2",)], "sha256 string"), spark.createDataFrame([("p1",)], "phash string")
+    df = spark.createDataFrame(rows, kind)
+    got = {r.candidate_id: (r.state, r.reason) for r in acquisition.cascade(df, spec, known, near).collect()}
+    want = slow_cascade([dict(zip(names, r, strict=True)) for r in rows], spec, {"s1", "s2"}, {"p1"})
+    assert got == want and {r for _, r in want.values()} == {None, *acquisition.REASONS} and "failed" in {s for s, _ in want.values()}
+    assert acquisition.cascade(df.where("false"), spec).count() == 0
+
+
 def test_documents(spark):
     md = spark.createDataFrame([(1, "# One\n\n" + "A sentence here. " * 80 + "\n\n## Two\n\nShort."), (2, None), (3, "")], "id long, text string")
     for s in ("token", "paragraph", "heading", "recursive"):
