@@ -41,6 +41,8 @@ SCRIPTS = (
     ("latin", 0x1E00, 0x1EFF), ("kana", 0x3040, 0x30FF), ("han", 0x3400, 0x9FFF), ("hangul", 0xAC00, 0xD7AF),
 )
 SWITCH = 8.0
+#: Bytes of text whose words are scored together.
+SLICE = 2 << 20
 
 
 def script(word: str) -> str:
@@ -216,13 +218,14 @@ def sample(known: DataFrame, max_rows: int, max_all: int) -> DataFrame:
     """doc_id, lang, digest and size of the rows to learn from, by language and hash; equal rows are one.
 
     A threshold of the hash, by the number of a language's rows, leaves about SLACK * max_rows of each to be ranked, so
-    that no task gets more, however many rows a language has.
+    that no task gets more, however many rows a language has. Rows are taken in turn from each language in sorted order,
+    so no more than the first max_all languages can enter, and no more counts are broadcast.
     """
     from pyspark.sql import Window
 
     rows = known.select("doc_id", "lang", F.xxhash64("text").alias("digest"), F.length("text").alias("size"))
     rows = rows.withColumn("h", F.xxhash64("doc_id", "digest"))
-    count = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    count = F.broadcast(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").limit(max_all))
     share = F.pmod("h", F.lit(1 << 31)) / float(1 << 31)
     few = rows.join(count, "lang").where(share * F.col("n") <= SLACK * max_rows).drop("n").distinct()
     turn = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "digest"))
@@ -252,7 +255,7 @@ def predict(df: DataFrame, model: Model, keep: list[str] | None = None, names: t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in by_bytes(whole, n):
+            for b in by_bytes(whole, n, SLICE):
                 got = model.predict(b.column(n).to_pylist())
                 new = [pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())]
                 yield pa.RecordBatch.from_arrays([*b.columns[:n], *new], [*[f.name for f in fields], *names])

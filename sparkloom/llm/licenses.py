@@ -1,7 +1,7 @@
 """License scans by ordered signature rules, with DataFrame functions only.
 
-A text is brought to its words. Rules are regular expressions over these words; each has a keyword, and only rules
-whose keyword occurs are tried. Every place where a rule matches is a detection with a span of words. A detection is
+A text is brought to its words. Rules are regular expressions over these words; each has keywords, and only rules of
+which one occurs are tried. Every place where a rule matches is a detection with a span of words. A detection is
 suppressed if its span lies in one of a rule of equal or higher priority, so that "gnu lesser general public license
 version 2 1" is not also "lesser general public license". Beside the rules, four base phrases are looked up as such;
 nothing suppresses them.
@@ -9,7 +9,8 @@ nothing suppresses them.
 Everything is computed within the row: no shuffle, no Python.
 
 Cases: null text counts as the empty text (no words, no labels, empty label strings, null places, score 0); texts of any
-length are scanned whole; equal rows give equal results; an empty table gives no rows; extra columns are not read.
+length are scanned whole; equal rows give equal results; rows with a null id are scanned like any other; an empty table
+gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -27,14 +28,15 @@ _V = "(?: version| v| versions)?"
 
 
 def rules() -> list[dict]:
-    """The signature rules in their order: label, priority (0 is highest), weight, keyword and regex.
+    """The signature rules in their order: label, priority (0 is highest), weight, keywords and regex.
 
-    A regex is written over words with one space before each, and ends before a space.
+    A regex is written over words between single spaces and ends before a space. One of its keywords is a word of
+    everything that it matches.
     """
     out: list[dict] = []
 
     def rule(label: str, priority: int, weight: float, keyword: str, pattern: str) -> None:
-        out.append({"label": label, "priority": priority, "weight": weight, "keyword": f" {keyword} ", "pattern": f" {pattern}(?= )"})
+        out.append({"label": label, "priority": priority, "weight": weight, "keywords": keyword.split("|"), "pattern": f"{pattern}(?= )"})
 
     # identifiers: exact, therefore first
     spdx = {
@@ -78,7 +80,7 @@ def rules() -> list[dict]:
         ("unlicense", "unlicense", "(?:the )?unlicense", ()), ("wtfpl", "wtfpl", "wtfpl", ("2",)), ("cecill", "cecill", "cecill(?: [bc])?(?: free software)? licen[cs]e", ("2 0", "2 1")),
         ("ecl", "educational", "educational community licen[cs]e", ("1 0", "2 0")), ("upl", "universal", "universal permissive licen[cs]e", ("1 0",)), ("odbl", "database", "open database licen[cs]e", ("1 0",)),
         ("pddl", "dedication", "public domain dedication and licen[cs]e", ("1 0",)), ("odc-by", "data", "open data commons attribution licen[cs]e", ("1 0",)), ("nposl", "non", "non profit open software licen[cs]e", ("3 0",)),
-        ("openssl", "openssl", "openssl licen[cs]e", ()), ("beerware", "beer", "beer ?ware licen[cs]e", ()), ("vim", "vim", "vim licen[cs]e", ()), ("ruby", "ruby", "ruby licen[cs]e", ()), ("rail", "rail", "(?:open ?)?rail(?: m)? licen[cs]e", ()),
+        ("openssl", "openssl", "openssl licen[cs]e", ()), ("beerware", "beer|beerware", "beer ?ware licen[cs]e", ()), ("vim", "vim", "vim licen[cs]e", ()), ("ruby", "ruby", "ruby licen[cs]e", ()), ("rail", "rail|openrail", "(?:open ?)?rail(?: m)? licen[cs]e", ()),
     ]
     for label, keyword, name, versions in named:
         for version in versions:
@@ -120,59 +122,69 @@ def _words(x: Column) -> Column:
 
 
 def _spaced(text: Column) -> Column:
-    """Words with one space before each and one at the end; a single space if there are none."""
-    low = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.regexp_replace(F.concat(F.lit(" "), low, F.lit(" ")), BETWEEN, " ")
-
-
-def _base(n: Column, phrase: str) -> Column:
-    """Starts (number of the first word) of each place of a phrase."""
-    words = phrase.split(" ")
-    own = F.split(F.substring(n, 2, 2_000_000_000), " ")
-    return F.filter(
-        F.transform(own, lambda w, i: F.when((w == words[0]) & F.forall(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(x).alias("x")) for k, x in enumerate(words)]), lambda p: F.get(own, i + p["k"]) == p["x"]), i)),
-        lambda i: i.isNotNull(),
-    )
+    """Words with one space before each and one at the end; a single space if there are none.
 
+    lower() also lowers beyond ASCII, which changes no match: of such characters only the Kelvin sign becomes an ASCII
+    letter, so another letter stands in for it.
+    """
+    low = F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("\u212a"), F.lit("\u0138")))
+    return F.regexp_replace(F.concat(F.lit(" "), low, F.lit(" ")), BETWEEN, " ")
 
-def _hits(n: Column, rule: Column) -> Column:
-    """Detections of a rule: array of struct(s, e) in words, e exclusive."""
-    between, found = F.split(n, rule["pattern"], -1), F.regexp_extract_all(n, rule["pattern"], F.lit(0))
-    start = F.struct(F.lit(0).cast("int").alias("at"), F.expr("cast(array() as array<struct<s:int,e:int>>)").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + _words(x["b"])
-        e = s + _words(x["f"])
-        return F.struct(e.cast("int").alias("at"), F.concat(acc["out"], F.array(F.struct(s.cast("int").alias("s"), e.cast("int").alias("e")))).alias("out"))
+def _hits(n: Column, pattern: Column | str) -> Column:
+    """Places of a pattern without overlaps: array of struct(s, e) in words, e exclusive.
 
-    pairs = F.arrays_zip(F.slice(between, 1, F.size(found)).alias("b"), found.alias("f"))
-    return F.aggregate(pairs, start, step)["out"]
+    A mark (a character that no word holds) is set at both ends of each match; then the numbers of the words with a mark
+    are what is asked for. Linear in the text, however many matches there are.
+    """
+    around = F.concat(F.lit("(?<= )("), pattern, F.lit(")")) if isinstance(pattern, Column) else F.lit(f"(?<= )({pattern})")
+    words = F.split(F.substring(F.regexp_replace(n, around, F.lit("\x01$1\x02")), 2, 2_000_000_000), " ")
+    numbered = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.contains(x["w"], F.lit("\x01")) | F.contains(x["w"], F.lit("\x02")))
+    at = lambda mark, more: F.transform(F.filter(numbered, lambda x: F.contains(x["w"], F.lit(mark))), lambda x: x["i"] + more)
+    return F.transform(F.arrays_zip(at("\x01", 0).alias("s"), at("\x02", 1).alias("e")), lambda x: F.struct(x["s"].cast("int").alias("s"), x["e"].cast("int").alias("e")))
 
 
 def scanned(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", extra: list[dict] | None = None) -> DataFrame:
     """doc_id, n_words, starts (of base phrases by label), detections (s, e, label, priority, weight; none suppressed)."""
     table = rules() + (extra or [])
-    kind = "array<struct<label:string,priority:int,weight:double,keyword:string,pattern:string>>"
-    keywords = sorted({r["keyword"] for r in table})
+    kind = "array<struct<label:string,priority:int,weight:double,keywords:array<string>,pattern:string>>"
+    keywords = sorted({k for r in table for k in r["keywords"]} | {p.split(" ")[0] for p in BASE})
     literal = F.from_json(F.lit(json.dumps(table)), kind)
     src = df.select(F.col(id_col).cast("long").alias("doc_id"), _spaced(F.col(text_col)).alias("n"))
     n = F.col("n")
-    kept = F.filter(F.array(*map(F.lit, keywords)), lambda k: F.contains(n, k))
-    src = src.select("doc_id", "n", (_words(n) - 1).alias("n_words"), kept.alias("found_keywords"))
+    # most texts hold no keyword; one pass over their words tells
+    own = F.array_intersect(F.split(n, " "), F.array(*map(F.lit, keywords)))
+    src = src.select("doc_id", "n", (_words(n) - 1).alias("n_words"), own.alias("own"))
     none = F.expr("cast(array() as array<struct<s:int,e:int,label:string,priority:int,weight:double>>)")
-    tried = F.filter(literal, lambda r: F.array_contains(F.col("found_keywords"), r["keyword"]))
-    tried = F.filter(tried, lambda r: F.rlike(n, r["pattern"]))
-    found = F.flatten(F.transform(tried, lambda r: F.transform(_hits(n, r), lambda h: F.struct(h["s"].alias("s"), h["e"].alias("e"), r["label"].alias("label"), r["priority"].alias("priority"), r["weight"].alias("weight")))))
-    src = src.withColumn("every", F.when(F.size("found_keywords") > 0, found).otherwise(none))
-    places = [F.when(F.contains(n, F.lit(f" {phrase} ")), _base(n, phrase)).otherwise(F.expr("cast(array() as array<int>)")).alias(label) for phrase, label in BASE.items()]
-    return src.select("doc_id", F.col("n_words").cast("long").alias("n_words"), F.struct(*places).alias("starts"), F.when(F.size("every") > 0, _unsuppressed(F.col("every"))).otherwise(none).alias("detections"))
+    tried = F.filter(F.filter(literal, lambda r: F.arrays_overlap(F.col("own"), r["keywords"])), lambda r: F.rlike(n, F.concat(F.lit(" "), r["pattern"])))
+    found = F.flatten(F.transform(tried, lambda r: F.transform(_hits(n, r["pattern"]), lambda h: F.struct(h["s"].alias("s"), h["e"].alias("e"), r["label"].alias("label"), r["priority"].alias("priority"), r["weight"].alias("weight")))))
+    src = src.withColumn("every", F.when(F.size("own") > 0, found).otherwise(none))
+    # no base phrase begins as it ends, so its places don't overlap
+    places = [F.when((F.size("own") > 0) & F.contains(n, F.lit(f" {phrase} ")), F.transform(_hits(n, f"{phrase}(?= )"), lambda h: h["s"])).otherwise(F.expr("cast(array() as array<int>)")).alias(label) for phrase, label in BASE.items()]
+    src = src.select("doc_id", F.col("n_words").cast("long").alias("n_words"), F.struct(*places).alias("starts"), "every")
+    return _unsuppressed(src, none)
+
+
+def _unsuppressed(src: DataFrame, none: Column) -> DataFrame:
+    """Turns every into detections, without those within one of equal or higher priority: in order of start, the furthest
+    end so far of each priority is all that must be known.
+
+    Goes through about sqrt(n) runs of sqrt(n) detections: each run needs only the furthest ends before it, and no array
+    grows by one over all n. Each step is a column of its own that the next uses more than once, so that none is put into
+    the function of the next and worked out again for every run.
+    """
+    keep = ["doc_id", "n_words", "starts"]
+    key = F.sort_array(F.transform("every", lambda d: F.struct(d["s"].alias("s"), (-d["e"]).alias("ne"), d["priority"].alias("priority"), d["label"].alias("label"), d["weight"].alias("weight"))))
+    src = src.select(*keep, key.alias("sorted"))
+    n, size = F.size("sorted"), F.ceil(F.sqrt(F.size("sorted").cast("double"))).cast("int")
+    runs = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / size).cast("int")), lambda k: F.slice("sorted", k * size + 1, size))
+    src = src.select(*keep, F.when(n > 0, runs).otherwise(F.array()).alias("runs"))
 
+    def furthest(far: Column, part: Column) -> Column:
+        return F.transform(far, lambda x, i: F.greatest(x, F.coalesce(F.array_max(F.transform(F.filter(part, lambda d: d["priority"] == i), lambda d: -d["ne"])), F.lit(-1))))
 
-def _unsuppressed(every: Column) -> Column:
-    """Leaves out detections within one of equal or higher priority: in order of start, the furthest end so far of each
-    priority is all that must be known."""
-    key = F.transform(every, lambda d: F.struct(d["s"].alias("s"), (-d["e"]).alias("ne"), d["priority"].alias("priority"), d["label"].alias("label"), d["weight"].alias("weight")))
-    start = F.struct(F.expr("array(-1, -1, -1, -1)").alias("far"), F.expr("cast(array() as array<struct<s:int,e:int,label:string,priority:int,weight:double>>)").alias("out"))
+    before = F.aggregate("runs", F.array(F.expr("array(-1, -1, -1, -1)")), lambda acc, part: F.concat(acc, F.array(furthest(F.element_at(acc, -1), part))))
+    src = src.select(*keep, "runs", F.slice(before, 1, F.greatest(F.size("runs"), F.lit(1))).alias("before"))
 
     def step(acc: Column, d: Column) -> Column:
         e = -d["ne"]
@@ -183,7 +195,8 @@ def _unsuppressed(every: Column) -> Column:
             F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], own)).alias("out"),
         )
 
-    return F.aggregate(F.sort_array(key), start, step)["out"]
+    left = F.transform(F.arrays_zip(F.col("runs").alias("part"), F.col("before").alias("far")), lambda p: F.aggregate(p["part"], F.struct(p["far"].alias("far"), none.alias("out")), step)["out"])
+    return src.select(*keep, F.when(F.size("runs") > 0, F.flatten(left)).otherwise(none).alias("detections"))
 
 
 def licenses(df: DataFrame) -> DataFrame:

@@ -39,6 +39,8 @@ from .pieces import by_bytes, column_bytes
 SHINGLE = 5
 #: Texts of the sample that finds common shingles (only the cost depends on it), and their greatest length.
 SAMPLE, SAMPLE_CHARS = 2000, 100_000
+#: Bytes of text taken together.
+SLICE = 2 << 20
 #: Chance that the shortened prefixes of two similar texts share nothing.
 MISS = 1e-8
 #: Classes that are broadcast at most (more are joined by a shuffle).
@@ -65,8 +67,8 @@ def shingles(texts: pa.Array) -> list[np.ndarray]:
     begins &= held
     at = np.flatnonzero(begins)
     first = np.searchsorted(at, offsets)
-    place = np.concatenate([[0], np.cumsum(held)])
-    words = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(place[np.append(at, len(data))]), pa.py_buffer(data[held])).dictionary_encode()
+    place = np.concatenate([[0], np.cumsum(held, dtype=np.int32)])
+    words = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(place[np.append(at, len(data))].astype(np.int64)), pa.py_buffer(data[held])).dictionary_encode()
     known = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words.dictionary.to_pylist()), np.uint64, len(words.dictionary))
     h = known[words.indices.to_numpy()]
     out = []
@@ -119,7 +121,7 @@ def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in by_bytes(whole, 1):
+            for b in by_bytes(whole, 1, SLICE):
                 for s in shingles(b.column(1)):
                     yield pa.RecordBatch.from_arrays([pa.array(np.unique(s.view(np.int64)))], ["tok"])
 
@@ -139,7 +141,7 @@ def _sets(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in by_bytes(whole, 1):
+            for b in by_bytes(whole, 1, SLICE):
                 toks = [np.unique(s.view(np.int64)) for s in shingles(b.column(1))]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t) for t in toks], pa.int32()), _lists(toks)], ["class", "n", "toks"])
 
@@ -151,7 +153,7 @@ def _heads(texts: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in by_bytes(whole, 1):
+            for b in by_bytes(whole, 1, SLICE):
                 every = shingles(b.column(1))
                 sets = [np.unique(s.view(np.int64)) for s in every]
                 fp = np.array([simhash.majority(s) for s in every], np.uint64).view(np.int64)

@@ -10,6 +10,7 @@ further back than such a place; special strings hold no such place.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,11 +19,18 @@ import pyarrow as pa
 #: Marks before which a piece may end, after an ASCII letter. None of them occurs in a special string after a letter.
 MARKS = b",.;:!?"
 #: Pieces of either generation that a worker remembers, and the longest remembered, in characters.
-CACHE_PIECES, CACHE_CHARS = 200_000, 64
+CACHE_PIECES, CACHE_CHARS = 120_000, 64
 
 #: Bytes of text whose rows are taken together.
 SLICE_BYTES = 4 << 20
 
+try:
+    _LIBC = ctypes.CDLL(None)
+    # arrays of over 1 MB get pages of their own, which go back to the system as soon as they are freed
+    _LIBC.mallopt(-3, 1 << 20)
+except (OSError, AttributeError):
+    _LIBC = None
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x09, 0x0A, 0x0D, 0x20]] = True
 #: Bytes after which white space may start a piece: neither white space nor a control character (whatever a library
@@ -37,6 +45,14 @@ _ALNUM = _LETTER.copy()
 _ALNUM[0x30:0x3A] = True
 
 
+def tidy() -> None:
+    """Gives freed memory back to the system: a worker lives through many stages, and all of an executor's share its
+    memory."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None and hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 def by_bytes(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of at most `most` bytes in a string or binary column, but for single longer values; any number of rows."""
     x = batch.column(column)
@@ -47,6 +63,7 @@ def by_bytes(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Ite
         end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + most, side="right")) - 1)
         yield batch.slice(start, end - start)
         start = end
+    tidy()
 
 
 def _after_wide_space(data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -77,7 +94,9 @@ def plain(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     odd = np.logical_or.reduceat((data >= 0x80) | (data == 0x3C), at[:-1])
     upper = (data >= 0x41) & (data <= 0x5A) & ~np.repeat(odd, np.diff(at))
     held = ~_SPACE[data]
-    return (data + (upper.astype(np.uint8) << 5))[held], np.concatenate([[0], np.cumsum(held)])[at]
+    place = np.zeros(len(data) + 1, np.int32)
+    np.cumsum(held, out=place[1:], dtype=np.int32)
+    return (data + (upper.view(np.uint8) << 5))[held], place[at]
 
 
 def cut_words(data: np.ndarray) -> np.ndarray:
@@ -103,7 +122,9 @@ def column_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def gathered(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """values[start : start + size] of every range, one after another."""
     ends = np.cumsum(sizes)
-    return values[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+    at = np.repeat(starts - ends + sizes, sizes)
+    at += np.arange(len(at))
+    return values[at]
 
 
 class Pieces:

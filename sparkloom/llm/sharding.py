@@ -5,18 +5,25 @@ that ever leaves the data: SLOTS rows, whatever the input. Slots are then dealt
 the shard with the fewest bytes so far. The map from slot to shard is stored with a version; rebalancing for more
 shards edits it: slots move to the new shards alone.
 
+Equal rows go through the numbering as one row with a count, so neither a document that fills a third of the table nor a
+slot full of it meets in one task row by row.
+
 Cases: null text has size 16 and the CRC-32 of no bytes; a null id hashes like any other value; equal rows go to one
 slot and are numbered there in turn; an empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import ensure_checkpoint_dir
 
 SLOTS = 4096
+#: Equal rows that are written out again from one row with a count.
+RUN = 65_536
 #: What a record counts besides the bytes of its text.
 ROW_BYTES = 16
 
@@ -87,22 +94,39 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> Data
     """A version of the stored map, the newest if none is named."""
     every = spark.read.parquet(path)
     version = every.agg(F.max("version")).first()[0] if version is None else version
-    return every.where(F.col("version") == version)
+    return every.where(F.col("version") == version).select("version", "virtual_slot", "shard", "bytes", "n")
 
 
 def place(recs: DataFrame, current: DataFrame) -> DataFrame:
     """Adds shard and slot, the record's place in its shard (gapless from 0), to records.
 
-    Places run through the slots of a shard in order; each slot is numbered on its own.
+    Places run through the slots of a shard in order; each slot is numbered on its own, equal records by their count.
     """
     run = F.sum("n").over(Window.partitionBy("shard").orderBy("virtual_slot")) - F.col("n")
     start = current.select("virtual_slot", "shard", run.alias("__from"))
-    k = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size")) - 1
-    return recs.withColumn("__k", k).join(F.broadcast(start), "virtual_slot").withColumn("slot", (F.col("__from") + F.col("__k")).cast("long")).drop("__k", "__from")
-
-
-def sharded(df: DataFrame, shards: int = 40, slots: int = SLOTS) -> DataFrame:
-    """op4: every document's shard and place, by the law of near equal bytes."""
+    own = ["virtual_slot", "doc_id", "size", "text_crc32"]
+    counted = recs.groupBy(*own).agg(F.count(F.lit(1)).alias("__times"))
+    before = Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
+    counted = counted.withColumn("__first", F.coalesce(F.sum("__times").over(before), F.lit(0))).join(F.broadcast(start), "virtual_slot")
+    several = F.col("__times") > RUN
+    runs = counted.withColumn("__run", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__times") - 1, F.lit(RUN).cast("long"))))
+    runs = runs.where(~several).unionByName(runs.where(several).repartition(*own, "__run"))
+    last = F.least(F.col("__run") + RUN, F.col("__times")) - 1
+    out = runs.withColumn("__k", F.explode(F.sequence("__run", last))).withColumn("slot", (F.col("__from") + F.col("__first") + F.col("__k")).cast("long"))
+    return out.select(*recs.columns, "shard", "slot")
+
+
+def sharded(df: DataFrame, shards: int = 40, slots: int = SLOTS, path: str | None = None) -> DataFrame:
+    """op4: every document's shard and place, by the law of near equal bytes.
+
+    The slot map goes to path (a new folder beside the checkpoints unless named) as version 1, with version 2 for one
+    more shard; documents are placed by version 1 as it is read from there, and next_shard is what version 2 says.
+    """
+    spark = df.sparkSession
+    path = path or f"{ensure_checkpoint_dir(spark)}/slot-map-{uuid.uuid4().hex}"
     recs = records(df, slots)
-    current = cut(slot_map(slot_bytes(recs, slots), shards))
-    return place(recs, current).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
+    store_map(slot_map(slot_bytes(recs, slots), shards), path)
+    store_map(grow(load_map(spark, path, 1), shards), path)
+    moved = load_map(spark, path, 2).select("virtual_slot", F.col("shard").alias("next_shard"))
+    placed = place(recs, load_map(spark, path, 1)).join(F.broadcast(moved), "virtual_slot")
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "next_shard")

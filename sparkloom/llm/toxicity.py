@@ -38,6 +38,8 @@ from .pieces import by_bytes
 WORD = regex.compile(r"[\p{L}\p{N}]+")
 #: Most labelled rows, and characters of them, that a fit takes.
 MAX_ROWS, MAX_CHARS = 4000, 20_000_000
+#: Bytes of text whose words are looked up together.
+SLICE = 1 << 20
 #: Features that enter in any case, and at most.
 LEAST, MOST = 32, 400
 
@@ -166,7 +168,7 @@ def score(documents: DataFrame, chain: Chain, threshold: float = 0.25, keep: lis
         vocabulary = chain.vocabulary
         known = vocabulary.keys()
         for whole in batches:
-            for b in by_bytes(whole, n):
+            for b in by_bytes(whole, n, SLICE):
                 p = chain.score([[vocabulary[w] for w in known & words(t)] for t in b.column(n).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*b.columns[:n], *[pa.array(p[:, k]) for k in range(p.shape[1])]], [*[f.name for f in fields], *names])
 

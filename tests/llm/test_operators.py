@@ -145,6 +145,19 @@ def test_sharding(odd, docs):
     assert sharding.sharded(docs.where("false"), 5, 512).count() == 0
 
 
+def test_sharding_of_many_equal_rows(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(sharding, "RUN", 7)
+    df = spark.range(300).selectExpr("if(id < 100, 5, id) doc_id", "if(id < 100, 'same', concat('text', id)) text", "id slot")
+    out = sharding.sharded(df, 3, 64, str(tmp_path / "map")).collect()
+    assert sum(r.doc_id == 5 for r in out) == 100 and len(out) == 300
+    by = defaultdict(list)
+    for r in out:
+        by[r.shard].append(r.slot)
+        assert r.next_shard in (r.shard, 3)
+    assert all(sorted(v) == list(range(len(v))) for v in by.values())
+    assert {r.version for r in spark.read.parquet(str(tmp_path / "map")).collect()} == {1, 2}
+
+
 def test_slot_map_versions(spark, docs, tmp_path):
     w = sharding.slot_bytes(sharding.records(docs, 256), 256)
     one = sharding.slot_map(w, 4).cache()
@@ -322,8 +335,8 @@ def slow_licenses(text):
     text = "".join(f" {w}" for w in words) + " "
     hits = []
     for r in licenses.rules():
-        for m in re.finditer(r["pattern"], text):
-            hits.append((text[: m.start()].count(" "), text[: m.end()].count(" "), r["priority"], r["label"]))
+        for m in re.finditer("(?<= )" + r["pattern"], text):
+            hits.append((text[: m.start()].count(" ") - 1, text[: m.end()].count(" "), r["priority"], r["label"]))
     kept = set()
     for i, h in enumerate(hits):
         inside = any(g[2] <= h[2] and g[0] <= h[0] and g[1] >= h[1] and (g[:2] != h[:2] or (g[2], g[3]) < (h[2], h[3])) for j, g in enumerate(hits) if j != i)
@@ -334,7 +347,7 @@ def slow_licenses(text):
     return len(words), len(places), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(base | kept))
 
 
-LICENSED = ["Licensed under the Apache License, Version 2.0.", "MIT License MIT License mit  license", "GNU Lesser General Public License version 2.1 or later; GNU General Public License", "CC BY 4.0 and CC-BY-SA 3.0", "SPDX-License-Identifier: GPL-2.0-or-later", "BSD 3-Clause License. All rights reserved", "permission is hereby granted, free of charge, to any person obtaining a copy", "İ MIT LICENSE ſ"]
+LICENSED = ["Licensed under the Apache License, Version 2.0.", "MIT License MIT License mit  license", "GNU Lesser General Public License version 2.1 or later; GNU General Public License", "CC BY 4.0 and CC-BY-SA 3.0", "SPDX-License-Identifier: GPL-2.0-or-later", "BSD 3-Clause License. All rights reserved", "permission is hereby granted, free of charge, to any person obtaining a copy", "İ MIT LICENSE ſ", "Beerware License, beer ware license; OpenRAIL-M License, open rail license", "cc by cc by CC-BY", "what the fuc\u212a you want"]
 
 
 def test_licenses(spark, odd, docs):
@@ -346,6 +359,31 @@ def test_licenses(spark, odd, docs):
     assert len(licenses.rules()) >= 200
 
 
+def spellings(pattern):
+    """Some strings that a rule's regex matches: every option taken and left out, every alternative."""
+    import re
+
+    m = re.search(r"\(\?:([^()]*)\)(\??)|\[(\w+)\]|(.)\?", pattern)
+    if not m:
+        return {pattern}
+    options = m[1].split("|") if m[1] is not None else list(m[3]) if m[3] else [m[4]]
+    options += [""] if m[2] or m[4] else []
+    return {x for o in options for x in spellings(pattern[: m.start()] + o + pattern[m.end() :])}
+
+
+def test_every_spelling_of_a_rule_holds_a_keyword():
+    for r in licenses.rules():
+        for x in spellings(r["pattern"].removesuffix("(?= )").replace("[1-4] [05]", "4 0")):
+            assert set(x.split()) & set(r["keywords"]), (r, x)
+
+
+def test_licenses_of_a_long_list(spark):
+    n = 8000
+    df = spark.createDataFrame([(1, "MIT License, all rights reserved. GNU GPL v2 " * n)], "doc_id long, text string")
+    r = licenses.licenses(df).first()
+    assert (r.n_words, r.n_base, r.first_word, r.last_word, r.labels, r.n_detections) == (8 * n, n, 0, 8 * n - 8, "gpl,mit,proprietary", 3 * n)
+
+
 # 10
 
 
