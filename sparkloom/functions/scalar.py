@@ -213,3 +213,8 @@ def hamming(a: Column, b: Column) -> Column:
 
 def _halves(c: Column) -> tuple[Column, Column]:
     return F.conv(F.substring(c, 1, 8), 16, 10).cast("long"), F.conv(F.substring(c, 9, 8), 16, 10).cast("long")
+
+
+def json_value(c: Column, path: str) -> Column:
+    """The scalar at a path like $.a.b[0] of JSON text, as text; null where there is none or the text is no JSON."""
+    return F.get_json_object(c, path)

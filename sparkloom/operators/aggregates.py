@@ -209,7 +209,7 @@ def findings(df: DataFrame) -> DataFrame:
     nums = numeric_columns(df, ["_split"])
     if 2 <= len(nums) <= 60:
         c = d.agg(F.array(*[F.struct(F.lit(f"{a}, {b}").alias("column"), _corr(a, b).alias("value")) for a, b in combinations(nums, 2)]).alias("r")).select(F.inline("r"))
-        parts.append(c.where("abs(value) > 0.95").select(F.lit("correlated"), "column", "value"))
+        parts.append(c.where("not isnan(value) and abs(value) > 0.95").select(F.lit("correlated"), "column", "value"))
     if "_split" in df.columns:
         own = [k.alias(f"k{i}") for i, (k, c) in enumerate(zip(keys, df.columns, strict=True)) if c != "_split"]
         s = d.groupBy(*own).agg(F.count_distinct("_split").alias("n")).where("n > 1").agg(F.count(F.lit(1)).alias("value"))
@@ -267,3 +267,36 @@ def contract(df: DataFrame, rules: list[dict[str, Any]]) -> tuple[DataFrame, Dat
     parts.append(F.struct(F.lit("any").alias("rule"), F.lit("*").alias("column"), F.count_if(F.size("broken_rules") > 0).alias("failed")))
     report = marked.agg(F.array(*parts).alias("r")).select(F.inline("r"))
     return report, marked.where(F.size("broken_rules") > 0).select(*[F.col(f"`{c}`") for c in df.columns], "broken_rules")
+
+
+def memory(df: DataFrame) -> DataFrame:
+    """column, bytes: what the values take (text by its UTF-8 bytes, numbers by their width, missing ones nothing)."""
+    width = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "float": 4, "date": 4}
+    sums = []
+    for c, kind in df.dtypes:
+        x = F.col(f"`{c}`")
+        n = F.octet_length(x) if kind in ("string", "binary") else F.octet_length(F.to_json(F.struct(x))) if kind.startswith(("array", "map", "struct")) else F.when(x.isNotNull(), width.get(kind, 8))
+        sums.append(F.struct(F.lit(c).alias("column"), F.coalesce(F.sum(n), F.lit(0)).cast("long").alias("bytes")))
+    return df.agg(F.array(*sums).alias("r")).select(F.inline("r"))
+
+
+def document_stats(indexes: DataFrame) -> DataFrame:
+    """documents, chunks, dimensions, model of a project's index entries, in one row."""
+    return indexes.agg(F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum("chunks"), F.lit(0)).alias("chunks"), F.max("dimensions").alias("dimensions"), F.max("model").alias("model"))
+
+
+ITEM_STATES = ("pending", "running", "completed", "failed", "skipped")
+
+
+def job_progress(items: DataFrame) -> DataFrame:
+    """job_id, a count of each state, total, percent done (finished one way or the other; 100 without items) and the last
+    item that was finished."""
+    done = F.col("state").isin("completed", "failed", "skipped")
+    counts = [F.count_if(F.col("state") == s).alias(s) for s in ITEM_STATES]
+    g = items.groupBy("job_id").agg(*counts, F.count(F.lit(1)).alias("total"), F.count_if(done).alias("__done"), F.max(F.when(done, F.col("item_id"))).alias("checkpoint"))
+    return g.withColumn("percent", F.coalesce(F.round(F.try_divide(100.0 * F.col("__done"), F.col("total")), 2), F.lit(100.0))).drop("__done")
+
+
+def storage_inventory(objects: DataFrame) -> DataFrame:
+    """kind, objects, bytes: what lies in the store."""
+    return objects.groupBy(F.col("media_type").alias("kind")).agg(F.count(F.lit(1)).alias("objects"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))

@@ -203,7 +203,7 @@ def sample_rows(df: DataFrame, method: str, n: int = 100, seed: int = 0, order:
     if method == "first":
         return df.orderBy(*cols).limit(n)
     if method == "random":
-        return df.orderBy(F.xxhash64(F.lit(seed), F.to_json(F.struct("*"))), *cols).limit(n)
+        return df.orderBy(F.xxhash64(F.lit(seed), F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))), *cols).limit(n)
     d = with_position(df, list(order), "__pos")
     if method == "selected":
         return d.where(F.col("__pos").isin(list(positions))).drop("__pos")

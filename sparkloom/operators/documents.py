@@ -32,7 +32,8 @@ def _normal(c: Column, form: str) -> Column:
 
 
 def clean(df: DataFrame, column: str, form: str | None = "NFC", find: str | None = None, replacement: str = "", regex: bool = False, collapse: bool = True) -> DataFrame:
-    """Unicode normal form, find and replace (literal or a linear-time pattern), white space collapsed."""
+    """Unicode normal form, find and replace (literal or a linear-time pattern); with collapse, runs of white space but
+    line ends become a space, over two line ends two, and none stays at the ends."""
     need(df, column)
     c = F.col(f"`{column}`")
     if form:
@@ -40,7 +41,8 @@ def clean(df: DataFrame, column: str, form: str | None = "NFC", find: str | None
     if find:
         c = F.regexp_replace(c, safe_regex(find), replacement.replace("$", "\\$")) if regex else F.replace(c, F.lit(find), F.lit(replacement))
     if collapse:
-        c = F.trim(F.regexp_replace(F.regexp_replace(c, r"[ \t\x{00A0}]+", " "), r" ?\n ?", "\n"))
+        c = F.regexp_replace(F.regexp_replace(c, r"(?U)[^\S\n]+", " "), r"\n{3,}", "\n\n")
+        c = F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
     return df.withColumn(column, c)
 
 
@@ -85,135 +87,167 @@ def word_windows(df: DataFrame, id_col: str, text: str = "text", size: int = 420
     return d.select(id_col, F.col("chunk").cast("long").alias("chunk"), F.col("start").cast("long").alias("start"), F.least(F.lit(size), F.size("w") - F.col("start")).cast("long").alias("n"), F.array_join(F.slice("w", F.col("start") + 1, size), " ").alias("text"))
 
 
-def _windows(words: list[str], size: int, overlap: int) -> Iterator[tuple[int, list[str]]]:
-    at = 0
-    while True:
-        yield at, words[at : at + size]
-        if at + size >= len(words):
-            return
-        at += size - overlap
+_TOKEN = re.compile(r"\w+|[^\w\s]")
+STRATEGIES = ("token", "paragraph", "heading", "recursive")
 
 
-def chunk_text(text: str, strategy: str, size: int, overlap: int) -> list[tuple[str, str]]:
-    """(heading, text) of each chunk: token windows, paragraphs, heading sections, or recursively by sections,
-    paragraphs, sentences and tokens."""
-    pattern = re.compile(r"\w+|[^\w\s]")
+def text_blocks(text: str) -> list[tuple[str, str]]:
+    """(heading above, text) of the headings and paragraphs of Markdown or plain text; lines of a paragraph become one."""
+    out: list[tuple[str, str]] = []
+    heading, held = "", []
 
-    def spans(body: str) -> list[str]:
-        marks = list(pattern.finditer(body))
-        if not marks:
-            return []
-        return [body[w[0].start() : w[-1].end()] for _, w in _windows(marks, size, overlap)]
+    def close() -> None:
+        if body := " ".join(filter(None, map(str.strip, held))):
+            out.append((heading, body))
+        held.clear()
 
-    sections, heading, lines = [], "", []
-    for row in text.split("\n"):
-        if m := re.match(r"#{1,6}\s+(.*)", row):
-            sections.append((heading, "\n".join(lines)))
-            heading, lines = m[1].strip(), []
+    for row in text.splitlines():
+        head = re.match(r"#{1,6}\s+(.+?)\s*$", row)
+        if head or not row.strip():
+            close()
         else:
-            lines.append(row)
-    sections.append((heading, "\n".join(lines)))
-    sections = [(h, b.strip()) for h, b in sections if b.strip()]
+            held.append(row)
+        if head:
+            heading = head[1].strip()
+            out.append((heading, heading))
+    close()
+    return out
+
+
+def _units(blocks: list[tuple[str, str]], strategy: str, size: int) -> list[list[tuple[str, str]]]:
+    """Blocks that are cut as one text: all, each alone, those below one heading, or neighbours as far as they fit."""
     if strategy == "token":
-        return [("", s) for s in spans(text)]
-    if strategy == "heading":
-        return [(h, s) for h, b in sections for s in spans(b)]
-    paragraphs = [(h, p.strip()) for h, b in sections for p in re.split(r"\n\s*\n", b) if p.strip()]
-    if strategy == "paragraph":
-        return [(h, s) for h, p in paragraphs for s in spans(p)]
-    out: list[tuple[str, str]] = []
-    for h, p in paragraphs:
-        held: list[str] = []
-        used = 0
-        for s in re.split(r"(?<=[.!?])\s+", p):
-            n = len(pattern.findall(s))
-            if held and used + n > size:
-                out.append((h, " ".join(held)))
-                held, used = [], 0
-            if n > size:
-                out += [(h, x) for x in spans(s)]
-            else:
-                held.append(s)
-                used += n
-        if held:
-            out.append((h, " ".join(held)))
+        return [blocks] if blocks else []
+    units: list[list[tuple[str, str]]] = []
+    room = 0
+    for b in blocks:
+        n = len(_TOKEN.findall(b[1]))
+        joins = {"heading": bool(units) and units[-1][-1][0] == b[0], "recursive": n <= room, "paragraph": False}[strategy]
+        if units and joins:
+            units[-1].append(b)
+            room -= n
+        else:
+            units.append([b])
+            room = size - n
+    return units
+
+
+def chunk_text(text: str, strategy: str, size: int, overlap: int) -> list[tuple[str, int, str]]:
+    """(heading, tokens, text) of each chunk: windows of tokens over units of blocks, each sharing `overlap` tokens with
+    the one before.
+
+    token: one unit. paragraph: each block. heading: each section. recursive: neighbouring blocks as far as they fit into
+    a window together; a window inside a longer unit ends at its last sentence end, if one lies in its second half and
+    past the overlap.
+    """
+    out: list[tuple[str, int, str]] = []
+    for unit in _units(text_blocks(text), strategy, size):
+        body = "\n\n".join(b for _, b in unit)
+        starts, at = [], 0
+        for head, b in unit:
+            starts.append((at + len(b), head))
+            at += len(b) + 2
+        marks = list(_TOKEN.finditer(body))
+        first = 0
+        while first < len(marks):
+            last = min(first + size, len(marks))
+            if strategy == "recursive" and last < len(marks):
+                least = first + max(overlap, size // 2)
+                last = next((i + 1 for i in range(last - 1, least, -1) if marks[i][0] in ".!?"), last)
+            low, high = marks[first].start(), marks[last - 1].end()
+            out.append((next(head for end, head in starts if end > low), last - first, body[low:high]))
+            if last == len(marks):
+                break
+            first = last - overlap
     return out
 
 
 def chunks(df: DataFrame, id_col: str, text: str = "text", strategy: str = "token", size: int = 256, overlap: int = 32) -> DataFrame:
     """id, chunk, chunk_id, heading, n_tokens, text, by strategy: token, paragraph, heading or recursive."""
-    one_of(strategy, ("token", "paragraph", "heading", "recursive"), "strategy")
+    one_of(strategy, STRATEGIES, "strategy")
+    out = _chunked(df, id_col, text, [strategy], size, overlap, True).drop("strategy")
+    digest = F.sha2(F.concat_ws("\0", F.col(id_col).cast("string"), F.lit(f"{strategy}/{size}/{overlap}"), F.col("chunk").cast("string"), "text"), 256)
+    return out.select(id_col, "chunk", digest.alias("chunk_id"), "heading", "n_tokens", "text")
+
+
+def _chunked(df: DataFrame, id_col: str, text: str, strategies: list[str], size: int, overlap: int, texts: bool) -> DataFrame:
+    """strategy, id, chunk, heading, n_tokens and, if asked for, text; a frame of at most a few texts at a time."""
     if not 32 <= size <= 4096 or not 0 <= overlap < size:
         raise ParameterError("32 to 4096 tokens, overlap below that")
     src = df.select(F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            rows = [(i, k, h, t) for i, x in zip(p[id_col], p["__text"], strict=True) for k, (h, t) in enumerate(chunk_text(x, strategy, size, overlap))]
-            yield pd.DataFrame(rows, columns=[id_col, "chunk", "heading", "text"])
+            for at in range(0, len(p), 256):
+                rows = [
+                    (s, i, k, h, n, t if texts else None)
+                    for i, x in zip(p[id_col][at : at + 256], p["__text"][at : at + 256], strict=True)
+                    for s in strategies
+                    for k, (h, n, t) in enumerate(chunk_text(x, s, size, overlap))
+                ]
+                yield pd.DataFrame(rows, columns=["strategy", id_col, "chunk", "heading", "n_tokens", "text"])
 
     kind = src.schema[id_col].dataType.simpleString()
-    out = src.mapInPandas(run, f"`{id_col}` {kind}, chunk long, heading string, text string")
-    return out.select(id_col, "chunk", F.sha2(F.concat_ws("\0", F.col(id_col).cast("string"), F.lit(f"{strategy}/{size}/{overlap}"), F.col("chunk").cast("string"), "text"), 256).alias("chunk_id"), "heading", F.size(tokens(F.col("text"))).cast("long").alias("n_tokens"), "text")
+    return src.mapInPandas(run, f"strategy string, `{id_col}` {kind}, chunk long, heading string, n_tokens long, text string")
 
 
 def compare_strategies(df: DataFrame, id_col: str, text: str = "text", size: int = 256, overlap: int = 32) -> DataFrame:
-    """strategy, chunks, mean_tokens, max_tokens."""
-    parts = None
-    for s in ("token", "paragraph", "heading", "recursive"):
-        c = chunks(df, id_col, text, s, size, overlap).agg(F.count(F.lit(1)).alias("chunks"), F.avg("n_tokens").alias("mean_tokens"), F.max("n_tokens").alias("max_tokens")).select(F.lit(s).alias("strategy"), "chunks", "mean_tokens", "max_tokens")
-        parts = c if parts is None else parts.union(c)
-    return parts
+    """strategy, chunks, mean_tokens, max_tokens: all four in one pass over the texts."""
+    each = _chunked(df, id_col, text, list(STRATEGIES), size, overlap, False)
+    return each.groupBy("strategy").agg(F.count(F.lit(1)).alias("chunks"), F.avg("n_tokens").alias("mean_tokens"), F.max("n_tokens").alias("max_tokens"))
 
 
 class _Blocks(HTMLParser):
+    """Collects the text of closed block elements. A block that opens in another takes its place; what lies in scripts,
+    styles and noscript, tags too, is as if it weren't there; pieces of text between inline tags are words of their own."""
+
     KEEP, SKIP = {"p", "li", "blockquote", "pre", "td", "h1", "h2", "h3", "h4", "h5", "h6"}, {"script", "style", "noscript"}
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.out, self.title, self.heading = [], "", ""
-        self._kind, self._held, self._skip, self._in_title = "", [], 0, False
-
-    def _flush(self):
-        text = re.sub(r"\s+", " ", "".join(self._held)).strip()
-        if text and self._kind:
-            if self._kind[0] == "h" and self._kind[1:].isdigit():
-                self.heading = text
-            self.out.append((self._kind, text, self.heading))
-        self._kind, self._held = "", []
+        self.out: list[tuple[str, str, str]] = []
+        self.title = self.heading = ""
+        self._open, self._titled, self._held, self._skip = "", False, [], 0
 
     def handle_starttag(self, tag, attrs):
         if tag in self.SKIP:
             self._skip += 1
-        elif tag == "title":
-            self._in_title = True
-        elif tag in self.KEEP:
-            self._flush()
-            self._kind = tag
+        elif not self._skip and (tag == "title" or tag in self.KEEP):
+            self._held = []
+            if tag == "title":
+                self._titled = True
+            else:
+                self._open = tag
+
+    def handle_data(self, data):
+        if not self._skip and (self._open or self._titled):
+            self._held.append(data)
 
     def handle_endtag(self, tag):
         if tag in self.SKIP:
             self._skip = max(0, self._skip - 1)
-        elif tag == "title":
-            self._in_title = False
-        elif tag == self._kind:
-            self._flush()
-
-    def handle_data(self, data):
-        if self._in_title:
-            self.title += data
-        elif not self._skip and self._kind:
-            self._held.append(data)
+            return
+        closes = tag == self._open or (tag == "title" and self._titled)
+        if self._skip or not closes:
+            return
+        text, self._held = " ".join(" ".join(self._held).split()), []
+        if tag == "title":
+            self.title, self._titled = text or self.title, False
+            return
+        self._open = ""
+        if text:
+            level = tag[1:] if tag[0] == "h" else ""
+            if level:
+                self.heading, self.title = text, self.title or text
+            self.out.append((f"heading_{level}" if level else tag, text, self.heading))
 
 
 def parse_html(html: str | None) -> tuple[str, list[tuple[str, str, str]]]:
-    """Title (the first heading if none) and blocks (tag, text, heading above)."""
+    """Title (the first heading if none) and blocks (kind, text, heading above)."""
     p = _Blocks()
     p.feed(html or "")
     p.close()
-    p._flush()
-    first = next((t for k, t, _ in p.out if k[0] == "h" and k[1:].isdigit()), "")
-    return re.sub(r"\s+", " ", p.title).strip() or first, p.out
+    return p.title, p.out
 
 
 def html_blocks(df: DataFrame, id_col: str = "page_id", html: str = "html") -> DataFrame:

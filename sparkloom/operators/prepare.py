@@ -64,6 +64,55 @@ def balanced_groups(sizes: list[tuple[str, int]], shares: dict[str, float]) -> d
     return out
 
 
+def _cut_at(position: Column, n: Column, shares: dict[str, float]) -> Column:
+    """The split of a 0-based position among n, with largest-remainder counts; ties to the earlier split."""
+    total = float(sum(shares.values()))
+    exact = [n * F.lit(s / total) for s in shares.values()]
+    whole = [F.floor(e + F.lit(1e-9)).cast("long") for e in exact]
+    rest = n - sum(whole[1:], whole[0])
+    parts = [F.round(e - w, 9) for e, w in zip(exact, whole, strict=True)]
+    rank = [sum((F.when((q > p) | ((q == p) & F.lit(j < i)), 1).otherwise(0) for j, q in enumerate(parts) if j != i), F.lit(0)) for i, p in enumerate(parts)]
+    counts = [w + F.when(r < rest, 1).otherwise(0) for w, r in zip(whole, rank, strict=True)]
+    out, end = F.lit(list(shares)[-1]), F.lit(0).cast("long")
+    ends = []
+    for c in counts:
+        end = end + c
+        ends.append(end)
+    for name, e in reversed(list(zip(shares, ends, strict=True))):
+        out = F.when(position < e, name).otherwise(out)
+    return out
+
+
+def assign_splits(df: DataFrame, id_col: str, shares: dict[str, float], method: str = "random", by: str | None = None, seed: int = 42, manual: DataFrame | None = None, most_groups: int = 1_000_000) -> DataFrame:
+    """Adds split to assets: random, stratified (largest-remainder counts in each label), group or source (whole groups),
+    or manual (id and split of `manual`; ids that it doesn't name get null).
+
+    Ids are unique. Ranks come from a seeded hash of the id, within a label by global positions, so that no label meets
+    in one task. Groups go, the largest first, to the split furthest below its target; that is one after another, so the
+    driver goes through the groups' sizes and refuses more than most_groups of them.
+    """
+    one_of(method, ("random", "stratified", "group", "source", "manual"), "method")
+    if method != "manual" and (not shares or min(shares.values()) < 0 or sum(shares.values()) <= 0):
+        raise ParameterError("shares must not be negative, and one must be positive")
+    if method == "manual":
+        named = manual.select(F.col(f"`{id_col}`").alias("__id"), F.col("split"))
+        return df.join(named, F.col(f"`{id_col}`") == F.col("__id"), "left").drop("__id")
+    if method != "random" and not by:
+        raise ParameterError("the method needs a column")
+    if method in ("random", "stratified"):
+        label = F.col(f"`{by}`").cast("string") if method == "stratified" else F.lit("")
+        ranked = with_position(df.select(F.col(f"`{id_col}`").alias("__id"), label.alias("__label")).withColumn("__h", _hash(F.concat_ws("\0", "__label", F.col("__id").cast("string")), seed)), ["__label", "__h", "__id"], "__pos")
+        first = ranked.groupBy(F.col("__label").alias("__own")).agg(F.min("__pos").alias("__first"), F.count(F.lit(1)).alias("__n"))
+        placed = ranked.join(first, F.col("__label").eqNullSafe(F.col("__own"))).select("__id", _cut_at(F.col("__pos") - F.col("__first"), F.col("__n"), shares).alias("split"))
+        return df.join(placed, F.col(f"`{id_col}`") == F.col("__id")).drop("__id")
+    sizes = df.groupBy(F.col(f"`{by}`").cast("string").alias("__g")).agg(F.count(F.lit(1)).alias("n")).limit(most_groups + 1).collect()
+    if len(sizes) > most_groups:
+        raise ParameterError(f"more than {most_groups} groups")
+    chosen = balanced_groups([(r["__g"] or "", r["n"]) for r in sizes], shares)
+    groups = df.sparkSession.createDataFrame(list(chosen.items()), "__g string, split string")
+    return df.join(groups, F.coalesce(F.col(f"`{by}`").cast("string"), F.lit("")) == F.col("__g")).drop("__g")
+
+
 def scale(df: DataFrame, columns: list[str], method: str = "standard") -> DataFrame:
     """standard (population deviation), minmax or robust; a width of zero counts as one."""
     one_of(method, ("standard", "minmax", "robust"), "method")

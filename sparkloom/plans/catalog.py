@@ -41,10 +41,14 @@ def tables(sql: str | None = None, name: str | None = None):
 
 
 def queries() -> dict[str, Query]:
+    from . import coverage  # noqa: F401  registers more
+
     return {k: f for k, (f, _) in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import coverage  # noqa: F401
+
     return {k: s for k, (_, s) in _QUERIES.items() if s}
 
 
@@ -504,16 +508,6 @@ def chart_rolling(df):
     return charts.chart(df, "rolling", "ts", "value", window=7, order=["event_id"]).select("x", r("y").alias("y"))
 
 
-@query("events")
-def chart_density(df):
-    return charts.chart(df, "density", "value")
-
-
-@query("events")
-def chart_qq(df):
-    return charts.chart(df, "qq", "value")
-
-
 @query("nation", "select * from (select 0 as n_nationkey, (n_name = 'FRANCE')::int as n_name from nation order by n_nationkey limit 100)")
 def chart_missingness(df):
     return charts.chart(df.select("n_nationkey", F.nullif(F.col("n_name"), F.lit("FRANCE")).alias("n_name")), "missingness", order=["n_nationkey"])
@@ -533,17 +527,6 @@ def tfidf_vocab(df):
     return documents.tfidf_vocabulary(df).select("word", "df", r("idf", 6).alias("idf"))
 
 
-@query("documents")
-def tfidf_weights(df):
-    return documents.tfidf_vectors(df, documents.tfidf_vocabulary(df, top=128), "doc_id").select("doc_id", "word", r("weight", 6).alias("weight"))
-
-
-@query("documents")
-def bayes_language(df):
-    model = documents.bayes_fit(df, "lang", documents.tfidf_vocabulary(df))
-    return documents.bayes_classify(df, model, "doc_id")
-
-
 @query("documents", """with w as (select doc_id, list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '') as w from documents), s as (select doc_id, w, unnest(range(0, greatest(0, ceil((len(w) - 420) / 356.0))::bigint + 1)) as chunk from w where len(w) > 0)
     select doc_id, chunk, chunk * 356 as start, least(420, len(w) - chunk * 356)::bigint as n from s""")
 def chunk_windows(df):
@@ -571,11 +554,6 @@ def document_language_stopwords(df):
     return documents.quality(df).select("doc_id", "tokens", "language")
 
 
-@query("documents")
-def document_clean(df):
-    return documents.clean(df, "text", "NFKC", r"\b\d{4,}\b", "#", True).select("doc_id", F.sha2("text", 256).alias("digest"))
-
-
 @query("pages")
 def html_blocks(df):
     return documents.html_blocks(df)
@@ -586,11 +564,6 @@ def markdown_blocks(df):
     return documents.markdown_blocks(df, "doc_id")
 
 
-@query("documents")
-def hashed_vectors(df):
-    return documents.hashed_vectors(df, "doc_id").select("doc_id", F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))
-
-
 @tables("""with q as (select embedding::double[] as q from embeddings where vec_id = 0), s as (select vec_id, round(list_dot_product(embedding::double[], q) / sqrt(list_dot_product(embedding::double[], embedding::double[]) * list_dot_product(q, q)), 6) as score from embeddings, q)
     select vec_id, score from s where score >= 0.1 order by score desc, vec_id limit 20""")
 def cosine_topk(spark, d):
@@ -607,11 +580,13 @@ def exact_dupes(df):
     return groups.exact_groups(df.withColumn("sha", F.sha2("text", 256)), "doc_id", "sha")
 
 
-_PH = "select doc_id, substr(md5(lang || (doc_id % 300)::varchar), 1, 15) || substr('0123456789abcdef', (doc_id % 16 + 1)::int, 1) as h from documents"
+#: A digest of every four documents, with a last digit that tells them apart by a bit or two: as many as the table has.
+_PH = "select doc_id, substr(sha256((doc_id - doc_id % 4)::varchar), 1, 15) || substr('0123456789abcdef', (doc_id % 16)::int + 1, 1) as h from documents"
 
 
 def _hashes(df: DataFrame) -> DataFrame:
-    return df.select("doc_id", F.concat(F.substring(F.md5(F.concat("lang", (F.col("doc_id") % 300).cast("string"))), 1, 15), F.expr("substr('0123456789abcdef', int(doc_id % 16) + 1, 1)")).alias("h"))
+    group = F.sha2((F.col("doc_id") - F.col("doc_id") % 4).cast("string"), 256)
+    return df.select("doc_id", F.concat(F.substring(group, 1, 15), F.expr("substr('0123456789abcdef', int(doc_id % 16) + 1, 1)")).alias("h"))
 
 
 @query("documents", f"""with h as (select distinct h, ('0x' || h)::ubigint::hugeint as x from ({_PH})) select a.h as a, b.h as b from h a join h b on a.h < b.h and bit_count(xor(a.x, b.x)) <= 4""")

@@ -209,12 +209,50 @@ def test_documents(spark):
     for s in ("token", "paragraph", "heading", "recursive"):
         c = documents.chunks(md, "id", strategy=s, size=64, overlap=8)
         assert c.agg(F.max("n_tokens")).first()[0] <= 64 and {r.id for r in c.select("id").distinct().collect()} == {1}
-    assert documents.parse_html("<h1>T</h1><script>x</script><p>a  b</p>") == ("T", [("h1", "T", "T"), ("p", "a b", "T")])
+    assert documents.parse_html("<h1>T</h1><script>x</script><p>a  b</p>") == ("T", [("heading_1", "T", "T"), ("p", "a b", "T")])
     assert [r.kind for r in documents.markdown_blocks(md, "id").orderBy("block").collect()] == ["heading", "paragraph", "heading", "paragraph"]
     v = documents.hashed_vectors(md, "id", dims=64).collect()
     assert all(len(r.vector) == 64 for r in v)
 
 
+def test_html_that_is_not_tidy():
+    # words of inline tags are apart; a block that never closes is dropped; a script hides tags and closes nothing
+    html = "<title>Own</title><h2>One</h2><p>a<b>b</b>c<p>d &amp; e</p><li>lost<td>kept<script></td><p>no</p></script> too</td><h1> </h1><blockquote>tail"
+    assert documents.parse_html(html) == ("Own", [("heading_2", "One", "One"), ("p", "d & e", "One"), ("td", "kept too", "One")])
+    assert documents.parse_html("<p>x<i>y</i>z</p>") == ("", [("p", "x y z", "")])
+    assert documents.parse_html("<h3>First</h3><title></title>")[0] == "First" and documents.parse_html(None) == ("", [])
+
+
+def test_chunks_by_hand():
+    text = "# Top\n\none two\nthree. four\n\n## Sub\n\nfive six seven. eight nine ten eleven twelve"
+    cut = documents.chunk_text
+    assert documents.text_blocks(text) == [("Top", "Top"), ("Top", "one two three. four"), ("Sub", "Sub"), ("Sub", "five six seven. eight nine ten eleven twelve")]
+    assert cut(text, "paragraph", 32, 0) == [("Top", 1, "Top"), ("Top", 5, "one two three. four"), ("Sub", 1, "Sub"), ("Sub", 9, "five six seven. eight nine ten eleven twelve")]
+    assert cut(text, "heading", 32, 0) == [("Top", 6, "Top\n\none two three. four"), ("Sub", 10, "Sub\n\nfive six seven. eight nine ten eleven twelve")]
+    assert cut(text, "token", 7, 2) == [("Top", 7, "Top\n\none two three. four\n\nSub"), ("Top", 7, "four\n\nSub\n\nfive six seven. eight"), ("Sub", 6, ". eight nine ten eleven twelve")]
+    # recursive: blocks are packed up to 7 tokens; the long one is cut behind a sentence end in the window's second half
+    assert cut(text, "recursive", 7, 1) == [
+        ("Top", 7, "Top\n\none two three. four\n\nSub"), ("Sub", 7, "five six seven. eight nine ten"), ("Sub", 3, "ten eleven twelve"),
+    ]
+    assert cut("a b c d e. f g h i j k l", "recursive", 8, 2) == [("", 6, "a b c d e."), ("", 8, "e. f g h i j k"), ("", 3, "j k l")]
+    assert cut("", "recursive", 8, 2) == cut(" \n", "token", 8, 2) == []
+
+
+def test_assign_splits(spark):
+    df = spark.range(100).selectExpr("id", "if(id < 70, 'a', if(id < 97, 'b', null)) label", "cast(id % 13 as string) g")
+    shares = {"train": 0.7, "validation": 0.2, "test": 0.1}
+    n = {(r.label, r.split): r["count"] for r in prepare.assign_splits(df, "id", shares, "stratified", "label").groupBy("label", "split").count().collect()}
+    want = {(k, s): c for k, m in (("a", 70), ("b", 27), (None, 3)) for s, c in zip(shares, prepare.largest_remainder(m, list(shares.values())), strict=True) if c}
+    assert n == want
+    got = prepare.assign_splits(df, "id", shares, "random")
+    assert got.exceptAll(prepare.assign_splits(df, "id", shares, "random")).isEmpty() and got.groupBy("split").count().where("split = 'train' and count = 70").count() == 1
+    g = prepare.assign_splits(df, "id", shares, "group", "g")
+    assert g.count() == 100 and g.groupBy("g").agg(F.count_distinct("split").alias("k")).where("k > 1").isEmpty()
+    manual = spark.createDataFrame([(1, "test"), (2, "train")], "id long, split string")
+    assert prepare.assign_splits(df, "id", {}, "manual", manual=manual).where("split is not null").count() == 2
+    assert prepare.assign_splits(df.where("false"), "id", shares, "stratified", "label").count() == 0
+
+
 def test_naive_bayes(spark):
     df = spark.createDataFrame([(1, "the cat and the dog", "en"), (2, "le chat et le chien", "fr"), (3, "qq", None)], "id long, text string, l string")
     model = documents.bayes_fit(df, "l", documents.tfidf_vocabulary(df))
