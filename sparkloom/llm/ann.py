@@ -1,18 +1,19 @@
 """Approximate nearest neighbours by a forest of random-projection trees.
 
-Trees are fitted on a bounded sample (MAX_SAMPLE vectors); every vector is then indexed, one leaf a tree. A query walks
-all trees through one shared priority queue, nearest margins first, and so visits the leaves most likely to hold its
-neighbours; candidates of these leaves are reranked by exact Euclidean distance in double precision. How many leaves a
-query visits is set by an audit: for a few queries the exact neighbours are found by a full scan, and the smallest
-number of leaves that recalls `recall` of them is taken.
+Trees are fitted on a bounded sample (SAMPLE_BYTES of vectors); their depth follows the number of vectors, so that a leaf
+holds about LEAF of them, as long as the sample has four for each leaf. Every vector is then indexed, one leaf a tree. A
+query walks all trees through one shared priority queue, nearest margins first, and so visits the leaves most likely to
+hold its neighbours; candidates of these leaves are reranked by exact Euclidean distance in double precision. How many
+leaves a query visits is set by an audit: for AUDIT queries the exact neighbours are found by a full scan, and the
+smallest number of leaves that recalls `recall` of them is taken; both figures are columns of the result.
 
 Equal vectors are indexed once, with their k + 1 smallest ids: no other can be among k nearest, ties going to the
 smaller id. Large leaves are split into chunks, each ranked in its own task, which return at most k + 1 rows a query.
 
-Cases: vectors that are null, empty, zero or hold null or non-finite components, and rows without id, take no part; so
-do vectors whose length is not the most frequent one (the smaller of equally frequent lengths); repeated ids count once
-for each different vector; fewer than k candidates: all are returned; an empty table gives no rows; extra columns are
-not read.
+Cases: vectors that are null, empty, zero or hold null or non-finite components, and rows without id, take no part;
+vectors of different lengths have no distance, so each length has a forest of its own; repeated ids count once for each
+different vector; fewer than k candidates: all are returned; an empty table gives no rows; extra columns are not read,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +31,9 @@ from pyspark.sql import types as T
 from .common import cut
 from .vectors import doubles, usable
 
-MAX_SAMPLE, TREES, LEAVES = 16_384, 4, 64
+#: Bytes of the vectors that the trees are fitted on, trees, and vectors that a leaf is to hold.
+SAMPLE_BYTES, TREES, LEAF = 8 << 20, 4, 1024
+#: Queries of an audit, and vectors of a leaf that are ranked in one task.
 AUDIT, CHUNK = 64, 8192
 
 
@@ -69,7 +72,7 @@ class Forest:
                 children[i] = [grow(part[~right], depth - 1), grow(part[right], depth - 1)]
                 return i
 
-            root = grow(np.arange(len(x)), max(0, int(np.log2(leaves)))) if len(x) else -1
+            root = grow(np.arange(len(x)), int(np.ceil(np.log2(leaves)))) if len(x) else -1
             if root < 0:
                 normals, offsets, children, n_leaves = [np.zeros(x.shape[1])], [np.inf], [[-1, -1]], 1
             out.append((np.array(normals), np.array(offsets), np.array(children)))
@@ -125,22 +128,27 @@ def _top(dist: np.ndarray, k: int) -> np.ndarray:
 
 
 def nearest(df: DataFrame, k: int = 10, every: int = 100, recall: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """op3: query_id, rank, vec_id, score of the k nearest of each row whose id is divisible by `every`."""
-    spark = df.sparkSession
-    schema = "query_id long, rank int, vec_id long, score double"
+    """op3: query_id, rank, vec_id, score of the k nearest of each row whose id is divisible by `every`; visits (leaves
+    visited by a query) and audit_recall (of them)."""
     rows = doubles(df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")), "v").where(usable("v") & F.col("id").isNotNull())
-    sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if sizes is None:
-        return spark.createDataFrame([], schema)
-    d = sizes["d"]
-    rows = cut(_packed(rows.where(F.size("v") == d)).distinct())
+    lengths = sorted(r["d"] for r in rows.groupBy(F.size("v").alias("d")).agg(F.lit(1)).collect())  # as many as there are lengths
+    out = df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double, visits int, audit_recall double")
+    for d in lengths:
+        out = out.unionByName(_of_length(rows.where(F.size("v") == d), d, k, every, recall))
+    return out
+
+
+def _of_length(rows: DataFrame, d: int, k: int, every: int, recall: float) -> DataFrame:
+    """The result for the vectors of one length."""
+    rows = cut(_packed(rows).distinct())
     first = F.row_number().over(Window.partitionBy("v").orderBy("id"))
     classes = cut(rows.withColumn("k", first).where(F.col("k") <= k + 1).groupBy("v").agg(F.min("id").alias("cls"), F.sort_array(F.collect_list("id")).alias("ids")))
     queries = rows.where(F.col("id") % every == 0).join(classes.select("v", "cls"), "v").select("id", "cls")
     asked = classes.join(queries.select("cls").distinct(), "cls", "left_semi").select("cls", "v")
-    sample = _matrix(classes.orderBy(F.xxhash64("cls"), "cls").limit(MAX_SAMPLE).select("v").toPandas()["v"], d)
-    forest = Forest.fit(sample, TREES, LEAVES)
-    visits = _audit(forest, classes, asked, d, k, recall)
+    n, held = classes.count(), max(8, SAMPLE_BYTES // (8 * d))
+    sample = _matrix(classes.orderBy(F.xxhash64("cls"), "cls").limit(held).select("v").toPandas()["v"], d)
+    forest = Forest.fit(sample, TREES, max(1, min(-(-n // LEAF), len(sample) // 4)))
+    visits, reached = _audit(forest, classes, asked, d, k, recall)
 
     def index(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
@@ -178,7 +186,7 @@ def nearest(df: DataFrame, k: int = 10, every: int = 100, recall: float = 0.95,
     best = found.groupBy("cls", "id").agg(F.min("score").alias("score")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1)
     own = Window.partitionBy("query_id", "cls").orderBy("score", "id")
     out = queries.withColumnRenamed("id", "query_id").join(best.drop("r"), "cls").where("query_id <> id").withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k)
-    return out.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
+    return out.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score", F.lit(visits).alias("visits"), F.lit(reached).alias("audit_recall"))
 
 
 def exact(classes: DataFrame, q: np.ndarray, d: int, k: int) -> list[np.ndarray]:
@@ -199,17 +207,16 @@ def exact(classes: DataFrame, q: np.ndarray, d: int, k: int) -> list[np.ndarray]
     return [_matrix(best[best["q"] == i].sort_values("r")["v"], d) if (best["q"] == i).any() else np.zeros((0, d)) for i in range(len(q))]
 
 
-def _audit(forest: Forest, classes: DataFrame, asked: DataFrame, d: int, k: int, recall: float) -> int:
-    """How many leaves a query must visit, by the exact neighbours of at most AUDIT queries."""
+def _audit(forest: Forest, classes: DataFrame, asked: DataFrame, d: int, k: int, recall: float) -> tuple[int, float]:
+    """How many leaves a query must visit, by the exact neighbours of at most AUDIT queries, and the recall of so many."""
     picked = asked.orderBy(F.xxhash64("cls"), "cls").limit(AUDIT).toPandas()
-    if not len(picked):
-        return 1
     q = _matrix(picked["v"], d)
     needed: list[int] = []
-    for v, truth in zip(q, exact(classes, q, d, k), strict=True):
+    for v, truth in zip(q, exact(classes, q, d, k) if len(q) else (), strict=True):
         if len(truth):
             at = {x: i for i, x in enumerate(forest.order(v), 1)}
             needed += [min(at[t, int(leaf)] for t, leaf in enumerate(row)) for row in forest.assign(truth)]
     if not needed:
-        return 1
-    return int(np.sort(needed)[max(0, int(np.ceil(recall * len(needed))) - 1)])
+        return 1, 1.0
+    visits = int(np.sort(needed)[max(0, int(np.ceil(recall * len(needed))) - 1)])
+    return visits, float(np.mean(np.array(needed) <= visits))

@@ -282,13 +282,13 @@ def loaded(path: str, kind: type = PrefixBpe) -> TokenBytes:
 
 def bpe_encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", keep: list[str] | None = None) -> DataFrame:
     """keep (all others by default) and ids_col: the ids of text_col as packed little-endian unsigned 32-bit binary."""
-    src, fields = with_text(df, [c for c in (df.columns if keep is None else keep) if c not in (text_col, ids_col)], text_col)
+    src, fields, at = with_text(df, [c for c in (df.columns if keep is None else keep) if c not in (text_col, ids_col)], text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = loaded(path)
         for whole in batches:
-            for b in by_bytes(whole, len(fields)):
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], model.encode_column(b.columns[-1])], [*[f.name for f in fields], ids_col])
+            for b in by_bytes(whole, at):
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(fields)], model.encode_column(b.column(at).fill_null(""))], [*[f.name for f in fields], ids_col])
 
     return src.mapInArrow(run, T.StructType([*fields, T.StructField(ids_col, T.BinaryType())]))
 

@@ -98,9 +98,13 @@ def text_or_empty(c: str | Column = "text") -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
-def with_text(df: DataFrame, keep: list[str] | None, text: str = "text") -> tuple[DataFrame, list[T.StructField]]:
-    """The columns to keep (doc_id as long unless named) and at the end the text, null as the empty one, all under names
-    that can't clash or be misread; and the fields of the columns kept."""
+def with_text(df: DataFrame, keep: list[str] | None, text: str = "text") -> tuple[DataFrame, list[T.StructField], int]:
+    """The columns to keep (doc_id as long unless named) and, unless it is one of them, the text, all under names that
+    can't clash or be misread; the fields of the columns kept; and where the text stands (nulls not filled)."""
     fields = [T.StructField("doc_id", T.LongType())] if keep is None else [next(f for f in df.schema.fields if f.name == c) for c in keep]
-    kept = [F.col(f"`{f.name}`").cast(f.dataType).alias(f"c{i}") for i, f in enumerate(fields)]
-    return df.select(*kept, text_or_empty(text).alias(f"c{len(kept)}")), fields
+    columns = [F.col(f"`{f.name}`").cast(f.dataType) for f in fields]
+    own = next((f for f in df.schema.fields if f.name == text), None)
+    at = fields.index(own) if own in fields and isinstance(own.dataType, T.StringType) else len(fields)
+    if at == len(fields):
+        columns.append(F.col(f"`{text}`").cast("string"))
+    return df.select(*[c.alias(f"c{i}") for i, c in enumerate(columns)]), fields, at

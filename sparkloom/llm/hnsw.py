@@ -1,34 +1,37 @@
 """Embedding near-duplicates by hierarchical navigable small-world graphs, one for each shard.
 
-Vectors are dealt to shards within their label. Each shard builds its graph; every vector queries the graph of every
-shard of its label; what the beams bring back is verified by cosine in double precision and unioned. Each task audits
-itself: for a sample of its vectors the true links are found by brute force, and beams are widened until the links
-found reach the asked recall. Within each group so connected, all links are counted exactly, in blocks, so a dense
-group is neither capped nor emitted as pairs: a task returns one row for each vector. Groups of several tasks meet in
-distributed connected components.
+Vectors are dealt to shards within their label. Each shard's graph is built once and stored; then every vector queries the
+graph of every shard of its label; what the beams bring back is verified by cosine in double precision and unioned. Each
+task audits itself: vectors are drawn, and their true links found by brute force, until LINKED of them have links or
+all are drawn; beams are widened until the links found, as a mean over these vectors, reach the asked recall. Within each
+group so connected, all links are counted exactly, in blocks, so a dense group is neither capped nor emitted as pairs: a
+task returns one row for each vector. Groups of several tasks meet in distributed connected components.
 
 Equal vectors of a label are one vector with a count. Shards hold about SHARD vectors; a task holds two shards.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components, and vectors without label, have no
 links and are their own component; vectors of different lengths don't link; a null id is a row of its own with a null
 component, not kept; repeated ids share the links of all their rows; an empty table gives no rows; extra columns are
-not read.
+not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import heapq
+import io
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ann import _matrix, _packed
+from .ann import _packed
 from .common import connected_components, cut
 from .vectors import doubles, usable
 
-SHARD, DEGREE, BUILD_BEAM, AUDIT = 6144, 10, 32, 48
+SHARD, DEGREE, BUILD_BEAM = 6144, 10, 32
+#: Vectors with links that an audit waits for.
+LINKED = 32
 
 
 class Hnsw:
@@ -43,6 +46,27 @@ class Hnsw:
         for i in range(n):
             self._add(i, int(top[i]), degree, beam)
 
+    def to_bytes(self) -> bytes:
+        """The graph without its vectors: of each level the nodes, how many links each has, and these."""
+        out = io.BytesIO()
+        np.save(out, np.array([self.entry, self.height, len(self.links)], np.int32))
+        for level in self.links:
+            for part in (list(level), [len(v) for v in level.values()], [j for v in level.values() for j in v]):
+                np.save(out, np.array(part, np.int32))
+        return out.getvalue()
+
+    @classmethod
+    def from_bytes(cls, raw: bytes, x: np.ndarray) -> Hnsw:
+        self, src = cls.__new__(cls), io.BytesIO(raw)
+        self.x = x
+        self.entry, self.height, levels = np.load(src).tolist()
+        self.links = []
+        for _ in range(levels):
+            nodes, sizes, flat = (np.load(src).tolist() for _ in range(3))
+            ends = np.cumsum([0, *sizes]).tolist()
+            self.links.append({i: flat[a:b] for i, a, b in zip(nodes, ends[:-1], ends[1:], strict=True)})
+        return self
+
     def _add(self, i: int, level: int, degree: int, beam: int) -> None:
         start = [self.entry]
         for h in range(self.height, -1, -1):
@@ -114,23 +138,38 @@ class Hnsw:
         return [j for _, j in self._search(q, start, beam, 0)]
 
 
-def linked(a: np.ndarray, b: np.ndarray | None, least: float, weight_a: np.ndarray, weight_b: np.ndarray | None = None, recall: float = 0.99, beam: int = 24, seed: int = 5):
-    """(links of each row, group of each row) within a, or between the rows of a and b (stacked).
+def audited(x: np.ndarray, side: np.ndarray | None, least: float, seed: int = 5, chunk: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors that have links, drawn at random until LINKED are found or none is left, and their links (a row each)."""
+    order, found, truths, n = np.random.default_rng(seed).permutation(len(x)), [], [], 0
+    for i in range(0, len(order), chunk):
+        part = order[i : i + chunk]
+        hit = x[part] @ x.T >= least
+        hit[np.arange(len(part)), part] = False
+        if side is not None:
+            hit &= side[part][:, None] != side[None]
+        own = np.flatnonzero(hit.any(axis=1))[: LINKED - n]
+        found.append(part[own])
+        truths.append(hit[own])
+        n += len(own)
+        if n >= LINKED:
+            break
+    return np.concatenate([np.zeros(0, int), *found]), np.concatenate([np.zeros((0, len(x)), bool), *truths])
+
+
+def linked(a: np.ndarray, b: np.ndarray | None, least: float, weight_a: np.ndarray, weight_b: np.ndarray | None = None, graphs: list[Hnsw] | None = None, recall: float = 0.99, beam: int = 24) -> tuple[np.ndarray, np.ndarray, float]:
+    """(links of each row, group of each row, recall of the audit) within a, or between the rows of a and b (stacked).
 
-    a, b: unit vectors. A row's links are the weights of the rows linked to it.
+    a, b: unit vectors. A row's links are the weights of the rows linked to it. graphs: those of a and b.
     """
     x = a if b is None else np.vstack([a, b])
     weight = weight_a if b is None else np.concatenate([weight_a, weight_b])
     n, m = len(x), len(a)
     side = np.zeros(n, int) if b is None else np.repeat([0, 1], [m, n - m])
-    targets = [(Hnsw(a), 0, range(n) if b is None else range(m, n))]
-    if b is not None:
-        targets.append((Hnsw(b), m, range(m)))
-    audit = np.random.default_rng(seed).permutation(n)[:AUDIT]
-    truth = x[audit] @ x.T >= least
-    truth[np.arange(len(audit)), audit] = False
+    graphs = graphs or [Hnsw(part) for part in ([a] if b is None else [a, b])]
+    targets = [(graphs[0], 0, range(n) if b is None else range(m, n))]
     if b is not None:
-        truth &= side[audit][:, None] != side[None]
+        targets.append((graphs[1], m, range(m)))
+    audit, truth = audited(x, None if b is None else side, least)
     while True:
         root = np.arange(n)
 
@@ -148,8 +187,9 @@ def linked(a: np.ndarray, b: np.ndarray | None, least: float, weight_a: np.ndarr
                     if p != q:
                         root[max(p, q)] = min(p, q)
         group = np.array([find(i) for i in range(n)], int)
-        same = (truth & (group[audit][:, None] == group[None])).sum()
-        if same >= recall * truth.sum() or beam >= n:
+        same = (truth & (group[audit][:, None] == group[None])).sum(axis=1)
+        reached = float((same / truth.sum(axis=1)).mean()) if len(audit) else 1.0
+        if reached >= recall or beam >= n:
             break
         beam *= 2
     count, order = np.zeros(n), np.argsort(group, kind="stable")
@@ -161,43 +201,54 @@ def linked(a: np.ndarray, b: np.ndarray | None, least: float, weight_a: np.ndarr
                 if b is not None:
                     hit &= side[part[i : i + 1024]][:, None] != side[part][None]
                 count[part[i : i + 1024]] += hit @ weight[part]
-    return count.astype(np.int64), group
+    return count.astype(np.int64), group, reached
 
 
 def near_duplicates(df: DataFrame, least: float = 0.93, shard: int = SHARD, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
-    """op10: vec_id, n_links, component_id, kept of every row."""
+    """op10: vec_id, n_links, component_id, kept of every row, and the least recall that the audits of its tasks reached."""
     src = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"), F.col(label_col).cast("string").alias("label"))
     rows = doubles(src, "v").where(usable("v") & F.col("label").isNotNull() & F.col("id").isNotNull())
     packed = cut(_packed(rows.select("id", "label", "v")).distinct())
     classes = cut(packed.groupBy("label", "v").agg(F.min("id").alias("cls"), F.count(F.lit(1)).alias("weight")).withColumn("d", F.octet_length("v")))
     sizes = classes.groupBy("label", "d").count().withColumn("shards", F.ceil(F.col("count") / shard).cast("int")).drop("count")
-    # a class of one shard meets every shard of its label and length, itself included: the task of a pair of shards
     dealt = classes.join(sizes, ["label", "d"]).withColumn("s", F.pmod(F.xxhash64("cls", "v"), F.col("shards")).cast("int"))
-    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
-    dealt = dealt.select("label", "d", F.least("s", "o").alias("s1"), F.greatest("s", "o").alias("s2"), "s", "cls", "weight", "v")
 
-    def task(p: pd.DataFrame) -> pd.DataFrame:
-        x = _matrix(p["v"], int(p["d"].iloc[0]) // 8)
+    def unit(raw: bytes, d: int) -> np.ndarray:
+        x = np.frombuffer(raw, ">f8").reshape(-1, d // 8).astype(np.float64)
         x = x / np.abs(x).max(axis=1, keepdims=True)
-        x = x / np.linalg.norm(x, axis=1, keepdims=True)
-        order = np.lexsort((p["cls"].to_numpy(), p["s"].to_numpy()))
-        p, x = p.iloc[order], x[order]
-        w, s, s1, s2 = p["weight"].to_numpy(float), p["s"].to_numpy(), int(p["s1"].iloc[0]), int(p["s2"].iloc[0])
-        if s1 == s2:
-            n, group = linked(x, None, least, w)
-        else:
-            m = int((s == s1).sum())
-            n, group = linked(x[:m], x[m:], least, w[:m], w[m:])
-        return pd.DataFrame({"label": p["label"].to_numpy(), "cls": p["cls"].to_numpy(), "v": p["v"].to_numpy(), "n": n, "root": p["cls"].to_numpy()[group]})
-
-    found = cut(dealt.groupBy("label", "d", "s1", "s2").applyInPandas(task, "label string, cls long, v binary, n long, root long"))
-    n = found.groupBy("label", "v").agg(F.sum("n").alias("n"))
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    def build(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.iloc[np.lexsort((p["v"].to_numpy(), p["cls"].to_numpy()))]
+        d, raw = int(p["d"].iloc[0]), b"".join(p["v"])
+        first = {c: [p[c].iloc[0]] for c in ("label", "d", "s", "shards")}
+        packed = {"cls": [p["cls"].to_numpy(np.int64).tobytes()], "weight": [p["weight"].to_numpy(np.int64).tobytes()], "v": [raw], "graph": [Hnsw(unit(raw, d)).to_bytes()]}
+        return pd.DataFrame(first | packed)
+
+    # one row a shard: its vectors and its graph, built once
+    shards = cut(dealt.groupBy("label", "d", "s").applyInPandas(build, "label string, d int, s int, shards int, cls binary, weight binary, v binary, graph binary"))
+    # a shard meets every shard of its label and length, itself included: the task of a pair of shards
+    met = shards.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
+    met = met.withColumn("s1", F.least("s", "o")).withColumn("s2", F.greatest("s", "o"))
+
+    def task(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("s")
+        d = int(p["d"].iloc[0])
+        x = [unit(raw, d) for raw in p["v"]]
+        w = [np.frombuffer(raw, np.int64).astype(float) for raw in p["weight"]]
+        graphs = [Hnsw.from_bytes(raw, part) for raw, part in zip(p["graph"], x, strict=True)]
+        n, group, reached = linked(x[0], x[1] if len(x) > 1 else None, least, w[0], w[1] if len(w) > 1 else None, graphs)
+        cls, raw = np.concatenate([np.frombuffer(c, np.int64) for c in p["cls"]]), b"".join(p["v"])
+        return pd.DataFrame({"label": p["label"].iloc[0], "cls": cls, "v": [raw[i : i + d] for i in range(0, len(raw), d)], "n": n, "root": cls[group], "recall": reached})
+
+    found = cut(met.groupBy("label", "d", "s1", "s2").applyInPandas(task, "label string, cls long, v binary, n long, root long, recall double"))
+    n = found.groupBy("label", "v").agg(F.sum("n").alias("n"), F.min("recall").alias("recall"))
     same = packed.join(classes.select("label", "v", "cls", "weight"), ["label", "v"]).join(n, ["label", "v"], "left")
-    same = same.select("id", "cls", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n"))
+    same = same.select("id", "cls", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n"), "recall")
     edges = found.select(F.col("cls").alias("src"), F.col("root").alias("dst")).unionByName(same.select(F.col("id").alias("src"), F.col("cls").alias("dst"))).where("src <> dst")
     comps = connected_components(edges)
-    per_id = same.groupBy("id").agg(F.sum("n").cast("long").alias("n_links"))
+    per_id = same.groupBy("id").agg(F.sum("n").cast("long").alias("n_links"), F.min("recall").alias("audit_recall"))
     every = df.select(F.col(id_col).cast("long").alias("vec_id"))
     out = every.join(per_id, every.vec_id == per_id.id, "left").drop("id").join(comps, F.col("vec_id") == comps.node, "left")
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").cast("long").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").cast("long").alias("component_id"), "audit_recall")
+    return out.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"), "audit_recall")

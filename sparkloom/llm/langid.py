@@ -42,7 +42,7 @@ SCRIPTS = (
 )
 SWITCH = 8.0
 #: Bytes of text whose words are scored together.
-SLICE = 2 << 20
+SLICE = 4 << 20
 
 
 def script(word: str) -> str:
@@ -250,13 +250,13 @@ def fit(df: DataFrame, max_rows: int = MAX_ROWS, max_all: int = MAX_ALL, max_cha
 
 def predict(df: DataFrame, model: Model, keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """The columns of df to keep (doc_id unless named) with prediction and score of every row; nothing is shuffled."""
-    src, fields = with_text(df, keep)
+    src, fields, at = with_text(df, keep)
     n = len(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in by_bytes(whole, n, SLICE):
-                got = model.predict(b.column(n).to_pylist())
+            for b in by_bytes(whole, at, SLICE):
+                got = model.predict(b.column(at).to_pylist())
                 new = [pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())]
                 yield pa.RecordBatch.from_arrays([*b.columns[:n], *new], [*[f.name for f in fields], *names])
 

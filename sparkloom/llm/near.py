@@ -4,17 +4,16 @@ Candidates come from two indexes and every one is verified on the whole shingle
 
 * the byte-position index of simhash.py over 64-bit fingerprints of the 5-word shingles, which pairs lightly edited
   copies (at most 3 bits apart);
-* for what fingerprints of 64 bits can't tell from unlike texts (at similarity 0.8 they differ in some ten bits), an index
-  of shingles. Two sets of sizes n and m that are that similar share a shingle among the first n - ceil(0.8 n) + 1 and
-  m - ceil(0.8 m) + 1 of any common order. The order puts shingles that a sample finds common last and the rest by hash.
-  Of shingles in hash order the first K do: what is first in the union of two sets lies in both with the chance of their
-  similarity, so that all K miss with the chance (1 - similarity) ** K, and K is chosen to keep that below MISS for every
-  pair. Texts of which the common shingles are too large a part keep the whole prefix.
-
-Of two entries of one shingle, the places leave an upper bound of the overlap; pairs whose bound is too low are left out
-before their texts are compared. Texts with the same words are one class. Each class is first compared with the leading
-entry of each of its shingles; the second round compares only pairs of components that the first left apart, so that a
-dense group of near copies costs little more than its size.
+* for what fingerprints of 64 bits can't tell from unlike texts (at similarity 0.8 they differ in some ten bits), BANDS
+  keys of each text, each of the least hashes of its shingles under ROWS random functions. Two texts of similarity s
+  share a key with the chance 1 - (1 - s ** ROWS) ** BANDS: all but 8 of a million pairs at 0.8, all but one of ten
+  million at 0.84; texts with a passage in common (0.25 of their shingles, say) meet twice in a thousand.
+
+Texts with the same words are one class. Pairs whose numbers of shingles rule out the similarity are left out. Classes of
+a key that at most HOT have are paired: each class's pair with most keys in common is verified first, then of the others
+those that join two components. Classes that meet on keys of more than HOT make clusters; a cluster's pairs aren't
+written out, but its sets are compared block by block, each pair of blocks (of BLOCK shingles together) in a task, which
+takes what is reached out of the comparison and returns a forest: a dense group costs little more than its size.
 
 Cases: case and white space don't count; null text and white space only are one class; fewer words than a shingle are
 one shingle; texts of any length are read whole; an empty table gives no rows; ids and other columns are not read, but
@@ -26,6 +25,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -37,12 +37,12 @@ from .common import connected_components, cut
 from .pieces import by_bytes, column_bytes
 
 SHINGLE = 5
-#: Texts of the sample that finds common shingles (only the cost depends on it), and their greatest length.
-SAMPLE, SAMPLE_CHARS = 2000, 100_000
+#: Keys of a text, and how many least hashes make one.
+BANDS, ROWS = 50, 7
+#: Classes of a key that are paired one by one, and shingles of a cluster's block.
+HOT, BLOCK = 16, 1 << 20
 #: Bytes of text taken together.
 SLICE = 2 << 20
-#: Chance that the shortened prefixes of two similar texts share nothing.
-MISS = 1e-8
 #: Classes that are broadcast at most (more are joined by a shuffle).
 BROADCAST = 500_000
 
@@ -82,21 +82,24 @@ def shingles(texts: pa.Array) -> list[np.ndarray]:
     return out
 
 
-def prefix(found: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Of distinct shingles, least common first, those of which a similar text has one."""
-    n = len(found)
-    if not n:
-        return found
-    times = np.zeros(n, np.int64)
-    if len(common):
-        i = np.minimum(np.searchsorted(common, found), len(common) - 1)
-        times = np.where(common[i] == found, counts[i], 0)
-    size, rare = n - (4 * n + 4) // 5 + 1, int((times == 0).sum())
-    # of shingles that aren't common, a similar text has this part at least
-    part = (0.8 * n - (n - rare)) / max(rare, 1)
-    if size <= rare and part > 0.2:
-        size = min(size, int(np.ceil(np.log(MISS) / np.log(1 - part))))
-    return found[np.lexsort((found, times))[:size]]
+def _functions() -> tuple[np.ndarray, np.ndarray]:
+    """An odd factor and a summand of each of the random functions."""
+    h = _mixed(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return h[: BANDS * ROWS] | np.uint64(1), h[BANDS * ROWS :]
+
+
+def keys(found: np.ndarray, chunk: int = 1024) -> np.ndarray:
+    """The keys of a set of shingles (unsigned hashes); none of an empty set."""
+    if not len(found):
+        return np.zeros(0, np.int64)
+    factor, summand = _functions()
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(found), chunk):
+        least = np.minimum(least, (found[i : i + chunk, None] * factor + summand).min(axis=0))
+    out = np.arange(BANDS, dtype=np.uint64)
+    for row in least.reshape(BANDS, ROWS).T:
+        out = _mixed(out + row)
+    return out.view(np.int64)
 
 
 def text_class() -> Column:
@@ -114,23 +117,6 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(text_class().alias("class"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
-def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles of three or more texts of the sample, sorted, and of how many."""
-    some = docs.where(F.length("text") <= SAMPLE_CHARS).select("text").orderBy(F.xxhash64("text")).limit(SAMPLE)
-    texts = _texts(some).dropDuplicates(["class"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in by_bytes(whole, 1, SLICE):
-                for s in shingles(b.column(1)):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.unique(s.view(np.int64)))], ["tok"])
-
-    found = texts.mapInArrow(run, "tok long").groupBy("tok").agg(F.count(F.lit(1)).alias("k")).where("k >= 3").toArrow()
-    tok, k = found.column("tok").to_numpy(), found.column("k").to_numpy()
-    order = np.argsort(tok)
-    return tok[order], k[order]
-
-
 def _lists(parts: list[np.ndarray]) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
     return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, np.int64), *parts])))
@@ -148,18 +134,18 @@ def _sets(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "class long, n int, toks array<long>")
 
 
-def _heads(texts: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """class, n, toks (the prefix) and fp (the fingerprint) of every row of class and text."""
+def _heads(texts: DataFrame) -> DataFrame:
+    """class, n, keys and fp (the fingerprint) of every row of class and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in by_bytes(whole, 1, SLICE):
                 every = shingles(b.column(1))
-                sets = [np.unique(s.view(np.int64)) for s in every]
+                sets = [np.unique(s) for s in every]
                 fp = np.array([simhash.majority(s) for s in every], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t) for t in sets], pa.int32()), _lists([prefix(t, *common) for t in sets]), pa.array(fp)], ["class", "n", "toks", "fp"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t) for t in sets], pa.int32()), _lists([keys(t) for t in sets]), pa.array(fp)], ["class", "n", "keys", "fp"])
 
-    return texts.mapInArrow(run, "class long, n int, toks array<long>, fp long")
+    return texts.mapInArrow(run, "class long, n int, keys array<long>, fp long")
 
 
 def _pair(x: str, y: str) -> list[Column]:
@@ -167,21 +153,71 @@ def _pair(x: str, y: str) -> list[Column]:
 
 
 def _possible(x: str, y: str) -> Column:
-    """Whether two entries of a shingle that is the first the prefixes share leave room for the similarity."""
-    return F.expr(f"9 * least({x}n - {x}at, {y}n - {y}at) >= 4 * ({x}n + {y}n)")
+    """Whether numbers of shingles leave room for the similarity."""
+    return F.expr(f"5 * least({x}, {y}) >= 4 * greatest({x}, {y})")
 
 
-def _similar(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pairs (src, dst) of classes whose shingle sets, taken whole, are similar."""
-    wanted = cut(pairs.select(F.explode(F.array("src", "dst")).alias("class")).distinct())
+def _whole(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """class, n and toks (all shingles) of the classes wanted."""
+    wanted = cut(wanted.distinct())
     if wanted.count() <= BROADCAST:
         wanted = F.broadcast(wanted)
-    sets = cut(_sets(_texts(docs).join(wanted, "class", "left_semi").dropDuplicates(["class"])))
+    return cut(_sets(_texts(docs).join(wanted, "class", "left_semi").dropDuplicates(["class"])))
+
+
+def _similar(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Pairs (src, dst) of classes whose shingle sets, taken whole, are similar."""
     x, y = (sets.select(F.col("class").alias(c), F.col("n").alias(f"n_{c}"), F.col("toks").alias(f"t_{c}")) for c in ("src", "dst"))
     shared = F.size(F.array_intersect("t_src", "t_dst"))
     return pairs.join(x, "src").join(y, "dst").where(9 * shared >= 4 * (F.col("n_src") + F.col("n_dst"))).select("src", "dst")
 
 
+def forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links (i, j) of similar sets that span the components of all such links.
+
+    Searches breadth first: whatever is reached leaves the sets still compared.
+    """
+    names, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    size = np.array([len(t) for t in sets])
+    has, edges = np.zeros(len(names), bool), []
+    left, left_flat, left_size = np.arange(len(sets)), flat, size
+    own = np.split(flat, np.cumsum(size)[:-1])
+    queue: list[int] = []
+    while len(left):
+        if not queue:
+            queue, stays = [int(left[0])], np.arange(len(left)) > 0
+        else:
+            i = queue.pop()
+            has[own[i]] = True
+            shared = np.add.reduceat(has[left_flat].astype(np.int64), np.cumsum(left_size) - left_size)
+            has[own[i]] = False
+            near = 9 * shared >= 4 * (left_size + size[i])
+            edges += [(i, int(j)) for j in left[near]]
+            queue += left[near].tolist()
+            stays = ~near
+        if not stays.all():
+            left_flat = left_flat[np.repeat(stays, left_size)]
+            left, left_size = left[stays], left_size[stays]
+    return edges
+
+
+def _clustered(sets: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Links within clusters (class, cluster), found block by block."""
+    d = sets.join(clusters, "class")
+    blocks = d.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+    d = d.join(blocks, "cluster").withColumn("b", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    d = d.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    d = d.select("cluster", F.least("b", "o").alias("b1"), F.greatest("b", "o").alias("b2"), "class", "toks")
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("class")
+        ids = p["class"].to_numpy()
+        e = np.array(forest(p["toks"].tolist()), np.int64).reshape(-1, 2)
+        return pd.DataFrame({"src": ids[e].min(axis=1), "dst": ids[e].max(axis=1)})
+
+    return d.groupBy("cluster", "b1", "b2").applyInPandas(run, "src long, dst long")
+
+
 def _by_fingerprint(heads: DataFrame) -> DataFrame:
     """Pairs of classes: the first of every fingerprint with the others of it, and with that of each linked one."""
     firsts = heads.groupBy("fp").agg(F.min("class").alias("least"))
@@ -191,24 +227,35 @@ def _by_fingerprint(heads: DataFrame) -> DataFrame:
     return same.unionByName(found.join(a, "src").join(b, "dst").select(*_pair("a", "b")))
 
 
+def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """Pairs (src, dst) of two components."""
+    a, b = comp.toDF("src", "ca"), comp.toDF("dst", "cb")
+    d = pairs.join(a, "src", "left").join(b, "dst", "left")
+    return d.where(F.coalesce("ca", "src") != F.coalesce("cb", "dst")).select("src", "dst")
+
+
 def links(docs: DataFrame) -> DataFrame:
-    """(src, dst) pairs of similar classes that span the components of all such pairs."""
-    heads = cut(_heads(_texts(docs), _common(docs)).dropDuplicates(["class"]))
-    index = heads.select("class", "n", F.posexplode("toks").alias("at", "tok"))
-    met = index.groupBy("tok").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("tok")
-    entries = cut(index.join(met, "tok"))
-    lead = entries.groupBy("tok").agg(F.min(F.struct("class", "n", "at")).alias("lead"))
-    shared = cut(entries.join(lead, "tok").select("tok", "class", "n", "at", F.col("lead.class").alias("lead_class"), F.col("lead.n").alias("lead_n"), F.col("lead.at").alias("lead_at")))
-    first = shared.where(F.col("class") != F.col("lead_class")).where(_possible("", "lead_")).select(*_pair("class", "lead_class"))
-    found = cut(_similar(docs, cut(first.unionByName(_by_fingerprint(heads.select("class", "fp"))).distinct())))
-    comp = connected_components(found)
-    mine, its = comp.toDF("class", "c"), comp.toDF("lead_class", "lead_c")
-    known = shared.join(mine, "class", "left").join(its, "lead_class", "left")
-    known = known.select("tok", "class", "n", "at", F.coalesce("c", "class").alias("c"), F.coalesce("lead_c", "lead_class").alias("lead_c"))
-    # of two components that meet, one at least is not the leading entry's
-    apart = known.where("c <> lead_c").alias("x").join(known.alias("y"), "tok").where(F.expr("x.c <> y.c")).where(_possible("x.", "y."))
-    rest = cut(apart.select(*_pair("x.class", "y.class")).distinct())
-    return found if rest.isEmpty() else found.unionByName(_similar(docs, rest))
+    """(src, dst) pairs of similar classes that span the components of all such pairs that a key or a fingerprint shows."""
+    heads = cut(_heads(_texts(docs)).dropDuplicates(["class"]))
+    index = heads.select("class", "n", F.explode("keys").alias("key"))
+    met = index.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("class").alias("lead")).where("k > 1")
+    entries = cut(index.join(met, "key"))
+    hot = entries.where(F.col("k") > HOT).select("class", "lead").where("class <> lead").distinct()
+    clusters = cut(connected_components(hot, "class", "lead").toDF("class", "cluster"))
+    few = entries.where(F.col("k") <= HOT).join(clusters, "class", "left").select("key", "class", "n", "cluster")
+    apart = F.expr("x.class < y.class and not coalesce(x.cluster = y.cluster, false)")
+    pairs = few.alias("x").join(few.alias("y"), "key").where(apart).where(_possible("x.n", "y.n"))
+    pairs = pairs.groupBy(F.col("x.class").alias("src"), F.col("y.class").alias("dst")).agg(F.count(F.lit(1)).alias("tally"))
+    prints = _by_fingerprint(heads.select("class", "fp")).withColumn("tally", F.lit(BANDS + 1).cast("long"))
+    pairs = cut(pairs.unionByName(prints).groupBy("src", "dst").agg(F.max("tally").alias("tally")))
+    sets = _whole(docs, pairs.select(F.explode(F.array("src", "dst")).alias("class")).unionByName(clusters.select("class")))
+    found = cut(_clustered(sets, clusters))
+    best = pairs.groupBy("src").agg(F.max_by("dst", F.struct("tally", -F.col("dst"))).alias("dst"))
+    best = best.unionByName(pairs.groupBy("dst").agg(F.max_by("src", F.struct("tally", -F.col("src"))).alias("src")))
+    found = cut(found.unionByName(_similar(sets, _apart(best.distinct(), connected_components(found)))))
+    tried = best.distinct().withColumn("tried", F.lit(True))
+    rest = cut(_apart(pairs.select("src", "dst"), connected_components(found)).join(tried, ["src", "dst"], "left_anti"))
+    return found if rest.isEmpty() else found.unionByName(_similar(sets, rest))
 
 
 def components(docs: DataFrame) -> DataFrame:

@@ -20,8 +20,7 @@ names.
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -87,39 +86,43 @@ def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 25) ->
     return w
 
 
-def separating(found: list[set[str]], marks: dict[str, np.ndarray], most: int = MOST) -> list[str]:
-    """The features of the vocabulary, best first.
+def separating(doc: np.ndarray, feature: np.ndarray, names: list[str], marks: dict[str, np.ndarray], n: int, most: int = MOST) -> list[int]:
+    """The features of the vocabulary, best first. doc, feature: which of n documents has which feature.
 
-    Of N documents, n1 of the category, k with a feature: k * n1 / N of these are expected, with the deviation of the
+    Of n documents, n1 of the category, k with a feature: k * n1 / n of these are expected, with the deviation of the
     hypergeometric distribution; half a document is taken off the difference. Of V features the best reaches about
     sqrt(2 ln V) deviations by chance.
     """
-    total = Counter(w for f in found for w in f)
-    n, best = len(found), dict.fromkeys(total, 0.0)
+    total = np.bincount(feature, minlength=len(names)).astype(float)
+    best = np.zeros(len(names))
     for y in marks.values():
         n1 = y.sum()
         if not 0 < n1 < n:
             continue
-        with_c = Counter(w for f, v in zip(found, y, strict=True) if v for w in f)
-        for w, k in total.items():
-            spread = (k * n1 / n * (n - n1) / n * (n - k) / max(n - 1, 1)) ** 0.5
-            if spread:
-                best[w] = max(best[w], (abs(with_c[w] - k * n1 / n) - 0.5) / spread)
-    chance = (2 * np.log(max(len(total), 1))) ** 0.5
-    ranked = sorted((w for w in best if best[w] > 0), key=lambda w: (-best[w], w))
-    return [w for i, w in enumerate(ranked[:most]) if i < LEAST or best[w] > chance]
+        with_c = np.bincount(feature, y[doc], len(names))
+        spread = np.sqrt(total * n1 / n * (n - n1) / n * (n - total) / max(n - 1, 1))
+        best = np.maximum(best, np.where(spread > 0, (np.abs(with_c - total * n1 / n) - 0.5) / np.maximum(spread, 1e-9), 0))
+    chance = (2 * np.log(max(len(names), 1))) ** 0.5
+    front = np.flatnonzero(best >= np.sort(best)[-most]) if len(names) > most else np.arange(len(names))
+    ranked = sorted(front[best[front] > 0].tolist(), key=lambda i: (-best[i], names[i]))[:most]
+    return [i for at, i in enumerate(ranked) if at < LEAST or best[i] > chance]
 
 
-def fit_chain(texts: list[str | None], labels: dict[str, list[int]], folds: int = 5, most: int = MOST) -> Chain:
+def fit_chain(texts: Iterable[str | None], labels: dict[str, list[int]], folds: int = 5, most: int = MOST) -> Chain:
     """labels: for each category, in the chain's order, 0 or 1 of every text."""
-    found = [words(t) for t in texts]
-    names = list(labels)
+    ids: dict[str, int] = {}
+    # numbers instead of words: what the driver holds of a text is a few bytes a feature
+    found = [np.array([ids.setdefault(w, len(ids)) for w in words(t)], np.int32) for t in texts]
+    names, every = list(labels), list(ids)
     y = {c: np.asarray(labels[c], float) for c in names}
-    chosen = separating(found, y, most)
-    vocabulary = {w: i for i, w in enumerate(chosen)}
+    doc, feature = np.repeat(np.arange(len(found)), [len(f) for f in found]), np.concatenate([np.zeros(0, np.int32), *found])
+    chosen = separating(doc, feature, every, y, len(found), most)
+    vocabulary = {every[k]: i for i, k in enumerate(chosen)}
+    column = np.full(len(every), -1, np.int32)
+    column[chosen] = np.arange(len(chosen))
     x = np.zeros((len(found), len(chosen)))
-    for i, f in enumerate(found):
-        x[i, [vocabulary[w] for w in f if w in vocabulary]] = 1
+    held = column[feature] >= 0
+    x[doc[held], column[feature[held]]] = 1
     fold, weights = np.arange(len(found)) % folds, []
     for c in names:
         if not 0 < y[c].sum() < len(found):
@@ -161,15 +164,15 @@ def fit(documents: DataFrame, labels: DataFrame, categories: dict[str, str], max
 def score(documents: DataFrame, chain: Chain, threshold: float = 0.25, keep: list[str] | None = None, prefix: str = "") -> DataFrame:
     """The columns to keep (doc_id unless named) with p_<category>... and toxic (the last category's probability reaches
     the threshold), their names after prefix; nothing is shuffled."""
-    src, fields = with_text(documents, keep)
+    src, fields, at = with_text(documents, keep)
     names, n = [f"{prefix}p_{c}" for c in chain.categories], len(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = chain.vocabulary
         known = vocabulary.keys()
         for whole in batches:
-            for b in by_bytes(whole, n, SLICE):
-                p = chain.score([[vocabulary[w] for w in known & words(t)] for t in b.column(n).to_pylist()])
+            for b in by_bytes(whole, at, SLICE):
+                p = chain.score([[vocabulary[w] for w in known & words(t)] for t in b.column(at).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*b.columns[:n], *[pa.array(p[:, k]) for k in range(p.shape[1])]], [*[f.name for f in fields], *names])
 
     out = src.mapInArrow(run, T.StructType([*fields, *[T.StructField(x, T.DoubleType()) for x in names]]))

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline as pipeline
 from sparkloom.llm import near
 
@@ -52,12 +54,25 @@ def test_edited_copies_beyond_three_bits_go(spark, sf):
     assert got == want and 145 not in got and 177 not in got
 
 
-def test_links_do_not_depend_on_the_sample(spark, monkeypatch):
-    texts = edited(3)
+def test_keys_meet_as_often_as_they_should():
+    rng = np.random.default_rng(3)
+    for same, least, most in ((0.8, 1.0, 1.0), (0.6, 0.55, 0.95), (0.25, 0.0, 0.03)):
+        met = 0
+        for _ in range(200):
+            h = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
+            both, own = int(200 * same), (200 - int(200 * same)) // 2
+            a, b = h[: both + own], np.concatenate([h[:both], h[both + own :]])
+            met += bool(np.intersect1d(near.keys(a), near.keys(b)).size)
+        assert least <= met / 200 <= most, (same, met)
+
+
+def test_clusters_in_blocks_give_the_same_groups(spark, monkeypatch):
+    texts = edited(4)
     docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], SCHEMA)
     groups = []
-    for size in (0, 10, 2000):
-        monkeypatch.setattr(near, "SAMPLE", size)
+    for hot, block in ((16, 1 << 20), (2, 2000), (1000, 1 << 20)):
+        monkeypatch.setattr(near, "HOT", hot)
+        monkeypatch.setattr(near, "BLOCK", block)
         groups.append({(r["class"], r["component"]) for r in near.components(docs).collect()})
     assert groups[0] == groups[1] == groups[2] and groups[0]
 

@@ -98,12 +98,13 @@ def vectors(spark):
     x = rng.normal(size=(900, 16))
     rows = [(i, v.tolist(), int(i % 3)) for i, v in enumerate(x)]
     rows += [(900 + i, x[0].tolist(), 0) for i in range(300)]  # a third of the rows are one vector
-    rows += [(2000, None, 0), (2100, [0.0] * 16, 0), (2200, [float("nan")] * 16, 0), (2300, [None] * 16, 0), (2400, [1.0, 2.0], 1), (2500, [], 1), (None, x[1].tolist(), 1), (0, x[0].tolist(), 0), (2600, x[2].tolist(), None)]
+    rows += [(2000, None, 0), (2100, [0.0] * 16, 0), (2200, [float("nan")] * 16, 0), (2300, [None] * 16, 0), (2400, [1.0, 2.0], 1), (2401, [3.0, 4.0], 1), (2402, [3.0, 5.0], 1), (2500, [], 1), (None, x[1].tolist(), 1), (0, x[0].tolist(), 0), (2600, x[2].tolist(), None)]
     return spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
 
 
-def test_nearest(spark):
-    df = vectors(spark)
+def test_nearest(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LEAF", 32)
+    df = vectors(spark).withColumn("id", F.lit("x")).withColumn("v", F.lit(1)).withColumn("cls", F.lit(2)).withColumn("d", F.lit(3))
     seen, x = set(), {}
     for r in df.collect():
         if r.vec_id is not None and r.embedding and len(r.embedding) == 16 and None not in r.embedding and np.isfinite(r.embedding).all() and any(r.embedding):
@@ -113,6 +114,7 @@ def test_nearest(spark):
     for r in ann.nearest(df).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.rank, r.vec_id, r.score))
     queries = [q for q in seen if q % 100 == 0]
+    assert got.pop(2400) == [(1, 2401, math.sqrt(8.0)), (2, 2402, math.sqrt(13.0))]  # of length two
     assert sorted(got) == sorted(queries)
     hits = 0
     for q in queries:
@@ -419,6 +421,22 @@ def test_embedding_near_duplicates(spark, monkeypatch):
         assert len(got ^ want) <= 0.02 * len(want)
         assert got == want or shard == 64
     assert hnsw.near_duplicates(df.where("false")).count() == 0
+    assert hnsw.near_duplicates(df, 0.93, 64).agg(F.min("audit_recall")).first()[0] >= 0.99
+
+
+def test_audits_wait_for_vectors_with_links(monkeypatch):
+    """Two isolated pairs among many vectors without links are found, at one shard and between two."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(900, 16))
+    x[700], x[850] = x[3] + 0.01, x[400] - 0.01
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    who, truth = hnsw.audited(x, None, 0.98)
+    assert sorted(who.tolist()) == [3, 400, 700, 850] and truth.sum() == 4
+    n, group, reached = hnsw.linked(x, None, 0.98, np.ones(900))
+    assert reached == 1.0 and n.sum() == 4 and group[3] == group[700] and group[400] == group[850]
+    graphs = [hnsw.Hnsw.from_bytes(hnsw.Hnsw(p).to_bytes(), p) for p in (x[:450], x[450:])]
+    n, group, reached = hnsw.linked(x[:450], x[450:], 0.98, np.ones(450), np.ones(450), graphs)
+    assert reached == 1.0 and n.sum() == 4 and group[3] == group[700] and group[400] == group[850]
 
 
 def test_language_reads_long_words_to_their_end():
