@@ -223,6 +223,68 @@ def test_toxicity_edges(spark, odd):
     assert toxicity.toxicity(odd.where("false"), spark.createDataFrame([(3, 1, 0)], schema)).count() == 0
 
 
+def slow_logistic(x, y, l2=1.0):
+    """Ridge logistic regression by plain Newton steps in Python numbers; the last weight is the base."""
+    x = [[*row, 1.0] for row in x]
+    k = len(x[0])
+    w = [0.0] * k
+    ridge = [l2] * (k - 1) + [1e-3]
+    for _ in range(60):
+        p = [1 / (1 + math.exp(-sum(a * b for a, b in zip(w, row, strict=True)))) for row in x]
+        g = [sum(row[j] * (t - q) for row, t, q in zip(x, y, p, strict=True)) - ridge[j] * w[j] for j in range(k)]
+        h = [[sum(row[i] * row[j] * q * (1 - q) for row, q in zip(x, p, strict=True)) + (ridge[i] if i == j else 0) for j in range(k)] for i in range(k)]
+        w = [a + b for a, b in zip(w, np.linalg.solve(np.array(h), np.array(g)).tolist(), strict=True)]
+    return w
+
+
+def test_toxicity_chain_by_hand(spark):
+    """Features, folds, out-of-fold probabilities, weights and scores of a small table, worked out again."""
+    rng = np.random.default_rng(6)
+    common, bad, poor = ["tree", "house", "road", "lake", "sun"], ["vile", "nasty"], ["junk", "spam"]
+    rows = []
+    for i in range(60):
+        low, tox = i % 3 == 0, i % 4 == 0
+        ws = [*rng.choice(common, 6), *(rng.choice(poor, 2) if low else []), *(rng.choice(bad, 2) if tox and i % 8 else [])]
+        rows.append((i, " ".join(ws), int(not low), int(tox)))
+    docs = spark.createDataFrame([(r[0], r[1]) for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2], r[3]) for r in rows], "doc_id long, quality int, toxic int")
+    order = [r.doc_id for r in docs.orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    texts = [rows[i][1].split() for i in order]
+    y = {"low_quality": [1 - rows[i][2] for i in order], "toxic": [rows[i][3] for i in order]}
+    found = [{w[:k] + "*" for w in t for k in (4, 5, 6) if len(w) > k} | set(t) for t in texts]
+    best = {}
+    for f in set().union(*found):
+        k = sum(f in x for x in found)
+        for marks in y.values():
+            n, n1, a = len(found), sum(marks), sum(f in x and m for x, m in zip(found, marks, strict=True))
+            spread = math.sqrt(k * n1 / n * (n - n1) / n * (n - k) / (n - 1))
+            best[f] = max(best.get(f, 0), (abs(a - k * n1 / n) - 0.5) / spread if spread else 0)
+    chosen = sorted((f for f in best if best[f] > 0), key=lambda f: (-best[f], f))[: toxicity.LEAST]
+    chain = toxicity.fit(docs, labels, toxicity.CATEGORIES)
+    assert list(chain.vocabulary) == chosen and {"junk", "vile", "nasty"} <= set(chosen)
+    x = [[float(f in t) for f in chosen] for t in found]
+    held = [0.0] * len(x)
+    for fold in range(5):
+        w = slow_logistic([r for i, r in enumerate(x) if i % 5 != fold], [v for i, v in enumerate(y["low_quality"]) if i % 5 != fold])
+        for i in range(fold, len(x), 5):
+            held[i] = 1 / (1 + math.exp(-sum(a * b for a, b in zip(w, [*x[i], 1.0], strict=True))))
+    first, second = slow_logistic(x, y["low_quality"]), slow_logistic([[*r, h] for r, h in zip(x, held, strict=True)], y["toxic"])
+    assert np.allclose(chain.weights[0], first, atol=1e-4) and np.allclose(chain.weights[1], second, atol=1e-4)
+    got = {r.doc_id: r for r in toxicity.toxicity(docs, labels).collect()}
+    for i, r in zip(order, x, strict=True):
+        p = 1 / (1 + math.exp(-sum(a * b for a, b in zip(first, [*r, 1.0], strict=True))))
+        q = 1 / (1 + math.exp(-sum(a * b for a, b in zip(second, [*r, p, 1.0], strict=True))))
+        assert abs(got[i].p_low_quality - p) < 1e-4 and abs(got[i].p_toxic - q) < 1e-4 and got[i].toxic == (got[i].p_toxic >= 0.25)
+
+
+def test_toxicity_sample_passes_long_texts_over(spark):
+    rows = [(i, "vile words here" if i % 2 else "tree and lake") for i in range(40)] + [(100 + i, "long text " * 500) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "1 quality", "int(doc_id % 2) toxic")
+    chain = toxicity.fit(docs, labels, toxicity.CATEGORIES, max_chars=1000)
+    assert "vile" in chain.vocabulary and "long" not in chain.vocabulary
+
+
 # 7
 
 
@@ -310,6 +372,55 @@ def test_language_edges(odd):
     assert [s[2] for s in m.spans("the house and the tree stand " * 4 + "дом и дерево стоят")] == ["en", "ru"]
 
 
+def slow_prediction(rows, text):
+    """Language and score of a text by dictionaries and a plain search over all states of all words."""
+    import unicodedata
+
+    def words(t):
+        out, w = [], ""
+        for c in t.lower() + " ":
+            kind = unicodedata.category(c)[0]
+            if kind == "L" or (kind == "M" and w):
+                w += c
+            else:
+                out += [w] if w else []
+                w = ""
+        return out
+
+    langs = sorted({lang for _, lang in rows})
+    grams = lambda w: [f"^{w}$"[i : i + 3] for i in range(len(w))]
+    seen = {x: Counter(g for t, lang in rows if lang == x for w in words(t) for g in grams(w)) for x in langs}
+    known = {g for g, n in sum(seen.values(), Counter()).items() if n >= 2}
+    weight = lambda x, g: math.log((seen[x][g] + 0.5 if g in known else 0.5) / (sum(seen[x].values()) + 0.5 * (len(known) + 1)))
+    ws = words(text)
+    if not ws:
+        return "und", 0.0
+    cost = []
+    for w in ws:
+        e = [sum(weight(x, g) for g in grams(w)) / math.sqrt(len(w)) for x in langs]
+        cost.append([max(v - max(e), -30.0) for v in e])
+    best = [(v, [k]) for k, v in enumerate(cost[0])]
+    for e in cost[1:]:
+        best = [max(((v - langid.SWITCH * (p[-1] != k) + e[k], [*p, k]) for v, p in best), key=lambda x: x[0]) for k in range(len(langs))]
+    path = max(best, key=lambda x: x[0])[1]
+    letters = [sum(len(w) for w, p in zip(ws, path, strict=True) if p == k) for k in range(len(langs))]
+    k = letters.index(max(letters))
+    return langs[k], letters[k] / sum(letters)
+
+
+def test_language_scores_like_a_plain_search(docs):
+    rows = [(r.text, r.lang) for r in docs.orderBy("doc_id").limit(60).collect()]
+    model = langid.fit_texts(rows)
+    by = {lang: t.split() for t, lang in rows if len(t) > 300}
+    mixed = [" ".join(a[:12] + b[5:20] + a[20:25]) for a in by.values() for b in by.values()]
+    texts = [t[:400] for t, _ in rows[:15]] + mixed + ["", "1 2", "don't A.B.c naïve", "Ⅻ ½ x²"]
+    got = model.predict(texts)
+    for t, (lang, score) in zip(texts, got, strict=True):
+        want = slow_prediction(rows, t)
+        assert lang == want[0] and abs(score - want[1]) < 1e-9, (t, lang, score, want)
+    assert len({round(s, 3) for _, s in got}) > 5
+
+
 def test_viterbi_is_exact():
     rng = np.random.default_rng(5)
     m = langid.Model(["a", "b", "c"], np.zeros(0, np.int64), np.zeros((1, 3)), {})
