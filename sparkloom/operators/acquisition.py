@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import math
 import re
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import dataclass, field, replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalar import canonical_url, in_domains, license_allowed, relevance, url_host
+from ..plans.errors import ParameterError
 from ..plans.session import cut
 from .ordering import with_position
 
@@ -38,14 +40,40 @@ class Spec:
     review_relevance: float = 0.2
 
 
+#: What a request can't ask for in free text, and the answer.
+REFUSED = {
+    r"csv|datasets?|tabular|audio|videos?|documents?|pdfs?": "only images are collected",
+    r"avoid|exclude|without|except": "exclusions can't be enforced",
+    r"licen[cs]e|copyright|commercial|public domain": "licences are a field of their own",
+}
+_PICTURES = r"(?:images?|photos?|photographs?|pictures?)"
+
+
 def parse_request(prompt: str) -> dict:
-    """Count, subject words, licences, domains and least size named in a request."""
-    count = re.search(r"\b(\d{1,6})\b(?!\s*(?:x|px|×))", prompt)
-    size = re.search(r"(\d{2,5})\s*(?:x|×)\s*(\d{2,5})", prompt)
-    words = [w for w in re.findall(r"[a-z]{3,}", prompt.lower()) if w not in {"images", "image", "photos", "pictures", "the", "and", "with", "from", "find", "collect", "download", "least"}]
+    """count, min_width, min_height, licenses, domains and topic of a request for images.
+
+    `cc0 only`, `cc-by only` and `cc-by-sa only` name licences; any other talk of them, exclusions and requests for
+    anything but images are refused. Without a count it is 100, without a size 512 by 512; one size counts for both sides.
+    """
+    text = " ".join(prompt.split()).lower()
+    if not text:
+        raise ParameterError("the request is empty")
+    licenses = [m[1] for m in re.finditer(r"\b(cc0|cc-by-sa|cc-by)\s+only\b", text)][:1]
+    for pattern, why in REFUSED.items():
+        if re.search(rf"\b(?:{pattern})\b", text):
+            raise ParameterError(why)
+    text = re.sub(r"[,;]?\s*\b(?:cc0|cc-by-sa|cc-by)\s+only\b", "", text)
+    count = re.search(rf"\b(\d[\d,]*)\s+(?:usable\s+|accepted\s+)?{_PICTURES}\b", text) or re.search(r"\b(?:find|get|collect|acquire|want|need|download)\s+(?:me\s+)?(\d[\d,]*)\b(?!\s*px|\s*pixels)", text)
+    both = re.search(r"\b(\d{2,5})\s*[x×]\s*(\d{2,5})\b", text)
+    one = re.search(r"(?:at least|minimum|min\.?)\D{0,12}(\d{2,5})\s*(?:px|pixels?)", text)
+    sides = (int(both[1]), int(both[2])) if both else (int(one[1]),) * 2 if one else (512, 512)
+    domains = re.findall(r"\b(?:[a-z0-9-]+\.)+[a-z]{2,}\b", text)
+    about = re.search(rf"{_PICTURES}\s+of\s+(.+?)(?:[.;,]|\b(?:include|minimum|at least|from)\b|$)", text)
+    fillers = {"find", "get", "collect", "acquire", "want", "need", "download", "me", "please", "some", "the", "a", "an", "of", "with", "usable", "accepted", "at", "least", "minimum", "pixels"}
+    words = [w for w in re.findall(r"[a-z][a-z'-]+", re.sub(rf"\b{_PICTURES}\b|\d+px|\b\d+\s*[x×]\s*\d+\b", " ", text)) if w not in fillers]
     return {
-        "count": int(count[1]) if count else 100, "min_width": int(size[1]) if size else 0, "min_height": int(size[2]) if size else 0,
-        "licenses": re.findall(r"\bcc0\b|\bcc[- ]by(?:-(?:nc|sa|nd))*\b", prompt.lower()), "domains": re.findall(r"\b(?:[a-z0-9-]+\.)+[a-z]{2,}\b", prompt.lower()), "words": list(dict.fromkeys(words)),
+        "count": int(count[1].replace(",", "")) if count else 100, "min_width": sides[0], "min_height": sides[1], "licenses": licenses,
+        "domains": domains, "topic": about[1].strip(" :-") if about else " ".join(dict.fromkeys(words)),
     }
 
 
@@ -270,6 +298,42 @@ def review_page(candidates: DataFrame, decisions: DataFrame, q: DataFrame, state
     return p.join(d, "candidate_id", "left").join(q, "query_id", "left")
 
 
-def shortfall(accepted: int, target: int, exhausted: bool, budget_left: bool) -> str | None:
-    """Why a run ended below its target."""
-    return None if accepted >= target else "queries_exhausted" if exhausted else None if budget_left else "candidate_budget"
+def shortfall(accepted: int, target: int, exhausted: bool, budget_left: bool, bytes_left: bool = True, replenish: bool = True) -> str | None:
+    """Why a run that isn't finished ends here: planned_batch_done, candidate_budget, byte_budget or queries_exhausted;
+    None if it goes on or has reached its target."""
+    if accepted >= target:
+        return None
+    if not replenish:
+        return "planned_batch_done"
+    return "candidate_budget" if not budget_left else "byte_budget" if not bytes_left else "queries_exhausted" if exhausted else None
+
+
+def run(spec: Spec, target: int, max_candidates: int, search: Callable[[int], DataFrame | None], trial_only: bool = False, known_digests: DataFrame | None = None) -> tuple[DataFrame | None, str]:
+    """Takes batches of candidates through the cascade until so many are accepted or something runs out; returns all that
+    were judged, and "completed" or why not.
+
+    search(n) gives up to n new candidates of later order, or None (or none) when its providers have no more. The size of
+    a batch follows the yield so far. What was judged is checkpointed batch by batch; of it the driver sees counts alone.
+    """
+    judged, n, accepted, loaded, stored = None, 0, 0, 0, 0
+    while accepted < target:
+        why = shortfall(accepted, target, False, n < max_candidates, spec.byte_budget is None or loaded < spec.byte_budget, not (trial_only and n))
+        if why:
+            return judged, why
+        found = search(min(batch_size(target - accepted, accepted, n), max_candidates - n))
+        if found is None or found.isEmpty():
+            return judged, "queries_exhausted"
+        left = replace(spec, byte_budget=None if spec.byte_budget is None else spec.byte_budget - loaded, storage_budget=None if spec.storage_budget is None else spec.storage_budget - stored)
+        known = known_digests
+        if judged is not None:
+            own = judged.where("state in ('accepted', 'review') or reason = 'not_relevant'").select("sha256").where("sha256 is not null")
+            known = own if known is None else own.unionByName(known.select("sha256"))
+        batch = cut(cascade(found, left, known))
+        counts = batch.agg(
+            F.count(F.lit(1)).alias("n"), F.count_if(F.col("state") == "accepted").alias("accepted"),
+            F.coalesce(F.sum(F.when((F.col("state") != "failed") & ~F.coalesce(F.col("reason").isin(*REASONS[:4]), F.lit(False)), F.col("bytes"))), F.lit(0)).alias("loaded"),
+            F.coalesce(F.sum(F.when(F.col("state").isin("accepted", "review") | (F.col("reason") == "not_relevant"), F.col("bytes"))), F.lit(0)).alias("stored"),
+        ).first()
+        n, accepted, loaded, stored = n + counts["n"], accepted + counts["accepted"], loaded + counts["loaded"], stored + counts["stored"]
+        judged = batch if judged is None else judged.unionByName(batch)
+    return judged, "completed"

@@ -246,7 +246,7 @@ def _failed(df: DataFrame, rule: dict) -> Column:
         case "required":
             return c.isNull() | (strip(c) == "")
         case "unique":
-            return F.count(F.lit(1)).over(Window.partitionBy(c)) > 1
+            return F.col(f"__times_{rule['column']}") > 1
         case "numeric":
             return c.isNotNull() & value.isNull()
         case "minimum":
@@ -260,6 +260,11 @@ def _failed(df: DataFrame, rule: dict) -> Column:
 def contract(df: DataFrame, rules: list[dict[str, Any]]) -> tuple[DataFrame, DataFrame]:
     """(rule, column, failed rows of each rule and overall; failing rows with the numbers of the rules they break)."""
     d = missing_as_null(df)
+    for c in {r["column"] for r in rules if r["rule"] == "unique"}:
+        need(df, c)
+        # counted and joined back: a value that fills the column (missing ones, say) meets in no task
+        times = d.groupBy(F.col(f"`{c}`").alias("__value")).agg(F.count(F.lit(1)).alias(f"__times_{c}"))
+        d = d.join(times, F.col(f"`{c}`").eqNullSafe(F.col("__value"))).drop("__value")
     flags = d.withColumns({f"__f{i}": F.coalesce(_failed(d, r), F.lit(False)) for i, r in enumerate(rules)})
     broken = F.filter(F.array(*[F.when(F.col(f"__f{i}"), F.lit(i)) for i in range(len(rules))]), lambda x: x.isNotNull())
     marked = flags.withColumn("broken_rules", broken)

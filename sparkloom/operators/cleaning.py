@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -78,17 +79,22 @@ def drop_duplicates(df: DataFrame, columns: list[str] | None = None, order: list
 
 
 def duplicates(df: DataFrame, columns: list[str], order: str, keep: str = "first") -> DataFrame:
-    """Rows of groups of more than one, with duplicate_group (in order of first appearance) and canonical."""
+    """Rows of groups of more than one, with duplicate_group (in order of first appearance) and canonical. order tells
+    rows apart."""
     one_of(keep, ("first", "last"), "keep")
     need(df, *columns, order)
     df = missing_as_null(df)
-    keys = [comparable(df, c) for c in columns]
-    w = Window.partitionBy(*keys)
-    by = w.orderBy(F.col(f"`{order}`") if keep == "first" else F.col(f"`{order}`").desc())
-    d = df.withColumn("__n", F.count(F.lit(1)).over(w)).where("__n > 1")
-    d = d.withColumn("__first", F.min(f"`{order}`").over(w)).withColumn("canonical", F.row_number().over(by) == 1)
-    numbers = with_position(d.select("__first").distinct(), ["__first"], "duplicate_group")
-    return d.join(numbers, "__first").drop("__n", "__first")
+    keys = [comparable(df, c).alias(f"__k{i}") for i, c in enumerate(columns)]
+    # what is asked of a group comes from partial aggregates and is joined back, so no group meets in one task
+    found = df.select(*keys, F.col(f"`{order}`").alias("__o")).groupBy(*[f"__k{i}" for i in range(len(keys))])
+    found = found.agg(F.count(F.lit(1)).alias("__n"), F.min("__o").alias("__first"), F.max("__o").alias("__last")).where("__n > 1")
+    found = found.select(*[F.col(f"__k{i}").alias(f"__g{i}") for i in range(len(keys))], "__first", "__last")
+    numbers = with_position(found.select("__first").distinct(), ["__first"], "duplicate_group")
+    found = found.join(numbers, "__first")
+    d = df.select("*", *keys)
+    same = reduce(lambda a, b: a & b, [F.col(f"__k{i}").eqNullSafe(F.col(f"__g{i}")) for i in range(len(keys))])
+    d = d.join(found, same).withColumn("canonical", F.col(f"`{order}`").eqNullSafe(F.col("__first" if keep == "first" else "__last")))
+    return d.select(*[F.col(f"`{c}`") for c in df.columns], "canonical", "duplicate_group")
 
 
 def clip(df: DataFrame, columns: list[str], low: float = 0.01, high: float = 0.99) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+from itertools import combinations
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import hamming
@@ -10,32 +13,40 @@ from ..plans.errors import ParameterError
 from ..plans.session import cut
 
 
+def _members(d: DataFrame, keys: list[str]) -> DataFrame:
+    """d (with id) and its groups' canonical id and size, from partial aggregates joined back: a group that holds a third
+    of the rows meets in no task."""
+    g = d.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.min("id").alias("canonical"), F.count(F.lit(1)).alias("size"))
+    return d.join(g, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])).drop(*[f"__{k}" for k in keys])
+
+
 def exact_groups(df: DataFrame, id_col: str, digest: str) -> DataFrame:
     """id, canonical (the smallest id of the group), size: members of groups of more than one."""
-    w = Window.partitionBy(f"`{digest}`")
-    d = df.where(F.col(f"`{digest}`").isNotNull()).select(F.col(f"`{id_col}`").alias("id"), F.min(f"`{id_col}`").over(w).alias("canonical"), F.count(F.lit(1)).over(w).alias("size"))
-    return d.where("size > 1")
+    d = df.where(F.col(f"`{digest}`").isNotNull()).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{digest}`").alias("digest"))
+    return _members(d, ["digest"]).where("size > 1").select("id", "canonical", "size")
 
 
-def near_pairs(hashes: DataFrame, hash_col: str, most: int) -> DataFrame:
-    """a, b: pairs of distinct hashes that differ in at most `most` (up to 15) bits, a < b.
+def _banded(hashes: DataFrame, hash_col: str, most: int) -> DataFrame:
+    """h, side and key: each hash under the keys of which hashes within `most` bits share one.
 
-    The 64 bits are cut into most + 1 bands; such a pair agrees in one band at least, so an equi-join on (band, bits)
-    finds it. Equal hashes are one entry, and a pair is emitted by its first common band alone.
+    The 64 bits are cut into most + 2 bands. Such hashes agree in two bands at least, so a key is a pair of bands, and as
+    selective as both together.
     """
     if not 0 <= most <= 15:
         raise ParameterError("0 to 15 bits")
-    h = F.col(f"`{hash_col}`")
+    h, n = F.col(f"`{hash_col}`"), most + 2
     bits = F.concat(F.lpad(F.conv(F.substring(h, 1, 8), 16, 2), 32, "0"), F.lpad(F.conv(F.substring(h, 9, 8), 16, 2), 32, "0"))
-    n = most + 1
     cuts = [64 * i // n for i in range(n + 1)]
-    bands = F.array(*[F.substring(bits, a + 1, b - a) for a, b in zip(cuts, cuts[1:], strict=False)])
-    d = hashes.select(h.alias("h")).where("h is not null").distinct().withColumn("bands", bands)
-    e = d.select("h", "bands", F.posexplode("bands").alias("band", "bits"))
-    j = e.alias("x").join(e.alias("y"), ["band", "bits"]).where("x.h < y.h")
-    common = F.array_position(F.zip_with("x.bands", "y.bands", lambda a, b: a == b), F.lit(True)) - 1
-    j = j.where((common == F.col("band")) & (hamming(F.col("x.h"), F.col("y.h")) <= most))
-    return j.select(F.col("x.h").alias("a"), F.col("y.h").alias("b"))
+    band = [F.substring(bits, a + 1, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
+    keys = [F.struct(F.lit(i * n + j).alias("at"), F.concat(band[i], band[j]).alias("bits")) for i, j in combinations(range(n), 2)]
+    return hashes.select(h.alias("h"), "side").where("h is not null").distinct().withColumn("key", F.explode(F.array(*keys)))
+
+
+def near_pairs(hashes: DataFrame, hash_col: str, most: int) -> DataFrame:
+    """a, b: pairs of distinct hashes that differ in at most `most` (up to 15) bits, a < b. Equal hashes are one entry."""
+    e = _banded(hashes.withColumn("side", F.lit(0)), hash_col, most)
+    j = e.alias("x").join(e.alias("y"), "key").where("x.h < y.h").where(hamming(F.col("x.h"), F.col("y.h")) <= most)
+    return j.select(F.col("x.h").alias("a"), F.col("y.h").alias("b")).distinct()
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 100) -> DataFrame:
@@ -62,8 +73,7 @@ def perceptual_groups(df: DataFrame, id_col: str, hash_col: str, most: int = 8)
     d = df.where(F.col(f"`{hash_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{hash_col}`").alias("h"))
     d = d.join(comp, F.col("h") == F.col("node"), "left").withColumn("component", F.coalesce("component", "h"))
     far = pairs.join(comp, F.col("a") == F.col("node")).groupBy("component").agg(F.max(hamming(F.col("a"), F.col("b"))).cast("long").alias("max_distance"))
-    w = Window.partitionBy("component")
-    g = d.select("id", "component", F.min("id").over(w).alias("canonical"), F.count(F.lit(1)).over(w).alias("size")).where("size > 1")
+    g = _members(d.select("id", "component"), ["component"]).where("size > 1")
     return g.join(far, "component", "left").select("id", "canonical", "size", F.coalesce("max_distance", F.lit(0)).cast("long").alias("max_distance"))
 
 
@@ -84,17 +94,18 @@ def leakage(df: DataFrame, id_col: str, digest: str, hash_col: str | None = None
 
 def leak_members(df: DataFrame, id_col: str, digest: str, split: str = "split") -> DataFrame:
     """id, representative of each row, by digest and split."""
-    w = Window.partitionBy(f"`{digest}`", f"`{split}`")
-    return df.select(F.col(f"`{id_col}`").alias("id"), F.min(f"`{id_col}`").over(w).alias("representative"))
+    d = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{digest}`").alias("digest"), F.col(f"`{split}`").alias("split"))
+    return _members(d, ["digest", "split"]).select("id", F.col("canonical").alias("representative"))
 
 
 def first_match(candidates: DataFrame, active: DataFrame, hash_col: str, id_col: str, most: int = 8) -> DataFrame:
-    """candidate hash, match: for each, the smallest id of an active row whose hash is within `most` bits."""
-    both = candidates.select(F.col(f"`{hash_col}`").alias("h")).union(active.select(F.col(f"`{hash_col}`")))
-    pairs = near_pairs(both, "h", most)
-    two = pairs.union(pairs.select("b", "a")).union(candidates.select(F.col(f"`{hash_col}`"), F.col(f"`{hash_col}`")).distinct()).toDF("h", "o")
+    """candidate hash, match: for each, the smallest id of an active row whose hash is within `most` bits. Candidates
+    aren't compared with one another, nor active rows."""
+    column = lambda d, side: d.select(F.col(f"`{hash_col}`").alias("h"), F.lit(side).alias("side"))
+    asked, held = _banded(column(candidates, 0), "h", most), _banded(column(active, 1), "h", most)
+    pairs = asked.alias("x").join(held.alias("y"), "key").where(hamming(F.col("x.h"), F.col("y.h")) <= most).select(F.col("x.h").alias("h"), F.col("y.h").alias("o")).distinct()
     ids = active.groupBy(F.col(f"`{hash_col}`").alias("o")).agg(F.min(f"`{id_col}`").alias("id"))
-    return candidates.select(F.col(f"`{hash_col}`").alias("h")).distinct().join(two, "h").join(ids, "o").groupBy("h").agg(F.min("id").alias("match"))
+    return pairs.join(ids, "o").groupBy("h").agg(F.min("id").alias("match"))
 
 
 def rows_across_splits(df: DataFrame, split: str = "_split") -> DataFrame:

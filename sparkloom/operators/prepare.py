@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import is_numeric, missing_as_null, need, one_of, percentiles
@@ -32,9 +32,12 @@ def split(df: DataFrame, method: str, key: str, train: float = 0.8, validation:
         return F.when(pos < F.floor(n * train), "train").when(pos < F.floor(n * (train + validation)), "validation").otherwise("test")
 
     if method == "stratified":
-        w = Window.partitionBy(f"`{by}`")
-        d = df.withColumn("__r", F.row_number().over(w.orderBy(_hash(F.col(f"`{key}`"), seed), f"`{key}`")) - 1).withColumn("__n", F.count(F.lit(1)).over(w))
-        return d.withColumn("_split", cut_at(F.col("__r"), F.col("__n"))).drop("__r", "__n")
+        # one numbering over (label, hash): no label meets in one task
+        units = df.select(F.col(f"`{by}`").alias("__b"), F.col(f"`{key}`").alias("__u")).withColumn("__h", _hash(F.col("__u"), seed))
+        ranked = with_position(units.groupBy("__b", "__u", "__h").agg(F.count(F.lit(1)).alias("__times")), ["__b", "__h", "__u"], "__r")
+        first = ranked.groupBy(F.col("__b").alias("__own")).agg(F.min("__r").alias("__first"), F.count(F.lit(1)).alias("__n"))
+        cut = ranked.join(first, F.col("__b").eqNullSafe(F.col("__own"))).select("__b", "__u", cut_at(F.col("__r") - F.col("__first"), F.col("__n")).alias("_split"))
+        return df.join(cut, F.col(f"`{by}`").eqNullSafe(F.col("__b")) & F.col(f"`{key}`").eqNullSafe(F.col("__u"))).drop("__b", "__u")
     unit = key if method == "random" else by
     groups = df.select(F.col(f"`{unit}`").alias("__g")).distinct().withColumn("__h", _hash(F.col("__g"), seed))
     ranked = with_position(groups, ["__h", "__g"], "__r")

@@ -96,6 +96,10 @@ def sort(df: DataFrame, columns: list[str], descending: bool = False, order: lis
     return df.orderBy(*by, *[F.col(f"`{o}`") for o in order])
 
 
+#: Words of a search that say nothing.
+FILLERS = {"make", "show", "me", "my", "the", "a", "data", "for"}
+
+
 class Registry:
     def __init__(self) -> None:
         self._ops = {o.id: o for o in _BUILT_IN}
@@ -113,11 +117,17 @@ class Registry:
     def ids(self) -> list[str]:
         return sorted(self._ops)
 
-    def search(self, text: str) -> list[Operation]:
-        """Operations by how well they match: id, start of id, alias, part of id or category."""
-        t = text.strip().lower()
-        rank = lambda o: 0 if o.id == t else 1 if o.id.startswith(t) else 2 if t in o.aliases else 3 if t in o.id else 4 if t in o.category else 9
-        return sorted((o for o in self._ops.values() if rank(o) < 9), key=lambda o: (rank(o), o.id))
+    def search(self, text: str = "", category: str = "") -> list[Operation]:
+        """Operations of a category by how many of the words asked for occur in their id, category or aliases; filler
+        words don't count, and without others all match. Ties by id."""
+        asked = set(text.lower().split()) - FILLERS
+        found = []
+        for o in self._ops.values():
+            about = " ".join([o.id, o.id.replace("_", " "), o.category, *o.aliases]).lower()
+            n = sum(w in about for w in asked)
+            if (n or not asked) and category in ("", o.category):
+                found.append((-n, o.id, o))
+        return [o for _, _, o in sorted(found, key=lambda x: x[:2])]
 
     def check(self, df: DataFrame, id_: str, given: dict[str, Any]) -> Operation:
         """The operation, once its parameters are known to be right."""

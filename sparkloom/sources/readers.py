@@ -10,6 +10,7 @@ import json
 import sqlite3
 import zipfile
 from collections.abc import Iterator
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -81,12 +82,15 @@ class _FileReader(DataSourceReader):
         self.o, self.names, self.kinds = options, names, kinds
 
     def partitions(self) -> list[InputPartition]:
-        if self.o["kind"] != "sqlite":
-            return [_FilePart(None, None)]
-        con = sqlite3.connect(f"file:{self.o['file']}?mode=ro", uri=True)
+        ends = f"select min(rowid), max(rowid) from {_quoted(self.o['table'])}"
         try:
-            a, b = con.execute(f"select min(rowid), max(rowid) from {_quoted(self.o['table'])}").fetchone()
-        except sqlite3.OperationalError:
+            if self.o["kind"] == "sqlite":
+                a, b = sqlite3.connect(f"file:{self.o['file']}?mode=ro", uri=True).execute(ends).fetchone()
+            else:
+                import duckdb
+
+                a, b = duckdb.connect(self.o["file"], read_only=True).execute(ends).fetchone()
+        except Exception:  # noqa: BLE001  a view or a table without row ids: one range
             return [_FilePart(None, None)]
         if a is None:
             return [_FilePart(0, -1)]
@@ -103,7 +107,9 @@ class _FileReader(DataSourceReader):
         else:
             import duckdb
 
-            rows = iter(duckdb.connect(self.o["file"], read_only=True).execute(f"select {cols} from {table}").fetchall())
+            where = "" if part.low is None else f" where rowid between {part.low} and {part.high}"
+            found = duckdb.connect(self.o["file"], read_only=True).execute(f"select {cols} from {table}{where}")
+            rows = chain.from_iterable(iter(lambda: found.fetchmany(10_000), []))
         for r in rows:
             yield tuple(None if v is None else cast.get(k, lambda x: x)(v) for v, k in zip(r, self.kinds, strict=True))
 
@@ -138,7 +144,7 @@ def list_tables(path: str, kind: str | None = None) -> list[str]:
 
 
 def read_database(spark: SparkSession, path: str, table: str | None = None, kind: str | None = None, partitions: int = 8) -> DataFrame:
-    """A table of a SQLite or DuckDB file, the first if none is named; SQLite is read in ranges of rowid."""
+    """A table of a SQLite or DuckDB file, the first if none is named, read in ranges of rowid."""
     kind = kind or infer_format(path)
     tables = list_tables(path, kind)
     table = table or (tables[0] if tables else None)

@@ -204,6 +204,54 @@ def test_cascade_like_one_candidate_after_another(spark, monkeypatch):
     assert acquisition.cascade(df.where("false"), spec).count() == 0
 
 
+def test_run_until_a_target(spark):
+    kind = "candidate_id long, url string, license string, declared_width int, declared_height int, bytes long, decoded boolean, mime string, width int, height int, sha256 string, quality double, phash string, text string"
+    rows = [(i, "https://a.org/x", "CC BY" if i % 3 else "none", 50, 50, 10, True, "image/png", 50, 50, f"s{i % 40}", 90.0, None, "red fox") for i in range(100)]
+    asked = []
+
+    def search(n):
+        start = sum(asked)
+        asked.append(min(n, len(rows) - start))
+        return spark.createDataFrame(rows[start : start + n], kind) if start < len(rows) else None
+
+    spec = acquisition.Spec(licenses=["CC BY"])
+    judged, why = acquisition.run(spec, 20, 100, search)
+    assert why == "completed" and judged.where("state = 'accepted'").count() >= 20
+    asked.clear()
+    judged, why = acquisition.run(spec, 90, 1000, search)
+    assert why == "queries_exhausted" and judged.count() == 100 and len(asked) > 1
+    want = acquisition.cascade(spark.createDataFrame(rows, kind), spec)
+    assert {(r.candidate_id, r.state, r.reason) for r in judged.collect()} == {(r.candidate_id, r.state, r.reason) for r in want.collect()}
+    asked.clear()
+    assert acquisition.run(acquisition.Spec(licenses=["CC BY"], byte_budget=60), 90, 1000, search)[1] == "byte_budget"
+    asked.clear()
+    assert acquisition.run(spec, 90, 20, search)[1] == "candidate_budget"
+    asked.clear()
+    assert acquisition.run(spec, 90, 1000, search, trial_only=True)[1] == "planned_batch_done"
+
+
+def test_requests():
+    ask = acquisition.parse_request
+    assert ask("Find 1,200 images of red foxes in snow, at least 800 px, cc-by only") == {"count": 1200, "min_width": 800, "min_height": 800, "licenses": ["cc-by"], "domains": [], "topic": "red foxes in snow"}
+    assert ask("collect 30 lighthouses 640x480 from a.example.org")["count"] == 30 and ask("lighthouse pictures")["min_width"] == 512
+    got = ask("20 photos of old lighthouses 640 x 480")
+    assert (got["count"], got["min_width"], got["min_height"], ask("lighthouse pictures")["topic"]) == (20, 640, 480, "lighthouse")
+    for bad in ("", "  ", "a csv of cars", "cars without people", "cars with a free license"):
+        with pytest.raises(ParameterError):
+            ask(bad)
+
+
+def test_hash_and_blur():
+    import numpy as np
+
+    flat, ramp = np.full((32, 32), 7), np.add.outer(np.arange(32), np.arange(32))
+    assert media.perceptual_hash(flat)[0] in "89abcdef" and media.perceptual_hash(ramp) == media.perceptual_hash(3 * ramp) and len(media.perceptual_hash(ramp)) == 16
+    assert media.blur_score(np.full((9, 9), 40)) == 40.0**2 * (32 / 81) * (49 / 81) and media.blur_score(np.zeros((2, 2))) == 0.0
+    spot = np.zeros((5, 5), int)
+    spot[2, 2] = 10
+    assert media.blur_score(spot) == np.var([80] + [0] * 24)
+
+
 def test_documents(spark):
     md = spark.createDataFrame([(1, "# One\n\n" + "A sentence here. " * 80 + "\n\n## Two\n\nShort."), (2, None), (3, "")], "id long, text string")
     for s in ("token", "paragraph", "heading", "recursive"):
