@@ -24,9 +24,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: Bytes of an Arrow batch to Python, unless the session sets its own bound.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches by bytes: by rows alone, a batch of long texts may be of any size."""
+    if str(spark.conf.get(_BATCH)) in ("2147483647", "2147483647b", str((1 << 63) - 1), f"{(1 << 63) - 1}b"):
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise df in the shared checkpoint folder, so that lost executors don't cost a recomputation."""
     ensure_checkpoint_dir(df.sparkSession)
+    bounded_batches(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -101,6 +113,7 @@ def text_or_empty(c: str | Column = "text") -> Column:
 def with_text(df: DataFrame, keep: list[str] | None, text: str = "text") -> tuple[DataFrame, list[T.StructField], int]:
     """The columns to keep (doc_id as long unless named) and, unless it is one of them, the text, all under names that
     can't clash or be misread; the fields of the columns kept; and where the text stands (nulls not filled)."""
+    bounded_batches(df.sparkSession)
     fields = [T.StructField("doc_id", T.LongType())] if keep is None else [next(f for f in df.schema.fields if f.name == c) for c in keep]
     columns = [F.col(f"`{f.name}`").cast(f.dataType) for f in fields]
     own = next((f for f in df.schema.fields if f.name == text), None)

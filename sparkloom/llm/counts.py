@@ -12,11 +12,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
 from .library import loaded
 from .pieces import by_bytes
 
 def token_counts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024) -> DataFrame:
     """id_col, n_bytes, n_tokens and over_limit (n_tokens > limit) of every row."""
+    bounded_batches(df.sparkSession)
     src = df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     src = src.select(F.col(id_col), F.octet_length("__text").cast("long").alias("n_bytes"), "__text")
     kind = src.schema[id_col].dataType.simpleString()

@@ -42,7 +42,7 @@ SCRIPTS = (
 )
 SWITCH = 8.0
 #: Bytes of text whose words are scored together.
-SLICE = 4 << 20
+SLICE = 5 << 20
 
 
 def script(word: str) -> str:

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import connected_components, cut
+from .common import bounded_batches, connected_components, cut
 from .pieces import by_bytes, column_bytes
 
 SHINGLE = 5
@@ -114,6 +114,7 @@ def with_class(docs: DataFrame, name: str) -> DataFrame:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
+    bounded_batches(docs.sparkSession)
     return docs.select(text_class().alias("class"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import bounded_batches, cut
 from .library import loaded
 from .pieces import binaries, by_bytes
 
@@ -46,6 +46,7 @@ def pieces(df: DataFrame, path: str, end_id: int = 1, length: int = 2048, id_col
     """doc_id, salt, piece, start, length, ids (packed little-endian unsigned 32-bit), doc_tokens, for every piece."""
     if length & (length - 1) or length < 1:
         raise ValueError("the length of a sequence must be a power of two")
+    bounded_batches(df.sparkSession)
     src = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

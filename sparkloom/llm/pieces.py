@@ -22,7 +22,7 @@ MARKS = b",.;:!?"
 CACHE_PIECES, CACHE_CHARS = 120_000, 64
 
 #: Bytes of text whose rows are taken together.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 5 << 20
 
 try:
     _LIBC = ctypes.CDLL(None)

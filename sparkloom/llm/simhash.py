@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut
+from .common import bounded_batches, connected_components, cut
 from .pieces import by_bytes
 
 #: Positions of which a pair within three bits shares all, for one of them at least.
@@ -58,6 +58,7 @@ def majority(h: np.ndarray, chunk: int = 1 << 14) -> int:
 
 def fingerprints(df: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and fp, the fingerprint as a signed long, of every row."""
+    bounded_batches(df.sparkSession)
     src = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
