@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import floating, is_numeric, missing_as_null, need, numeric_columns, one_of, percentiles, strip
+from ..functions.scalar import floating, is_numeric, missing_as_null, need, numeric_columns, one_of, percentiles, quantile_row, strip
 from ..plans.errors import ParameterError
 from .cleaning import comparable
 from .reshape import text_of
@@ -73,7 +73,7 @@ QUANTILES = (0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0)
 def quantiles(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """column, quantile, value: exact and interpolated."""
     cols = columns or numeric_columns(df)
-    one = missing_as_null(df).agg(*[percentiles(c, list(QUANTILES)).alias(c) for c in cols])
+    one = quantile_row(missing_as_null(df), {c: F.col(f"`{c}`") for c in cols}, list(QUANTILES))
     at = F.array(*map(F.lit, QUANTILES))
     row = lambda c: lambda x: F.struct(F.lit(c).alias("column"), x["q"].alias("quantile"), x["v"].alias("value"))
     parts = [F.transform(F.arrays_zip(at.alias("q"), F.col(f"`{c}`").alias("v")), row(c)) for c in cols]
@@ -132,14 +132,17 @@ def outliers(df: DataFrame, columns: list[str], method: str = "iqr", threshold:
     one_of(method, ("iqr", "zscore", "variance"), "method")
     need(df, *columns)
     d = missing_as_null(df)
-    stats = d.agg(*[F.struct(F.avg(f"`{c}`").alias("mean"), F.stddev_pop(f"`{c}`").alias("sd"), percentiles(c, [0.25, 0.75]).alias("q")).alias(f"__s{i}") for i, c in enumerate(columns)])
+    stats = d.agg(*[F.struct(F.avg(f"`{c}`").alias("mean"), F.stddev_pop(f"`{c}`").alias("sd")).alias(f"__s{i}") for i, c in enumerate(columns)])
     d = d.crossJoin(F.broadcast(stats))  # one row
+    if method == "iqr":
+        d = d.crossJoin(F.broadcast(quantile_row(d, {f"__q{i}": F.col(f"`{c}`") for i, c in enumerate(columns)}, [0.25, 0.75])))  # one row
     out = []
     for i, c in enumerate(columns):
         x, s = F.col(f"`{c}`").cast("double"), F.col(f"__s{i}")
         if method == "iqr":
-            reach = 1.5 * (s["q"][1] - s["q"][0])
-            odd = (x < s["q"][0] - reach) | (x > s["q"][1] + reach)
+            q = F.col(f"__q{i}")
+            reach = 1.5 * (q[1] - q[0])
+            odd = (x < q[0] - reach) | (x > q[1] + reach)
         else:
             odd = F.abs(x - s["mean"]) / F.coalesce(F.nullif(s["sd"], F.lit(0.0)), F.lit(1.0)) > threshold
         v = F.var_pop(x)
@@ -165,7 +168,7 @@ def column_profile(df: DataFrame) -> DataFrame:
     d, quarts = missing_as_null(df), []
     nums = numeric_columns(df)
     finite = {c: F.when(F.abs(F.col(f"`{c}`").cast("double")) < float("inf"), F.col(f"`{c}`").cast("double")) for c in nums}
-    q = d.select(*[finite[c].alias(c) for c in nums]).agg(*[percentiles(c, [0.25, 0.5, 0.75]).alias(f"__q{i}") for i, c in enumerate(nums)]) if nums else None
+    q = quantile_row(d, {f"__q{i}": finite[c] for i, c in enumerate(nums)}, [0.25, 0.5, 0.75]) if nums else None
     if q is not None:
         d = d.crossJoin(F.broadcast(q))  # one row
     for c in df.columns:

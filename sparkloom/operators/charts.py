@@ -8,7 +8,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import missing_as_null, need, numeric_columns, one_of, percentiles
+from ..functions.scalar import missing_as_null, need, numeric_columns, one_of, percentiles, quantile_row
 from .ordering import with_position
 
 KINDS = ("histogram", "density", "violin", "box", "qq", "error", "outlier", "scatter", "bubble", "pair", "line", "rolling", "bar", "split", "grouped", "stacked", "missingness")
@@ -57,7 +57,7 @@ def qq(df: DataFrame, column: str, points: int = 200) -> DataFrame:
         return d.sparkSession.createDataFrame([], "theoretical double, sample double")
     at = [(i + 0.5) / n for i in range(n)]
     z = F.array(*[F.lit(NormalDist().inv_cdf(p)) for p in at])
-    return d.agg(percentiles("x", at).alias("s")).select(F.inline(F.arrays_zip(z.alias("theoretical"), F.col("s").alias("sample"))))
+    return quantile_row(d, {"s": F.col("x")}, at).select(F.inline(F.arrays_zip(z.alias("theoretical"), F.col("s").alias("sample"))))
 
 
 def error_bars(df: DataFrame, column: str, group: str) -> DataFrame:
@@ -70,7 +70,7 @@ def error_bars(df: DataFrame, column: str, group: str) -> DataFrame:
 def outlier_points(df: DataFrame, column: str, order: list[str], most: int = 1000) -> DataFrame:
     """The first values, by order, beyond 1.5 interquartile ranges."""
     d = missing_as_null(df)
-    d = d.crossJoin(F.broadcast(d.agg(percentiles(column, [0.25, 0.75]).alias("__q"))))  # one row
+    d = d.crossJoin(F.broadcast(quantile_row(d, {"__q": F.col(f"`{column}`")}, [0.25, 0.75])))  # one row
     a, b = F.col("__q")[0], F.col("__q")[1]
     return d.where((_x(column) < a - 1.5 * (b - a)) | (_x(column) > b + 1.5 * (b - a))).orderBy(*[f"`{o}`" for o in order]).limit(most).select(*[F.col(f"`{o}`") for o in order], F.col(f"`{column}`").alias("value"))
 

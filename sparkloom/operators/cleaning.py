@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalar import arithmetic, is_numeric, missing_as_null, need, numeric_columns, one_of, percentiles, split_field, strip
+from ..functions.scalar import arithmetic, is_numeric, missing_as_null, need, numeric_columns, one_of, quantile_row, split_field, strip
 from ..plans.errors import ParameterError
 from .ordering import fill, with_position
 
@@ -103,7 +103,7 @@ def clip(df: DataFrame, columns: list[str], low: float = 0.01, high: float = 0.9
     if not 0 <= low < high <= 1:
         raise ParameterError("0 <= low < high <= 1")
     df = missing_as_null(df)
-    q = df.agg(*[percentiles(c, [low, high]).alias(f"__q{i}") for i, c in enumerate(columns)])
+    q = quantile_row(df, {f"__q{i}": F.col(f"`{c}`") for i, c in enumerate(columns)}, [low, high])
     d = df.crossJoin(F.broadcast(q))  # one row
 
     def bound(i: int, c: str) -> Column:

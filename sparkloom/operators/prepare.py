@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import is_numeric, missing_as_null, need, one_of, percentiles
+from ..functions.scalar import is_numeric, missing_as_null, need, one_of, quantile_row
 from ..plans.errors import ParameterError
 from .ordering import with_position
 
@@ -125,12 +125,16 @@ def scale(df: DataFrame, columns: list[str], method: str = "standard") -> DataFr
 
 
 def _fit(d: DataFrame, columns: list[str], method: str) -> DataFrame:
+    """One row: __s0... with centre c and width w of each column."""
+    wide = lambda w: F.coalesce(F.nullif(w, F.lit(0.0)), F.lit(1.0)).alias("w")
+    if method == "robust":
+        q = quantile_row(d, {f"q{i}": F.col(f"`{c}`") for i, c in enumerate(columns)}, [0.25, 0.5, 0.75])
+        return q.select(*[F.struct(F.col(f"q{i}")[1].alias("c"), wide(F.col(f"q{i}")[2] - F.col(f"q{i}")[0])).alias(f"__s{i}") for i in range(len(columns))])
     parts = []
     for i, c in enumerate(columns):
         x = F.col(f"`{c}`").cast("double")
-        q = percentiles(c, [0.25, 0.5, 0.75])
-        centre, width = {"standard": (F.avg(x), F.stddev_pop(x)), "minmax": (F.min(x), F.max(x) - F.min(x)), "robust": (q[1], q[2] - q[0])}[method]
-        parts.append(F.struct(centre.alias("c"), F.coalesce(F.nullif(width, F.lit(0.0)), F.lit(1.0)).alias("w")).alias(f"__s{i}"))
+        centre, width = (F.avg(x), F.stddev_pop(x)) if method == "standard" else (F.min(x), F.max(x) - F.min(x))
+        parts.append(F.struct(centre.alias("c"), wide(width)).alias(f"__s{i}"))
     return d.agg(*parts)
 
 
@@ -188,7 +192,8 @@ def preprocess(df: DataFrame, numeric: list[str] = (), categorical: list[str] =
     if train.isEmpty():
         raise ParameterError("no train rows")
     numeric, categorical = list(numeric), list(categorical)
-    med = train.agg(*[F.coalesce(F.median(F.col(f"`{c}`").cast("double")), F.lit(0.0)).alias(f"__m{i}") for i, c in enumerate(numeric)]) if numeric else None
+    med = quantile_row(train, {f"__m{i}": F.col(f"`{c}`") for i, c in enumerate(numeric)}, [0.5]) if numeric else None
+    med = med.select(*[F.coalesce(F.col(f"__m{i}")[0], F.lit(0.0)).alias(f"__m{i}") for i in range(len(numeric))]) if numeric else None
     out = d.withColumns({f"{c}_missing": F.col(f"`{c}`").isNull().cast("int") for c in numeric}) if indicator and numeric else d
     if med is not None:
         def filled(x: DataFrame) -> DataFrame:

@@ -349,3 +349,18 @@ def test_operators_leave_their_input_alone(table):
     for op, p in (("drop_missing", {}), ("fill_missing", {"columns": ["x"], "method": "median"}), ("scale", {"columns": ["x"]}), ("encode", {"columns": ["c"]}), ("clip", {"columns": ["x"]}), ("pivot", {"index": "id", "column": "c", "value": "x"}), ("ordinal", {"column": "c", "categories": ["a"]})):
         assert repr(rows(registry.apply(table, op, p))) == repr(rows(registry.apply(table, op, p)))
     assert repr(rows(table)) == repr(before)
+
+
+def test_quantiles_of_many_values(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    at = [0.0, 0.01, 0.25, 0.5, 0.9, 0.999, 1.0]
+    columns = {"a": rng.normal(size=20000), "b": np.round(rng.exponential(size=20000), 1), "c": np.full(20000, 3.0)}
+    rows = [(*map(float, v), None, float(i) if i < 3 else None) for i, v in enumerate(zip(*columns.values(), strict=True))]
+    df = spark.createDataFrame(rows, "a double, b double, c double, none double, few double")
+    want = {k: np.quantile(v, at) for k, v in columns.items()} | {"few": np.quantile([0.0, 1.0, 2.0], at)}
+    for ranked in (10, 10**6):
+        monkeypatch.setattr(scalar, "RANKED", ranked)
+        got = scalar.quantile_row(df, {c: F.col(c) for c in df.columns}, at).first()
+        assert got["none"] is None and all(np.allclose(got[k], v, rtol=0, atol=1e-9) for k, v in want.items())
