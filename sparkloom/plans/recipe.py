@@ -6,6 +6,7 @@ import ast
 import hashlib
 import json
 import re
+import uuid
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -88,14 +89,19 @@ def key(input_digest: str, steps: list[dict], ops: Registry = registry) -> str:
 
 
 class VersionStore:
-    """Immutable versions of a table below a path, with a log. A commit names the revision it was made from."""
+    """Immutable versions of a table below a path. A commit names the revision it was made from.
+
+    A commit writes its rows to a folder of its own first, and then one log file named by the new revision, which must
+    not exist: of two that were made from one revision, the second to write the log fails and stays invisible. (The check
+    is as strict as the file system's: a store without atomic creation leaves a gap of milliseconds.)
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
     def _log(self) -> list[dict]:
         try:
-            return [json.loads(r[0]) for r in self.spark.read.text(f"{self.path}/log").collect()]  # one short row a commit
+            return [json.loads(r[0]) for r in self.spark.read.option("recursiveFileLookup", "true").text(f"{self.path}/log").collect()]  # one short row a commit
         except Exception as e:
             if "PATH_NOT_FOUND" in str(e):
                 return []
@@ -108,14 +114,22 @@ class VersionStore:
         """Writes a new version, unless another commit came first."""
         if base != self.revision():
             raise ParameterError(f"made from revision {base}, the table is at {self.revision()}")
-        new = base + 1
-        df.write.mode("errorifexists").option("compression", "zstd").parquet(f"{self.path}/v{new}")
-        entry = json.dumps({"revision": new, "base": base, "steps": steps})
-        self.spark.range(1).selectExpr(f"'{entry.replace(chr(92), chr(92) * 2).replace(chr(39), chr(92) + chr(39))}' as value").write.mode("append").text(f"{self.path}/log")
+        new, data = base + 1, f"data/{uuid.uuid4().hex}"
+        df.write.mode("errorifexists").option("compression", "zstd").parquet(f"{self.path}/{data}")
+        entry = json.dumps({"revision": new, "base": base, "steps": steps, "data": data})
+        try:
+            self.spark.createDataFrame([(entry,)], "value string").coalesce(1).write.mode("errorifexists").text(f"{self.path}/log/{new:09d}")
+        except Exception as e:
+            if "PATH_ALREADY_EXISTS" in str(e):
+                raise ParameterError(f"another commit made revision {new}") from e
+            raise
         return new
 
     def load(self, revision: int | None = None) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/v{revision or self.revision()}")
+        log = {x["revision"]: x["data"] for x in self._log()}
+        if not log or (revision or max(log)) not in log:
+            raise ParameterError(f"no revision {revision}")
+        return self.spark.read.parquet(f"{self.path}/{log[revision or max(log)]}")
 
     def restore(self, revision: int) -> int:
         return self.commit(self.load(revision), [{"operation": "restore", "parameters": {"revision": revision}}], self.revision())

@@ -110,3 +110,79 @@ def test_file_blocks(spark, tmp_path):
         ("b.md", 2, "paragraph", "para b", "One"), ("c.html", 0, "h2", "H", "H"), ("c.html", 1, "p", "x", "H"),
     ]
     assert [name(r) for r in out if r.error] == ["d.docx"]
+
+
+def test_bundles_replay_and_refuse_changes(spark, tmp_path):
+    from sparkloom.plans import recipe as recipes
+    from sparkloom.plans.errors import ParameterError
+    from sparkloom.sources import bundles
+
+    df = spark.createDataFrame([(1, "a", 2.5), (2, "b", None), (2, "b", None)], "n long, s string, x double")
+    other = spark.createDataFrame([("a", 7)], "s string, y long")
+    steps = recipes.compile_script('data = drop_duplicates(data)\ndata = filter(data, column="n", op="greater", value=0)')
+    manifest = bundles.write_bundle(str(tmp_path / "b"), df, steps, {"other": other})
+    assert set(manifest["digests"]) == {"input", "output", "datasets/other"}
+    assert sorted(map(tuple, bundles.replay_bundle(spark, str(tmp_path / "b")).collect())) == [(1, "a", 2.5), (2, "b", None)]
+    assert bundles.content_digest(df) == bundles.content_digest(df.orderBy("s", ascending=False)) != bundles.content_digest(df.distinct())
+    df.limit(1).write.mode("append").parquet(str(tmp_path / "b/input"))
+    with pytest.raises(ParameterError, match="input was changed"):
+        bundles.replay_bundle(spark, str(tmp_path / "b"))
+
+
+def test_normalised_imports_are_made_once(spark, tmp_path):
+    from sparkloom.sources import bundles
+
+    src = tmp_path / "t.csv"
+    src.write_text("a,b\n1,x\n2,y\n")
+    got, key = bundles.normalised(spark, str(src), str(tmp_path / "store"), "digest-1")
+    assert sorted(map(tuple, got.collect())) == [(1, "x"), (2, "y")]
+    src.write_text("a,b\n9,z\n")
+    assert bundles.normalised(spark, str(src), str(tmp_path / "store"), "digest-1")[0].count() == 2
+    again, other = bundles.normalised(spark, str(src), str(tmp_path / "store"), "digest-2")
+    assert again.count() == 1 and other != key
+
+
+def test_filtered_export_and_examples(spark, tmp_path):
+    from sparkloom.plans.errors import ParameterError
+    from sparkloom.sources import bundles
+
+    df = spark.range(50).selectExpr("id", "id % 5 k")
+    bundles.export_query(df, str(tmp_path / "out"), "parquet", [{"column": "k", "op": "eq", "value": 2}], columns=["id"])
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == list(range(2, 50, 5))
+    with pytest.raises(ParameterError):
+        bundles.export_query(df, str(tmp_path / "no"), "parquet", most=10)
+    assert [r.id for r in bundles.contract_examples(df.where("k = 1"), ["id"], 3).collect()] == [1, 6, 11]
+
+
+def test_models_are_checked_and_stored_by_content(spark, tmp_path):
+    from sparkloom.operators import documents
+    from sparkloom.plans.errors import ParameterError
+    from sparkloom.sources import bundles
+
+    df = spark.createDataFrame([(1, "the cat and the dog", "en"), (2, "le chat et le chien", "fr")], "id long, text string, l string")
+    fitted = documents.bayes_fit(df, "l", documents.tfidf_vocabulary(df))
+    model = bundles.bayes_model(fitted)
+    key = bundles.archive_model(spark, model, str(tmp_path))
+    assert bundles.archive_model(spark, model, str(tmp_path)) == key and bundles.load_model(spark, str(tmp_path), key) == model
+    got = documents.bayes_classify(df, bundles.bayes_frame(spark, model), "id")
+    assert {r.id: r.label for r in got.collect()} == {1: "en", 2: "fr"}
+    for bad in ({}, {"kind": "tfidf", "words": ["a"], "idf": [float("nan")]}, {"kind": "tfidf", "words": ["a", "a"], "idf": [1, 2]}, {"kind": "bayes", "words": ["a"], "labels": {"x": {"prior": 0.0, "log_p": []}}}):
+        with pytest.raises(ParameterError):
+            bundles.check_model(bad)
+
+
+def test_plugins_declare_what_they_can():
+    from sparkloom.plans.errors import ParameterError
+    from sparkloom.plans.plugins import Plugin, Plugins
+
+    class Planner:
+        def plan(self, prompt):
+            return {"topic": prompt}
+
+    plugins = Plugins()
+    plugins.register(Plugin("own-planner", "1.0.2", ">=1.2, <2", ("prompt_planner",), {"prompt_planner": Planner()}))
+    assert plugins.providing("prompt_planner")[0][1].plan("x") == {"topic": "x"} and plugins.providing("exporter") == []
+    bad = [("own-planner", "1", ">=1", ("prompt_planner",)), ("Bad", "1", ">=1", ("prompt_planner",)), ("b2", "x", ">=1", ("prompt_planner",)), ("b3", "1", ">=2", ("prompt_planner",)), ("b4", "1", "~1", ("prompt_planner",)), ("b5", "1", ">=1", ()), ("b6", "1", ">=1", ("exporter",))]
+    for name, version, api, capabilities in bad:
+        with pytest.raises(ParameterError):
+            plugins.register(Plugin(name, version, api, capabilities, {"prompt_planner": Planner(), "exporter": Planner()}))
