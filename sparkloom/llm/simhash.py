@@ -1,10 +1,11 @@
 """SimHash near-duplicates by a byte-position inverted index with count filtering.
 
 A fingerprint is eight bytes. Two fingerprints that differ in at most three bits share the byte at five or more of the
-eight positions, so they also share three positions within the first or within the second half. The index is keyed by
-these triples, (positions, their bytes): eight entries for each distinct fingerprint. Among the fingerprints of one key
-the shared positional bytes of a pair are tallied, pairs that reach the guaranteed minimum (8 - bits) are kept and
-verified bit by bit.
+eight positions. Any five of eight positions hold one of FOURS, fourteen sets of four (their complements are the blocks
+of the Steiner system S(3, 4, 8), which hold every three positions). The index is keyed by these, (positions, their
+bytes): fourteen entries for each distinct fingerprint, with keys of 32 bits. Among the fingerprints of one key the
+shared positional bytes of a pair are tallied, pairs that reach the guaranteed minimum (8 - bits) are kept and verified
+bit by bit.
 
 Equal fingerprints are one entry. A key with more than BLOCK fingerprints is split into blocks that meet in pairs, each
 pair a task of its own, so that no task holds an unbounded group, and every task returns a forest that connects what it
@@ -18,7 +19,6 @@ an empty table gives no rows; extra columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -30,8 +30,11 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, connected_components, cut
 from .pieces import by_bytes
 
-#: Positions of which a pair within three bits shares all, for one of them at least.
-TRIPLES = [t for half in (range(4), range(4, 8)) for t in combinations(half, 3)]
+#: The three ways to pair four positions.
+_PAIRINGS = (((0, 1), (2, 3)), ((0, 2), (1, 3)), ((0, 3), (1, 2)))
+#: Positions of which a pair within three bits shares all, for one of them at least: either half; or a pair of the first
+#: half with a pair of the second, from the same way of pairing.
+FOURS = [(0, 1, 2, 3), (4, 5, 6, 7), *[(*a, *(4 + p for p in b)) for pairing in _PAIRINGS for a in pairing for b in pairing]]
 #: Fingerprints of a key that are compared in one task.
 BLOCK = 4096
 
@@ -103,14 +106,14 @@ def links(fps: DataFrame, bits: int = 3, joined: bool = False) -> DataFrame:
     edge is a link."""
     if not 0 <= bits <= 3:
         raise ValueError("the index guarantees links of at most 3 bits")
-    keys = [F.concat(F.lit(bytes([k])), *[F.substring(F.unhex(F.lpad(F.hex("fp"), 16, "0")), p + 1, 1) for p in t]) for k, t in enumerate(TRIPLES)]
+    keys = [F.concat(F.lit(bytes([k])), *[F.substring(F.unhex(F.lpad(F.hex("fp"), 16, "0")), p + 1, 1) for p in t]) for k, t in enumerate(FOURS)]
     index = fps.select("fp", F.explode(F.array(*keys)).alias("key"))
     sizes = index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    index = index.join(sizes, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    index = cut(index.join(sizes, "key")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     # a fingerprint of block b meets each other block o in the task of (least, greatest)
     index = index.withColumn("b", block).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    index = index.select("key", F.least("b", "o").alias("b1"), F.greatest("b", "o").alias("b2"), "fp")
+    index = index.select("key", "n", F.least("b", "o").alias("b1"), F.greatest("b", "o").alias("b2"), "fp")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         fp = np.sort(pdf["fp"].to_numpy())
@@ -118,11 +121,10 @@ def links(fps: DataFrame, bits: int = 3, joined: bool = False) -> DataFrame:
         return pd.DataFrame({"src": fp[e[:, 0]], "dst": fp[e[:, 1]]})
 
     # many keys a task: one Arrow group each would cost more than the comparison, so pairs of equal keys go native
-    small = index.join(sizes.where("n <= 8").select("key"), "key", "left_semi")
+    small = index.where("n <= 8")
     pair = small.alias("x").join(small.alias("y"), "key").where("x.fp < y.fp")
     native = pair.where(F.bit_count(F.expr("x.fp ^ y.fp")) <= bits).select(F.col("x.fp").alias("src"), F.col("y.fp").alias("dst"))
-    large = index.join(sizes.where("n > 8").select("key"), "key", "left_semi")
-    return native.unionByName(large.groupBy("key", "b1", "b2").applyInPandas(run, "src long, dst long"))
+    return native.unionByName(index.where("n > 8").drop("n").groupBy("key", "b1", "b2").applyInPandas(run, "src long, dst long"))
 
 
 def components(df: DataFrame, bits: int = 3, shingle: int = 3) -> DataFrame:

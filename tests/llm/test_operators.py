@@ -329,6 +329,12 @@ def test_simhash(odd, docs, texts):
     assert simhash.components(docs.where("false")).count() == 0
 
 
+def test_every_five_positions_hold_an_indexed_four():
+    from itertools import combinations
+
+    assert len(set(simhash.FOURS)) == 14 and all(any(set(f) <= set(five) for f in simhash.FOURS) for five in combinations(range(8), 5))
+
+
 def test_simhash_links_of_dense_and_random_hashes(spark, monkeypatch):
     rng = np.random.default_rng(1)
     base = int(rng.integers(0, 1 << 62))
