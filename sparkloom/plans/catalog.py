@@ -93,9 +93,9 @@ def search_page(df):
     return predicates.query_table(df, f, columns=["p_partkey", "p_name", "p_retailprice"], sort="p_retailprice", descending=True, limit=50, offset=10, tie=["p_partkey"])[0]
 
 
-@query("part", "select count(*) as total from part where p_size >= 10 and (p_partkey::varchar ilike '%1%' or p_name ilike '%1%' or p_brand ilike '%1%' or p_type ilike '%1%' or p_size::varchar ilike '%1%')")
+@query("part", "select count(*) as total from part where p_size >= 10 and (p_partkey::varchar ilike '%1%' or p_name ilike '%1%' or p_brand ilike '%1%' or p_type ilike '%1%' or p_size::varchar ilike '%1%' or p_retailprice::varchar ilike '%1%')")
 def search_total(df):
-    return predicates.query_table(df.drop("p_retailprice"), [{"column": "p_size", "op": "gte", "value": 10}], search="1")[1]
+    return predicates.query_table(df, [{"column": "p_size", "op": "gte", "value": 10}], search="1")[1]
 
 
 @query("nation", "select n_regionkey as value, count(*) as n from nation group by 1 order by n desc, value limit 3")
@@ -257,9 +257,13 @@ def explode_name(df):
     return reshape.explode(df, "p_name", " ").select("p_partkey", "p_name")
 
 
-@query("lineitem", "select * from (values ('l_orderkey'), ('l_linenumber'), ('flag')) t(\"column\"), lateral (select case when \"column\" = 'flag' then (select count(*) from lineitem where l_returnflag = 'N') else 0::bigint end as missing)")
+_LINE = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+
+
+@query("lineitem", " union all ".join(f"select '{c}' as \"column\", count(*) - count({c}) as missing from (select * replace (nullif(l_returnflag, 'N') as l_returnflag, case when l_linenumber = 3 then null when l_linenumber = 4 then 'nan'::double else l_tax end as l_tax) from lineitem) where true" if c != "l_tax" else "select 'l_tax' as \"column\", count(*) filter (l_linenumber in (3, 4)) as missing from lineitem" for c in _LINE))
 def missing_counts(df):
-    return aggregates.null_counts(df.select("l_orderkey", "l_linenumber", F.nullif(F.col("l_returnflag"), F.lit("N")).alias("flag")))
+    tax = F.when(F.col("l_linenumber") == 4, float("nan")).when(F.col("l_linenumber") != 3, F.col("l_tax"))
+    return aggregates.null_counts(df.withColumns({"l_returnflag": F.nullif(F.col("l_returnflag"), F.lit("N")), "l_tax": tax}))
 
 
 @query("lineitem", "select 'l_tax' as \"column\", unnest([0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0])::double as quantile, round(unnest((select quantile_cont(l_tax, [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]) from lineitem)), 4) as value")
@@ -299,10 +303,14 @@ def outliers_zscore(df):
     return aggregates.outliers(df, ["o_totalprice"], "zscore", 1.5).drop("variance")
 
 
-@query("customer", """select 'c_mktsegment' as "column", 'string' as type, count(*) filter (c_mktsegment is null) as missing, count(distinct c_mktsegment) as "distinct", min(c_mktsegment) as min, max(c_mktsegment) as max, null::double as mean from customer
-    union all select 'c_nationkey', 'int', count(*) filter (c_nationkey is null), count(distinct c_nationkey), min(c_nationkey)::varchar, max(c_nationkey)::varchar, round(avg(c_nationkey), 4) from customer""")
+_KINDS = {"c_custkey": "bigint", "c_name": "string", "c_nationkey": "int", "c_acctbal": "double", "c_mktsegment": "string"}
+
+
+@query("customer", " union all ".join(
+    f"select '{c}' as \"column\", '{kind}' as type, count(*) - count({c}) as missing, count(distinct {c}) as \"distinct\", min({c})::varchar as min, max({c})::varchar as max, {'null::double' if kind == 'string' else f'round(avg({c}), 2)'} as mean from customer" for c, kind in _KINDS.items()
+))
 def import_profile(df):
-    return aggregates.import_profile(df.select("c_mktsegment", "c_nationkey")).withColumn("mean", r("mean")).drop("values")
+    return aggregates.import_profile(df).withColumn("mean", r("mean", 2)).drop("values")
 
 
 @query("orders", """select 'o_totalprice' as "column", count(*) as rows, 0::bigint as missing, count(distinct o_totalprice) as "unique", round(avg(o_totalprice), 1) as mean, round(median(o_totalprice), 2) as median, round(stddev_samp(o_totalprice), 1) as std, round(skewness(o_totalprice), 3) as skew from orders""")
@@ -311,21 +319,15 @@ def column_profile(df):
     return p.select("column", "rows", "missing", "unique", r("mean", 1).alias("mean"), r("median", 2).alias("median"), r("std", 1).alias("std"), r("skew", 3).alias("skew"))
 
 
-@query("lineitem")
-def findings(df):
-    return aggregates.findings(df.select("l_orderkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus"))
-
-
 @query("lineitem", "select l_returnflag as label, count(*) as n from lineitem group by 1")
 def distribution_flag(df):
     return aggregates.distribution(df, "l_returnflag").select("label", "n")
 
 
 @query("customer", """select 'class_share' as finding, c_mktsegment as "column", round(count(*) / (select count(*) from customer), 6)::double as value from customer group by 2
-    union all select 'equals_target', 'copy', 1.0::double""")
+    union all select 'equals_target', 'copy', 1.0::double union all select 'high_cardinality', c, n::double from (select unnest(['c_custkey', 'c_name', 'c_acctbal']) as c, unnest([count(distinct c_custkey), count(distinct c_name), count(distinct c_acctbal)]) as n from customer) where n > 100""")
 def quality_target(df):
-    q = aggregates.quality(df.select("c_custkey", "c_mktsegment", F.col("c_mktsegment").alias("copy")), target="c_mktsegment")
-    return q.where("finding in ('class_share', 'equals_target')").withColumn("value", r("value", 6))
+    return aggregates.quality(df.withColumn("copy", F.col("c_mktsegment")), target="c_mktsegment").withColumn("value", r("value", 6))
 
 
 _RULES = [{"rule": "required", "column": "lang"}, {"rule": "unique", "column": "text"}, {"rule": "minimum", "column": "n_chars", "value": 100}, {"rule": "maximum", "column": "n_chars", "value": 20000}, {"rule": "allowed", "column": "lang", "value": "en, de, fr"}, {"rule": "numeric", "column": "source"}]
@@ -466,10 +468,10 @@ def split_stratified_train(df):
     return s.where("_split = 'train'").groupBy("c_mktsegment", "_split").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("customer", "select 0::bigint as crossing")
+@query("customer", "select count(distinct c_nationkey) as groups, 0::bigint as crossing, floor(count(distinct c_nationkey) * 0.6)::bigint as train, count(*) as n from customer")
 def split_group_integrity(df):
-    s = prepare.split(df, "group", "c_custkey", 0.6, 0.2, by="c_nationkey")
-    return s.groupBy("c_nationkey").agg(F.count_distinct("_split").alias("k")).agg(F.count_if(F.col("k") > 1).alias("crossing"))
+    s = prepare.split(df, "group", "c_custkey", 0.6, 0.2, by="c_nationkey").groupBy("c_nationkey").agg(F.count_distinct("_split").alias("k"), F.min("_split").alias("s"), F.count(F.lit(1)).alias("n"))
+    return s.agg(F.count(F.lit(1)).alias("groups"), F.count_if(F.col("k") > 1).alias("crossing"), F.count_if(F.col("s") == "train").alias("train"), F.sum("n").alias("n"))
 
 
 # --- charts
@@ -508,9 +510,10 @@ def chart_rolling(df):
     return charts.chart(df, "rolling", "ts", "value", window=7, order=["event_id"]).select("x", r("y").alias("y"))
 
 
-@query("nation", "select * from (select 0 as n_nationkey, (n_name = 'FRANCE')::int as n_name from nation order by n_nationkey limit 100)")
+@query("nation", "select (n_nationkey % 3 = 1)::int as n_nationkey, (n_name = 'NATION_7')::int as n_name, 0 as n_regionkey from nation order by nation.n_nationkey limit 100")
 def chart_missingness(df):
-    return charts.chart(df.select("n_nationkey", F.nullif(F.col("n_name"), F.lit("FRANCE")).alias("n_name")), "missingness", order=["n_nationkey"])
+    d = df.select(F.when(F.col("n_nationkey") % 3 != 1, F.col("n_nationkey")).alias("n_nationkey"), F.nullif(F.col("n_name"), F.lit("NATION_7")).alias("n_name"), "n_regionkey")
+    return charts.chart(d, "missingness", order=["n_nationkey"])
 
 
 @query("lineitem", """select 'flag' as facet, l_returnflag as bucket, count(*) as n from lineitem group by 2 union all select 'size', case when l_quantity < 10 then 'small' else 'large' end, count(*) from lineitem group by 2""")
@@ -624,10 +627,14 @@ def domain_filter(df):
     return df.where(scalar.in_domains(scalar.url_host(F.col("url")), ["com", "org"])).select("page_id")
 
 
-@query("nation", """select n_nationkey, case n_nationkey % 4 when 0 then true when 1 then false when 2 then true else false end as ok from nation""")
+@query("part", """with l as (select p_partkey, ['CC BY', 'cc-by', 'CC BY-SA', 'CC BY-NC', 'Creative Commons BY'][(p_partkey % 5 + 1)::int] || case p_partkey % 3 when 0 then ' 4.0' when 1 then ' 3.0' else '' end as name from part),
+    n as (select p_partkey, regexp_replace(regexp_replace(regexp_replace(lower(name), 'creative commons', 'cc'), '[^a-z0-9.]+', '-', 'g'), '^cc-', '') as n from l)
+    select p_partkey, coalesce(regexp_extract(n, '^(by(-sa|-nc)?)', 1) = 'by' and regexp_extract(n, '([0-9.]+)$', 1) = '4.0', false) as ok from n""")
 def license_match(df):
-    names = F.array(*map(F.lit, ("CC BY 4.0", "CC BY-NC 4.0", "Creative Commons BY 4.0", "CC BY 3.0")))
-    return df.select("n_nationkey", scalar.license_allowed(F.get(names, F.col("n_nationkey") % 4), ["cc-by-4.0"]).alias("ok"))
+    names = F.array(*map(F.lit, ("CC BY", "cc-by", "CC BY-SA", "CC BY-NC", "Creative Commons BY")))
+    version = F.when(F.col("p_partkey") % 3 == 0, " 4.0").when(F.col("p_partkey") % 3 == 1, " 3.0").otherwise("")
+    name = F.concat(F.get(names, (F.col("p_partkey") % 5).cast("int")), version)
+    return df.select("p_partkey", scalar.license_allowed(name, ["cc-by-4.0"]).alias("ok"))
 
 
 @query("part", "with w as (select p_partkey, list_distinct(list_filter(regexp_extract_all(lower(p_name), '[a-z0-9]+'), lambda x: length(x) > 2)) as w from part) select p_partkey, round(least(1.0, len(list_intersect(w, ['red', 'green', 'blue', 'almond']))::double / 4), 4)::double as relevance from w")
