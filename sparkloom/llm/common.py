@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable
 
@@ -50,6 +51,17 @@ def unused(name: str, taken: list[str]) -> str:
     return name
 
 
+#: Edges of a partition of the component search.
+EDGES = 50_000
+
+
+def sweep(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of what is no longer referred to: it does so only when the driver's JVM happens
+    to collect garbage, and until then every finished phase takes up disk."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
@@ -74,11 +86,12 @@ def connected_components(
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null and u <> v")
     # every edge points from its larger node to its smaller one
     e = cut(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    seen = None
+    seen, parts = None, max(1, e.rdd.getNumPartitions())
     for i in range(max_rounds):
-        large = _star(e, large=True)
-        e = cut(_star(large, large=False))
+        # a round has as many tasks as its edges are worth; their number never grows
+        e = cut(_star(_star(e, large=True), large=False).coalesce(parts))
         stamp = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        parts = max(1, min(parts, -(-stamp[0] // EDGES)))
         if on_round:
             on_round(i, stamp[0])
         if tuple(stamp) == seen:
@@ -86,6 +99,7 @@ def connected_components(
         seen = tuple(stamp)
     else:
         raise RuntimeError(f"connected components did not settle in {max_rounds} rounds")
+    sweep(edges.sparkSession)
     # settled: every edge is (node, root)
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

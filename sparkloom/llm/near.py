@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import bounded_batches, connected_components, cut
+from .common import bounded_batches, connected_components, cut, sweep
 from .pieces import by_bytes, column_bytes
 
 SHINGLE = 5
@@ -237,26 +237,40 @@ def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame) -> DataFrame:
     """(src, dst) pairs of similar classes that span the components of all such pairs that a key or a fingerprint shows."""
+    spark = docs.sparkSession
     heads = cut(_heads(_texts(docs)).dropDuplicates(["class"]))
-    index = heads.select("class", "n", F.explode("keys").alias("key"))
-    met = index.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("class").alias("lead")).where("k > 1")
-    entries = cut(index.join(met, "key"))
+    entries = _entries(heads)
     hot = entries.where(F.col("k") > HOT).select("class", "lead").where("class <> lead").distinct()
     clusters = cut(connected_components(hot, "class", "lead").toDF("class", "cluster"))
+    pairs = _tallied(entries, clusters, heads)
+    sweep(spark)
+    sets = _whole(docs, pairs.select(F.explode(F.array("src", "dst")).alias("class")).unionByName(clusters.select("class")))
+    found = cut(_clustered(sets, clusters))
+    best = pairs.groupBy("src").agg(F.max_by("dst", F.struct("tally", -F.col("dst"))).alias("dst"))
+    best = cut(best.unionByName(pairs.groupBy("dst").agg(F.max_by("src", F.struct("tally", -F.col("src"))).alias("src"))).distinct())
+    sweep(spark)
+    found = cut(found.unionByName(_similar(sets, _apart(best, connected_components(found)))))
+    tried = best.withColumn("tried", F.lit(True))
+    rest = cut(_apart(pairs.select("src", "dst"), connected_components(found)).join(tried, ["src", "dst"], "left_anti"))
+    sweep(spark)
+    return found if rest.isEmpty() else cut(found.unionByName(_similar(sets, rest)))
+
+
+def _entries(heads: DataFrame) -> DataFrame:
+    """class, n, key, k and lead (number and least class of the key's) of keys that classes share."""
+    index = heads.select("class", "n", F.explode("keys").alias("key"))
+    met = index.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("class").alias("lead")).where("k > 1")
+    return cut(index.join(met, "key"))
+
+
+def _tallied(entries: DataFrame, clusters: DataFrame, heads: DataFrame) -> DataFrame:
+    """src, dst, tally: candidates outside of clusters, and how many keys they share; linked fingerprints count as more."""
     few = entries.where(F.col("k") <= HOT).join(clusters, "class", "left").select("key", "class", "n", "cluster")
     apart = F.expr("x.class < y.class and not coalesce(x.cluster = y.cluster, false)")
     pairs = few.alias("x").join(few.alias("y"), "key").where(apart).where(_possible("x.n", "y.n"))
     pairs = pairs.groupBy(F.col("x.class").alias("src"), F.col("y.class").alias("dst")).agg(F.count(F.lit(1)).alias("tally"))
     prints = _by_fingerprint(heads.select("class", "fp")).withColumn("tally", F.lit(BANDS + 1).cast("long"))
-    pairs = cut(pairs.unionByName(prints).groupBy("src", "dst").agg(F.max("tally").alias("tally")))
-    sets = _whole(docs, pairs.select(F.explode(F.array("src", "dst")).alias("class")).unionByName(clusters.select("class")))
-    found = cut(_clustered(sets, clusters))
-    best = pairs.groupBy("src").agg(F.max_by("dst", F.struct("tally", -F.col("dst"))).alias("dst"))
-    best = best.unionByName(pairs.groupBy("dst").agg(F.max_by("src", F.struct("tally", -F.col("src"))).alias("src")))
-    found = cut(found.unionByName(_similar(sets, _apart(best.distinct(), connected_components(found)))))
-    tried = best.distinct().withColumn("tried", F.lit(True))
-    rest = cut(_apart(pairs.select("src", "dst"), connected_components(found)).join(tried, ["src", "dst"], "left_anti"))
-    return found if rest.isEmpty() else found.unionByName(_similar(sets, rest))
+    return cut(pairs.unionByName(prints).groupBy("src", "dst").agg(F.max("tally").alias("tally")))
 
 
 def components(docs: DataFrame) -> DataFrame:
