@@ -278,7 +278,7 @@ def markdown_blocks(df: DataFrame, id_col: str, text: str = "text") -> DataFrame
     kept = d.where("not blank").groupBy(id_col, "g").agg(F.min("line").alias("line"), F.max("heading").alias("heading"), F.max("is_head").alias("h"), F.sort_array(F.collect_list(F.struct("line", "raw"))).alias("rows"))
     body = F.array_join(F.transform("rows", lambda r: F.trim(r["raw"])), " ")
     block = F.row_number().over(Window.partitionBy(id_col).orderBy("line")) - 1
-    return kept.select(id_col, block.cast("long").alias("block"), F.when(F.col("h"), "heading").otherwise("paragraph").alias("kind"), F.when(F.col("h"), F.col("heading")).otherwise(body).alias("text"), F.coalesce("heading", F.lit("")).alias("heading"), (F.col("line") + 1).cast("long").alias("line"))
+    return kept.select(id_col, block.cast("long").alias("block"), F.when(F.col("h"), F.concat(F.lit("heading_"), F.length(F.regexp_extract(F.get("rows", F.lit(0))["raw"], r"^(#{1,6})", 1)))).otherwise("paragraph").alias("kind"), F.when(F.col("h"), F.col("heading")).otherwise(body).alias("text"), F.coalesce("heading", F.lit("")).alias("heading"), (F.col("line") + 1).cast("long").alias("line"))
 
 
 def docx_paragraphs(content: bytes) -> list[tuple[str, str]]:
@@ -336,7 +336,7 @@ def file_blocks(binary: DataFrame) -> DataFrame:
                 if part.strip():
                     if i % 2:
                         heading = part.lstrip("#").strip()
-                    out.append(("heading" if i % 2 else "paragraph", heading if i % 2 else " ".join(part.split()), heading, None))
+                    out.append((f"heading_{len(part) - len(part.lstrip('#'))}" if i % 2 else "paragraph", heading if i % 2 else " ".join(part.split()), heading, None))
         return out
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -106,8 +106,8 @@ def test_file_blocks(spark, tmp_path):
     out = documents.file_blocks(readers.binary_assets(spark, str(tmp_path))).collect()
     name = lambda r: r.path.rsplit("/", 1)[-1]
     assert sorted((name(r), r.block, r.kind, r.text, r.heading) for r in out if not r.error) == [
-        ("a.docx", 0, "heading", "Top", "Top"), ("a.docx", 1, "paragraph", "Text", "Top"), ("b.md", 0, "heading", "One", "One"), ("b.md", 1, "paragraph", "para a", "One"),
-        ("b.md", 2, "paragraph", "para b", "One"), ("c.html", 0, "h2", "H", "H"), ("c.html", 1, "p", "x", "H"),
+        ("a.docx", 0, "heading", "Top", "Top"), ("a.docx", 1, "paragraph", "Text", "Top"), ("b.md", 0, "heading_1", "One", "One"), ("b.md", 1, "paragraph", "para a", "One"),
+        ("b.md", 2, "paragraph", "para b", "One"), ("c.html", 0, "heading_2", "H", "H"), ("c.html", 1, "p", "x", "H"),
     ]
     assert [name(r) for r in out if r.error] == ["d.docx"]
 

@@ -263,7 +263,7 @@ def test_documents(spark):
         c = documents.chunks(md, "id", strategy=s, size=64, overlap=8)
         assert c.agg(F.max("n_tokens")).first()[0] <= 64 and {r.id for r in c.select("id").distinct().collect()} == {1}
     assert documents.parse_html("<h1>T</h1><script>x</script><p>a  b</p>") == ("T", [("heading_1", "T", "T"), ("p", "a b", "T")])
-    assert [r.kind for r in documents.markdown_blocks(md, "id").orderBy("block").collect()] == ["heading", "paragraph", "heading", "paragraph"]
+    assert [r.kind for r in documents.markdown_blocks(md, "id").orderBy("block").collect()] == ["heading_1", "paragraph", "heading_2", "paragraph"]
     v = documents.hashed_vectors(md, "id", dims=64).collect()
     assert all(len(r.vector) == 64 for r in v)
 
