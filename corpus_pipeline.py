@@ -39,7 +39,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row, the one with the smallest id, of each group of near copies: texts linked by sharing at least 80 %
     of their distinct 5-word shingles. Only texts decide: a row with a null id stays unless a row with an id is its near
     copy, and unlike texts with one id all stay."""
-    mark, turn = unused("class", docs.columns), unused("turn", docs.columns)
+    mark, turn, left = (unused(name, docs.columns) for name in ("class", "turn", "left"))
     found = cut(near.components(docs))
     # of each component the class with the smallest id stays, and of each class one row; texts are shuffled once
     ids = docs.select(near.text_class().alias("class"), "doc_id").groupBy("class").agg(F.min("doc_id").alias("id")).join(found, "class")
@@ -47,8 +47,11 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     first = ids.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "class")).alias("first"))
     gone = ids.join(first, "component").where("class <> first.class").select(F.col("class").alias(mark))
     copies = Window.partitionBy(mark).orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), "text")
-    rows = near.with_class(docs, mark).join(cut(gone), mark, "left_anti").withColumn(turn, F.row_number().over(copies))
-    return rows.where(F.col(turn) == 1).select([F.col(f"`{c}`") for c in docs.columns])
+    # one row of each class first: of a class that many rows have, each task passes one on. (As an outer join, since an
+    # anti join would be done below the window, and then all rows would be dealt by class.)
+    rows = near.with_class(docs, mark).withColumn(turn, F.row_number().over(copies)).where(F.col(turn) == 1)
+    rows = rows.join(cut(gone).withColumn(left, F.lit(True)), mark, "left").where(F.col(left).isNull())
+    return rows.select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
