@@ -343,6 +343,20 @@ def document_clean(df):
     return documents.clean(df, "text", "NFC", r"\b\d{2,}\b", "#", True).select("doc_id", F.sha2("text", 256).alias("digest"))
 
 
+_with_sql("markdown_blocks", r"""with l as (select doc_id, unnest(string_split(text, chr(10))) as raw, unnest(range(len(string_split(text, chr(10))))) as line from documents),
+    h as (select *, regexp_matches(raw, '^#{1,6}\s+\S') as head, trim(raw) = '' as blank from l),
+    s as (select *, head or blank or coalesce(lag(head or blank) over w, true) as starts from h window w as (partition by doc_id order by line)),
+    g as (select *, sum(starts::int) over w as g, last_value(case when head then regexp_extract(raw, '^#{1,6}\s+(.*?)\s*#*$', 1) end ignore nulls) over w as heading from s window w as (partition by doc_id order by line)),
+    b as (select doc_id, g, min(line) as line, max(heading) as heading, bool_or(head) as head, string_agg(trim(raw), ' ' order by line) as body, min(case when head then length(regexp_extract(raw, '^(#{1,6})', 1)) end) as level from g where not blank group by all)
+    select doc_id, row_number() over (partition by doc_id order by line) - 1 as block, case when head then 'heading_' || level else 'paragraph' end as kind, case when head then heading else body end as text, coalesce(heading, '') as heading, line + 1 as line from b""")
+
+
+@query("documents", r"""with t as (select doc_id, len(regexp_extract_all(regexp_replace(text, '(^|\n)#{1,6}(\s)', '\1\2', 'g'), '[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]')) as n from documents),
+    w as (select doc_id, n, unnest(range(0, greatest(0, ceil((n - 256) / 224.0))::bigint + 1)) as chunk from t where n > 0) select doc_id, chunk, least(256, n - chunk * 224)::bigint as n_tokens from w""")
+def chunk_token(df):
+    return documents.chunks(df, "doc_id", strategy="token", size=256, overlap=32).select("doc_id", "chunk", "n_tokens")
+
+
 # --- acquisition
 
 
