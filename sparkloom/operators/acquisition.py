@@ -140,43 +140,71 @@ def running_total(df: DataFrame, column: str, order: list[str], name: str) -> Da
     return d.withColumn("__own", own).join(F.broadcast(before), "__b").withColumn(name, F.col("__own") + F.col("__from")).drop("__own", "__from", "__b", "__pos")
 
 
-def _went_in(sizes: list[int], left: int) -> tuple[list[int], int]:
-    """What is left before each of the sizes if each that fits is taken, and what is left in the end."""
+def _went_in(needs: list[int], takes: list[int], left: int) -> tuple[list[int], int]:
+    """What is left before each row if each whose need fits takes its part, and what is left in the end."""
     before = []
-    for n in sizes:
+    for need, take in zip(needs, takes, strict=True):
         before.append(left)
-        if n <= left:
-            left -= n
+        if need <= left:
+            left -= take
     return before, left
 
 
-def fill_budget(df: DataFrame, column: str, budget: int, order: list[str], name: str) -> DataFrame:
+def fill_budget(df: DataFrame, column: str, budget: int, order: list[str], name: str, need: str | None = None) -> DataFrame:
     """Adds what is left of a budget before each row, if rows take their size from it in order and one that doesn't fit
-    takes nothing.
+    takes nothing. need: a column of what must fit, where that isn't what is taken.
 
     What fits depends on all rows before, so the table is cut into blocks of BLOCK rows in order. Of each block the
-    driver gets sum and least size: most blocks fit as a whole or not at all, and only where neither is so is a block
+    driver gets sum, least and most: most blocks fit as a whole or not at all, and only where neither is so is a block
     gone through to learn what it leaves. With that, all blocks are gone through at once.
     """
-    d = with_position(df.withColumn("__size", F.coalesce(F.col(column).cast("long"), F.lit(0))), order, "__pos")
+    whole = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0))
+    d = with_position(df.withColumns({"__take": whole(column), "__need": whole(need or column)}), order, "__pos")
     d = cut(d.withColumn("__block", F.floor(F.col("__pos") / BLOCK)))
     left, carry = budget, []
-    for b in d.groupBy("__block").agg(F.sum("__size").alias("total"), F.min("__size").alias("least")).orderBy("__block").toLocalIterator():
+    sums = d.groupBy("__block").agg(F.sum("__take").alias("total"), F.min("__need").alias("least"), F.max("__need").alias("most"))
+    for b in sums.orderBy("__block").toLocalIterator():
         carry.append((b["__block"], left))
-        if b["total"] <= left:
+        if b["total"] + (b["most"] if need else 0) <= left:
             left -= b["total"]
         elif b["least"] <= left:
-            sizes = [r[0] for r in d.where(F.col("__block") == b["__block"]).orderBy("__pos").select("__size").toLocalIterator()]
-            left = _went_in(sizes, left)[1]
+            rows = list(d.where(F.col("__block") == b["__block"]).orderBy("__pos").select("__need", "__take").toLocalIterator())
+            left = _went_in([r[0] for r in rows], [r[1] for r in rows], left)[1]
     kinds = T.StructType([T.StructField("__pos", T.LongType()), T.StructField(name, T.LongType())])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("__pos")
-        return pd.DataFrame({"__pos": pdf["__pos"], name: _went_in(pdf["__size"].tolist(), int(pdf["__from"].iloc[0]))[0]})
+        return pd.DataFrame({"__pos": pdf["__pos"], name: _went_in(pdf["__need"].tolist(), pdf["__take"].tolist(), int(pdf["__from"].iloc[0]))[0]})
 
     starts = df.sparkSession.createDataFrame(carry, "__block long, __from long")
-    found = d.select("__pos", "__size", "__block").join(F.broadcast(starts), "__block").groupBy("__block").applyInPandas(run, kinds)
-    return d.join(found, "__pos").drop("__pos", "__block", "__size")
+    found = d.select("__pos", "__need", "__take", "__block").join(F.broadcast(starts), "__block").groupBy("__block").applyInPandas(run, kinds)
+    return d.join(found, "__pos").drop("__pos", "__block", "__need", "__take")
+
+
+def provider_import(files: DataFrame, fetched: DataFrame, max_total: int, max_file: int, done: DataFrame | None = None, order: list[str] = ("path",)) -> DataFrame:
+    """path, state (completed, skipped, failed), reason, sha256, bytes of a provider's files, in the order given.
+
+    files: path, byte_size (declared) and expected_sha256, both may be missing. fetched: path, actual_size, sha256 of
+    what was downloaded. done: path, bytes, sha256 that an earlier run completed; they stay as they are and count for the
+    total. A file is skipped if its declared or actual size goes over what is left of max_total, and fails if it wasn't
+    downloaded, is larger than max_file or has another digest than expected; neither takes from the total.
+    """
+    none = files.sparkSession.createDataFrame([], "path string, bytes long, sha256 string")
+    done = none if done is None else done.select("path", "bytes", "sha256")
+    used = done.join(files.select("path"), "path", "left_semi").agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    d = files.join(done.select("path"), "path", "left_anti").join(fetched.select("path", "actual_size", "sha256"), "path", "left")
+    bad = F.when(F.col("actual_size").isNull(), "download_failed").when(F.col("actual_size") > max_file, "file_too_large")
+    d = d.withColumn("__bad", bad).withColumn("__size", F.when(F.col("__bad").isNull(), F.col("actual_size")).otherwise(0))
+    d = d.withColumn("__other", F.col("__bad").isNull() & F.coalesce(F.col("expected_sha256") != F.col("sha256"), F.lit(False)))
+    d = d.withColumns({"__asks": F.greatest(F.coalesce("byte_size", F.lit(0)), "__size"), "__takes": F.when(F.col("__other"), 0).otherwise(F.col("__size"))})
+    d = fill_budget(d, "__takes", max_total - used, list(order), "__left", need="__asks")
+    skipped = (F.col("byte_size") > F.col("__left")) | (F.col("__bad").isNull() & (F.col("actual_size") > F.col("__left")))
+    reason = F.when(skipped, "total_byte_limit").otherwise(F.coalesce("__bad", F.when(F.col("__other"), "checksum_mismatch")))
+    d = d.withColumn("reason", reason).withColumn("state", F.when(skipped, "skipped").when(F.col("reason").isNotNull(), "failed").otherwise("completed"))
+    kept = F.col("state") == "completed"
+    new = d.select("path", "state", "reason", F.when(kept, F.col("sha256")).alias("sha256"), F.when(kept, F.col("actual_size").cast("long")).alias("bytes"))
+    old = files.select("path").join(done, "path").select("path", F.lit("completed").alias("state"), F.lit(None).cast("string").alias("reason"), "sha256", "bytes")
+    return new.unionByName(old)
 
 
 def cascade(candidates: DataFrame, spec: Spec, known_digests: DataFrame | None = None, near: DataFrame | None = None, order: list[str] = ("candidate_id",)) -> DataFrame:

@@ -555,6 +555,29 @@ def provider_files(df):
     return readers.filter_files(d, ["*.com/*en/*", "*/[0-7][0-9][0-9]*"], ["*ref=*"], 6000).select("page_id")
 
 
+@query("supplier", """
+    with recursive c as (
+        select s_suppkey as k, row_number() over (order by s_suppkey) as pos, case when s_suppkey % 4 = 0 then null else (s_suppkey * 7919) % 100 + 1 end as declared,
+            case when s_suppkey % 9 = 0 then null else (s_suppkey * 7919) % 100 + 1 + s_suppkey % 3 end as actual, s_suppkey % 7 = 0 as other from supplier where s_suppkey % 10 <> 5
+    ), s as (select coalesce(sum(10), 0)::bigint as used from supplier where s_suppkey % 10 = 5),
+    r(pos, before, after_) as (
+        select 0::bigint, 1500 - used, 1500 - used from s
+        union all
+        select c.pos, after_, after_ - case when actual is null or actual > 95 or other or greatest(coalesce(declared, 0), actual) > after_ then 0 else actual end from r join c on c.pos = r.pos + 1
+    ), o as (
+        select k, case when declared > before or actual <= 95 and actual > before then 'total_byte_limit' when actual is null then 'download_failed' when actual > 95 then 'file_too_large' when other then 'checksum_mismatch' end as reason, actual from c join r using (pos)
+    )
+    select k as path, case when reason is null then 'completed' when reason = 'total_byte_limit' then 'skipped' else 'failed' end as state, reason, case when reason is null then actual end as bytes from o
+    union all select s_suppkey, 'completed', null, 10 from supplier where s_suppkey % 10 = 5
+""")
+def provider_imports(df):
+    files = df.selectExpr("lpad(s_suppkey, 12, '0') path", "if(s_suppkey % 4 = 0, null, (s_suppkey * 7919) % 100 + 1) byte_size", "'a' expected_sha256")
+    fetched = df.where("s_suppkey % 9 <> 0").selectExpr("lpad(s_suppkey, 12, '0') path", "(s_suppkey * 7919) % 100 + 1 + s_suppkey % 3 actual_size", "if(s_suppkey % 7 = 0, 'b', 'a') sha256")
+    done = df.where("s_suppkey % 10 = 5").selectExpr("lpad(s_suppkey, 12, '0') path", "10L bytes", "'a' sha256")
+    out = acquisition.provider_import(files, fetched, 1500, 95, done)
+    return out.select(F.col("path").cast("long").alias("path"), "state", "reason", "bytes")
+
+
 @query("documents", "select sha256(text) as sha256, count(*) as copies, 'objects/sha256/' || substr(sha256(text), 1, 2) || '/' || sha256(text) as key, min(doc_id) as path from documents group by 1")
 def assets_stored_once(df):
     d = readers.unique_assets(df.select(F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("path"), F.sha2("text", 256).alias("sha256"), F.col("n_chars").alias("size"), F.lit("text/plain").alias("media_type")))
