@@ -15,6 +15,10 @@ API_VERSION = (1, 5)
 CAPABILITIES = ("analyzer", "ocr_provider", "embedding_provider", "vector_store_provider", "dataset_provider", "discovery_provider", "acquisition_downloader", "prompt_planner", "relevance_evaluator", "exporter")
 
 
+#: Fixed value: the form of a plugin's name.
+NAME = r"[a-z0-9][a-z0-9._-]{1,119}"
+
+
 @runtime_checkable
 class Analyzer(Protocol):
     def analyze(self, assets: DataFrame) -> DataFrame: ...
@@ -100,7 +104,7 @@ class Plugins:
 
     def register(self, plugin: Plugin) -> None:
         """Takes a plugin whose name, versions and capabilities are sound and whose objects have the methods they need."""
-        if not re.fullmatch(r"[a-z0-9][a-z0-9._-]{1,119}", plugin.name) or plugin.name in self._known:
+        if not re.fullmatch(NAME, plugin.name) or plugin.name in self._known:
             raise ParameterError("a plugin's name is a new lower-case word of 2 to 120 characters")
         if not re.fullmatch(r"\d+(\.\d+)*([a-z0-9.+-]*)", plugin.version):
             raise ParameterError("the version is not one")
