@@ -209,13 +209,18 @@ def license_allowed(actual: Column, allowed: Iterable[str], family_of: Callable[
 
     A family never stands for one with further conditions: BY does not admit BY-NC.
     """
-    family_of = family_of or python_license
-    fam, ver, out = license_family(actual), license_version(actual), F.lit(False)
-    for a in allowed:
-        f, v = family_of(a)
-        same = (fam == f) if f else (F.lower(strip(actual)) == a.strip().lower())
-        out = out | F.coalesce(same & ((ver == v) if v else F.lit(True)), F.lit(False))
-    return out
+    named = [(a, *(family_of or python_license)(a)) for a in allowed]
+
+    def matches(x: Column) -> Column:
+        out = F.lit(False)
+        for a, f, v in named:
+            same = (x["family"] == f) if f else (x["text"] == a.strip().lower())
+            out = out | F.coalesce(same & ((x["version"] == v) if v else F.lit(True)), F.lit(False))
+        return out
+
+    # an array of one: family and version are worked out once, however many licences are allowed
+    one = F.struct(license_family(actual).alias("family"), license_version(actual).alias("version"), F.lower(strip(actual)).alias("text"))
+    return F.exists(F.array(one), matches)
 
 
 def python_license(name: str) -> tuple[str | None, str | None]:

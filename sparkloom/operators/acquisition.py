@@ -247,20 +247,21 @@ def cascade(candidates: DataFrame, spec: Spec, known_digests: DataFrame | None =
         open_ = open_.withColumn("reason", F.when(F.col("__left") <= 0, "byte_budget")).withColumn("__failed", F.col("reason").isNull() & (F.coalesce("bytes", F.lit(0)) > F.col("__left")))
         d = open_.drop("__left").unionByName(d.where("reason is not null"))
     d = d.withColumn("reason", F.coalesce("reason", F.when(~F.col("__failed"), failing(loaded))))
+    # what the checks of a row say is used from here on several times, and worked out once
+    d = cut(d)
     d = d.join(known_digests.select("sha256", F.lit(True).alias("__known")).distinct(), "sha256", "left") if known_digests is not None else d.withColumn("__known", F.lit(None).cast("boolean"))
     d = d.join(near.select("phash", F.lit(True).alias("__near")).distinct(), "phash", "left") if near is not None else d.withColumn("__near", F.lit(None).cast("boolean"))
     later = failing({"low_quality": less("quality", spec.min_quality), "near_duplicate": F.coalesce("__near", F.lit(False))})
     d = d.withColumn("__open", F.col("reason").isNull() & ~F.col("__failed")).withColumn("__known", F.coalesce("__known", F.lit(False))).withColumn("__later", later)
     key = F.struct(*[F.col(f"`{c}`") for c in order])
     d = d.withColumn("__key", key)
-    # what the checks of a row say is used from here on several times, and worked out once
-    d = cut(d)
     # of each digest, the first candidate that every other check lets through is stored if the storage holds it
     able = d.where("__open and not __known and __later is null")
     firsts = able.where("sha256 is not null").groupBy("sha256").agg(F.min("__key").alias("__first"))
     d = d.join(firsts, "sha256", "left")
     stores = "__open and not __known and __later is null and (__first is null or __first = __key)"
     if spec.storage_budget is not None:
+        d = cut(d)
         stored = fill_budget(d.where(stores).select("__key", "bytes", *order), "bytes", spec.storage_budget, order, "__left")
         full = stored.where(F.coalesce("bytes", F.lit(0)) > F.col("__left")).select(F.col("__key").alias("__full"))
         d = d.join(full, F.coalesce("__first", "__key") == F.col("__full"), "left")
