@@ -183,20 +183,30 @@ def url_host(url: Column) -> Column:
 
 def in_domains(host: Column, domains: list[str]) -> Column:
     """Equal to a domain or below it; every host is if there are none."""
-    out = F.lit(not domains)
-    for d in domains:
-        d = d.lower().strip(".")
-        out = out | (host == d) | host.endswith("." + d)
-    return F.coalesce(out, F.lit(False))
+    if not domains:
+        return F.lit(True)
+    names = [d.lower().strip(".") for d in domains]
+
+    def within(h: Column) -> Column:
+        out = F.lit(False)
+        for d in names:
+            out = out | (h == d) | h.endswith("." + d)
+        return out
+
+    # an array of one: the host is worked out once, however many domains there are
+    return F.coalesce(F.exists(F.array(host), within), F.lit(False))
 
 
 def license_family(name: Column) -> Column:
     """Creative Commons family of a licence's name: by, by-sa, by-nc, by-nd, by-nc-sa, by-nc-nd, zero or pdm; else null."""
-    n = F.regexp_replace(F.lower(strip(name)), r"[^a-z0-9.]+", "-")
-    body = F.regexp_extract(n, r"(?:^|-)(?:cc|creative-?commons|licenses)-?(by(?:-(?:nc|sa|nd))*)(?:-|$)", 1)
-    plain = F.regexp_extract(n, r"^(by(?:-(?:nc|sa|nd))*)(?:-[0-9.]+)?$", 1)
-    free = F.when(n.rlike(r"(^|-)(cc0|cc-?zero|zero)(-|$)"), "zero").when(n.rlike(r"(^|-)(pdm|public-domain)"), "pdm")
-    return F.coalesce(F.when(body != "", body), F.when(plain != "", plain), free)
+    def family(n: Column) -> Column:
+        body = F.regexp_extract(n, r"(?:^|-)(?:cc|creative-?commons|licenses)-?(by(?:-(?:nc|sa|nd))*)(?:-|$)", 1)
+        plain = F.regexp_extract(n, r"^(by(?:-(?:nc|sa|nd))*)(?:-[0-9.]+)?$", 1)
+        free = F.when(n.rlike(r"(^|-)(cc0|cc-?zero|zero)(-|$)"), "zero").when(n.rlike(r"(^|-)(pdm|public-domain)"), "pdm")
+        return F.coalesce(F.get(F.filter(F.array(body, plain), lambda x: x != ""), F.lit(0)), free)
+
+    # an array of one: what stands in it is worked out once
+    return F.get(F.transform(F.array(F.regexp_replace(F.lower(strip(name)), r"[^a-z0-9.]+", "-")), family), F.lit(0))
 
 
 def license_version(name: Column) -> Column:

@@ -239,14 +239,20 @@ def cascade(candidates: DataFrame, spec: Spec, known_digests: DataFrame | None =
     }
 
     def failing(checks: dict[str, Column]) -> Column:
-        return F.coalesce(*[F.when(F.coalesce(c, F.lit(False)), F.lit(name)) for name, c in checks.items()])
-
-    d = candidates.withColumns({"reason": failing(first), "__failed": F.lit(False), "__r": r})
-    if spec.byte_budget is not None:
+        out = F.lit(None).cast("string")
+        for name, c in reversed(checks.items()):
+            out = F.when(F.coalesce(c, F.lit(False)), F.lit(name)).otherwise(out)
+        return out
+
+    d = candidates.withColumns({"__failed": F.lit(False), "__r": r})
+    if spec.byte_budget is None:
+        d = d.withColumn("reason", failing(first | loaded))
+    else:
+        d = cut(d.withColumn("reason", failing(first)))
         open_ = fill_budget(d.where("reason is null"), "bytes", spec.byte_budget, order, "__left")
         open_ = open_.withColumn("reason", F.when(F.col("__left") <= 0, "byte_budget")).withColumn("__failed", F.col("reason").isNull() & (F.coalesce("bytes", F.lit(0)) > F.col("__left")))
         d = open_.drop("__left").unionByName(d.where("reason is not null"))
-    d = d.withColumn("reason", F.coalesce("reason", F.when(~F.col("__failed"), failing(loaded))))
+        d = d.withColumn("reason", F.coalesce("reason", F.when(~F.col("__failed"), failing(loaded))))
     # what the checks of a row say is used from here on several times, and worked out once
     d = cut(d)
     d = d.join(known_digests.select("sha256", F.lit(True).alias("__known")).distinct(), "sha256", "left") if known_digests is not None else d.withColumn("__known", F.lit(None).cast("boolean"))
