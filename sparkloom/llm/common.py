@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,6 +44,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """df written as a table beside the checkpoints and read again, with the table's path: unlike a checkpoint, a reader
+    takes only the columns it needs. The caller lets it go with `forget`."""
+    spark = df.sparkSession
+    bounded_batches(spark)
+    path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Deletes a table that `stored` wrote."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def unused(name: str, taken: list[str]) -> str:
     """name, behind as many underscores as no column of taken has (Spark's names don't tell case)."""
     name, taken = f"__{name}", {c.lower() for c in taken}
