@@ -12,7 +12,8 @@ as long as so much isn't to be expected of the best of so many by chance; the fi
 Scoring reads the whole text of every document.
 
 Cases: null or empty text has no words and gets the models' base rates; a document without label is scored like any
-other; duplicate label rows of a document count as given, null labels and labels without an id are left out; if there
+other; equal label rows, and equal texts of a document, are learned from once; of every combination of labels the first
+KEPT rows are in the sample, however rare it is; null labels and labels without an id are left out; if there
 are no labels, or all of a kind, every document gets the observed rate (0 without labels) and no words; equal rows are
 scored each on its own, and rows with a null id too; extra columns are not read, those kept pass through whatever their
 names.
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +32,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import with_text
+from .common import cut, with_text
 from .langid import within
 from .pieces import by_bytes
 
 WORD = regex.compile(r"[\p{L}\p{N}]+")
 #: Most labelled rows, and characters of them, that a fit takes.
 MAX_ROWS, MAX_CHARS = 4000, 20_000_000
+#: Rows of each combination of labels that a sample holds in any case, if there are so many.
+KEPT = 50
 #: Bytes of text whose words are looked up together.
 SLICE = 1 << 20
 #: Features that enter in any case, and at most.
@@ -148,10 +152,15 @@ def fit(documents: DataFrame, labels: DataFrame, categories: dict[str, str], max
     marks = labels.select("doc_id", *[F.expr(e).cast("int").alias(n) for n, e in zip(names, categories.values(), strict=True)]).na.drop()
     texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     # the sample first, by id alone; then sizes; then only the texts that fit are read
-    ids = marks.join(texts.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id", *names).limit(max_rows)
+    labelled = cut(marks.distinct().join(texts.select("doc_id").distinct(), "doc_id", "left_semi"))
+    turn = [F.xxhash64("doc_id"), "doc_id", *names]
+    # the combinations are at most two to the number of categories
+    rare = [labelled.where(" and ".join(f"{n} = {r[n]}" for n in names)).orderBy(*turn).limit(KEPT) for r in labelled.select(*names).distinct().orderBy(*names).collect()]
+    ids = reduce(DataFrame.unionByName, rare, labelled.orderBy(*turn).limit(max_rows)).distinct()
     digest = F.xxhash64("text").alias("digest")
     order = [F.xxhash64("doc_id"), "doc_id", "digest", *names]
-    sized = texts.select("doc_id", F.length("text").alias("size"), digest).join(F.broadcast(ids), "doc_id").orderBy(*order).limit(max_rows).collect()
+    # equal texts of a document first become one; then again so many, the rare ones among them
+    sized = texts.select("doc_id", F.length("text").alias("size"), digest).join(F.broadcast(ids), "doc_id").distinct().orderBy(*order).limit(max_rows + len(rare) * KEPT).collect()
     picked = [sized[i] for i in within([("", r["size"]) for r in sized], max_chars)]
     if not picked:
         return fit_chain([], {c: [] for c in categories})
