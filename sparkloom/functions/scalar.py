@@ -5,6 +5,7 @@ from __future__ import annotations
 import ast
 import re
 from collections.abc import Callable, Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -181,63 +182,63 @@ def url_host(url: Column) -> Column:
     return F.regexp_extract(canonical_url(url), r"^[^:]+://([^/:?#]+)", 1)
 
 
+def with_host(df: DataFrame, url: str, name: str) -> DataFrame:
+    """Adds the host of an address that canonical_url takes, else null. The address is taken apart in steps of its own, so
+    that none is worked out twice."""
+    place = F.regexp_extract(F.trim(F.col(f"`{url}`")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
+    d = df.withColumn(name, place)
+    host = F.regexp_replace(F.lower(F.regexp_replace(name, r":[0-9]*$", "")), r"\.$", "")
+    return d.withColumn(name, F.when(~F.contains(name, F.lit("@")), F.nullif(host, F.lit(""))))
+
+
 def in_domains(host: Column, domains: list[str]) -> Column:
     """Equal to a domain or below it; every host is if there are none."""
     if not domains:
         return F.lit(True)
     names = [d.lower().strip(".") for d in domains]
-
-    def within(h: Column) -> Column:
-        out = F.lit(False)
-        for d in names:
-            out = out | (h == d) | h.endswith("." + d)
-        return out
-
-    # an array of one: the host is worked out once, however many domains there are
-    return F.coalesce(F.exists(F.array(host), within), F.lit(False))
+    below = [host.endswith(f".{d}") for d in names]
+    return F.coalesce(reduce(lambda a, b: a | b, below, host.isin(names)), F.lit(False))
 
 
-def license_family(name: Column) -> Column:
-    """Creative Commons family of a licence's name: by, by-sa, by-nc, by-nd, by-nc-sa, by-nc-nd, zero or pdm; else null."""
-    def family(n: Column) -> Column:
-        body = F.regexp_extract(n, r"(?:^|-)(?:cc|creative-?commons|licenses)-?(by(?:-(?:nc|sa|nd))*)(?:-|$)", 1)
-        plain = F.regexp_extract(n, r"^(by(?:-(?:nc|sa|nd))*)(?:-[0-9.]+)?$", 1)
-        free = F.when(n.rlike(r"(^|-)(cc0|cc-?zero|zero)(-|$)"), "zero").when(n.rlike(r"(^|-)(pdm|public-domain)"), "pdm")
-        return F.coalesce(F.get(F.filter(F.array(body, plain), lambda x: x != ""), F.lit(0)), free)
+#: How a licence's name, in lower case with a hyphen for all but letters, digits and points, says its family.
+_FAMILY = (r"(?:^|-)(?:cc|creative-?commons|licenses)-?(by(?:-(?:nc|sa|nd))*)(?:-|$)", r"^(by(?:-(?:nc|sa|nd))*)(?:-[0-9.]+)?$")
+_FREE = (("zero", r"(^|-)(cc0|cc-?zero|zero)(-|$)"), ("pdm", r"(^|-)(pdm|public-domain)"))
 
-    # an array of one: what stands in it is worked out once
-    return F.get(F.transform(F.array(F.regexp_replace(F.lower(strip(name)), r"[^a-z0-9.]+", "-")), family), F.lit(0))
 
+def with_licence(df: DataFrame, column: str, name: str) -> DataFrame:
+    """Adds the struct (family, version, text) of a licence's name. family: the Creative Commons one: by, by-sa, by-nc,
+    by-nd, by-nc-sa, by-nc-nd, zero or pdm, else null; version like 4.0, else null; text: the name itself in lower case."""
+    raw = F.col(f"`{column}`").cast("string")
+    d = df.withColumn(name, F.struct(F.lower(strip(raw)).alias("text"), F.regexp_extract(raw, r"([0-9]+\.[0-9]+)", 1).alias("version")))
+    d = d.withColumn(f"{name}_plain", F.regexp_replace(F.col(f"{name}.text"), r"[^a-z0-9.]+", "-"))
+    plain = F.col(f"{name}_plain")
+    d = d.withColumn(f"{name}_family", F.concat_ws(",", *[F.regexp_extract(plain, p, 1) for p in _FAMILY]))
+    # the first that isn't empty
+    family = F.regexp_extract(f"{name}_family", r"^,?([^,]+)", 1)
+    free = F.when(plain.rlike(_FREE[0][1]), _FREE[0][0]).when(plain.rlike(_FREE[1][1]), _FREE[1][0])
+    whole = F.struct(F.coalesce(F.nullif(family, F.lit("")), free).alias("family"), F.nullif(F.col(f"{name}.version"), F.lit("")).alias("version"), F.col(f"{name}.text").alias("text"))
+    return d.withColumn(name, whole).drop(f"{name}_plain", f"{name}_family")
 
-def license_version(name: Column) -> Column:
-    v = F.regexp_extract(name.cast("string"), r"([0-9]+\.[0-9]+)", 1)
-    return F.when(v != "", v)
 
-
-def license_allowed(actual: Column, allowed: Iterable[str], family_of: Callable[[str], tuple[str | None, str | None]] | None = None) -> Column:
-    """Whether a licence is among the allowed: same family, and same version where the allowed one names a version.
+def license_among(parts: str, allowed: Iterable[str], family_of: Callable[[str], tuple[str | None, str | None]] | None = None) -> Column:
+    """Whether a licence, given by the column of with_licence, is among the allowed: same family, and same version where
+    the allowed one names a version.
 
     A family never stands for one with further conditions: BY does not admit BY-NC.
     """
-    named = [(a, *(family_of or python_license)(a)) for a in allowed]
-
-    def matches(x: Column) -> Column:
-        out = F.lit(False)
-        for a, f, v in named:
-            same = (x["family"] == f) if f else (x["text"] == a.strip().lower())
-            out = out | F.coalesce(same & ((x["version"] == v) if v else F.lit(True)), F.lit(False))
-        return out
-
-    # an array of one: family and version are worked out once, however many licences are allowed
-    one = F.struct(license_family(actual).alias("family"), license_version(actual).alias("version"), F.lower(strip(actual)).alias("text"))
-    return F.exists(F.array(one), matches)
+    out = F.lit(False)
+    for a in allowed:
+        family, version = (family_of or python_license)(a)
+        same = F.col(f"{parts}.family") == family if family else F.col(f"{parts}.text") == a.strip().lower()
+        out = out | F.coalesce(same & (F.col(f"{parts}.version") == version if version else F.lit(True)), F.lit(False))
+    return out
 
 
 def python_license(name: str) -> tuple[str | None, str | None]:
-    """Family and version of a licence's name, as license_family and license_version."""
+    """Family and version of a licence's name, as with_licence."""
     n = re.sub(r"[^a-z0-9.]+", "-", name.strip().lower())
-    m = re.search(r"(?:^|-)(?:cc|creative-?commons|licenses)-?(by(?:-(?:nc|sa|nd))*)(?:-|$)", n) or re.search(r"^(by(?:-(?:nc|sa|nd))*)(?:-[0-9.]+)?$", n)
-    family = m[1] if m else "zero" if re.search(r"(^|-)(cc0|cc-?zero|zero)(-|$)", n) else "pdm" if re.search(r"(^|-)(pdm|public-domain)", n) else None
+    m = next(filter(None, (re.search(p, n) for p in _FAMILY)), None)
+    family = m[1] if m else next((f for f, p in _FREE if re.search(p, n)), None)
     v = re.search(r"([0-9]+\.[0-9]+)", name)
     return family, v[1] if v else None
 

@@ -3,24 +3,19 @@
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions.scalar import canonical_url, in_domains, license_allowed, relevance, url_host
-from ..plans.errors import ParameterError
+from ..functions.scalar import canonical_url, in_domains, license_among, relevance, with_host, with_licence
 from ..plans.session import cut
+from .budgets import left_before
 from .ordering import with_position
 
 #: The checks in their order; the first that fails gives the reason.
 REASONS = ("license_not_allowed", "domain_not_allowed", "declared_size", "byte_budget", "decode_failed", "mime_not_allowed", "too_small", "exact_duplicate", "low_quality", "near_duplicate", "storage_budget", "not_relevant")
-#: Rows that are gone through one after another in one task where a budget runs out.
-BLOCK = 50_000
 
 
 @dataclass(frozen=True)
@@ -40,47 +35,6 @@ class Spec:
     review_relevance: float = 0.2
 
 
-#: What a request can't ask for in free text, and the answer.
-REFUSED = {
-    r"csv|datasets?|tabular|audio|videos?|documents?|pdfs?": "only images are collected",
-    r"avoid|exclude|without|except": "exclusions can't be enforced",
-    r"licen[cs]e|copyright|commercial|public domain": "licences are a field of their own",
-}
-#: How a request names pictures, a number of them, both sides, one side, and a licence.
-_PICTURES = r"(?:images?|photos?|photographs?|pictures?)"
-_COUNTS = (rf"\b(\d[\d,]*)\s+(?:usable\s+|accepted\s+)?{_PICTURES}\b", r"\b(?:find|get|collect|acquire|want|need|download)\s+(?:me\s+)?(\d[\d,]*)\b(?!\s*px|\s*pixels)")
-_BOTH_SIDES = r"\b(\d{2,5})\s*[x×]\s*(\d{2,5})\b"
-_ONE_SIDE = r"(?:at least|minimum|min\.?)\D{0,12}(\d{2,5})\s*(?:px|pixels?)"
-_LICENCE = r"\b(cc0|cc-by-sa|cc-by)\s+only\b"
-
-
-def parse_request(prompt: str) -> dict:
-    """count, min_width, min_height, licenses, domains and topic of a request for images.
-
-    `cc0 only`, `cc-by only` and `cc-by-sa only` name licences; any other talk of them, exclusions and requests for
-    anything but images are refused. Without a count it is 100, without a size 512 by 512; one size counts for both sides.
-    """
-    text = " ".join(prompt.split()).lower()
-    if not text:
-        raise ParameterError("the request is empty")
-    licenses = [m[1] for m in re.finditer(_LICENCE, text)][:1]
-    for pattern, why in REFUSED.items():
-        if re.search(rf"\b(?:{pattern})\b", text):
-            raise ParameterError(why)
-    text = re.sub(rf"[,;]?\s*{_LICENCE}", "", text)
-    count = next(filter(None, (re.search(p, text) for p in _COUNTS)), None)
-    both, one = re.search(_BOTH_SIDES, text), re.search(_ONE_SIDE, text)
-    sides = (int(both[1]), int(both[2])) if both else (int(one[1]),) * 2 if one else (512, 512)
-    domains = re.findall(r"\b(?:[a-z0-9-]+\.)+[a-z]{2,}\b", text)
-    about = re.search(rf"{_PICTURES}\s+of\s+(.+?)(?:[.;,]|\b(?:include|minimum|at least|from)\b|$)", text)
-    fillers = {"find", "get", "collect", "acquire", "want", "need", "download", "me", "please", "some", "the", "a", "an", "of", "with", "usable", "accepted", "at", "least", "minimum", "pixels"}
-    words = [w for w in re.findall(r"[a-z][a-z'-]+", re.sub(rf"\b{_PICTURES}\b|\d+px|\b\d+\s*[x×]\s*\d+\b", " ", text)) if w not in fillers]
-    return {
-        "count": int(count[1].replace(",", "")) if count else 100, "min_width": sides[0], "min_height": sides[1], "licenses": licenses,
-        "domains": domains, "topic": about[1].strip(" :-") if about else " ".join(dict.fromkeys(words)),
-    }
-
-
 def queries(subject: list[str], variants: list[str], most: int = 24) -> list[str]:
     """Distinct search texts: the subject alone and with each variant."""
     base = " ".join(subject)
@@ -144,47 +98,6 @@ def running_total(df: DataFrame, column: str, order: list[str], name: str) -> Da
     return d.withColumn("__own", own).join(F.broadcast(before), "__b").withColumn(name, F.col("__own") + F.col("__from")).drop("__own", "__from", "__b", "__pos")
 
 
-def _went_in(needs: list[int], takes: list[int], left: int) -> tuple[list[int], int]:
-    """What is left before each row if each whose need fits takes its part, and what is left in the end."""
-    before = []
-    for need, take in zip(needs, takes, strict=True):
-        before.append(left)
-        if need <= left:
-            left -= take
-    return before, left
-
-
-def fill_budget(df: DataFrame, column: str, budget: int, order: list[str], name: str, need: str | None = None) -> DataFrame:
-    """Adds what is left of a budget before each row, if rows take their size from it in order and one that doesn't fit
-    takes nothing. need: a column of what must fit, where that isn't what is taken.
-
-    What fits depends on all rows before, so the table is cut into blocks of BLOCK rows in order. Of each block the
-    driver gets sum, least and most: most blocks fit as a whole or not at all, and only where neither is so is a block
-    gone through to learn what it leaves. With that, all blocks are gone through at once.
-    """
-    whole = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0))
-    d = with_position(df.withColumns({"__take": whole(column), "__need": whole(need or column)}), order, "__pos")
-    d = cut(d.withColumn("__block", F.floor(F.col("__pos") / BLOCK)))
-    left, carry = budget, []
-    sums = d.groupBy("__block").agg(F.sum("__take").alias("total"), F.min("__need").alias("least"), F.max("__need").alias("most"))
-    for b in sums.orderBy("__block").toLocalIterator():
-        carry.append((b["__block"], left))
-        if b["total"] + (b["most"] if need else 0) <= left:
-            left -= b["total"]
-        elif b["least"] <= left:
-            rows = list(d.where(F.col("__block") == b["__block"]).orderBy("__pos").select("__need", "__take").toLocalIterator())
-            left = _went_in([r[0] for r in rows], [r[1] for r in rows], left)[1]
-    kinds = T.StructType([T.StructField("__pos", T.LongType()), T.StructField(name, T.LongType())])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__pos")
-        return pd.DataFrame({"__pos": pdf["__pos"], name: _went_in(pdf["__need"].tolist(), pdf["__take"].tolist(), int(pdf["__from"].iloc[0]))[0]})
-
-    starts = df.sparkSession.createDataFrame(carry, "__block long, __from long")
-    found = d.select("__pos", "__need", "__take", "__block").join(F.broadcast(starts), "__block").groupBy("__block").applyInPandas(run, kinds)
-    return d.join(found, "__pos").drop("__pos", "__block", "__need", "__take")
-
-
 def provider_import(files: DataFrame, fetched: DataFrame, max_total: int, max_file: int, done: DataFrame | None = None, order: list[str] = ("path",)) -> DataFrame:
     """path, state (completed, skipped, failed), reason, sha256, bytes of a provider's files, in the order given.
 
@@ -201,7 +114,7 @@ def provider_import(files: DataFrame, fetched: DataFrame, max_total: int, max_fi
     d = d.withColumn("__bad", bad).withColumn("__size", F.when(F.col("__bad").isNull(), F.col("actual_size")).otherwise(0))
     d = d.withColumn("__other", F.col("__bad").isNull() & F.coalesce(F.col("expected_sha256") != F.col("sha256"), F.lit(False)))
     d = d.withColumns({"__asks": F.greatest(F.coalesce("byte_size", F.lit(0)), "__size"), "__takes": F.when(F.col("__other"), 0).otherwise(F.col("__size"))})
-    d = fill_budget(d, "__takes", max_total - used, list(order), "__left", need="__asks")
+    d = left_before(d, "__takes", max_total - used, list(order), "__left", need="__asks")
     skipped = (F.col("byte_size") > F.col("__left")) | (F.col("__bad").isNull() & (F.col("actual_size") > F.col("__left")))
     reason = F.when(skipped, "total_byte_limit").otherwise(F.coalesce("__bad", F.when(F.col("__other"), "checksum_mismatch")))
     d = d.withColumn("reason", reason).withColumn("state", F.when(skipped, "skipped").when(F.col("reason").isNotNull(), "failed").otherwise("completed"))
@@ -228,8 +141,8 @@ def cascade(candidates: DataFrame, spec: Spec, known_digests: DataFrame | None =
     less = lambda c, n: F.coalesce(F.col(c), F.lit(0)) < n
     declared = lambda c, n: F.coalesce(F.col(c).cast("long"), F.lit(0)).between(F.lit(1), F.lit(n - 1))
     first = {
-        "license_not_allowed": ~license_allowed(F.col("license"), spec.licenses) if spec.licenses else F.lit(False),
-        "domain_not_allowed": ~in_domains(url_host(F.col("url")), spec.domains) if spec.domains else F.lit(False),
+        "license_not_allowed": ~license_among("__licence", spec.licenses) if spec.licenses else F.lit(False),
+        "domain_not_allowed": ~in_domains(F.col("__host"), spec.domains) if spec.domains else F.lit(False),
         "declared_size": declared("declared_width", spec.min_width) | declared("declared_height", spec.min_height),
     }
     loaded = {
@@ -245,11 +158,14 @@ def cascade(candidates: DataFrame, spec: Spec, known_digests: DataFrame | None =
         return out
 
     d = candidates.withColumns({"__failed": F.lit(False), "__r": r})
+    # family, version and host of a row are columns, which the checks then compare
+    d = with_licence(d, "license", "__licence") if spec.licenses else d
+    d = with_host(d, "url", "__host") if spec.domains else d
     if spec.byte_budget is None:
         d = d.withColumn("reason", failing(first | loaded))
     else:
         d = cut(d.withColumn("reason", failing(first)))
-        open_ = fill_budget(d.where("reason is null"), "bytes", spec.byte_budget, order, "__left")
+        open_ = left_before(d.where("reason is null"), "bytes", spec.byte_budget, order, "__left")
         open_ = open_.withColumn("reason", F.when(F.col("__left") <= 0, "byte_budget")).withColumn("__failed", F.col("reason").isNull() & (F.coalesce("bytes", F.lit(0)) > F.col("__left")))
         d = open_.drop("__left").unionByName(d.where("reason is not null"))
         d = d.withColumn("reason", F.coalesce("reason", F.when(~F.col("__failed"), failing(loaded))))
@@ -268,7 +184,7 @@ def cascade(candidates: DataFrame, spec: Spec, known_digests: DataFrame | None =
     stores = "__open and not __known and __later is null and (__first is null or __first = __key)"
     if spec.storage_budget is not None:
         d = cut(d)
-        stored = fill_budget(d.where(stores).select("__key", "bytes", *order), "bytes", spec.storage_budget, order, "__left")
+        stored = left_before(d.where(stores).select("__key", "bytes", *order), "bytes", spec.storage_budget, order, "__left")
         full = stored.where(F.coalesce("bytes", F.lit(0)) > F.col("__left")).select(F.col("__key").alias("__full"))
         d = d.join(full, F.coalesce("__first", "__key") == F.col("__full"), "left")
     else:

@@ -624,7 +624,7 @@ def url_canonical(df):
 
 @query("pages", "select page_id from pages where regexp_matches(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1)), '(^|\\.)(com|org)$')")
 def domain_filter(df):
-    return df.where(scalar.in_domains(scalar.url_host(F.col("url")), ["com", "org"])).select("page_id")
+    return scalar.with_host(df, "url", "host").where(scalar.in_domains(F.col("host"), ["com", "org"])).select("page_id")
 
 
 @query("part", """with l as (select p_partkey, ['CC BY', 'cc-by', 'CC BY-SA', 'CC BY-NC', 'Creative Commons BY'][(p_partkey % 5 + 1)::int] || case p_partkey % 3 when 0 then ' 4.0' when 1 then ' 3.0' else '' end as name from part),
@@ -634,7 +634,7 @@ def license_match(df):
     names = F.array(*map(F.lit, ("CC BY", "cc-by", "CC BY-SA", "CC BY-NC", "Creative Commons BY")))
     version = F.when(F.col("p_partkey") % 3 == 0, " 4.0").when(F.col("p_partkey") % 3 == 1, " 3.0").otherwise("")
     name = F.concat(F.get(names, (F.col("p_partkey") % 5).cast("int")), version)
-    return df.select("p_partkey", scalar.license_allowed(name, ["cc-by-4.0"]).alias("ok"))
+    return scalar.with_licence(df.withColumn("name", name), "name", "parts").select("p_partkey", scalar.license_among("parts", ["cc-by-4.0"]).alias("ok"))
 
 
 @query("part", "with w as (select p_partkey, list_distinct(list_filter(regexp_extract_all(lower(p_name), '[a-z0-9]+'), lambda x: length(x) > 2)) as w from part) select p_partkey, round(least(1.0, len(list_intersect(w, ['red', 'green', 'blue', 'almond']))::double / 4), 4)::double as relevance from w")

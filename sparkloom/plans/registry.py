@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
@@ -96,18 +98,66 @@ def sort(df: DataFrame, columns: list[str], descending: bool = False, order: lis
     return df.orderBy(*by, *[F.col(f"`{o}`") for o in order])
 
 
-#: Words of a search that say nothing.
-FILLERS = {"make", "show", "me", "my", "the", "a", "data", "for"}
+#: Words of a question that name no operation.
+STOP = frozenset("a an and are can do does from how i in is it of on or please some that the this to want what which with".split())
+#: How much a word says where it stands, and how much less a word that only begins like it.
+WEIGHTS, BEGINS = {"id": 4.0, "alias": 3.0, "choice": 1.5, "parameter": 1.0, "category": 1.0}, 0.4
+_ENDINGS = ("ations", "ation", "ings", "ing", "ies", "ed", "es", "e", "s", "y")
+
+
+def stem(word: str) -> str:
+    """A word without its first ending that leaves three letters; a doubled last letter becomes one."""
+    for end in _ENDINGS:
+        if word.endswith(end) and len(word) - len(end) >= 3:
+            word = word.removesuffix(end)
+            break
+    return word[:-1] if len(word) > 3 and word[-1] == word[-2] else word
+
+
+def stems(text: str) -> list[str]:
+    return [stem(w) for w in re.findall(r"[a-z0-9]+", text.lower().replace("_", " ")) if w not in STOP]
+
+
+class WordIndex:
+    """Which operations a stem stands for, and how strongly: by the best of the places where it occurs."""
+
+    def __init__(self) -> None:
+        self.postings: dict[str, dict[str, float]] = {}
+
+    def add(self, op: Operation) -> None:
+        said = [("id", op.id), ("category", op.category), *[("alias", a) for a in op.aliases]]
+        said += [("parameter", p) for p in op.parameters] + [("choice", c) for p in op.parameters.values() for c in p.choices]
+        for place, text in said:
+            for s in stems(text):
+                held = self.postings.setdefault(s, {})
+                held[op.id] = max(held.get(op.id, 0.0), WEIGHTS[place])
+
+    def scores(self, asked: list[str], of: int) -> dict[str, float]:
+        """Sums over the stems asked for, rarer ones counting more."""
+        out: dict[str, float] = {}
+        for a in dict.fromkeys(asked):
+            best: dict[str, float] = {}
+            for s, held in self.postings.items():
+                near = 1.0 if s == a else BEGINS if min(len(s), len(a)) >= 3 and (s.startswith(a) or a.startswith(s)) else 0.0
+                for op, w in held.items() if near else ():
+                    best[op] = max(best.get(op, 0.0), near * w)
+            for op, w in best.items():
+                out[op] = out.get(op, 0.0) + w * math.log(1 + of / len(best))
+        return out
 
 
 class Registry:
     def __init__(self) -> None:
-        self._ops = {o.id: o for o in _BUILT_IN}
+        self._ops: dict[str, Operation] = {}
+        self._words = WordIndex()
+        for o in _BUILT_IN:
+            self.register(o)
 
     def register(self, op: Operation) -> None:
         if op.id in self._ops:
             raise ParameterError(f"{op.id} exists")
         self._ops[op.id] = op
+        self._words.add(op)
 
     def get(self, id_: str) -> Operation:
         if id_ not in self._ops:
@@ -118,16 +168,14 @@ class Registry:
         return sorted(self._ops)
 
     def search(self, text: str = "", category: str = "") -> list[Operation]:
-        """Operations of a category by how many of the words asked for occur in their id, category or aliases; filler
-        words don't count, and without others all match. Ties by id."""
-        asked = set(text.lower().split()) - FILLERS
-        found = []
-        for o in self._ops.values():
-            about = " ".join([o.id, o.id.replace("_", " "), o.category, *o.aliases]).lower()
-            n = sum(w in about for w in asked)
-            if (n or not asked) and category in ("", o.category):
-                found.append((-n, o.id, o))
-        return [o for _, _, o in sorted(found, key=lambda x: x[:2])]
+        """Operations of a category for what is asked, the best first: words count by where an operation has them and by how
+        few operations do. Without a word that could name an operation, all of them by id."""
+        own = {k: o for k, o in sorted(self._ops.items()) if not category or o.category == category}
+        asked = stems(text)
+        if not asked:
+            return list(own.values())
+        scores = self._words.scores(asked, len(self._ops))
+        return [own[k] for k in sorted(own.keys() & scores.keys(), key=lambda k: (-scores[k], k))]
 
     def check(self, df: DataFrame, id_: str, given: dict[str, Any]) -> Operation:
         """The operation, once its parameters are known to be right."""

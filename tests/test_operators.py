@@ -5,7 +5,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from sparkloom.functions import scalar
-from sparkloom.operators import acquisition, aggregates, charts, cleaning, combine, documents, groups, media, predicates, prepare, reshape, versions
+from sparkloom.operators import acquisition, aggregates, budgets, charts, cleaning, combine, documents, groups, media, predicates, prepare, requests, reshape, versions
 from sparkloom.plans import recipe
 from sparkloom.plans.errors import ParameterError
 from sparkloom.plans.registry import registry
@@ -116,7 +116,8 @@ def test_findings(spark):
 def test_license_truth_table(spark):
     cases = [("CC BY 4.0", "CC BY", True), ("CC BY-NC 4.0", "CC BY", False), ("CC BY-SA", "CC BY", False), ("CC BY 3.0", "CC BY 4.0", False), ("cc0 1.0", "CC0", True), ("Creative Commons BY-SA 4.0", "cc-by-sa", True), ("MIT", "mit", True), (None, "CC BY", False)]
     for actual, allowed, expected in cases:
-        assert spark.range(1).select(scalar.license_allowed(F.lit(actual).cast("string"), [allowed])).first()[0] is expected, (actual, allowed)
+        d = scalar.with_licence(spark.range(1).select(F.lit(actual).cast("string").alias("name")), "name", "parts")
+        assert d.select(scalar.license_among("parts", [allowed])).first()[0] is expected, (actual, allowed)
 
 
 def test_urls(spark):
@@ -183,7 +184,7 @@ def slow_cascade(rows, spec, known, near):
 def test_cascade_like_one_candidate_after_another(spark, monkeypatch):
     import random
 
-    monkeypatch.setattr(acquisition, "BLOCK", 40)
+    monkeypatch.setattr(budgets, "BLOCK", 10)
     rnd = random.Random(7)
     kind = "candidate_id long, url string, license string, declared_width int, declared_height int, bytes long, decoded boolean, mime string, width int, height int, sha256 string, quality double, phash string, text string"
     pick = lambda *xs: rnd.choice(xs)
@@ -204,6 +205,34 @@ def test_cascade_like_one_candidate_after_another(spark, monkeypatch):
     assert acquisition.cascade(df.where("false"), spec).count() == 0
 
 
+def test_budget_by_size_classes(spark, monkeypatch):
+    """As if rows were gone through one by one, over 1,000 blocks, with one row a round on the driver."""
+    import math
+    import random
+
+    monkeypatch.setattr(budgets, "BLOCK", 10)
+    kinds = {
+        "ones that mostly exceed the budget": (lambda r: (r.randrange(1, 100_000),) * 2, 3000),
+        "all alike": (lambda r: (7, 7), 20_000),
+        "a few large, many small": (lambda r: (r.choice([1, 2, 3, 1 << 20]),) * 2, 5000),
+        "by one less each": (lambda r, n=iter(range(100_000, 0, -1)): (next(n),) * 2, 99_500),
+        "more needed than taken": (lambda r: (lambda n: (n, n // r.choice([1, 1, 2, 3])))(r.randrange(0, 64)), 2500),
+        "nothing left": (lambda r: (r.randrange(0, 3),) * 2, 0),
+    }
+    for name, (make, budget) in kinds.items():
+        rnd = random.Random(5)
+        rows = [(i, *make(rnd)) for i in range(10_500)]
+        rounds = []
+        out = budgets.left_before(spark.createDataFrame(rows, "id long, need long, take long"), "take", budget, ["id"], "left", "need", lambda i, found, rounds=rounds: rounds.append(found))
+        left, want = budget, {}
+        for i, need, take in rows:
+            want[i] = left
+            left -= take if need <= left else 0
+        assert {r["id"]: r["left"] for r in out.collect()} == want, name
+        ratio = 4 if name.startswith("more") else 1
+        assert len(rounds) <= ratio * 2 * (math.log2(budget + 2) + 2), (name, len(rounds))
+
+
 def test_run_until_a_target(spark):
     kind = "candidate_id long, url string, license string, declared_width int, declared_height int, bytes long, decoded boolean, mime string, width int, height int, sha256 string, quality double, phash string, text string"
     rows = [(i, "https://a.org/x", "CC BY" if i % 3 else "none", 50, 50, 10, True, "image/png", 50, 50, f"s{i % 40}", 90.0, None, "red fox") for i in range(100)]
@@ -231,12 +260,15 @@ def test_run_until_a_target(spark):
 
 
 def test_requests():
-    ask = acquisition.parse_request
+    ask = requests.parse_request
     assert ask("Find 1,200 images of red foxes in snow, at least 800 px, cc-by only") == {"count": 1200, "min_width": 800, "min_height": 800, "licenses": ["cc-by"], "domains": [], "topic": "red foxes in snow"}
     assert ask("collect 30 lighthouses 640x480 from a.example.org")["count"] == 30 and ask("lighthouse pictures")["min_width"] == 512
     got = ask("20 photos of old lighthouses 640 x 480")
     assert (got["count"], got["min_width"], got["min_height"], ask("lighthouse pictures")["topic"]) == (20, 640, 480, "lighthouse")
-    for bad in ("", "  ", "a csv of cars", "cars without people", "cars with a free license"):
+    assert ask("I want at least 50 accepted photos of harbours at dusk from pics.example.com")["domains"] == ["pics.example.com"]
+    assert (ask("50 usable images of old doors, min 300px")["min_height"], ask("download me 2,500 tulips")["count"], ask("7 tulips")["count"]) == (300, 2500, 100)
+    assert ask("photos of red and green boats include 3 masts cc0 only") | {"count": 1} == {"count": 1, "min_width": 512, "min_height": 512, "licenses": ["cc0"], "domains": [], "topic": "red and green boats"}
+    for bad in ("", "  ", "a csv of cars", "cars without people", "cars with a free license", "images in the public domain"):
         with pytest.raises(ParameterError):
             ask(bad)
 
@@ -332,7 +364,8 @@ def test_recipes(spark, table, tmp_path):
 
 
 def test_registry(table):
-    assert registry.search("join")[0].id == "combine" and len(registry.ids()) >= 35
+    assert registry.search("join")[0].id == "combine" and registry.search("the median of missing values")[0].id in ("fill_missing", "profile") and registry.search("plots of things")[0].id == "chart" and\
+        [o.id for o in registry.search("", "prepare")] == sorted(o.id for o in registry.search("the", "prepare")) and not registry.search("zebra") and registry.search("normalizing columns")[0].id == "scale" and len(registry.ids()) >= 35
     with pytest.raises(ParameterError):
         registry.check(table, "rename", {"column": "nope", "new_name": "y"})
 
