@@ -73,38 +73,34 @@ def weekday(c: Column) -> Column:
     return F.weekday(c)
 
 
-def percentiles(c: str, at: list[float]) -> Column:
-    """Exact, linearly interpolated."""
-    return F.percentile(F.col(f"`{c}`").cast("double"), F.array(*[F.lit(float(x)) for x in at]))
-
-
 #: Values of a column up to which one reducer ranks them all; beyond, only those around what is asked for.
-RANKED = 100_000
+RANKED = 2_000_000
 
 
 def quantile_row(df: DataFrame, columns: dict[str, Column], at: list[float]) -> DataFrame:
     """One row: for each name the exact, linearly interpolated quantiles of a column, null if it has no value.
 
-    Ranking all values would hold every distinct one in a reducer. So a sketch brackets each quantile first; then the
-    values below a bracket are counted, and only those inside are ranked. The driver sees brackets and counts.
+    Ranking all values would hold every distinct one in a reducer, which is done up to RANKED of them. Beyond, a sketch
+    brackets each quantile first; then the values below a bracket are counted, and only those inside are ranked. The
+    driver sees brackets and counts.
     """
     names = list(columns)
     d = df.select(*[c.cast("double").alias(f"x{i}") for i, c in enumerate(columns.values())])
     accuracy = 10_000
     edges = [min(1.0, max(0.0, p + s * 2.0 / accuracy)) for p in at for s in (-1, 1)]
     x = [F.col(f"x{i}") for i in range(len(names))]
-    sketch = d.agg(*[F.struct(F.count(c).alias("n"), F.percentile_approx(c, edges, accuracy).alias("e")).alias(f"s{i}") for i, c in enumerate(x)]).first()
     # a bracket holds the next value too only if the sketch's error is more than one value
-    many = [s["n"] > max(RANKED, accuracy) for s in sketch]
+    many = [n > max(RANKED, accuracy) for n in d.agg(*[F.count(c) for c in x]).first()]
     ranked = [F.percentile(c, F.array(*[F.lit(float(p)) for p in at])).alias(name) for name, c, m in zip(names, x, many, strict=True) if not m]
     if not any(many):
         return d.agg(*ranked)
-    inside = [[c.between(s["e"][2 * k], s["e"][2 * k + 1]) if m else F.lit(False) for k in range(len(at))] for c, s, m in zip(x, sketch, many, strict=True)]
+    sketch = d.agg(*[(F.struct(F.count(c).alias("n"), F.percentile_approx(c, edges, accuracy).alias("e")) if m else F.lit(None)).alias(f"s{i}") for i, (c, m) in enumerate(zip(x, many, strict=True))]).first()
+    inside = [[c.between(s["e"][2 * k], s["e"][2 * k + 1]) for k in range(len(at))] if m else [] for c, s, m in zip(x, sketch, many, strict=True)]
     counts = d.agg(*[F.struct(F.count_if(c < s["e"][2 * k]).alias("below"), F.count_if(inside[i][k]).alias("m")).alias(f"b{i}_{k}") for i, (c, s) in enumerate(zip(x, sketch, strict=True)) if many[i] for k in range(len(at))]).first()
     wanted, places = ranked, {}
-    for i, s in enumerate(sketch):
+    for i in range(len(names)):
         for k, p in enumerate(at if many[i] else ()):
-            rank = p * (s["n"] - 1)
+            rank = p * (sketch[i]["n"] - 1)
             low, b = int(rank), counts[f"b{i}_{k}"]
             first, last = low - b["below"], max(b["m"] - 1, 1)
             if not 0 <= first <= min(first + (rank > low), b["m"] - 1):

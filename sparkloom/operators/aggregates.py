@@ -9,9 +9,10 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import floating, is_numeric, missing_as_null, need, numeric_columns, one_of, percentiles, quantile_row, strip
+from ..functions.scalar import floating, is_numeric, missing_as_null, need, numeric_columns, one_of, quantile_row, strip
 from ..plans.errors import ParameterError
 from .cleaning import comparable
+from .quantiles import grouped_quantiles
 from .reshape import text_of
 
 AGGREGATIONS = ("sum", "mean", "median", "min", "max", "count", "nunique", "std")
@@ -20,7 +21,7 @@ AGGREGATIONS = ("sum", "mean", "median", "min", "max", "count", "nunique", "std"
 def _agg(how: str, c: str) -> Column:
     x = F.col(f"`{c}`")
     return {
-        "sum": lambda: F.coalesce(F.sum(x), F.lit(0)), "mean": lambda: F.avg(x), "median": lambda: F.median(x), "min": lambda: F.min(x), "max": lambda: F.max(x),
+        "sum": lambda: F.coalesce(F.sum(x), F.lit(0)), "mean": lambda: F.avg(x), "min": lambda: F.min(x), "max": lambda: F.max(x),
         "count": lambda: F.count(x), "nunique": lambda: F.count_distinct(x), "std": lambda: F.stddev_samp(x),
     }[how]()
 
@@ -31,6 +32,9 @@ def aggregate(df: DataFrame, by: list[str], values: list[str], how: str = "sum")
     need(df, *by, *values)
     values = [v for v in values if v not in by]
     d = missing_as_null(df)
+    if how == "median":
+        q = grouped_quantiles(d, by, {v: F.col(f"`{v}`") for v in values}, [0.5])
+        return q.select(*[F.col(f"`{b}`") for b in by], *[F.col(f"`{v}`")[0].alias(v) for v in values])
     return d.groupBy(*[F.col(f"`{b}`") for b in by]).agg(*[_agg(how, v).alias(v) for v in values])
 
 
@@ -42,14 +46,16 @@ def null_counts(df: DataFrame) -> DataFrame:
 
 
 def describe(df: DataFrame) -> DataFrame:
-    """column, count, unique, top, freq, mean, std, min, q25, q50, q75, max: one pass for moments, one for modes."""
-    d = missing_as_null(df)
+    """column, count, unique, top, freq, mean, std, min, q25, q50, q75, max: one pass for moments, one for quartiles."""
+    d, nums = missing_as_null(df), numeric_columns(df)
+    if nums:
+        d = d.crossJoin(F.broadcast(quantile_row(d, {f"__q{i}": F.col(f"`{c}`") for i, c in enumerate(nums)}, [0.25, 0.5, 0.75])))  # one row
     rows = []
     for c in df.columns:
         x = F.col(f"`{c}`")
         base = [F.lit(c).alias("column"), F.count(x).alias("count"), F.count_distinct(x).alias("unique")]
         if is_numeric(df, c):
-            q = percentiles(c, [0.25, 0.5, 0.75])
+            q = F.first(f"__q{nums.index(c)}")
             rest = [F.lit(None).cast("string").alias("top"), F.lit(None).cast("long").alias("freq"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).cast("double").alias("min"), q[0].alias("q25"), q[1].alias("q50"), q[2].alias("q75"), F.max(x).cast("double").alias("max")]
         else:
             top = F.mode(x.cast("string"), True)

@@ -8,8 +8,10 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import missing_as_null, need, numeric_columns, one_of, percentiles, quantile_row
+from ..functions.scalar import missing_as_null, need, numeric_columns, one_of, quantile_row
+from ..plans.session import cut
 from .ordering import with_position
+from .quantiles import grouped_quantiles
 
 KINDS = ("histogram", "density", "violin", "box", "qq", "error", "outlier", "scatter", "bubble", "pair", "line", "rolling", "bar", "split", "grouped", "stacked", "missingness")
 
@@ -43,10 +45,12 @@ def density(df: DataFrame, column: str, points: int = 100, bins: int = 512) -> D
 
 def box(df: DataFrame, column: str, group: str | None = None) -> DataFrame:
     """group, min, q1, median, q3, max."""
-    d = missing_as_null(df)
-    q = percentiles(column, [0, 0.25, 0.5, 0.75, 1])
-    g = d.groupBy(F.col(f"`{group}`").alias("group")) if group else d.groupBy(F.lit("all").alias("group"))
-    return g.agg(q.alias("q")).select("group", *[F.col("q")[i].alias(n) for i, n in enumerate(("min", "q1", "median", "q3", "max"))])
+    d, at = missing_as_null(df), [0, 0.25, 0.5, 0.75, 1]
+    if group:
+        q = grouped_quantiles(d.withColumn("__by", F.col(f"`{group}`")), ["__by"], {"q": F.col(f"`{column}`")}, at).withColumnRenamed("__by", "group")
+    else:
+        q = quantile_row(d, {"q": F.col(f"`{column}`")}, at).withColumn("group", F.lit("all"))
+    return q.select("group", *[F.col("q")[i].alias(n) for i, n in enumerate(("min", "q1", "median", "q3", "max"))])
 
 
 def qq(df: DataFrame, column: str, points: int = 200) -> DataFrame:
@@ -99,15 +103,23 @@ def line(df: DataFrame, x: str, y: str, order: list[str], window: int | None = N
 def bars(df: DataFrame, x: str, y: str | None = None, how: str = "count", most: int = 100) -> DataFrame:
     """x, value: count, mean, sum or median by group."""
     one_of(how, ("count", "mean", "sum", "median"), "aggregation")
-    a = {"count": lambda: F.count(F.lit(1)).cast("double"), "mean": lambda: F.avg(_x(y)), "sum": lambda: F.coalesce(F.sum(_x(y)), F.lit(0.0)), "median": lambda: F.median(_x(y))}[how]()
-    return missing_as_null(df).groupBy(F.col(f"`{x}`").alias("x")).agg(a.alias("value")).orderBy("x").limit(most)
+    v = _values(missing_as_null(df).select(F.col(f"`{x}`").alias("x"), *([_x(y).alias("y")] if y else [])), ["x"], how)
+    return v.select("x", "value").orderBy("x").limit(most)
+
+
+def _values(d: DataFrame, by: list[str], how: str) -> DataFrame:
+    """by and value: count, mean, sum or median of y in each group."""
+    if how == "median":
+        return grouped_quantiles(d, by, {"value": F.col("y")}, [0.5]).select(*by, F.col("value")[0].alias("value"))
+    a = {"count": lambda: F.count(F.lit(1)).cast("double"), "mean": lambda: F.avg("y"), "sum": lambda: F.coalesce(F.sum("y"), F.lit(0.0))}[how]()
+    return d.groupBy(*by).agg(a.alias("value"))
 
 
 def grouped_bars(df: DataFrame, x: str, group: str, y: str | None = None, how: str = "count", series: int = 20, most: int = 100) -> DataFrame:
     """x, group, value for the first groups and xs; combinations that don't occur are 0."""
     d = missing_as_null(df)
-    a = F.count(F.lit(1)).cast("double") if how == "count" else {"sum": F.sum, "mean": F.avg, "median": F.median}[how](_x(y))
-    v = d.groupBy(F.col(f"`{x}`").alias("x"), F.col(f"`{group}`").cast("string").alias("group")).agg(a.alias("value"))
+    one_of(how, ("count", "mean", "sum", "median"), "aggregation")
+    v = cut(_values(d.select(F.col(f"`{x}`").alias("x"), F.col(f"`{group}`").cast("string").alias("group"), *([_x(y).alias("y")] if y else [])), ["x", "group"], how))
     xs, gs = v.select("x").distinct().orderBy("x").limit(most), v.select("group").distinct().orderBy("group").limit(series)
     grid = xs.crossJoin(F.broadcast(gs))  # at most `most` times `series` rows
     v = v.toDF("__x", "__g", "value")

@@ -41,11 +41,13 @@ def fill_missing(df: DataFrame, columns: list[str], method: str, value: Any = No
         col = F.col(f"`{c}`")
         if method != "mode" and not is_numeric(df, c):
             raise ParameterError(f"{c} is not numeric")
-        a = F.avg(col) if method == "mean" else F.median(col) if method == "median" else F.mode(col, True)
+        if method == "median":
+            continue
+        a = F.avg(col) if method == "mean" else F.mode(col, True)
         if method == "mode":
             a = F.when(a.isNull(), F.raise_error(F.lit(f"{c} has no value"))).otherwise(a)
         aggs.append(a.alias(f"__m{i}"))
-    stats = df.agg(*aggs)
+    stats = df.agg(*aggs) if aggs else quantile_row(df, {f"__m{i}": F.col(f"`{c}`") for i, c in enumerate(columns)}, [0.5]).select(*[F.col(f"__m{i}")[0].alias(f"__m{i}") for i in range(len(columns))])
     out = df.crossJoin(F.broadcast(stats))  # one row
     return out.select(*[F.coalesce(F.col(f"`{c}`"), F.col(f"__m{columns.index(c)}")).alias(c) if c in columns else F.col(f"`{c}`") for c in df.columns])
 

@@ -5,7 +5,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from sparkloom.functions import scalar
-from sparkloom.operators import acquisition, aggregates, budgets, charts, cleaning, combine, documents, groups, media, predicates, prepare, requests, reshape, versions
+from sparkloom.operators import acquisition, aggregates, budgets, charts, cleaning, combine, documents, groups, media, predicates, prepare, quantiles, requests, reshape, versions
 from sparkloom.plans import recipe
 from sparkloom.plans.errors import ParameterError
 from sparkloom.plans.registry import registry
@@ -384,6 +384,29 @@ def test_operators_leave_their_input_alone(table):
     assert repr(rows(table)) == repr(before)
 
 
+def test_quantiles_by_group(spark, monkeypatch):
+    """One group of nine tenths of the rows, ties, a missing group, groups without values; sketches of few steps."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    by = ["hot"] * 27_000 + [None] * 1500 + ["flat"] * 900 + ["ties"] * 500 + ["one"] + ["none"] * 3 + ["ends"] * 4
+    x = [*rng.normal(size=28_500), *[2.5] * 900, *rng.integers(0, 4, size=500), 7.0, None, float("nan"), None, float("-inf"), 1.0, 2.0, float("inf")]
+    y = [*rng.exponential(size=len(by)).round(2)]
+    df = spark.createDataFrame([(b, None if v is None else float(v), float(w)) for b, v, w in zip(by, x, y, strict=True)], "g string, x double, y double").repartition(5)
+    at = [0.0, 0.003, 0.25, 0.5, 0.9, 1.0]
+    for accuracy, hot in ((10_000, 1000), (200, 2)):
+        monkeypatch.setattr(quantiles, "ACCURACY", accuracy)
+        monkeypatch.setattr(quantiles, "HOT", hot)
+        got = {r["g"]: r for r in quantiles.grouped_quantiles(df, ["g"], {"a": F.col("x"), "b": F.col("y") * 2}, at).collect()}
+        assert set(got) == set(by) and got["none"]["a"] is None and got["none"]["b"] is not None
+        for g in set(by) - {"ends"}:
+            for name, column in (("a", x), ("b", [2 * v for v in y])):
+                own = [v for b, v in zip(by, column, strict=True) if b == g and v is not None and v == v]
+                assert not own or np.allclose(got[g][name], np.quantile(np.array(own, float), at), rtol=0, atol=1e-9), (g, name)
+        assert got["ends"]["a"][0] == float("-inf") and got["ends"]["a"][3] == 1.5 and got["ends"]["a"][5] == float("inf")
+    assert quantiles.grouped_quantiles(df.where("false"), ["g"], {"a": F.col("x")}, at).count() == 0
+
+
 def test_quantiles_of_many_values(spark, monkeypatch):
     import numpy as np
 
