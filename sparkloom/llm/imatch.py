@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut
+from .common import bounded_batches, cut, sweep
 from .pieces import by_bytes, tidy
 
 #: Shares of the documents between which a term's own must lie (an inverse document frequency of 0.7 to 6.9).
@@ -195,6 +195,7 @@ def fingerprinted(df: DataFrame, least: float = LEAST, most: float = MOST, id_co
     bounded_batches(spark)
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     lex = lexicon(texts, least, most)
+    sweep(spark)  # the counts' shuffle is done with
     order = [F.col("id").desc_nulls_last(), "digest", "turn"]
     # turn deals equal rows over tasks, whichever of them comes first
     keyed = texts.withColumn("digest", F.xxhash64("text")).withColumn("turn", F.monotonically_increasing_id())
