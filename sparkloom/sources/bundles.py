@@ -8,6 +8,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.digests import multiset_digest, row_digest
 from ..operators.predicates import query_predicate
 from ..plans import recipe
 from ..plans.errors import ParameterError
@@ -17,13 +18,13 @@ from . import readers, writers
 EXPORT_ROWS, SAMPLE_ROWS, EXAMPLE_ROWS = 1_000_000, 20, 100
 
 
+def table_digest(df: DataFrame) -> DataFrame:
+    """n and digest of a table's rows, whatever their order, and its columns: one row."""
+    return multiset_digest(df, row_digest(df.columns), json.dumps(df.dtypes))
+
+
 def content_digest(df: DataFrame) -> str:
-    """A digest of a table's rows, whatever their order, and its columns. Rows are digested in 4096 parts first."""
-    each = F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}), 256)
-    rows = df.select(each.alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    part = rows.groupBy(F.substring("h", 1, 3).alias("p")).agg(F.sha2(F.to_json(F.sort_array(F.collect_list(F.struct("h", "n")))), 256).alias("d"))
-    extra = json.dumps(df.dtypes)
-    return part.agg(F.sha2(F.concat(F.lit(extra), F.to_json(F.sort_array(F.collect_list(F.struct("p", "d"))))), 256)).first()[0]
+    return table_digest(df).first()["digest"]
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

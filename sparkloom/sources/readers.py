@@ -17,7 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..functions.digests import multiset_digest
 from ..plans.errors import ParameterError
+from . import ranges
 
 #: Formats by suffix.
 SUFFIXES = {"csv": "csv", "tsv": "tsv", "json": "json", "jsonl": "jsonl", "ndjson": "jsonl", "parquet": "parquet", "xlsx": "xlsx", "db": "sqlite", "sqlite": "sqlite", "sqlite3": "sqlite", "duckdb": "duckdb"}
@@ -41,19 +43,13 @@ def csv_header(first_line: str, delimiter: str) -> list[str]:
     return names
 
 
-def read_csv(spark: SparkSession, path: str, delimiter: str = ",", all_text: bool = False, strict: bool = True) -> DataFrame:
-    """With a header. strict: ragged records fail. all_text: every column stays text, leading zeros and all."""
+def read_csv(spark: SparkSession, path: str, delimiter: str = ",", all_text: bool = False, strict: bool = True, range_bytes: int = ranges.RANGE_BYTES) -> DataFrame:
+    """With a header. strict: ragged records fail, and the error says where. all_text: every column stays text, leading
+    zeros and all. A file is read in ranges of range_bytes, each a task, whatever its quotes enclose."""
     if delimiter not in DELIMITERS:
         raise ParameterError("the delimiter is one of , ; tab |")
-    first = spark.read.text(path).limit(1).collect()
-    names = csv_header(first[0][0] if first else "", delimiter)
-    options = {"header": True, "sep": delimiter, "quote": '"', "escape": '"', "multiLine": True, "encoding": "UTF-8"}
-    schema = ", ".join(f"`{n}` string" for n in names)
-    if not all_text:
-        kinds = spark.read.options(**options, inferSchema=True).csv(path).schema
-        if len(kinds) == len(names):
-            schema = ", ".join(f"`{n}` {f.dataType.simpleString()}" for n, f in zip(names, kinds, strict=True))
-    return spark.read.options(**options, mode="FAILFAST" if strict else "PERMISSIVE", enforceSchema=True).schema(schema).csv(path)
+    names = csv_header(ranges.first_record(path, delimiter), delimiter)
+    return ranges.read_csv_ranges(spark, path, names, delimiter, all_text, strict, range_bytes)
 
 
 class _FilePart(InputPartition):
@@ -161,7 +157,7 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None, **options
         case "csv" | "tsv":
             return read_csv(spark, path, options.pop("delimiter", "\t" if fmt == "tsv" else ","), **options)
         case "json":
-            return spark.read.json(path, multiLine=True)
+            return ranges.read_json_array(spark, path, **options)
         case "jsonl":
             return spark.read.json(path)
         case "parquet":
@@ -240,10 +236,9 @@ def filter_files(files: DataFrame, allow: list[str] = (), ignore: list[str] = ()
 
 
 def manifest_hash(files: DataFrame, snapshot: str, options: dict) -> DataFrame:
-    """manifest: one digest of a snapshot, its files and options. Files are digested in 4096 parts first."""
-    part = files.groupBy(F.pmod(F.xxhash64("path"), F.lit(4096)).alias("p")).agg(F.sha2(F.to_json(F.sort_array(F.collect_list(F.struct("path", "sha256", "size")))), 256).alias("d"))
-    extra = json.dumps({"snapshot": snapshot, "options": options}, sort_keys=True)
-    return part.agg(F.sha2(F.concat(F.lit(extra), F.to_json(F.sort_array(F.collect_list(F.struct("p", "d"))))), 256).alias("manifest"))
+    """manifest: one digest of a snapshot, its files (path, sha256, size, in any order) and options."""
+    row = F.sha2(F.concat_ws("/", "sha256", F.col("size").cast("string"), "path"), 256)
+    return multiset_digest(files, row, json.dumps({"snapshot": snapshot, "options": options}, sort_keys=True)).select(F.col("digest").alias("manifest"))
 
 
 def cache_key(file_hash: str, fmt: str, options: dict, version: str) -> str:

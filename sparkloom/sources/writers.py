@@ -8,6 +8,7 @@ import sqlite3
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.digests import multiset_digest, row_digest
 from ..plans.errors import ParameterError
 
 #: Rows that a single-file database export takes; larger ones belong in Parquet.
@@ -59,16 +60,36 @@ def _one_file(df: DataFrame, path: str, fmt: str, table: str) -> None:
     os.replace(temp, path)
 
 
-def export_dataset(samples: DataFrame, path: str) -> DataFrame:
-    """Writes samples by split and returns split, n, digest: the manifest."""
+def dataset_manifest(samples: DataFrame) -> DataFrame:
+    """split, n, digest of the samples of each split, in any order."""
+    return multiset_digest(samples, row_digest(sorted(samples.columns)), by=["split"])
+
+
+def export_dataset(samples: DataFrame, path: str, name: str = "dataset", license: str | None = None, media: DataFrame | None = None) -> DataFrame:
+    """Writes samples by split, a manifest (split, n, digest), a card in Markdown and, if given, the list of media files that
+    samples name (path, sha256, size, media_type); returns the manifest. A sample whose media file isn't listed is
+    refused."""
+    spark = samples.sparkSession
+    if media is not None and not samples.join(media.select(F.col("sha256").alias("asset")), "asset", "left_anti").isEmpty():
+        raise ParameterError("a sample names a media file that isn't listed")
     samples.write.mode("errorifexists").option("compression", "zstd").partitionBy("split").parquet(f"{path}/samples")
-    each = F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(samples.columns)])), 256)
-    part = samples.groupBy("split", F.pmod(F.xxhash64(each), F.lit(1024)).alias("p")).agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.sort_array(F.collect_list(each)), ""), 256).alias("d"))
-    out = part.groupBy("split").agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p", "d"))), lambda x: x["d"]), ""), 256).alias("digest"))
-    out.write.mode("errorifexists").json(f"{path}/manifest")
+    dataset_manifest(samples).write.mode("errorifexists").json(f"{path}/manifest")
+    out = spark.read.schema("split string, n long, digest string").json(f"{path}/manifest")
+    if media is not None:
+        media.select("path", "sha256", "size", "media_type").write.mode("errorifexists").option("compression", "zstd").parquet(f"{path}/media")
+    lines = card(name, license, samples.dtypes, [(r["split"], r["n"], r["digest"]) for r in out.orderBy("split").collect()])  # a row a split
+    spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.mode("errorifexists").text(f"{path}/card")
     return out
 
 
+def card(name: str, license: str | None, columns: list[tuple[str, str]], splits: list[tuple[str, int, str]]) -> list[str]:
+    """The lines of a dataset's card: a header of fields, its splits with digests, and its columns."""
+    head = ["---", f"pretty_name: {name}", *([f"license: {license}"] if license else []), "dataset_info:", "  splits:"]
+    head += [line for split, n, _ in splits for line in (f"  - name: {split}", f"    num_examples: {n}")]
+    body = ["---", "", f"# {name}", "", "| split | rows | digest |", "| - | - | - |", *[f"| {s} | {n} | {d} |" for s, n, d in splits]]
+    return head + body + ["", "| column | type |", "| - | - |", *[f"| {c} | {t} |" for c, t in columns]]
+
+
 def export_rag(chunks: DataFrame, embeddings: DataFrame, documents: DataFrame, indexes: DataFrame, path: str) -> None:
     """Chunks, vectors and index metadata; refused if an active document has no index."""
     from ..operators.combine import unindexed

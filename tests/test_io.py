@@ -5,9 +5,10 @@ import zipfile
 import duckdb
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from sparkloom.plans.errors import ParameterError
-from sparkloom.sources import readers, writers
+from sparkloom.sources import bundles, readers, writers
 from sparkloom.streaming import incremental
 
 
@@ -18,7 +19,7 @@ def test_csv(spark, tmp_path):
     assert df.columns == ["id", "amount"] and [r.id for r in df.collect()] == ["007", "008"]
     assert dict(readers.read_csv(spark, str(p), ";").dtypes)["amount"] == "double"
     (tmp_path / "b.csv").write_text("a,b\n1,2\n1,2,3\n")
-    with pytest.raises(Exception, match="MALFORMED"):
+    with pytest.raises(Exception, match="at byte 8 has 3 fields, not 2"):
         readers.read_csv(spark, str(tmp_path / "b.csv")).collect()
     (tmp_path / "c.csv").write_text("a,a\n1,2\n")
     with pytest.raises(ParameterError):
@@ -186,3 +187,38 @@ def test_plugins_declare_what_they_can():
     for name, version, api, capabilities in bad:
         with pytest.raises(ParameterError):
             plugins.register(Plugin(name, version, api, capabilities, {"prompt_planner": Planner(), "exporter": Planner()}))
+
+
+def test_digests_of_tables(spark):
+    """Sums of row digests: equal under any order and partitioning, other for a changed, repeated or removed row."""
+    import hashlib
+
+    from sparkloom.functions import digests
+
+    df = spark.range(3000).selectExpr("id", "concat('row ', id) t", "if(id % 7 = 0, null, id / 3) x").repartition(5)
+    own = bundles.content_digest(df)
+    assert own == bundles.content_digest(df.repartition(13).orderBy("x")) == bundles.content_digest(df.coalesce(1))
+    first = df.where("id = 5")
+    others = [df.where("id <> 5"), df.unionByName(first), df.unionByName(first).unionByName(first), df.withColumn("t", F.when(F.col("id") == 5, "row").otherwise(F.col("t"))), df.withColumn("x", F.coalesce("x", F.lit(0.0))), df.drop("x"), df.where("false")]
+    assert len({own, *[bundles.content_digest(o) for o in others]}) == 8
+    texts = [f"text {i}" for i in range(500)] + ["text 1"] * 3
+    got = digests.multiset_digest(spark.createDataFrame([(t, int(t[-1]) % 2) for t in texts], "t string, g int").repartition(7), F.sha2("t", 256), "x", ["g"]).collect()
+    for r in got:
+        mine = [t for t in texts if int(t[-1]) % 2 == r["g"]]
+        total = sum(int(hashlib.sha256(t.encode()).hexdigest(), 16) for t in mine) % (1 << 256)
+        assert (r["n"], r["digest"]) == (len(mine), hashlib.sha256(f"x/{len(mine)}/{total:064x}".encode()).hexdigest())
+    none = digests.multiset_digest(df.where("false"), F.sha2("t", 256)).first()
+    assert none["digest"] == hashlib.sha256(f"/0/{0:064x}".encode()).hexdigest()
+
+
+def test_dataset_with_card_and_media(spark, tmp_path):
+    samples = spark.createDataFrame([(i, f"s{i % 3}", "train" if i % 4 else "test") for i in range(40)], "id long, asset string, split string")
+    media = spark.createDataFrame([(f"p{k}", f"s{k}", 10, "image/png") for k in range(3)], "path string, sha256 string, size long, media_type string")
+    out = writers.export_dataset(samples, str(tmp_path / "d"), "Things", "cc0-1.0", media)
+    assert {r["split"]: r["n"] for r in out.collect()} == {"train": 30, "test": 10}
+    card = spark.read.text(str(tmp_path / "d" / "card"), wholetext=True).first()[0]
+    assert "pretty_name: Things" in card and "  - name: test\n    num_examples: 10" in card and all(r["digest"] in card for r in out.collect())
+    assert spark.read.parquet(str(tmp_path / "d" / "media")).count() == 3
+    assert {r["split"]: r["digest"] for r in writers.dataset_manifest(samples.repartition(9)).collect()} == {r["split"]: r["digest"] for r in out.collect()}
+    with pytest.raises(ParameterError):
+        writers.export_dataset(samples, str(tmp_path / "e"), media=media.where("sha256 <> 's1'"))
