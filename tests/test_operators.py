@@ -420,3 +420,66 @@ def test_quantiles_of_many_values(spark, monkeypatch):
         monkeypatch.setattr(scalar, "RANKED", ranked)
         got = scalar.quantile_row(df, {c: F.col(c) for c in df.columns}, at).first()
         assert got["none"] is None and all(np.allclose(got[k], v, rtol=0, atol=1e-9) for k, v in want.items())
+
+
+def slow_groups(rows, most):
+    """(members, greatest distance of a link) by comparing all hashes."""
+    hashes = sorted({h for _, h in rows if h})
+    root = {h: h for h in hashes}
+
+    def find(h):
+        while root[h] != h:
+            h = root[h]
+        return h
+
+    far = {}
+    for i, a in enumerate(hashes):
+        for b in hashes[i + 1 :]:
+            d = (int(a, 16) ^ int(b, 16)).bit_count()
+            if d <= most:
+                far[a, b] = d
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    out = {}
+    for i, h in rows:
+        if h:
+            out.setdefault(find(h), ([], set()))[0].append(i)
+    return {tuple(sorted(ids)): max([d for (a, _), d in far.items() if find(a) == r], default=0) for r, (ids, _) in out.items() if len(ids) > 1}
+
+
+@pytest.mark.parametrize("most", [0, 3, 4, 8, 15])
+def test_near_hashes(spark, monkeypatch, most):
+    import random
+
+    rnd = random.Random(most)
+    centres = [rnd.getrandbits(64) for _ in range(30)]
+    rows = [(i, f"{rnd.choice(centres) ^ sum(1 << b for b in rnd.sample(range(64), rnd.choice([0, 1, 2, 5, 9, 16]))):016x}") for i in range(260)]
+    rows += [(1000 + i, rows[i][1]) for i in range(20)] + [(2000, None)]
+    df = spark.createDataFrame(rows, "id long, h string")
+    hashes = sorted({h for _, h in rows if h})
+    want = {(a, b) for i, a in enumerate(hashes) for b in hashes[i + 1 :] if (int(a, 16) ^ int(b, 16)).bit_count() <= most}
+    held = rows[::3]
+    for cost, cell in ((1000, 20_000), (0, 7)):
+        monkeypatch.setattr(groups.Bands, "COST", cost)
+        monkeypatch.setattr(groups, "CELL", cell)
+        assert sorted(map(tuple, groups.near_pairs(df, "h", most).collect())) == sorted(want)
+        got = {}
+        for r in groups.perceptual_groups(df, "id", "h", most).collect():
+            got.setdefault((r.canonical, r.size, r.max_distance), []).append(r.id)
+        assert {tuple(sorted(v)): k[2] for k, v in got.items()} == slow_groups(rows, most)
+        assert all(k[0] == min(v) and k[1] == len(v) for k, v in got.items())
+        found = {r.h: r.match for r in groups.first_match(df, spark.createDataFrame(held, "id long, h string"), "h", "id", most).collect()}
+        near = {h: [i for i, o in held if o and (int(h, 16) ^ int(o, 16)).bit_count() <= most] for h in hashes}
+        assert found == {h: min(v) for h, v in near.items() if v}
+    assert groups.perceptual_groups(df.where("false"), "id", "h", most).count() == 0
+
+
+def test_many_near_hashes_write_no_pairs(spark):
+    """50,000 hashes within four bits of one: all pairs would be 10^9."""
+    import itertools
+
+    near = itertools.islice((sum(1 << b for b in c) for c in itertools.combinations(range(64), 4)), 50_000)
+    df = spark.createDataFrame([(i, f"{h ^ 0xF0F0AAAA12345678:016x}") for i, h in enumerate(near)], "id long, h string")
+    tied = groups.links(df.select(groups.word(F.col("h")).alias("w")), 8)
+    assert tied.count() <= 50_000 * 45
+    got = groups.perceptual_groups(df, "id", "h", 8).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("canonical").alias("k"), F.max("max_distance").alias("d")).first()
+    assert tuple(got) == (50_000, 1, 8)
