@@ -33,14 +33,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, sweep
+from .common import bounded_batches, stored, sweep
 from .pieces import by_bytes, tidy
 
 #: Shares of the documents between which a term's own must lie (an inverse document frequency of 0.7 to 6.9).
 LEAST, MOST = 0.001, 0.5
 SUBSETS = 32
 #: Bytes of text whose terms are taken together.
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 _U = np.uint64
 #: An odd multiplier of positions and its inverse modulo 2^64; an odd multiplier for each subset.
@@ -236,7 +236,8 @@ def fingerprinted(df: DataFrame, least: float = LEAST, most: float = MOST, id_co
                 own, other = ((both[0][k : k + 1], both[1][k : k + 1]) for k in (0, 1))
                 yield pa.RecordBatch.from_arrays(_results([row["doc_id"]], [row["text"]], own, [row["following"]], other, lex), _NAMES)
 
-    found = cut(walk.mapInArrow(run, f"part int, kind string, text string, {_RESULT}"))
+    found, _ = stored(walk.mapInArrow(run, f"part int, kind string, text string, {_RESULT}"))
+    sweep(spark)  # the shuffled texts are done with
     # tasks in their order, each followed by the next that had documents, the last by the first: a number a task
     parts = sorted(r[0] for r in found.where("kind = 'first'").select("part").collect())
     turns = spark.createDataFrame(list(zip(parts, parts[1:] + parts[:1], strict=True)), "part int, follower int")
