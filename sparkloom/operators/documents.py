@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import need, one_of, safe_regex
 from ..plans.errors import ParameterError
+from .chunking import STRATEGIES, chunk_spans, chunk_text, chunks, compare_strategies, text_blocks  # noqa: F401  part of this module's interface
+from .markup import html_blocks
 
 #: One token is a run of word characters or a single mark.
 TOKEN = r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]"
@@ -87,185 +88,6 @@ def word_windows(df: DataFrame, id_col: str, text: str = "text", size: int = 420
     return d.select(id_col, F.col("chunk").cast("long").alias("chunk"), F.col("start").cast("long").alias("start"), F.least(F.lit(size), F.size("w") - F.col("start")).cast("long").alias("n"), F.array_join(F.slice("w", F.col("start") + 1, size), " ").alias("text"))
 
 
-_TOKEN = re.compile(r"\w+|[^\w\s]")
-STRATEGIES = ("token", "paragraph", "heading", "recursive")
-
-
-def text_blocks(text: str) -> list[tuple[str, str]]:
-    """(heading above, text) of the headings and paragraphs of Markdown or plain text; lines of a paragraph become one."""
-    out: list[tuple[str, str]] = []
-    heading, held = "", []
-
-    def close() -> None:
-        if body := " ".join(filter(None, map(str.strip, held))):
-            out.append((heading, body))
-        held.clear()
-
-    for row in text.splitlines():
-        head = re.match(r"#{1,6}\s+(.+?)\s*$", row)
-        if head or not row.strip():
-            close()
-        else:
-            held.append(row)
-        if head:
-            heading = head[1].strip()
-            out.append((heading, heading))
-    close()
-    return out
-
-
-def _units(blocks: list[tuple[str, str]], strategy: str, size: int) -> list[list[tuple[str, str]]]:
-    """Blocks that are cut as one text: all, each alone, those below one heading, or neighbours as far as they fit."""
-    if strategy == "token":
-        return [blocks] if blocks else []
-    units: list[list[tuple[str, str]]] = []
-    room = 0
-    for b in blocks:
-        n = len(_TOKEN.findall(b[1]))
-        joins = {"heading": bool(units) and units[-1][-1][0] == b[0], "recursive": n <= room, "paragraph": False}[strategy]
-        if units and joins:
-            units[-1].append(b)
-            room -= n
-        else:
-            units.append([b])
-            room = size - n
-    return units
-
-
-def chunk_text(text: str, strategy: str, size: int, overlap: int) -> list[tuple[str, int, str]]:
-    """(heading, tokens, text) of each chunk: windows of tokens over units of blocks, each sharing `overlap` tokens with
-    the one before.
-
-    token: one unit. paragraph: each block. heading: each section. recursive: neighbouring blocks as far as they fit into
-    a window together; a window inside a longer unit ends at its last sentence end, if one lies in its second half and
-    past the overlap.
-    """
-    out: list[tuple[str, int, str]] = []
-    for unit in _units(text_blocks(text), strategy, size):
-        body = "\n\n".join(b for _, b in unit)
-        starts, at = [], 0
-        for head, b in unit:
-            starts.append((at + len(b), head))
-            at += len(b) + 2
-        marks = list(_TOKEN.finditer(body))
-        first = 0
-        while first < len(marks):
-            last = min(first + size, len(marks))
-            if strategy == "recursive" and last < len(marks):
-                least = first + max(overlap, size // 2)
-                last = next((i + 1 for i in range(last - 1, least, -1) if marks[i][0] in ".!?"), last)
-            low, high = marks[first].start(), marks[last - 1].end()
-            out.append((next(head for end, head in starts if end > low), last - first, body[low:high]))
-            if last == len(marks):
-                break
-            first = last - overlap
-    return out
-
-
-def chunks(df: DataFrame, id_col: str, text: str = "text", strategy: str = "token", size: int = 256, overlap: int = 32) -> DataFrame:
-    """id, chunk, chunk_id, heading, n_tokens, text, by strategy: token, paragraph, heading or recursive."""
-    one_of(strategy, STRATEGIES, "strategy")
-    out = _chunked(df, id_col, text, [strategy], size, overlap, True).drop("strategy")
-    digest = F.sha2(F.concat_ws("\0", F.col(id_col).cast("string"), F.lit(f"{strategy}/{size}/{overlap}"), F.col("chunk").cast("string"), "text"), 256)
-    return out.select(id_col, "chunk", digest.alias("chunk_id"), "heading", "n_tokens", "text")
-
-
-def _chunked(df: DataFrame, id_col: str, text: str, strategies: list[str], size: int, overlap: int, texts: bool) -> DataFrame:
-    """strategy, id, chunk, heading, n_tokens and, if asked for, text; a frame of at most a few texts at a time."""
-    if not 32 <= size <= 4096 or not 0 <= overlap < size:
-        raise ParameterError("32 to 4096 tokens, overlap below that")
-    src = df.select(F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            for at in range(0, len(p), 256):
-                rows = [
-                    (s, i, k, h, n, t if texts else None)
-                    for i, x in zip(p[id_col][at : at + 256], p["__text"][at : at + 256], strict=True)
-                    for s in strategies
-                    for k, (h, n, t) in enumerate(chunk_text(x, s, size, overlap))
-                ]
-                yield pd.DataFrame(rows, columns=["strategy", id_col, "chunk", "heading", "n_tokens", "text"])
-
-    kind = src.schema[id_col].dataType.simpleString()
-    return src.mapInPandas(run, f"strategy string, `{id_col}` {kind}, chunk long, heading string, n_tokens long, text string")
-
-
-def compare_strategies(df: DataFrame, id_col: str, text: str = "text", size: int = 256, overlap: int = 32) -> DataFrame:
-    """strategy, chunks, mean_tokens, max_tokens: all four in one pass over the texts."""
-    each = _chunked(df, id_col, text, list(STRATEGIES), size, overlap, False)
-    return each.groupBy("strategy").agg(F.count(F.lit(1)).alias("chunks"), F.avg("n_tokens").alias("mean_tokens"), F.max("n_tokens").alias("max_tokens"))
-
-
-class _Blocks(HTMLParser):
-    """Collects the text of closed block elements. A block that opens in another takes its place; what lies in scripts,
-    styles and noscript, tags too, is as if it weren't there; pieces of text between inline tags are words of their own."""
-
-    KEEP, SKIP = {"p", "li", "blockquote", "pre", "td", "h1", "h2", "h3", "h4", "h5", "h6"}, {"script", "style", "noscript"}
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.out: list[tuple[str, str, str]] = []
-        self.title = self.heading = ""
-        self._open, self._titled, self._held, self._skip = "", False, [], 0
-
-    def handle_starttag(self, tag, attrs):
-        if tag in self.SKIP:
-            self._skip += 1
-        elif not self._skip and (tag == "title" or tag in self.KEEP):
-            self._held = []
-            if tag == "title":
-                self._titled = True
-            else:
-                self._open = tag
-
-    def handle_data(self, data):
-        if not self._skip and (self._open or self._titled):
-            self._held.append(data)
-
-    def handle_endtag(self, tag):
-        if tag in self.SKIP:
-            self._skip = max(0, self._skip - 1)
-            return
-        closes = tag == self._open or (tag == "title" and self._titled)
-        if self._skip or not closes:
-            return
-        text, self._held = " ".join(" ".join(self._held).split()), []
-        if tag == "title":
-            self.title, self._titled = text or self.title, False
-            return
-        self._open = ""
-        if text:
-            level = tag[1:] if tag[0] == "h" else ""
-            if level:
-                self.heading, self.title = text, self.title or text
-            self.out.append((f"heading_{level}" if level else tag, text, self.heading))
-
-
-def parse_html(html: str | None) -> tuple[str, list[tuple[str, str, str]]]:
-    """Title (the first heading if none) and blocks (kind, text, heading above)."""
-    p = _Blocks()
-    p.feed(html or "")
-    p.close()
-    return p.title, p.out
-
-
-def html_blocks(df: DataFrame, id_col: str = "page_id", html: str = "html") -> DataFrame:
-    """id, block, kind, text, heading, title of each block of text."""
-    src = df.select(F.col(f"`{id_col}`"), F.col(f"`{html}`").alias("__h"))
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            rows = []
-            for i, h in zip(p[id_col], p["__h"], strict=True):
-                title, blocks = parse_html(h)
-                rows += [(i, k, kind, text, head, title) for k, (kind, text, head) in enumerate(blocks)]
-            yield pd.DataFrame(rows, columns=[id_col, "block", "kind", "text", "heading", "title"])
-
-    kind = src.schema[id_col].dataType.simpleString()
-    return src.mapInPandas(run, f"`{id_col}` {kind}, block long, kind string, text string, heading string, title string")
-
-
 def markdown_blocks(df: DataFrame, id_col: str, text: str = "text") -> DataFrame:
     """id, block, kind, text, heading, line: paragraphs and ATX headings of Markdown or plain text."""
     lines = F.split(F.coalesce(F.col(f"`{text}`"), F.lit("")), "\n", -1)
@@ -328,8 +150,6 @@ def file_blocks(binary: DataFrame) -> DataFrame:
         if suffix == "pdf":
             return [("paragraph", re.sub(r"\s+", " ", p).strip(), "", n) for n, page in enumerate(pdf_pages(content), 1) for p in re.split(r"\n\s*\n", page) if p.strip()]
         text = content.decode("utf-8-sig")
-        if suffix in ("html", "htm"):
-            return [(k, t, h, None) for k, t, h in parse_html(text)[1]]
         out, heading = [], ""
         for p in re.split(r"\n\s*\n|(?<=\n)(?=#{1,6}\s)", text):
             for i, part in enumerate(re.split(r"(?m)^(#{1,6}\s+.*)$", p)):
@@ -350,7 +170,13 @@ def file_blocks(binary: DataFrame) -> DataFrame:
             d = pd.DataFrame(rows, columns=["path", "block", "kind", "text", "heading", "page", "error"])
             yield d.astype({"block": "Int64", "page": "Int64"})
 
-    return binary.select("path", "content").mapInPandas(run, "path string, block long, kind string, text string, heading string, page long, error string")
+    src, is_html = binary.select("path", "content"), F.lower("path").rlike(r"\.html?$")
+    others = src.where(~is_html).mapInPandas(run, "path string, block long, kind string, text string, heading string, page long, error string")
+    pages = src.where(is_html).select("path", F.regexp_replace(F.try_validate_utf8(F.col("content").cast("string")), "^\ufeff", "").alias("html"))
+    none = F.lit(None).cast("string")
+    found = html_blocks(pages.where("html is not null"), "path").select("path", "block", "kind", "text", "heading", F.lit(None).cast("long").alias("page"), none.alias("error"))
+    broken = pages.where("html is null").select("path", F.lit(None).cast("long").alias("block"), none.alias("kind"), none.alias("text"), none.alias("heading"), F.lit(None).cast("long").alias("page"), F.lit("not UTF-8").alias("error"))
+    return others.unionByName(found).unionByName(broken)
 
 
 def hashed_vectors(df: DataFrame, id_col: str, text: str = "text", dims: int = 384) -> DataFrame:

@@ -41,13 +41,13 @@ def tables(sql: str | None = None, name: str | None = None):
 
 
 def queries() -> dict[str, Query]:
-    from . import coverage  # noqa: F401  registers more
+    from . import coverage, mechanisms  # noqa: F401  register more
 
     return {k: f for k, (f, _) in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import coverage  # noqa: F401
+    from . import coverage, mechanisms  # noqa: F401
 
     return {k: s for k, (_, s) in _QUERIES.items() if s}
 
@@ -536,16 +536,6 @@ def chunk_windows(df):
     return documents.word_windows(df, "doc_id").select("doc_id", "chunk", "start", "n")
 
 
-@query("documents")
-def chunk_recursive(df):
-    return documents.chunks(df, "doc_id", strategy="recursive", size=256, overlap=32).select("doc_id", "chunk", "chunk_id", "n_tokens")
-
-
-@query("documents")
-def chunk_strategies(df):
-    return documents.compare_strategies(df, "doc_id")
-
-
 @query("documents", """select doc_id, length(text) as chars, len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> ''))::bigint as words,
     (len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) - len(list_distinct(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''))))::bigint as duplicate_blocks from documents""")
 def document_quality(df):
@@ -557,11 +547,6 @@ def document_language_stopwords(df):
     return documents.quality(df).select("doc_id", "tokens", "language")
 
 
-@query("pages")
-def html_blocks(df):
-    return documents.html_blocks(df)
-
-
 @query("documents")
 def markdown_blocks(df):
     return documents.markdown_blocks(df, "doc_id")

@@ -294,18 +294,44 @@ def test_documents(spark):
     for s in ("token", "paragraph", "heading", "recursive"):
         c = documents.chunks(md, "id", strategy=s, size=64, overlap=8)
         assert c.agg(F.max("n_tokens")).first()[0] <= 64 and {r.id for r in c.select("id").distinct().collect()} == {1}
-    assert documents.parse_html("<h1>T</h1><script>x</script><p>a  b</p>") == ("T", [("heading_1", "T", "T"), ("p", "a b", "T")])
+    assert parse_html(spark, "<h1>T</h1><script>x</script><p>a  b</p>") == ("T", [("heading_1", "T", "T"), ("p", "a b", "T")])
     assert [r.kind for r in documents.markdown_blocks(md, "id").orderBy("block").collect()] == ["heading_1", "paragraph", "heading_2", "paragraph"]
     v = documents.hashed_vectors(md, "id", dims=64).collect()
     assert all(len(r.vector) == 64 for r in v)
 
 
-def test_html_that_is_not_tidy():
-    # words of inline tags are apart; a block that never closes is dropped; a script hides tags and closes nothing
+def parse_html(spark, html):
+    """Title and blocks of a page; the title of one without blocks can't be seen."""
+    rows = documents.html_blocks(spark.createDataFrame([(1, html)], "page_id long, html string")).orderBy("block").collect()
+    return (rows[0]["title"] if rows else "", [(r["kind"], r["text"], r["heading"]) for r in rows])
+
+
+def test_html_that_is_not_tidy(spark):
+    """Blocks that open in others, tags in scripts, entities, missing ends."""
     html = "<title>Own</title><h2>One</h2><p>a<b>b</b>c<p>d &amp; e</p><li>lost<td>kept<script></td><p>no</p></script> too</td><h1> </h1><blockquote>tail"
-    assert documents.parse_html(html) == ("Own", [("heading_2", "One", "One"), ("p", "d & e", "One"), ("td", "kept too", "One")])
-    assert documents.parse_html("<p>x<i>y</i>z</p>") == ("", [("p", "x y z", "")])
-    assert documents.parse_html("<h3>First</h3><title></title>")[0] == "First" and documents.parse_html(None) == ("", [])
+    assert parse_html(spark, html) == ("Own", [("heading_2", "One", "One"), ("p", "d & e", "One"), ("td", "kept too", "One")])
+    assert parse_html(spark, "<p>x<i>y</i>z</p>") == ("", [("p", "x y z", "")])
+    assert parse_html(spark, "<h3>First</h3><title></title>")[0] == "First" and parse_html(spark, None) == ("", [])
+    assert parse_html(spark, "<P class='a'>1 &lt; 2 &#233;&#xe9; &eacute;&nope; &#0; & 3 < 4</P ><!-- <p>no</p> --><pre>a\n b</pre><param><style>p{}") == ("", [("p", "1 < 2 éé é&nope; \ufffd & 3 < 4", ""), ("pre", "a b", "")])
+    two = spark.createDataFrame([(1, "<h1>A</h1><p>x</p>"), (1, "<p>y</p>"), (None, "<p>z</p>")], "page_id long, html string")
+    assert sorted((r["text"], r["heading"], r["block"]) for r in documents.html_blocks(two).collect()) == [("A", "A", 0), ("x", "A", 1), ("y", "", 0), ("z", "", 0)]
+
+
+def test_chunk_names_and_places(spark):
+    import hashlib
+    import json
+    import uuid
+
+    text = "# Top\n\none two three. four\n\n## Sub\n\nfive six seven. " + "eight nine ten. " * 40
+    df = spark.createDataFrame([(7, text)], "id long, text string")
+    for strategy in ("recursive", "token"):
+        rows = documents.chunks(df, "id", strategy=strategy, size=32, overlap=4).orderBy("chunk").collect()
+        blocks = [b.text for b in documents.text_blocks(text)]
+        for r in rows:
+            name = json.dumps(["7", hashlib.sha256(text.encode()).hexdigest(), {"chunk_size": 32, "overlap": 4, "strategy": strategy}, r.chunk, hashlib.sha256(r.text.encode()).hexdigest()], sort_keys=True)
+            assert r.chunk_id == str(uuid.uuid5(uuid.NAMESPACE_URL, name))
+            assert len(r.text) == r.char_end - r.char_start and (strategy == "recursive" or "\n\n".join(blocks)[r.char_start : r.char_end] == r.text)
+            assert 0 <= r.block_start <= r.block_end < len(blocks) and blocks[r.block_start].split()[0] if r.chunk else r.text.startswith("Top")
 
 
 def test_chunks_by_hand():
