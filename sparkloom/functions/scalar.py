@@ -58,6 +58,61 @@ def modulo(a: Column, b: Column) -> Column:
     return F.when(b != 0, a - b * F.floor(F.try_divide(a, b)))
 
 
+def rendered(c: Column, kind: T.DataType) -> Column:
+    """A value as the text that tables show: floats with the fewest digits that say them, as `10.0`, `1e+20` or `1e-05`
+    (powers below -4 and from 16 on), `inf`, `nan`; booleans as True and False; anything else as it is cast."""
+    if isinstance(kind, T.BooleanType):
+        return F.when(c, "True").when(~c, "False")
+    if not isinstance(kind, (T.FloatType, T.DoubleType)):
+        return c.cast("string")
+    plain, size = c.cast("string"), F.abs(c)
+    # most numbers are rendered alike by Spark; the others are laid anew
+    usual = (size == 0) | (size >= 1e-3) & (size < 1e7) & (F.length(plain) < 17)
+    return F.when(F.isnan(c), "nan").when(size == float("inf"), F.when(c > 0, "inf").otherwise("-inf")).when(usual, plain).otherwise(F.concat(F.when(c < 0, "-").otherwise(""), _laid(size)))
+
+
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """An expression over a value that is worked out once, however often it occurs there."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _laid(size: Column) -> Column:
+    """A positive number with the fewest digits that are it, by the rules of `rendered`."""
+
+    def parts(text: Column) -> Column:
+        power = F.coalesce(F.nullif(F.regexp_extract(text, r"E(-?[0-9]+)", 1), F.lit("")).cast("int"), F.lit(0))
+        whole = F.regexp_extract(text, r"^([0-9]+)", 1)
+        return F.struct(F.concat(whole, F.regexp_extract(text, r"\.([0-9]+)", 1)).alias("all"), (F.length(whole) - 1 + power).alias("power"))
+
+    def trimmed(x: Column) -> Column:
+        """The digits from the first that isn't 0, and its power of ten."""
+        return F.struct(F.regexp_replace(x["all"], "^0+|0+$", "").alias("d"), (x["power"] - F.length(F.regexp_extract(x["all"], "^(0*)", 1))).alias("p"))
+
+    def fewest(x: Column) -> Column:
+        """Java may show a few digits too many, and a long has all: with some fewer it may be the same number."""
+        n = F.length(x["d"])
+
+        def less(drop: int) -> Column:
+            cut = F.bround(x["d"].cast("decimal(38,0)") / F.lit(10**drop).cast("decimal(10,0)"), 0).cast("decimal(38,0)").cast("string")
+            return _let(cut, lambda k: F.when((n > drop) & (F.concat(k, F.lit("E"), (x["p"] - n + 1 + drop).cast("string")).cast("double") == size), F.struct(F.regexp_replace(k, "0+$", "").alias("d"), (x["p"] + F.length(k) - (n - drop)).alias("p"))))
+
+        return F.coalesce(*[less(drop) for drop in range(7, 0, -1)], x)
+
+    def shown(x: Column) -> Column:
+        d, p, n = x["d"], x["p"], F.length(x["d"])
+        whole = F.concat(F.substring(F.rpad(d, 17, "0"), F.lit(1), p + 1), F.lit("."), F.when(n > p + 1, F.substring(d, p + 2, F.lit(17))).otherwise("0"))
+        far = F.concat(F.substring(d, 1, 1), F.when(n > 1, F.concat(F.lit("."), F.substring(d, 2, 17))).otherwise(""), F.when(p < 0, "e-").otherwise("e+"), F.when(F.abs(p) < 10, "0").otherwise(""), F.abs(p).cast("string"))
+        return F.when((p >= 0) & (p < 16), whole).when((p < 0) & (p >= -4), F.concat(F.lit("0."), F.repeat(F.lit("0"), -p - 1), d)).otherwise(far)
+
+    # whole numbers that a long holds are taken exactly
+    exact = F.when((size >= 2.0**53) & (size < 2.0**63), size.cast("long").cast("string")).otherwise(size.cast("string"))
+    return _let(_let(_let(_let(exact, parts), trimmed), fewest), shown)
+
+
+def rendered_column(df: DataFrame, c: str) -> Column:
+    return rendered(F.col(f"`{c}`"), df.schema[c].dataType)
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind at both ends."""
     return F.regexp_replace(c.cast("string"), r"^[\s\x{00A0}\x{3000}]+|[\s\x{00A0}\x{3000}]+$", "")

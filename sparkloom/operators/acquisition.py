@@ -214,8 +214,9 @@ def runs_with_counters(runs: DataFrame, plans: DataFrame, candidates: DataFrame)
 
 
 def runnable(q: DataFrame) -> DataFrame:
-    """Queries that are not exhausted: by priority, then accepted, then age, then id."""
-    return q.where(~F.col("exhausted")).orderBy(F.desc("priority"), F.desc("accepted"), "created_at", "query_id")
+    """Queries that are not exhausted, with their place (from 0) by priority, then accepted, then age, then id."""
+    d = q.where(~F.col("exhausted")).withColumns({"__priority": -F.col("priority"), "__accepted": -F.col("accepted")})
+    return with_position(d, ["__priority", "__accepted", "created_at", "query_id"], "place").drop("__priority", "__accepted")
 
 
 def pending(candidates: DataFrame, q: DataFrame, most: int) -> DataFrame:

@@ -50,13 +50,13 @@ def size_class(need: Column) -> Column:
     return F.when(need > 0, F.length(F.bin(need))).otherwise(0).cast("int")
 
 
-def _course(items: DataFrame, budget: int, on_round: Callable[[int, dict], None] | None) -> Course:
-    """items: pos, block, need, take (over 0), kind (the class of need), checkpointed."""
+def _course(items: DataFrame, budget: int, size: int, on_round: Callable[[int, dict], None] | None) -> Course:
+    """items: pos, block (of `size` positions), need, take (over 0), kind (the class of need), checkpointed."""
     by_kind = cut(items.groupBy("block", "kind").agg(F.sum("take").alias("take"), F.min("need").alias("least"), F.max("need").alias("most")))
     left, start, kind, turn = max(budget, 0), 0, max(budget, 0).bit_length(), 0
     course = Course([(0, kind)], [], [])
     while kind:
-        block, bulk = start // BLOCK, F.col("kind") < kind
+        block, bulk = start // size, F.col("kind") < kind
         taken = F.coalesce(F.sum(F.when(bulk, F.col("take"))), F.lit(0))
         sums = by_kind.where((F.col("block") >= block) & (F.col("kind") <= kind)).groupBy("block").agg(taken.alias("take"), F.max(F.when(bulk, F.col("most"))).alias("most"), F.min(F.when(~bulk, F.col("least"))).alias("least"))
         # what lies in the block reached, but before the place reached, was counted already
@@ -77,7 +77,7 @@ def _course(items: DataFrame, budget: int, on_round: Callable[[int, dict], None]
             break
         if f is None:  # nothing changes up to the last block looked at: go on behind it
             passed = items.where((F.col("pos") >= start) & (F.col("block") <= found["seen"]) & bulk).agg(F.coalesce(F.sum("take"), F.lit(0))).first()[0]
-            left, start = left - passed, (found["seen"] + 1) * BLOCK
+            left, start = left - passed, (found["seen"] + 1) * size
             continue
         start, left = f["pos"] + 1, f["room"]
         if f["kind"] < kind:
@@ -105,25 +105,26 @@ def _one_by_one(items: DataFrame, budget: int) -> DataFrame:
     return items.groupBy(F.lit(0).alias("all")).applyInPandas(run, "pos long")
 
 
-def left_before(df: DataFrame, take: str, budget: int, order: list[str], name: str, need: str | None = None, on_round: Callable[[int, dict], None] | None = None) -> DataFrame:
+def left_before(df: DataFrame, take: str, budget: int, order: list[str], name: str, need: str | None = None, on_round: Callable[[int, dict], None] | None = None, block: int | None = None) -> DataFrame:
     """Adds what is left of a budget before each row, if rows take their size from it in order and one that doesn't fit
     takes nothing. order tells rows apart. need: a column of what must fit, where that isn't what is taken; where an item
-    needs more than it takes, a class may be watched for as many rounds more as it needs more.
+    needs more than it takes, a class may be watched for as many rounds more as it needs more. block: rows of a block.
 
     Only order, need and take are numbered and looked at; the result is joined to the rows at the end.
     """
+    block = block or BLOCK
     whole = lambda c: F.greatest(F.coalesce(F.col(f"`{c}`").cast("long"), F.lit(0)), F.lit(0))
     keys = [F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(order)]
     names = [f"__k{i}" for i in range(len(order))]
     narrow = df.select(*keys, whole(take).alias("take"), whole(need or take).alias("need"))
-    d = with_position(narrow.withColumn("need", F.greatest("need", "take")), names, "pos").withColumn("block", F.floor(F.col("pos") / BLOCK))
+    d = with_position(narrow.withColumn("need", F.greatest("need", "take")), names, "pos").withColumn("block", F.floor(F.col("pos") / block))
     d = cut(d.withColumn("kind", size_class(F.col("need"))))
     items = d.where("take > 0").select("pos", "block", "need", "take", "kind")  # the others leave the budget as it is
     last = d.agg(F.max("block")).first()[0]
     if last is None or last < FEW:
         went = items.join(_one_by_one(items, budget).withColumn("__in", F.lit(True)), "pos").select("pos", "block", "take")
     else:
-        went = items.where(_course(items, budget, on_round).takes()).select("pos", "block", "take")
+        went = items.where(_course(items, budget, block, on_round).takes()).select("pos", "block", "take")
     marked = d.select(*names, "pos", "block").join(went.select("pos", F.col("take").alias("__went")), "pos", "left")
     marked = cut(marked.withColumn("__went", F.coalesce("__went", F.lit(0))))
     sums = marked.groupBy("block").agg(F.sum("__went").alias("s"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalar import arithmetic, is_numeric, missing_as_null, need, numeric_columns, one_of, quantile_row, split_field, strip
+from ..functions.scalar import arithmetic, is_numeric, missing_as_null, need, numeric_columns, one_of, quantile_row, rendered, split_field, strip
 from ..plans.errors import ParameterError
 from .ordering import fill, with_position
 
@@ -144,8 +144,8 @@ def replace(df: DataFrame, column: str, mapping: dict[str, Any]) -> DataFrame:
     if not mapping:
         return df
     m = F.create_map(*[x for k, v in mapping.items() for x in (F.lit(str(k)), F.lit(v).cast(kind))])
-    known = F.map_contains_key(m, c.cast("string"))
-    return df.withColumn(column, F.when(c.isNotNull() & known, m[c.cast("string")]).otherwise(c))
+    shown = rendered(c, kind)
+    return df.withColumn(column, F.when(c.isNotNull() & F.map_contains_key(m, shown), m[shown]).otherwise(c))
 
 
 def strings(df: DataFrame, column: str, action: str, find: str = "", replacement: str = "", delimiter: str = ",", index: int = 0, output: str | None = None) -> DataFrame:

@@ -10,6 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.errors import ParameterError
+from . import pixels
+
 try:
     import PIL.Image as _image
 except ImportError:
@@ -19,26 +22,14 @@ PROBE = "format struct<duration:string,size:string,bit_rate:string,tags:map<stri
 
 
 def perceptual_hash(cells: np.ndarray) -> str:
-    """64-bit hash of a grey picture resampled to 32 x 32: which of the low 8 x 8 of its DCT reach the median of all but
-    the first, as 16 hex digits."""
-    if cells.shape != (32, 32):
+    """The hash of one grey picture of 32 x 32 as 16 hex digits."""
+    if cells.shape != (pixels.CELLS, pixels.CELLS):
         raise ValueError("32 x 32 cells")
-    k, n = np.arange(8)[:, None], np.arange(32)[None]
-    basis = np.cos((2 * n + 1) * k * np.pi / 64)
-    low = (basis @ cells.astype(float) @ basis.T).ravel()
-    bits = low >= np.median(low[1:])
-    return f"{int(''.join('1' if b else '0' for b in bits), 2):016x}"
+    return f"{int(pixels.hashes(cells[None])[0]):016x}"
 
 
 def blur_score(gray: np.ndarray) -> float:
-    """Variance of the edge filter (eight times a pixel less its neighbours, cut to 0 to 255, the border as it is) over a
-    grey picture of at most 512 x 512."""
-    g = gray.astype(int)
-    out = g.copy()
-    if min(g.shape) >= 3:
-        around = sum(g[1 + y : g.shape[0] - 1 + y, 1 + x : g.shape[1] - 1 + x] for y in (-1, 0, 1) for x in (-1, 0, 1))
-        out[1:-1, 1:-1] = np.clip(9 * g[1:-1, 1:-1] - around, 0, 255)
-    return float(out.var())
+    return float(pixels.sharpness(gray[None])[0])
 
 
 def quality_of(blur: Column) -> Column:
@@ -89,6 +80,37 @@ def frame_times(duration: Column, every: float, most: int = 1000) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: i * F.lit(float(every))))
 
 
+#: How frames may be sampled, and the most of them that a plan takes.
+SAMPLINGS, MOST_FRAMES = ("seconds", "frames", "count", "scene"), 500
+
+
+def frame_plan(df: DataFrame, sampling: str, interval: float = 1.0, count: int = 10, start: float = 0.0, length: float = 0.0, duration: str = "duration", fps: str = "fps") -> DataFrame:
+    """Adds begin, span, frames, times and problem: what sampling takes of each video from `start` on, for `length` seconds
+    (0: to its end).
+
+    seconds: one every `interval` seconds. frames: one every `interval` source frames, which needs their rate. count: so
+    many, evenly. scene: at most `count` where the picture changes, so without times. A plan with a problem has none:
+    start_out_of_range, unknown_rate, whole_frames or too_many_frames (over MOST_FRAMES).
+    """
+    if sampling not in SAMPLINGS:
+        raise ParameterError(f"sampling is one of {', '.join(SAMPLINGS)}")
+    if not (interval > 0 and count > 0 and start >= 0 and length >= 0):
+        raise ParameterError("interval and count are positive, start and length not negative")
+    whole, rate = F.col(f"`{duration}`").cast("double"), F.col(f"`{fps}`").cast("double")
+    left = whole - start
+    span = F.least(F.lit(float(length)), left) if length else left
+    step = {"seconds": F.lit(float(interval)), "frames": F.try_divide(F.lit(float(interval)), rate), "count": F.col("span") / count, "scene": F.lit(None).cast("double")}[sampling]
+    n = {"seconds": F.ceil(F.col("span") / interval), "frames": F.ceil(F.col("span") * rate / interval)}.get(sampling, F.lit(count)).cast("long")
+    problem = F.when(~F.coalesce((whole > 0) & (left > 0), F.lit(False)), "start_out_of_range")
+    if sampling == "frames":
+        problem = problem.when(~F.coalesce(rate > 0, F.lit(False)), "unknown_rate").when(F.lit(interval < 1 or interval != int(interval)), "whole_frames")
+    d = df.withColumns({"begin": F.lit(float(start)), "span": span}).withColumn("problem", problem).withColumn("frames", F.when(F.col("problem").isNull(), n))
+    d = d.withColumn("problem", F.when(F.col("frames") > MOST_FRAMES, "too_many_frames").otherwise(F.col("problem")))
+    d = d.withColumn("frames", F.when(F.col("problem").isNull(), F.col("frames"))).withColumn("__step", step)
+    times = F.transform(F.sequence(F.lit(0).cast("long"), F.col("frames") - 1), lambda i: F.col("begin") + i * F.col("__step"))
+    return d.withColumn("times", F.when((F.col("frames") > 0) & F.col("__step").isNotNull(), times)).drop("__step")
+
+
 def segments(duration: Column, length: float) -> Column:
     """array of (start, end) that tile the duration."""
     n = F.ceil(duration / length).cast("int")

@@ -14,7 +14,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import need, one_of, safe_regex
+from ..functions.scalar import need, one_of, rendered_column, safe_regex
 from ..plans.errors import ParameterError
 
 _COMPARE: dict[str, Callable[[Column, Any], Column]] = {"eq": lambda c, v: c == v, "ne": lambda c, v: c != v, "lt": lambda c, v: c < v, "lte": lambda c, v: c <= v, "le": lambda c, v: c <= v, "gt": lambda c, v: c > v, "gte": lambda c, v: c >= v, "ge": lambda c, v: c >= v}
@@ -75,18 +75,18 @@ def frequency(df: DataFrame, column: str, top: int = 20) -> DataFrame:
 def lab_filter(df: DataFrame, column: str, op: str, value: Any = None) -> DataFrame:
     """One condition on a table: equality as text (null never matches), strict numbers, literal contains."""
     need(df, column)
-    c = F.col(f"`{column}`")
+    c, shown = F.col(f"`{column}`"), rendered_column(df, column)
     match op:
         case "equals":
-            p = c.cast("string") == str(value)
+            p = shown == str(value)
         case "not_equal":
-            p = c.cast("string") != str(value)
+            p = shown != str(value)
         case "greater":
             p = c.cast("double") > float(value)
         case "less":
             p = c.cast("double") < float(value)
         case "contains":
-            p = F.contains(c.cast("string"), F.lit(str(value)))
+            p = F.contains(shown, F.lit(str(value)))
         case "is_null":
             p = c.isNull()
         case "not_null":
@@ -104,22 +104,22 @@ def conditions_predicate(df: DataFrame, conditions: list[dict], match: str = "al
     parts = []
     for k in conditions:
         need(df, k["column"])
-        c, op, v = F.col(f"`{k['column']}`"), k["op"], k.get("value")
+        c, shown, op, v = F.col(f"`{k['column']}`"), rendered_column(df, k["column"]), k["op"], k.get("value")
         match op:
             case "gt" | "ge" | "lt" | "le":
                 p = _COMPARE[op](c.cast("double"), float(v))
             case "eq":
-                p = c.cast("string") == str(v) if isinstance(v, str) else c == F.lit(v)
+                p = shown == str(v) if isinstance(v, str) else c == F.lit(v)
             case "ne":
-                p = c.cast("string") != str(v) if isinstance(v, str) else c != F.lit(v)
+                p = shown != str(v) if isinstance(v, str) else c != F.lit(v)
             case "in":
-                p = c.cast("string").isin([str(x) for x in v])
+                p = shown.isin([str(x) for x in v])
             case "between_dates":
                 p = c.cast("timestamp").between(F.lit(v[0]).cast("timestamp"), F.lit(v[1]).cast("timestamp"))
             case "contains":
-                p = F.contains(c.cast("string"), F.lit(str(v)))
+                p = F.contains(shown, F.lit(str(v)))
             case "regex":
-                p = c.cast("string").rlike(safe_regex(v))
+                p = shown.rlike(safe_regex(v))
             case "is_null":
                 p = c.isNull()
             case "not_null":
@@ -144,7 +144,7 @@ def browse(df: DataFrame, order: list[str], search: str | None = None, condition
         raise ParameterError("a page has 1 to 200 rows")
     p = conditions_predicate(df, list(conditions), match) if conditions else F.lit(True)
     if search:
-        p = p & _any([F.coalesce(F.contains(F.col(f"`{n}`").cast("string"), F.lit(search)), F.lit(False)) for n in df.columns])
+        p = p & _any([F.coalesce(F.contains(rendered_column(df, n), F.lit(search)), F.lit(False)) for n in df.columns])
     from .ordering import with_position
 
     kept = with_position(df, order, "position").where(p)

@@ -56,14 +56,30 @@ def largest_remainder(n: int, shares: list[float]) -> list[int]:
     return out
 
 
-def balanced_groups(sizes: list[tuple[str, int]], shares: dict[str, float]) -> dict[str, str]:
-    """Each group, the largest first, to the split that is furthest below its target."""
-    names, total = list(shares), sum(n for _, n in sizes)
-    target = dict(zip(names, largest_remainder(total, list(shares.values())), strict=True))
-    held, out = dict.fromkeys(names, 0), {}
-    for g, n in sorted(sizes, key=lambda x: (-x[1], x[0])):
-        s = max(names, key=lambda k: (target[k] - held[k], -names.index(k)))
-        out[g], held[s] = s, held[s] + n
+def deal_sizes(sizes: list[tuple[int, int]], shares: dict[str, float]) -> dict[int, list[tuple[int, list[str]]]]:
+    """For each size of groups, of which there are so many: from the r-th group on (by name), the splits that take turns.
+
+    Groups go, the largest first, to the split furthest below its target, ties to the earlier one. Among groups of one size
+    those splits take turns that are within one group of the furthest; others join when the gap has been made up. So a size
+    has at most as many courses as there are splits, however many groups.
+    """
+    names, total = list(shares), sum(size * n for size, n in sizes)
+    short = dict(zip(names, largest_remainder(total, list(shares.values())), strict=True))
+    out: dict[int, list[tuple[int, list[str]]]] = {}
+    for size, n in sorted(sizes, reverse=True):
+        out[size], r = [], 0
+        while r < n:
+            most = max(short.values())
+            turn = sorted((s for s in names if short[s] > most - size or size == 0), key=lambda s: (-short[s], names.index(s)))
+            if size == 0:
+                turn = turn[:1]
+            others = [short[s] for s in names if s not in turn]
+            rounds = (most - max(others)) // size if others and size else n - r
+            k = min(n - r, rounds * len(turn))
+            out[size].append((r, turn))
+            for i, s in enumerate(turn):
+                short[s] -= size * (k // len(turn) + (i < k % len(turn)))
+            r += k
     return out
 
 
@@ -86,13 +102,13 @@ def _cut_at(position: Column, n: Column, shares: dict[str, float]) -> Column:
     return out
 
 
-def assign_splits(df: DataFrame, id_col: str, shares: dict[str, float], method: str = "random", by: str | None = None, seed: int = 42, manual: DataFrame | None = None, most_groups: int = 1_000_000) -> DataFrame:
+def assign_splits(df: DataFrame, id_col: str, shares: dict[str, float], method: str = "random", by: str | None = None, seed: int = 42, manual: DataFrame | None = None) -> DataFrame:
     """Adds split to assets: random, stratified (largest-remainder counts in each label), group or source (whole groups),
     or manual (id and split of `manual`; ids that it doesn't name get null).
 
     Ids are unique. Ranks come from a seeded hash of the id, within a label by global positions, so that no label meets
-    in one task. Groups go, the largest first, to the split furthest below its target; that is one after another, so the
-    driver goes through the groups' sizes and refuses more than most_groups of them.
+    in one task. Groups go, the largest first, to the split furthest below its target: the driver deals their different
+    sizes, of which there are few, and each group finds its turn among those of its size.
     """
     one_of(method, ("random", "stratified", "group", "source", "manual"), "method")
     if method != "manual" and (not shares or min(shares.values()) < 0 or sum(shares.values()) <= 0):
@@ -108,12 +124,18 @@ def assign_splits(df: DataFrame, id_col: str, shares: dict[str, float], method:
         first = ranked.groupBy(F.col("__label").alias("__own")).agg(F.min("__pos").alias("__first"), F.count(F.lit(1)).alias("__n"))
         placed = ranked.join(first, F.col("__label").eqNullSafe(F.col("__own"))).select("__id", _cut_at(F.col("__pos") - F.col("__first"), F.col("__n"), shares).alias("split"))
         return df.join(placed, F.col(f"`{id_col}`") == F.col("__id")).drop("__id")
-    sizes = df.groupBy(F.col(f"`{by}`").cast("string").alias("__g")).agg(F.count(F.lit(1)).alias("n")).limit(most_groups + 1).collect()
-    if len(sizes) > most_groups:
-        raise ParameterError(f"more than {most_groups} groups")
-    chosen = balanced_groups([(r["__g"] or "", r["n"]) for r in sizes], shares)
-    groups = df.sparkSession.createDataFrame(list(chosen.items()), "__g string, split string")
-    return df.join(groups, F.coalesce(F.col(f"`{by}`").cast("string"), F.lit("")) == F.col("__g")).drop("__g")
+    name = F.coalesce(F.col(f"`{by}`").cast("string"), F.lit(""))
+    groups = df.groupBy(name.alias("__g")).agg(F.count(F.lit(1)).alias("__n"))
+    ranked = with_position(groups.withColumn("__down", -F.col("__n")), ["__down", "__g"], "__pos")
+    by_size = ranked.groupBy("__n").agg(F.count(F.lit(1)).alias("k"), F.min("__pos").alias("__first"))
+    # different sizes: fewer than the root of twice the rows
+    found = by_size.collect()
+    dealt = deal_sizes([(r["__n"], r["k"]) for r in found], shares)
+    courses = df.sparkSession.createDataFrame([(r["__n"], r["__first"], dealt[r["__n"]]) for r in found], "__size long, __first long, __courses array<struct<start:long,turn:array<string>>>")
+    placed = ranked.join(courses, F.col("__n") == F.col("__size")).withColumn("__r", F.col("__pos") - F.col("__first"))
+    placed = placed.withColumn("__c", F.element_at(F.filter("__courses", lambda c: c["start"] <= F.col("__r")), -1))
+    placed = placed.select("__g", F.get(F.col("__c.turn"), F.pmod(F.col("__r") - F.col("__c.start"), F.size("__c.turn").cast("long")).cast("int")).alias("split"))
+    return df.join(placed, name == F.col("__g")).drop("__g")
 
 
 def scale(df: DataFrame, columns: list[str], method: str = "standard") -> DataFrame:

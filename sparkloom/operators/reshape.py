@@ -6,18 +6,14 @@ import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions.scalar import need, one_of
+from ..functions.scalar import need, one_of, rendered_column
 from ..plans.errors import ParameterError
 
 
 def text_of(df: DataFrame, c: str) -> Column:
-    """A cell as text: whole floats with .0, booleans capitalised, as tables render them."""
-    kind, col = df.schema[c].dataType, F.col(f"`{c}`")
-    if isinstance(kind, T.BooleanType):
-        return F.when(col, "True").when(~col, "False")
-    return col.cast("string")
+    """A cell as text, as tables render it."""
+    return rendered_column(df, c)
 
 
 def melt(df: DataFrame, ids: list[str], values: list[str] | None = None) -> DataFrame:

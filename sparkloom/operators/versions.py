@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import missing_as_null, need
+from ..functions.scalar import missing_as_null, need, rendered_column
 
 
 def _text(df: DataFrame, columns: list[str]) -> DataFrame:
-    return missing_as_null(df).select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\0")).alias(c) for c in columns])
+    return missing_as_null(df).select(*[F.coalesce(rendered_column(df, c), F.lit("\0")).alias(c) for c in columns])
 
 
 def multiset_diff(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -29,8 +29,8 @@ def keyed_diff(old: DataFrame, new: DataFrame, key: str, label: str | None = Non
     need(old, key)
     need(new, key)
     cols = [c for c in old.columns if c in new.columns and c != key]
-    a = missing_as_null(old).select(F.col(f"`{key}`").alias("__a"), F.struct(*[F.col(f"`{c}`").cast("string").alias(c) for c in cols], F.lit(1).alias("__p")).alias("x"))
-    b = missing_as_null(new).select(F.col(f"`{key}`").alias("__b"), F.struct(*[F.col(f"`{c}`").cast("string").alias(c) for c in cols], F.lit(1).alias("__p")).alias("y"))
+    a = missing_as_null(old).select(F.col(f"`{key}`").alias("__a"), F.struct(*[rendered_column(old, c).alias(c) for c in cols], F.lit(1).alias("__p")).alias("x"))
+    b = missing_as_null(new).select(F.col(f"`{key}`").alias("__b"), F.struct(*[rendered_column(new, c).alias(c) for c in cols], F.lit(1).alias("__p")).alias("y"))
     j = a.join(b, F.col("__a") == F.col("__b"), "full")
     both = F.col("x").isNotNull() & F.col("y").isNotNull()
     changed: list[Column] = [both & ~F.col(f"x.`{c}`").eqNullSafe(F.col(f"y.`{c}`")) for c in cols]

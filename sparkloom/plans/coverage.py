@@ -386,7 +386,7 @@ def direct_urls(df):
 @query("nation", "select n_nationkey as query_id, row_number() over (order by n_regionkey desc, n_nationkey % 2 desc, n_nationkey) - 1 as place from nation where n_nationkey % 5 <> 0")
 def runnable_queries(df):
     q = df.selectExpr("n_nationkey query_id", "n_nationkey % 5 = 0 exhausted", "n_regionkey priority", "n_nationkey % 2 accepted", "n_nationkey created_at")
-    return acquisition.runnable(q).agg(F.collect_list("query_id").alias("q")).select(F.posexplode("q").alias("place", "query_id")).select("query_id", F.col("place").cast("long").alias("place"))
+    return acquisition.runnable(q).select("query_id", "place")
 
 
 _CAND = "select event_id as candidate_id, user_id % 20 as query_id, ['discovered', 'failed', 'downloading', 'accepted', 'evaluating'][(event_id % 5 + 1)::int] as state, event_id % 4 as attempts, event_id % 3 as bytes, ts as discovered_at from events"

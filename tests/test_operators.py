@@ -5,7 +5,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from sparkloom.functions import scalar
-from sparkloom.operators import acquisition, aggregates, budgets, charts, cleaning, combine, documents, groups, media, predicates, prepare, quantiles, requests, reshape, versions
+from sparkloom.operators import acquisition, aggregates, budgets, charts, cleaning, combine, documents, groups, media, pixels, predicates, prepare, quantiles, requests, reshape, versions
 from sparkloom.plans import recipe
 from sparkloom.plans.errors import ParameterError
 from sparkloom.plans.registry import registry
@@ -97,7 +97,7 @@ def test_split_properties(spark):
     assert {r[0]: r[1] for r in s.groupBy("_split").count().collect()} == {"train": 70, "validation": 19, "test": 11}  # int(100 * (0.7 + 0.2)) is 89
     assert prepare.split(df, "group", "id", 0.6, 0.2, by="g").groupBy("g").agg(F.count_distinct("_split").alias("n")).where("n > 1").count() == 0
     assert prepare.largest_remainder(10, [1, 1, 1]) == [4, 3, 3]
-    assert prepare.balanced_groups([("a", 6), ("b", 3), ("c", 1)], {"train": 0.6, "test": 0.4}) == {"a": "train", "b": "test", "c": "test"}
+    assert balanced_groups([("a", 6), ("b", 3), ("c", 1)], {"train": 0.6, "test": 0.4}) == {"a": "train", "b": "test", "c": "test"}
 
 
 @pytest.mark.parametrize("kind", charts.KINDS)
@@ -509,3 +509,101 @@ def test_many_near_hashes_write_no_pairs(spark):
     assert tied.count() <= 50_000 * 45
     got = groups.perceptual_groups(df, "id", "h", 8).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("canonical").alias("k"), F.max("max_distance").alias("d")).first()
     assert tuple(got) == (50_000, 1, 8)
+
+
+def balanced_groups(sizes, shares):
+    """Each group, the largest first, to the split that is furthest below its target: one after another."""
+    names, total = list(shares), sum(n for _, n in sizes)
+    short = dict(zip(names, prepare.largest_remainder(total, list(shares.values())), strict=True))
+    out = {}
+    for g, n in sorted(sizes, key=lambda x: (-x[1], x[0])):
+        s = max(names, key=lambda k: (short[k], -names.index(k)))
+        out[g], short[s] = s, short[s] - n
+    return out
+
+
+def test_groups_dealt_by_size_are_dealt_one_by_one(spark):
+    import random
+
+    rnd = random.Random(8)
+    for trial in range(200):
+        shares = {f"s{i}": rnd.choice([0.0, 0.1, 0.3, 1.0, 2.5]) for i in range(rnd.randrange(1, 5))} | {"z": 1.0}
+        sizes = [(f"g{i:05}", rnd.choice([1, 1, 1, 2, 3, 7, 40, rnd.randrange(1, 500)])) for i in range(rnd.choice([1, 5, 60, 400]))]
+        dealt = prepare.deal_sizes([(n, sum(m == n for _, m in sizes)) for n in {n for _, n in sizes}], shares)
+        want, seen = balanced_groups(sizes, shares), {}
+        for g, n in sorted(sizes, key=lambda x: (-x[1], x[0])):
+            r = seen[n] = seen.get(n, -1) + 1
+            start, turn = [c for c in dealt[n] if c[0] <= r][-1]
+            assert turn[(r - start) % len(turn)] == want[g], trial
+        assert all(len(c) <= len(shares) for c in dealt.values())
+    rows = [(f"g{i % 37 if i % 3 else i % 5:03}" if i % 11 else None, i) for i in range(700)]
+    out = prepare.assign_splits(spark.createDataFrame(rows, "g string, i long"), "i", {"train": 0.7, "validation": 0.2, "test": 0.1}, "group", "g").collect()
+    sizes = {}
+    for g, _ in rows:
+        sizes[g or ""] = sizes.get(g or "", 0) + 1
+    want = balanced_groups(list(sizes.items()), {"train": 0.7, "validation": 0.2, "test": 0.1})
+    assert len(out) == 700 and all(r.split == want[r.g or ""] for r in out)
+
+
+def test_numbers_as_tables_show_them(spark):
+    import random
+    import struct
+
+    rnd = random.Random(3)
+    xs = [0.0, -0.0, 1.0, 10.0, -2.5, 1e15, 1e16, 1e20, 1.5e300, 123456789.125, 1e7, 9999999.0, 1e-3, 1e-4, 1e-5, 0.00012345, 5e-324, 1.7976931348623157e308, 0.1, 1 / 3, 1e22, 12345678901234567.0, 2.0**-44, 2e-3, float("inf"), float("-inf"), float("nan")]
+    xs += [struct.unpack("d", rnd.randbytes(8))[0] for _ in range(2000)] + [rnd.uniform(-1, 1) * 10 ** rnd.randrange(-8, 20) for _ in range(2000)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i long, x double")
+    got = {r.i: r.s for r in df.select("i", scalar.rendered_column(df, "x").alias("s")).collect()}
+    assert [(i, got[i]) for i, x in enumerate(xs) if got[i] != repr(x)] == []
+    assert predicates.lab_filter(df, "x", "equals", "1e+20").count() == 1 and predicates.conditions(df, [{"column": "x", "op": "in", "value": [1e16, "1e-05"]}]).count() == 2
+    assert cleaning.replace(df, "x", {"10000000.0": 7.0}).where("i = 10").first().x == 7.0
+    both = spark.createDataFrame([(True, 1.0), (None, None)], "b boolean, x double")
+    assert reshape.melt(both, ["x"]).select("value").collect()[0][0] == "True"
+
+
+def test_pictures_of_any_size(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    grey = [rng.integers(0, 256, (h, w)) for h, w in ((32, 32), (32, 32), (40, 17), (3, 2), (1, 1), (64, 96))]
+    rows = [(i, g.ravel().tolist(), g.shape[1], g.shape[0]) for i, g in enumerate(grey)] + [(90, None, 2, 2), (91, [1, 2, 3], 2, 2), (92, [1, 2, 300, 4], 2, 2), (93, [], 0, 0), (94, [1, None, 2, 3], 2, 2)]
+    df = spark.createDataFrame(rows, "id long, pixels array<int>, width int, height int").repartition(2)
+    got = {r.id: r for r in pixels.grey_features(df, ["id"]).collect()}
+    for i, g in enumerate(grey):
+        assert got[i].phash == f"{int(pixels.hashes(g[None])[0]):016x}" and abs(got[i].blur - float(pixels.sharpness(g[None])[0])) < 1e-9
+    assert all(got[i].phash is None and got[i].blur is None for i in (90, 91, 92, 93, 94)) and len(got) == len(rows)
+    # averaging keeps the mean, and a picture blown up has the hash of the small one
+    assert np.allclose(pixels.averaging(17).sum(axis=1), 1) and np.allclose(pixels.averaging(100).sum(axis=1), 1)
+    small = grey[0]
+    assert pixels.hashes(np.kron(small, np.ones((2, 3), int))[None])[0] == pixels.hashes(small[None])[0]
+
+
+def test_palettes(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    for n, kinds, most in ((1, 1, 8), (500, 5, 8), (2000, 2000, 8), (300, 40, 3), (64, 2, 1)):
+        shown = rng.integers(0, 256, (kinds, 3))
+        p = shown[rng.integers(kinds, size=n)]
+        got = pixels.palette(p, most)
+        different = len(np.unique(p, axis=0))
+        assert sum(c for c, _ in got) == n and len(got) == min(most, different) and got == sorted(got, key=lambda x: (-x[0], x[1]))
+        if different <= most:  # then they are the colours themselves
+            each, count = np.unique(p, axis=0, return_counts=True)
+            assert sorted(got) == sorted((int(c), int(r) << 16 | int(g) << 8 | int(b)) for (r, g, b), c in zip(each.tolist(), count, strict=True))
+        # each pixel's box is as near as the colours can tell: cutting lowers the error
+        err = lambda k: min_error(p, pixels.palette(p, k))  # noqa: B023, E731
+        assert err(most) <= err(1) + 1e-9
+    x = rng.integers(0, 256, (2, 5, 4, 3))
+    df = spark.createDataFrame([(i, x[i].ravel().tolist(), 4, 5) for i in range(2)], "id long, pixels array<int>, width int, height int")
+    for r in pixels.colour_details(df, ["id"]).collect():
+        flat = x[r.id].reshape(-1, 3)
+        assert [r.red, r.green, r.blue] == [np.histogram(flat[:, k], bins=16, range=(0, 256))[0].tolist() for k in range(3)]
+        assert np.allclose(r.means, flat.mean(axis=0)) and [(c["count"], int(c["colour"][1:], 16)) for c in r.palette] == pixels.palette(flat)
+
+
+def min_error(p, colours):
+    import numpy as np
+
+    c = np.array([[v >> 16, v >> 8 & 255, v & 255] for _, v in colours], float)
+    return float(((p[:, None].astype(float) - c[None]) ** 2).sum(axis=2).min(axis=1).sum())
