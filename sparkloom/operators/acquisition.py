@@ -6,10 +6,12 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import canonical_url, in_domains, license_among, relevance, with_host, with_licence
+from ..plans.errors import ParameterError
+from ..plans.plugins import DiscoveryProvider, RelevanceEvaluator
 from ..plans.session import cut
 from .budgets import left_before
 from .ordering import with_position
@@ -71,6 +73,14 @@ def normalise_results(raw: DataFrame) -> DataFrame:
     return d.withColumns({"title": text("title"), "description": text("description"), "canonical_url": canonical_url(F.col("url"))}).where("canonical_url is not null")
 
 
+def search_by(spark: SparkSession, provider: DiscoveryProvider, query: str, limit: int, cursor: str | None = None) -> DataFrame:
+    """At most `limit` results of a plugin's search as normalise_results has them; refused if a column is missing."""
+    raw = provider.search(spark, query, limit, cursor)
+    if lacking := {"url", "mime", "title", "description"} - set(raw.columns):
+        raise ParameterError(f"the search gives no {', '.join(sorted(lacking))}")
+    return normalise_results(raw.limit(limit))
+
+
 def direct_urls(text: DataFrame, column: str) -> DataFrame:
     """url: addresses of a list separated by lines or commas."""
     return text.select(F.explode(F.split(F.col(column), r"[\n,]")).alias("url")).select(F.trim("url").alias("url")).where("url <> ''").distinct()
@@ -124,7 +134,7 @@ def provider_import(files: DataFrame, fetched: DataFrame, max_total: int, max_fi
     return new.unionByName(old)
 
 
-def cascade(candidates: DataFrame, spec: Spec, known_digests: DataFrame | None = None, near: DataFrame | None = None, order: list[str] = ("candidate_id",)) -> DataFrame:
+def cascade(candidates: DataFrame, spec: Spec, known_digests: DataFrame | None = None, near: DataFrame | None = None, order: list[str] = ("candidate_id",), evaluator: RelevanceEvaluator | None = None) -> DataFrame:
     """Adds state (accepted, review, rejected, failed) and reason: the first failing check in order wins.
 
     candidates: candidate_id, url, license, declared_width, declared_height, bytes, decoded, mime, width, height, sha256,
@@ -134,10 +144,14 @@ def cascade(candidates: DataFrame, spec: Spec, known_digests: DataFrame | None =
     declared size are downloaded and take from the byte budget; one larger than what is left fails (no reason; it may be
     tried again), one after its end is rejected. A candidate is an exact duplicate of a known asset or of an earlier
     candidate that was stored, not of one that was itself rejected. What is stored takes from the storage budget, and is
-    then judged by relevance. Cheap checks of a row come first: nothing that fails one is sorted or shuffled for a budget.
+    then judged by relevance: shared keywords, or what an evaluator says, kept within 0 to 1. Cheap checks of a row come
+    first: nothing that fails one is sorted or shuffled for a budget.
     """
     order, names = list(order), candidates.columns
-    r = relevance(F.col("text"), F.array(*map(F.lit, spec.keywords))) if spec.keywords else F.lit(1.0)
+    if evaluator is not None:
+        r = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(evaluator.relevance(F.col("text")).cast("double"), F.lit(0.0))))
+    else:
+        r = relevance(F.col("text"), F.array(*map(F.lit, spec.keywords))) if spec.keywords else F.lit(1.0)
     less = lambda c, n: F.coalesce(F.col(c), F.lit(0)) < n
     declared = lambda c, n: F.coalesce(F.col(c).cast("long"), F.lit(0)).between(F.lit(1), F.lit(n - 1))
     first = {

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import need, one_of, safe_regex
 from ..plans.errors import ParameterError
+from ..plans.plugins import EmbeddingProvider
 from .chunking import STRATEGIES, chunk_spans, chunk_text, chunks, compare_strategies, text_blocks  # noqa: F401  part of this module's interface
 from .markup import html_blocks
 
@@ -194,6 +195,15 @@ def hashed_vectors(df: DataFrame, id_col: str, text: str = "text", dims: int = 3
     return df.select(F.col(f"`{id_col}`")).distinct().join(v, id_col, "left").select(id_col, F.coalesce(full, F.array_repeat(F.lit(0.0), dims)).alias("vector"))
 
 
+def embedded_by(chunks: DataFrame, provider: EmbeddingProvider, id_col: str, dims: int) -> DataFrame:
+    """id, vector: a plugin's vectors of chunks (columns id and text). A chunk without one, or one of another length or with
+    a number that isn't finite, is an error at run time."""
+    vectors = provider.embed(chunks.select(F.col(f"`{id_col}`"), "text")).select(F.col(f"`{id_col}`").alias("__id"), F.col("vector").cast("array<double>").alias("__v"))
+    d = chunks.select(F.col(f"`{id_col}`")).join(vectors, F.col(f"`{id_col}`") == F.col("__id"), "left")
+    sound = F.coalesce((F.size("__v") == dims) & ~F.exists("__v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), F.lit(False))
+    return d.select(id_col, F.when(sound, F.col("__v")).otherwise(F.raise_error(F.lit(f"a chunk has no vector of {dims} finite numbers"))).alias("vector"))
+
+
 def cosine_top(df: DataFrame, query: list[float], k: int, id_col: str, vector: str, least: float = -1.0) -> DataFrame:
     """id, score: the k (1 to 50) most similar vectors of the query's length, score rounded to 6 digits, ties by id."""
     if not 1 <= k <= 50:

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import budgets, documents, media, pixels, predicates, prepare, quantiles, reshape
+from ..operators import acquisition, budgets, documents, media, pixels, predicates, prepare, quantiles, reshape
 from ..sources import bundles, readers, writers
+from . import recipe
 from .catalog import _QUERIES, _t, query, r, tables
 from .coverage import _folder, _union
+from .plugins import Plugin, Plugins
 
 # --- HTML
 
@@ -422,3 +424,36 @@ def frame_plans(df):
     plans = {"seconds": {"interval": 0.75}, "frames": {"interval": 5}, "count": {"count": 12}, "scene": {"count": 12}}
     parts = {s: media.frame_plan(d, s, start=2.0, length=300.0, **k).select("event_id", "problem", "frames", F.round(F.try_element_at("times", F.lit(-1)), 4).alias("last")) for s, k in plans.items()}
     return _tagged(**parts)
+
+
+# --- inputs and plugins by name
+
+
+@query("nation", "select n_nationkey, n_name, r_name from nation join region on n_regionkey = r_regionkey")
+def second_input_kept(df):
+    """A join whose second table is replaced after submission: the result is that of the table as it was."""
+    path, store = _folder(df), _folder(df)
+    regions = df.select("n_regionkey").distinct().selectExpr("n_regionkey r_regionkey", "element_at(array('AFRICA', 'AMERICA', 'ASIA', 'EUROPE', 'MIDDLE EAST'), n_regionkey + 1) r_name")
+    regions.write.parquet(path)
+    step = {"operation": "combine", "parameters": {"right": "regions", "left_key": "n_regionkey", "right_key": "r_regionkey", "how": "left"}}
+    steps, kept = bundles.submitted([step], {"regions": df.sparkSession.read.parquet(path)}, store)
+    regions.withColumn("r_name", F.lit("changed")).write.mode("overwrite").parquet(path)
+    return recipe.run(df, steps, kept)[0].select("n_nationkey", "n_name", "r_name")
+
+
+class _ByLength:
+    """Relevance by the length of the text."""
+
+    def relevance(self, text):
+        return F.length(text) / 40.0
+
+
+@query("part", """select p_partkey as candidate_id, case when length(p_name) / 40.0 < 0.2 then 'rejected' when length(p_name) / 40.0 < 0.6 then 'review' else 'accepted' end as state from part""")
+def relevance_by_plugin(df):
+    plugins = Plugins()
+    plugins.register(Plugin("by-length", "1.0", ">=1.0", ("relevance_evaluator",), {"relevance_evaluator": _ByLength()}))
+    c = df.selectExpr(
+        "p_partkey candidate_id", "'https://a.org/' url", "'CC BY 4.0' license", "0 declared_width", "0 declared_height", "1 bytes", "true decoded", "'image/png' mime", "10 width", "10 height",
+        "cast(null as string) sha256", "90.0D quality", "cast(null as string) phash", "p_name text",
+    )
+    return acquisition.cascade(c, acquisition.Spec(), evaluator=plugins.named("relevance_evaluator", "by-length")).select("candidate_id", "state")

@@ -124,3 +124,10 @@ class Plugins:
         if capability not in CAPABILITIES:
             raise ParameterError(f"unknown capability {capability!r}")
         return [(p.name, p.provides[capability]) for p in sorted(self._known.values(), key=lambda p: p.name) if capability in p.capabilities]
+
+    def named(self, capability: str, name: str) -> Any:
+        """What the plugin of that name provides for a capability; refused if there is none."""
+        found = dict(self.providing(capability))
+        if name not in found:
+            raise ParameterError(f"no {capability} named {name!r}")
+        return found[name]

@@ -12,6 +12,7 @@ from ..functions.digests import multiset_digest, row_digest
 from ..operators.predicates import query_predicate
 from ..plans import recipe
 from ..plans.errors import ParameterError
+from ..plans.registry import Registry, registry
 from . import readers, writers
 
 #: Rows that a filtered export takes, and rows that a sample or a contract's examples show.
@@ -88,6 +89,29 @@ def replay_bundle(spark: SparkSession, path: str) -> DataFrame:
     return out
 
 
+def submitted(steps: list[dict], datasets: dict[str, DataFrame], store: str, ops: Registry = registry) -> tuple[list[dict], dict[str, DataFrame]]:
+    """Steps and inputs as they are at submission: each other table that a step names is kept in the store by its content,
+    and the step names that. What happens to a table later doesn't change the result; a table kept before isn't written
+    again."""
+    bound, kept = [], {}
+    for s in recipe.checked(steps):
+        parameters = dict(s.get("parameters", {}))
+        for name, p in ops.get(s["operation"]).parameters.items():
+            if p.kind != "dataset" or not isinstance(parameters.get(name), str):
+                continue
+            if parameters[name] not in datasets:
+                raise ParameterError(f"no dataset {parameters[name]!r}")
+            df = datasets[parameters[name]]
+            key = content_digest(df)
+            where = f"{store.rstrip('/')}/snapshots/{key[:2]}/{key}"
+            if not _exists(df.sparkSession, f"{where}/_SUCCESS"):
+                df.write.mode("overwrite").option("compression", "zstd").parquet(where)
+            parameters[name] = key
+            kept[key] = df.sparkSession.read.schema(df.schema).parquet(where)
+        bound.append(s | {"parameters": parameters})
+    return bound, kept
+
+
 #: Limits of a stored word model.
 MODEL_WORDS, MODEL_LABELS, MODEL_BYTES = 512, 100, 2 << 20
 

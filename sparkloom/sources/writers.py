@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 
 from ..functions.digests import multiset_digest, row_digest
 from ..plans.errors import ParameterError
+from ..plans.plugins import Plugins
 
 #: Rows that a single-file database export takes; larger ones belong in Parquet.
 FILE_ROWS = 1_000_000
 
 
-def export(df: DataFrame, path: str, fmt: str, table: str = "data") -> None:
-    """csv, tsv, json (one array), jsonl, parquet as folders of files; xlsx, sqlite, duckdb as one file of bounded size."""
+def export(df: DataFrame, path: str, fmt: str, table: str = "data", plugins: Plugins | None = None) -> None:
+    """csv, tsv, json (one array), jsonl, parquet as folders of files; xlsx, sqlite, duckdb as one file of bounded size; any
+    other format is the name of a plugin's exporter."""
     w = df.write.mode("errorifexists")
     match fmt:
         case "csv":
@@ -30,7 +32,9 @@ def export(df: DataFrame, path: str, fmt: str, table: str = "data") -> None:
         case "json" | "xlsx" | "sqlite" | "duckdb":
             _one_file(df, path, fmt, table)
         case _:
-            raise ParameterError(f"unknown format {fmt!r}")
+            if plugins is None:
+                raise ParameterError(f"unknown format {fmt!r}")
+            plugins.named("exporter", fmt).export(df, path)
 
 
 def _one_file(df: DataFrame, path: str, fmt: str, table: str) -> None:

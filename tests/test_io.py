@@ -222,3 +222,43 @@ def test_dataset_with_card_and_media(spark, tmp_path):
     assert {r["split"]: r["digest"] for r in writers.dataset_manifest(samples.repartition(9)).collect()} == {r["split"]: r["digest"] for r in out.collect()}
     with pytest.raises(ParameterError):
         writers.export_dataset(samples, str(tmp_path / "e"), media=media.where("sha256 <> 's1'"))
+
+
+def test_plugins_chosen_by_name(spark, tmp_path):
+    from sparkloom.operators import acquisition, documents
+    from sparkloom.plans.plugins import Plugin, Plugins
+
+    class Own:
+        def export(self, df, path):
+            df.write.option("header", True).csv(path)
+
+        def embed(self, chunks):
+            return chunks.select("id", F.array(F.length("text").cast("double"), F.lit(1.0)).alias("vector"))
+
+        def search(self, spark, query, limit, cursor):
+            return spark.createDataFrame([(f"https://a.org/{query}/{i}", "image/png", "<b>t</b>", "d") for i in range(9)], "url string, mime string, title string, description string")
+
+    plugins, own = Plugins(), Own()
+    plugins.register(Plugin("own", "1.0", ">=1.0", ("exporter", "embedding_provider", "discovery_provider"), {c: own for c in ("exporter", "embedding_provider", "discovery_provider")}))
+    df = spark.createDataFrame([(1, "ab"), (2, "c")], "id long, text string")
+    writers.export(df, str(tmp_path / "x"), "own", plugins=plugins)
+    assert spark.read.option("header", True).csv(str(tmp_path / "x")).count() == 2
+    for bad in ({}, {"plugins": plugins}):
+        with pytest.raises(ParameterError):
+            writers.export(df, str(tmp_path / "y"), "other", **bad)
+    assert {r.id: r.vector for r in documents.embedded_by(df, plugins.named("embedding_provider", "own"), "id", 2).collect()} == {1: [2.0, 1.0], 2: [1.0, 1.0]}
+    with pytest.raises(Exception, match="no vector of 3"):
+        documents.embedded_by(df, own, "id", 3).collect()
+    found = acquisition.search_by(spark, plugins.named("discovery_provider", "own"), "fox", 4).collect()
+    assert len(found) == 4 and all(r.title == "t" and r.canonical_url.startswith("https://a.org/fox/") for r in found)
+
+
+def test_second_inputs_are_kept_by_content(spark, tmp_path):
+    right = spark.createDataFrame([(1, "a")], "k long, v string")
+    step = {"operation": "combine", "parameters": {"right": "r", "left_key": "k", "right_key": "k", "how": "left"}}
+    first, kept = bundles.submitted([step], {"r": right}, str(tmp_path))
+    again, _ = bundles.submitted([step], {"r": right}, str(tmp_path))
+    other, _ = bundles.submitted([step], {"r": right.withColumn("v", F.lit("b"))}, str(tmp_path))
+    assert first == again != other and list(kept) == [first[0]["parameters"]["right"]] and step["parameters"]["right"] == "r"
+    with pytest.raises(ParameterError):
+        bundles.submitted([step], {}, str(tmp_path))
