@@ -1,7 +1,7 @@
 """Token counts of whole texts, in Arrow functions that return lengths only.
 
 Cases: null text counts as the empty text (0 bytes, 0 tokens, not over the limit); texts of any length are cut at safe
-places, never truncated; repeated rows give repeated results; other columns are not read.
+places, never truncated; repeated rows give repeated results; a null id stays null; other columns are not read.
 """
 
 from __future__ import annotations

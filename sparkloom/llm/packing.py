@@ -7,7 +7,7 @@ belong to one bucket, from which training draws batches of equal shape. So paddi
 Pieces are made for whole slices of rows at once.
 
 Cases: null text counts as the empty text and so makes one piece that holds only the end id; texts of any length are
-encoded whole; equal rows are packed each on its own; an empty table gives no pieces; columns of the input other than
+encoded whole; equal rows are packed each on its own, and so are rows with a null id; an empty table gives no pieces; columns of the input other than
 the named ones are not read.
 """
 

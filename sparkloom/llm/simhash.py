@@ -12,7 +12,8 @@ pair a task of its own, so that no task holds an unbounded group, and every task
 found linked instead of all pairs. Components are then found by contraction.
 
 Cases: null or empty text, or white space only, has fingerprint zero and is linked like any other; fewer words than a
-shingle are one shingle; repeated rows and repeated ids are rows of one component; texts of any length are read whole;
+shingle are one shingle; repeated rows and repeated ids are rows of one component; a row with a null id is in the
+component of its text, and never gives it its name unless all of its ids are null; texts of any length are read whole;
 an empty table gives no rows; extra columns are not read.
 """
 
