@@ -30,7 +30,7 @@ REFUSALS = (
     (frozenset("license licence licenses licences copyright commercial".split()), "licences are a field of their own"),
 )
 
-_TOKEN = re.compile(r"(?P<number>\d[\d,]*)(?![a-z0-9.-]*[a-z0-9]\.[a-z])|(?P<word>[a-z0-9](?:[a-z0-9'.-]*[a-z0-9'])?)|(?P<mark>[^\sa-z0-9])")
+_TOKEN = re.compile(r"(?P<number>\d[\d,]*)(?![a-z0-9.-]*[a-z0-9]\.[a-z])|(?P<word>[a-z0-9_](?:[a-z0-9_'.-]*[a-z0-9_'])?)|(?P<mark>[^\sa-z0-9_])")
 
 
 @dataclass

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import acquisition, budgets, documents, media, pixels, predicates, prepare, quantiles, reshape
+from ..operators import acquisition, budgets, documents, media, pixels, predicates, prepare, quantiles, requests, reshape
 from ..sources import bundles, readers, writers
 from . import recipe
 from .catalog import _QUERIES, _t, query, r, tables
@@ -457,3 +457,100 @@ def relevance_by_plugin(df):
         "cast(null as string) sha256", "90.0D quality", "cast(null as string) phash", "p_name text",
     )
     return acquisition.cascade(c, acquisition.Spec(), evaluator=plugins.named("relevance_evaluator", "by-length")).select("candidate_id", "state")
+
+
+# --- planning of acquisitions
+
+
+@query("nation", """
+    select n_nationkey, 40 + n_nationkey as count, 300 + n_nationkey * 10 as min_width, case when n_nationkey % 2 = 0 then 300 + n_nationkey * 10 else 480 end as min_height,
+        case when n_nationkey % 3 = 0 then 'cc-by' end as license, case when n_nationkey % 4 = 0 then 'pics.' || n_nationkey || '.example.org' end as domain, 'old boats of ' || lower(n_name) as topic
+    from nation""")
+def requests_read(df):
+    """Requests in words, one for each nation, read back."""
+    import pandas as pd
+
+    asked = df.select("n_nationkey", F.concat(
+        F.lit("Please find "), F.expr("40 + n_nationkey"), F.lit(" usable photos of old boats of "), "n_name", F.when(F.col("n_nationkey") % 2 == 0, F.expr("concat(', at least ', 300 + n_nationkey * 10, ' px')")).otherwise(F.expr("concat('; ', 300 + n_nationkey * 10, ' x 480')")),
+        F.when(F.col("n_nationkey") % 3 == 0, ", cc-by only").otherwise(""), F.when(F.col("n_nationkey") % 4 == 0, F.expr("concat(' from pics.', n_nationkey, '.example.org')")).otherwise(""),
+    ).alias("asked"))
+
+    def read(parts):
+        for p in parts:
+            found = [requests.parse_request(x) for x in p["asked"]]
+            rows = [(k, f["count"], f["min_width"], f["min_height"], next(iter(f["licenses"]), None), next(iter(f["domains"]), None), f["topic"]) for k, f in zip(p["n_nationkey"], found, strict=True)]
+            yield pd.DataFrame(rows, columns=["n_nationkey", "count", "min_width", "min_height", "license", "domain", "topic"])
+
+    return asked.mapInPandas(read, "n_nationkey int, count int, min_width int, min_height int, license string, domain string, topic string")
+
+
+@query("orders", """
+    with o as (select o_orderkey, o_custkey % 90 + 1 as n, o_orderkey % 200 as budget, o_custkey % 7 as accepted, o_custkey % 7 + o_orderkey % 13 as evaluated from orders),
+    e as (select *, greatest(n, ceil(n / 0.75))::bigint as low from o)
+    select o_orderkey, low, greatest(low, least(budget, ceil(n / 0.45)))::bigint as high, least(n, 20)::bigint as target, greatest(3 * least(n, 20), least(n, 20) + 5)::bigint as cap,
+        greatest(4, least(64, ceil(n / greatest(case when evaluated > 0 then accepted / evaluated else 0.5 end, 0.05))))::bigint as batch
+    from e""")
+def yield_plans(df):
+    """Estimates, trial runs and batch sizes for plans of many sizes."""
+    import pandas as pd
+
+    def plan(parts):
+        for p in parts:
+            rows = []
+            for k, c in zip(p["o_orderkey"].tolist(), p["o_custkey"].tolist(), strict=True):
+                n = c % 90 + 1
+                rows.append((k, *acquisition.estimates(n, k % 200), *acquisition.trial(n, 20), acquisition.batch_size(n, c % 7, c % 7 + k % 13)))
+            yield pd.DataFrame(rows, columns=["o_orderkey", "low", "high", "target", "cap", "batch"])
+
+    return df.select("o_orderkey", "o_custkey").mapInPandas(plan, "o_orderkey long, low long, high long, target long, cap long, batch long")
+
+
+@query("part", """
+    with w as (select p_partkey, p_name as base, unnest([''] || string_split(p_type, ' ')) as v, unnest(range(len(string_split(p_type, ' ')) + 1)) as k from part),
+    q as (select p_partkey, min(k) as k, trim(base || ' ' || v) as text from w group by p_partkey, trim(base || ' ' || v))
+    select p_partkey, row_number() over (partition by p_partkey order by k) - 1 as place, text from q""")
+def search_texts(df):
+    """Search texts of a subject with its variants."""
+    import pandas as pd
+
+    def texts(parts):
+        for p in parts:
+            rows = [(k, i, q) for k, name, kind in zip(p["p_partkey"], p["p_name"], p["p_type"], strict=True) for i, q in enumerate(acquisition.queries(name.split(" "), kind.split(" ")))]
+            yield pd.DataFrame(rows, columns=["p_partkey", "place", "text"])
+
+    return df.select("p_partkey", "p_name", "p_type").mapInPandas(texts, "p_partkey long, place long, text string")
+
+
+@query("supplier", """
+    with c as (select s_suppkey as id, s_nationkey % 4 = 0 as bad, s_suppkey % 30 as sha from supplier), f as (select sha, min(id) as first from c where not bad group by 1)
+    select id as candidate_id, case when bad then 'license_not_allowed' when first < id then 'exact_duplicate' end as reason, case when bad or first < id then 'rejected' else 'accepted' end as state from c left join f using (sha)""")
+def acquisition_run(df):
+    """Batch after batch through the checks until the providers have no more: as if all had come at once."""
+    c = df.selectExpr(
+        "s_suppkey candidate_id", "'https://a.org/' url", "if(s_nationkey % 4 = 0, 'none', 'CC BY 4.0') license", "0 declared_width", "0 declared_height", "1 bytes", "true decoded", "'image/png' mime", "10 width", "10 height",
+        "sha2(cast(s_suppkey % 30 as string), 256) sha256", "90.0D quality", "cast(null as string) phash", "'' text",
+    )
+    n, given = df.agg(F.max("s_suppkey") + 1).first()[0], [0]
+
+    def search(size):
+        start, given[0] = given[0], min(given[0] + max(size, -(-n // 6)), n)
+        return c.where(f"candidate_id >= {start} and candidate_id < {given[0]}") if start < n else None
+
+    judged, why = acquisition.run(acquisition.Spec(licenses=["CC BY"]), 10 * n, 10 * n, search)
+    if why != "queries_exhausted":
+        raise RuntimeError(why)
+    return judged.select("candidate_id", "reason", "state")
+
+
+@query("nation", "select n_nationkey, sha256(n_name || chr(10)) as sha256, strlen(n_name) + 1 as size, 'text/plain' as media_type from nation")
+def binary_files(df):
+    path = _folder(df)
+    df.select(F.col("n_name").alias("value"), F.col("n_nationkey").alias("k")).repartition("k").write.partitionBy("k").text(path)
+    found = readers.binary_assets(df.sparkSession, path, "*.txt")
+    return found.select(F.regexp_extract("path", "k=([0-9]+)", 1).cast("int").alias("n_nationkey"), "sha256", "size", "media_type")
+
+
+@query("supplier", "select s_suppkey, s_name, s_nationkey, s_acctbal from supplier")
+def bounded_table(df):
+    """A table within its limits passes as it is."""
+    return readers.with_limits(df, rows=10_000_000, columns=20)
