@@ -535,8 +535,7 @@ def test_embedding_near_duplicates(spark, monkeypatch):
     for shard in (6144, 64):
         got = {(r.vec_id, r.n_links, r.component_id, r.kept) for r in hnsw.near_duplicates(df, 0.93, shard).collect()}
         want = {(i, n[i], find(i), find(i) == i) for i in uniq}
-        assert len(got ^ want) <= 0.02 * len(want)
-        assert got == want or shard == 64
+        assert got == want
     assert hnsw.near_duplicates(df.where("false")).count() == 0
     assert hnsw.near_duplicates(df, 0.93, 64).agg(F.min("audit_recall")).first()[0] >= 0.99
 
