@@ -4,8 +4,10 @@ Trees are fitted on a bounded sample (SAMPLE_BYTES of vectors); their depth foll
 holds about LEAF of them, as long as the sample has four for each leaf. Every vector is then indexed, one leaf a tree. A
 query walks all trees through one shared priority queue, nearest margins first, and so visits the leaves most likely to
 hold its neighbours; candidates of these leaves are reranked by exact Euclidean distance in double precision. How many
-leaves a query visits is set by an audit: for AUDIT queries the exact neighbours are found by a full scan, and the
-smallest number of leaves that recalls `recall` of them is taken; both figures are columns of the result.
+leaves a query visits at most is set by an audit: for AUDIT queries the exact neighbours are found by a full scan, and the
+smallest number of leaves that recalls `recall` of them is taken; both figures are columns of the result. The sample
+gives every query its k nearest there, and their distance as a bound: it stops at the first leaf that lies further away, behind a
+plane beyond that distance, and takes nothing beyond it, which loses nothing.
 
 Equal vectors are indexed once, with their k + 1 smallest ids: no other can be among k nearest, ties going to the
 smaller id. Large leaves are split into chunks, each ranked in its own task, which return at most k + 1 rows a query.
@@ -91,13 +93,14 @@ class Forest:
             out[:, t] = -1 - node
         return out
 
-    def order(self, q: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(tree, leaf) in the order in which the shared queue of all trees reaches them."""
+    def order(self, q: np.ndarray) -> Iterator[tuple[int, int, float]]:
+        """(tree, leaf, margin) in the order in which the shared queue of all trees reaches them. No vector of the leaf is
+        nearer than the margin: it lies behind a plane that far away."""
         queue = [(-np.inf, t, 0) for t in range(len(self.trees))]
         while queue:
             far, t, node = heapq.heappop(queue)
             if node < 0:
-                yield t, -1 - node
+                yield t, -1 - node, max(far, 0.0)
                 continue
             normals, offsets, children = self.trees[t]
             margin = float(normals[node] @ q - offsets[node]) if np.isfinite(offsets[node]) else -1.0
@@ -120,11 +123,22 @@ def _packed(df: DataFrame) -> DataFrame:
     return df.mapInPandas(run, schema)
 
 
-def _top(dist: np.ndarray, k: int) -> np.ndarray:
-    """Which are the k least, all ties at the border included."""
-    if len(dist) <= k:
-        return np.arange(len(dist))
-    return np.flatnonzero(dist <= np.partition(dist, k - 1)[k - 1])
+def _near(q: np.ndarray, x: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of each query the places among x that may be its k nearest, all ties included, and their distances. A matrix product
+    says which; these are then measured exactly."""
+    own, norms = (q * q).sum(axis=1), (x * x).sum(axis=1)
+    for i in range(0, len(q), 256):
+        rough = own[i : i + 256, None] + norms[None] - 2 * (q[i : i + 256] @ x.T)
+        # what rounding can do to the rough squares
+        slack = 1e-9 * (own[i : i + 256] + norms.max(initial=0))
+        if not np.isfinite(rough).all():
+            rough, slack = np.zeros_like(rough), np.zeros_like(slack)
+        least = np.partition(rough, k - 1, axis=1)[:, k - 1] if k < len(x) else rough.max(axis=1, initial=0)
+        for v, row, most in zip(q[i : i + 256], rough, least + slack, strict=True):
+            at = np.flatnonzero(row <= most)
+            dist = np.sqrt(((x[at] - v) ** 2).sum(axis=1))
+            kept = dist <= np.partition(dist, k - 1)[k - 1] if len(at) > k else np.ones(len(at), bool)
+            yield at[kept], dist[kept]
 
 
 def nearest(df: DataFrame, k: int = 10, every: int = 100, recall: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -146,7 +160,8 @@ def _of_length(rows: DataFrame, d: int, k: int, every: int, recall: float) -> Da
     queries = rows.where(F.col("id") % every == 0).join(classes.select("v", "cls"), "v").select("id", "cls")
     asked = classes.join(queries.select("cls").distinct(), "cls", "left_semi").select("cls", "v")
     n, held = classes.count(), max(8, SAMPLE_BYTES // (8 * d))
-    sample = _matrix(classes.orderBy(F.xxhash64("cls"), "cls").limit(held).select("v").toPandas()["v"], d)
+    drawn = classes.orderBy(F.xxhash64("cls"), "cls").limit(held).select("v", "ids").toPandas()
+    sample, sample_ids = _matrix(drawn["v"], d), [list(map(int, i)) for i in drawn["ids"]]
     forest = Forest.fit(sample, TREES, max(1, min(-(-n // LEAF), len(sample) // 4)))
     visits, reached = _audit(forest, classes, asked, d, k, recall)
 
@@ -157,31 +172,49 @@ def _of_length(rows: DataFrame, d: int, k: int, every: int, recall: float) -> Da
                 yield pd.DataFrame({"tree": np.int32(t), "leaf": leaf[:, t], "v": p["v"], "ids": p["ids"]})
 
     def walk(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The leaves that a query visits, as long as one may hold a vector within its bound, with that bound: the distance
+        of its k + 1 nearest (it may be one itself) among the sample."""
         for p in parts:
             out = []
-            for cls, v, q in zip(p["cls"], p["v"], _matrix(p["v"], d), strict=True):
-                out += [(cls, v, t, leaf) for (t, leaf), _ in zip(forest.order(q), range(visits))]
-            yield pd.DataFrame(out, columns=["cls", "v", "tree", "leaf"])
+            q = _matrix(p["v"], d)
+            near = _near(q, sample, k + 1) if len(sample) > k else ((None, np.array([np.inf])) for _ in q)
+            for cls, v, x, (_, dist) in zip(p["cls"], p["v"], q, near, strict=True):
+                bound = float(dist.max()) * (1 + 1e-9)
+                for (t, leaf, margin), _ in zip(forest.order(x), range(visits)):
+                    if margin > bound:
+                        break
+                    out.append((cls, v, t, leaf, bound))
+            yield pd.DataFrame(out, columns=["cls", "v", "tree", "leaf", "bound"])
 
     held = cut(classes.mapInPandas(index, "tree int, leaf int, v binary, ids array<long>"))
     counts = held.groupBy("tree", "leaf").count().withColumn("chunks", F.ceil(F.col("count") / CHUNK).cast("int")).drop("count")
     held = held.join(F.broadcast(counts), ["tree", "leaf"]).withColumn("chunk", F.pmod(F.xxhash64("v"), F.col("chunks")).cast("int")).drop("chunks")
-    wanted = asked.mapInPandas(walk, "cls long, v binary, tree int, leaf int").join(F.broadcast(counts), ["tree", "leaf"])
+
+    wanted = asked.mapInPandas(walk, "cls long, v binary, tree int, leaf int, bound double").join(F.broadcast(counts), ["tree", "leaf"])
     wanted = wanted.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
 
     def rerank(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
         if len(q) and len(c):
-            x = _matrix(c["v"], d)
             ids = c["ids"].tolist()
-            for cls, v in zip(q["cls"], _matrix(q["v"], d), strict=True):
-                dist = np.sqrt(((x - v) ** 2).sum(axis=1))
-                near = [(dist[j], int(i)) for j in _top(dist, k + 1) for i in ids[j]]
+            for cls, bound, (at, dist) in zip(q["cls"], q["bound"], _near(_matrix(q["v"], d), _matrix(c["v"], d), k + 1), strict=True):
+                near = [(s, int(i)) for j, s in zip(at.tolist(), dist.tolist(), strict=True) if s <= bound for i in ids[j]]
                 out += [(cls, i, s) for s, i in heapq.nsmallest(k + 1, near)]
         return pd.DataFrame(out, columns=["cls", "id", "score"])
 
+    def begin(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """What a query's bound comes from: its nearest in the sample."""
+        for p in parts:
+            out: list[tuple] = []
+            if len(p) and len(sample):
+                for cls, (at, dist) in zip(p["cls"], _near(_matrix(p["v"], d), sample, k + 1), strict=True):
+                    near = [(s, i) for j, s in zip(at.tolist(), dist.tolist(), strict=True) for i in sample_ids[j]]
+                    out += [(cls, i, s) for s, i in heapq.nsmallest(k + 1, near)]
+            yield pd.DataFrame(out, columns=["cls", "id", "score"])
+
     keys = ["tree", "leaf", "chunk"]
     found = wanted.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(rerank, "cls long, id long, score double")
+    found = found.unionByName(asked.mapInPandas(begin, "cls long, id long, score double"))
     order = Window.partitionBy("cls").orderBy("score", "id")
     best = found.groupBy("cls", "id").agg(F.min("score").alias("score")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1)
     own = Window.partitionBy("query_id", "cls").orderBy("score", "id")
@@ -196,11 +229,10 @@ def exact(classes: DataFrame, q: np.ndarray, d: int, k: int) -> list[np.ndarray]
         for p in parts:
             if len(p):
                 x = _matrix(p["v"], d)
-                for i, v in enumerate(q):
-                    dist = np.sqrt(((x - v) ** 2).sum(axis=1))
-                    dist[dist == 0] = np.inf
+                for i, (at, dist) in enumerate(_near(q, x, k + 1)):
+                    dist = np.where(dist == 0, np.inf, dist)
                     j = np.argsort(dist, kind="stable")[:k]
-                    yield pd.DataFrame({"q": i, "score": dist[j], "v": p["v"].to_numpy()[j]})
+                    yield pd.DataFrame({"q": i, "score": dist[j], "v": p["v"].to_numpy()[at[j]]})
 
     found = classes.select("v").mapInPandas(scan, "q int, score double, v binary").where(F.col("score") < float("inf"))
     best = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("score", "v"))).where(F.col("r") <= k).toPandas()
@@ -214,7 +246,7 @@ def _audit(forest: Forest, classes: DataFrame, asked: DataFrame, d: int, k: int,
     needed: list[int] = []
     for v, truth in zip(q, exact(classes, q, d, k) if len(q) else (), strict=True):
         if len(truth):
-            at = {x: i for i, x in enumerate(forest.order(v), 1)}
+            at = {(t, leaf): i for i, (t, leaf, _) in enumerate(forest.order(v), 1)}
             needed += [min(at[t, int(leaf)] for t, leaf in enumerate(row)) for row in forest.assign(truth)]
     if not needed:
         return 1, 1.0
