@@ -34,9 +34,13 @@ def entities(c: Column) -> Column:
     return F.when(F.contains(c, F.lit("&")), F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, 2, 1 << 30), read), ""))).otherwise(c)
 
 
-def _plain(c: Column) -> Column:
-    """Without tags, each a space; runs of white space become one, none stays at the ends."""
-    return F.trim(F.regexp_replace(entities(F.regexp_replace(c, _TAG, " ")), r"(?U)\s+", " "))
+def _untagged(c: Column) -> Column:
+    return F.regexp_replace(c, _TAG, " ")
+
+
+def _read(c: Column) -> Column:
+    """Text without tags as it reads: references resolved, runs of white space one space, none at the ends."""
+    return F.trim(F.regexp_replace(entities(c), r"(?U)\s+", " "))
 
 
 def html_blocks(df: DataFrame, id_col: str = "page_id", html: str = "html") -> DataFrame:
@@ -47,13 +51,16 @@ def html_blocks(df: DataFrame, id_col: str = "page_id", html: str = "html") -> D
     title = r"(?is)<title\b[^>]*>(.*?)(?:</title\s*>|\z)"
     d = df.select(F.col(f"`{id_col}`").alias("__id"), F.monotonically_increasing_id().alias("__row"), page.alias("__page"))
     parts = F.split(F.regexp_replace("__page", title, " "), rf"(?i)(?=<(?:{_NAME})(?:[\s/][^>]*)?>)", -1)
-    d = d.select("__id", "__row", _plain(F.regexp_extract("__page", title, 1)).alias("__title"), F.posexplode(parts).alias("__at", "__part"))
+    # each step is a column of its own, which the next one may use several times
+    d = d.select("__id", "__row", _untagged(F.regexp_extract("__page", title, 1)).alias("__title"), F.posexplode(parts).alias("__at", "__part"))
     body = F.regexp_extract("__part", rf"(?is)^<({_NAME})(?:[\s/][^>]*)?>(.*?)</\1\s*>", 2)
-    d = d.select("__id", "__row", "__title", "__at", F.lower(F.regexp_extract("__part", r"^<([A-Za-z0-9]+)", 1)).alias("__name"), _plain(body).alias("text")).where("text <> ''")
-    head = F.when(F.col("__name").rlike("^h[1-6]$"), F.col("text"))
-    d = d.withColumn("__head", head)
+    d = d.select("__id", "__row", "__title", "__at", F.lower(F.regexp_extract("__part", r"^<([A-Za-z0-9]+)", 1)).alias("__name"), _untagged(body).alias("__raw"))
+    # what surely is empty goes now; what only reads so goes last, since a filter would be done before the text is read
+    d = d.where(F.col("__raw").rlike(r"\S")).select("__id", "__row", "__title", "__at", "__name", _read(F.col("__raw")).alias("text"))
+    some = F.col("text") != ""
+    d = d.withColumn("__head", F.when(some & F.col("__name").rlike("^h[1-6]$"), F.col("text")))
     so_far, whole = Window.partitionBy("__row").orderBy("__at"), Window.partitionBy("__row").orderBy("__at").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return d.select(
-        F.col("__id").alias(id_col), (F.row_number().over(so_far) - 1).cast("long").alias("block"), F.when(F.col("__head").isNotNull(), F.concat(F.lit("heading_"), F.substring("__name", 2, 1))).otherwise(F.col("__name")).alias("kind"),
-        "text", F.coalesce(F.last("__head", ignorenulls=True).over(so_far), F.lit("")).alias("heading"), F.coalesce(F.nullif("__title", F.lit("")), F.first("__head", ignorenulls=True).over(whole), F.lit("")).alias("title"),
-    )
+        F.col("__id").alias(id_col), (F.sum(some.cast("long")).over(so_far) - 1).alias("block"), F.when(F.col("__head").isNotNull(), F.concat(F.lit("heading_"), F.substring("__name", 2, 1))).otherwise(F.col("__name")).alias("kind"),
+        "text", F.coalesce(F.last("__head", ignorenulls=True).over(so_far), F.lit("")).alias("heading"), F.coalesce(F.nullif(_read(F.col("__title")), F.lit("")), F.first("__head", ignorenulls=True).over(whole), F.lit("")).alias("title"),
+    ).where("text <> ''")

@@ -37,13 +37,15 @@ def grouped_quantiles(df: DataFrame, by: list[str], columns: dict[str, Column],
     edges = [min(1.0, max(0.0, p + s * REACH / ACCURACY)) for p in at for s in (-1, 1)]
     sketch = lambda i: F.struct(F.count(f"x{i}").alias("n"), F.percentile_approx(f"x{i}", edges, ACCURACY).alias("e"))
     groups = cut(wide.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), *[sketch(i).alias(f"s{i}") for i in range(len(names))]))
-    total = groups.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("total"))
-    brackets = groups.crossJoin(F.broadcast(total)).withColumn("hot", F.col("rows") * HOT > F.col("total")).drop("total")  # one row
+    total = groups.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    brackets = groups.withColumn("hot", F.col("rows") * HOT > total)
     states = ["rows", *[f"s{i}" for i in range(len(names))]]
+    kinds = {r["hot"] for r in brackets.select("hot").distinct().collect()}
     hot = brackets.where("hot").select(*keys, *states)  # fewer than HOT rows
     met = wide.alias("w").join(F.broadcast(hot).alias("b"), _same(keys, "w", "b"), "left").select("w.*", *[f"b.{s}" for s in states])
-    cold = met.where("rows is null").drop(*states).alias("w").join(brackets.where("not hot").alias("b"), _same(keys, "w", "b")).select("w.*", *[f"b.{s}" for s in states])
-    met = met.where("rows is not null").unionByName(cold)
+    if False in kinds:
+        cold = (met.where("rows is null").drop(*states) if True in kinds else wide).alias("w").join(brackets.where("not hot").alias("b"), _same(keys, "w", "b")).select("w.*", *[f"b.{s}" for s in states])
+        met = met.where("rows is not null").unionByName(cold) if True in kinds else cold
 
     def place(i: int, k: int) -> Column:
         """Of a value against a bracket: the value if it is inside, null if below; no struct at all if above."""
