@@ -32,18 +32,17 @@ def fill(df: DataFrame, column: str, order: list[str], backward: bool = False, p
 
     The whole-table fill goes in two passes: within range partitions, then from the nearest partition with a value.
     """
-    cols = [F.col(f"`{c}`").asc_nulls_first() for c in order]
-    pick = F.first if backward else F.last
+    # a frame that reaches to the end is scanned anew for every row; backward fills run through the rows from the end instead
+    ends = [F.col(f"`{c}`").desc_nulls_last() if backward else F.col(f"`{c}`").asc_nulls_first() for c in order]
+    last = F.last(F.col(f"`{column}`"), ignorenulls=True)
 
-    def frame(w):
-        return w.rowsBetween(0, Window.unboundedFollowing) if backward else w.rowsBetween(Window.unboundedPreceding, 0)
+    def frame(by: list[str]):
+        return Window.partitionBy(*[F.col(f"`{c}`") for c in by]).orderBy(*ends).rowsBetween(Window.unboundedPreceding, 0)
 
     if partition:
-        w = frame(Window.partitionBy(*[F.col(f"`{c}`") for c in partition]).orderBy(*cols))
-        return df.withColumn(column, pick(F.col(f"`{column}`"), ignorenulls=True).over(w))
+        return df.withColumn(column, last.over(frame(partition)))
     d = _ranged(df, order)
-    own = Window.partitionBy("__part").orderBy(*cols)
-    d = d.withColumn("__v", pick(F.col(f"`{column}`"), ignorenulls=True).over(frame(own)))
+    d = d.withColumn("__v", last.over(frame(["__part"])))
     key = F.struct(*[F.col(f"`{c}`") for c in order])
     known = F.col(f"`{column}`").isNotNull()
     summary = d.groupBy("__part").agg((F.min_by if backward else F.max_by)(F.when(known, F.col(f"`{column}`")), F.when(known, key)).alias("__e"))

@@ -38,6 +38,16 @@ def test_fills(table):
         cleaning.fill_missing(table.where("false"), ["c"], "mode").union(cleaning.fill_missing(table.where("c = 'q' or id = 3"), ["c"], "mode")).collect()
 
 
+@pytest.mark.parametrize("partition", [[], ["g"]])
+def test_backward_fills_take_one_pass(spark, partition):
+    """A frame that reaches to the end of its partition costs the square of its rows."""
+    d = spark.createDataFrame([(None, 0, 1, None), (None, 1, 1, 5.0), (1, 0, 2, None), (1, 1, 1, None), (2, 0, 1, 7.0), (3, 0, 2, None)], "a int, b int, g int, x double")
+    out = cleaning.fill_missing(d, ["x"], "backward", order=["a", "b"], partition=partition)
+    assert "unboundedfollowing" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
+    found = [r.x for r in out.orderBy(F.col("a").asc_nulls_first(), "b").collect()]
+    assert found == ([5.0, 5.0, None, 7.0, 7.0, None] if partition else [5.0, 5.0, 7.0, 7.0, 7.0, None])
+
+
 def test_dialects_differ(table):
     assert predicates.query_table(table, [{"column": "c", "op": "contains", "value": "A"}])[1].first()[0] == 2
     assert predicates.lab_filter(table, "c", "contains", "A").count() == 0
