@@ -36,6 +36,24 @@ def test_query(spark, sf, con, name):
         assert plain(rows) == plain(con.sql(f"select {quoted} from ({ORACLE[name]})").fetchall())
 
 
+def as_sql(spark, folder, name, **tables):
+    """A query over small tables of its own, and its SQL over the same."""
+    c = duckdb.connect()
+    for t, d in tables.items():
+        d.write.parquet(f"{folder}/{t}.parquet")
+        c.execute(f"create view {t} as select * from read_parquet('{folder}/{t}.parquet/*.parquet')")
+    quoted = ", ".join(f'"{x}"' for x in sorted(c.sql(ORACLE[name]).columns))
+    found = entry.queries()[name](spark, str(folder)).selectExpr(*quoted.replace('"', "`").split(", ")).collect()
+    return plain([tuple(r) for r in found]), plain(c.sql(f"select {quoted} from ({ORACLE[name]})").fetchall())
+
+
+def test_many_values_in_more_rows(spark, tmp_path):
+    """Over 100 names and balances, but under four fifths of the rows."""
+    d = spark.range(600).selectExpr("id as c_custkey", "concat('c', id % 200) as c_name", "int(id % 25) as c_nationkey", "double(id * 7 % 300) as c_acctbal", "if(id % 3 = 0, 'A', 'B') as c_mktsegment")
+    found, expected = as_sql(spark, tmp_path, "quality_target", customer=d)
+    assert found == expected and sum("high_cardinality" in str(r) for r in found) == 3
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
