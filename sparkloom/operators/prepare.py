@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +22,8 @@ def split(df: DataFrame, method: str, key: str, train: float = 0.8, validation:
     """Adds _split: random, stratified (within each value of `by`), or group / source (whole groups of `by`).
 
     Items are ranked by a seeded hash of their key and cut at int(n * train) and int(n * (train + validation)): the
-    same rows always fall the same way, and repeated keys fall together. Group methods cut the list of groups.
+    same rows always fall the same way, and repeated keys fall together. Group methods cut the list of groups. The first
+    share is taken as it is written (0.7 of 90 is 63), the sum of both as the double it is.
     """
     one_of(method, ("random", "stratified", "group", "source"), "method")
     if not (train > 0 and validation >= 0 and train + validation <= 1 + 1e-9):
@@ -28,8 +31,10 @@ def split(df: DataFrame, method: str, key: str, train: float = 0.8, validation:
     if method != "random" and not by:
         raise ParameterError("the method needs a column")
 
+    written = F.lit(Decimal(repr(float(train))))
+
     def cut_at(pos: Column, n: Column) -> Column:
-        return F.when(pos < F.floor(n * train), "train").when(pos < F.floor(n * (train + validation)), "validation").otherwise("test")
+        return F.when(pos < F.floor(n.cast("decimal(19,0)") * written), "train").when(pos < F.floor(n * (train + validation)), "validation").otherwise("test")
 
     if method == "stratified":
         # one numbering over (label, hash): no label meets in one task

@@ -54,6 +54,13 @@ def test_many_values_in_more_rows(spark, tmp_path):
     assert found == expected and sum("high_cardinality" in str(r) for r in found) == 3
 
 
+@pytest.mark.parametrize("n", [0, 3, 90, 170])
+def test_cuts_of_a_split(spark, tmp_path, n):
+    """90 * 0.7 is 62.99... as a double; a split may have no rows."""
+    found, expected = as_sql(spark, tmp_path, "split_random_counts", customer=spark.range(n).selectExpr("id as c_custkey"))
+    assert found == expected and len(found) == 3
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
