@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..functions.scalar import need, one_of, safe_regex
 from ..plans.errors import ParameterError
@@ -180,19 +186,61 @@ def file_blocks(binary: DataFrame) -> DataFrame:
     return others.unionByName(found).unionByName(broken)
 
 
+@lru_cache(1 << 17)
+def _signed_slot(feature: str) -> tuple[int, bool]:
+    """The first 64 bits of a feature's SHA-256, and whether its sign is positive (by the ninth byte)."""
+    digest = hashlib.sha256(feature.encode()).digest()
+    return int.from_bytes(digest[:8], "big"), bool(digest[8] & 1)
+
+
+def _hashed(features: Counter, dims: int) -> np.ndarray:
+    slots = [_signed_slot(f) for f in features]
+    at = np.fromiter((s % dims for s, _ in slots), np.int64, len(slots))
+    x = 1 + np.log(np.fromiter(features.values(), np.float64, len(slots)))
+    v = np.bincount(at, weights=np.where(np.fromiter((p for _, p in slots), bool, len(slots)), x, -x), minlength=dims)
+    norm = np.sqrt((v * v).sum())
+    return v / norm if norm else np.zeros(dims)
+
+
 def hashed_vectors(df: DataFrame, id_col: str, text: str = "text", dims: int = 384) -> DataFrame:
-    """id, vector: words and pairs of neighbours hashed to signed dimensions, 1 + ln(count) each, unit length."""
+    """id, vector: words and pairs of neighbours hashed to signed dimensions, 1 + ln(count) each, unit length.
+
+    A text's features are counted where it is read, none is shuffled. Texts that share an id are counted as one; only if
+    there are such, texts are brought together by id.
+    """
     words = F.regexp_extract_all(F.lower(F.coalesce(F.col(f"`{text}`"), F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), 0)
-    d = df.select(F.col(f"`{id_col}`"), words.alias("w"))
-    pairs = F.when(F.size("w") > 1, F.transform(F.slice("w", 2, 1 << 30), lambda x, i: F.concat(F.get(F.col("w"), i), F.lit(" "), x))).otherwise(F.expr("cast(array() as array<string>)"))
-    d = d.select(id_col, F.explode(F.concat("w", pairs)).alias("f")).groupBy(id_col, "f").agg(F.count(F.lit(1)).alias("n"))
-    digest = F.sha2("f", 256)
-    at = F.conv(F.substring(digest, 1, 16), 16, 10).cast("decimal(20,0)") % dims
-    sign = F.when(F.conv(F.substring(digest, 17, 2), 16, 10).cast("int") % 2 == 1, 1.0).otherwise(-1.0)
-    v = d.select(id_col, at.cast("int").alias("dim"), (sign * (1 + F.log("n"))).alias("x")).groupBy(id_col, "dim").agg(F.sum("x").alias("x"))
-    v = v.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("dim", "x"))).alias("m"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    full = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_divide(F.get(F.array(F.try_element_at("m", i)), F.lit(0)), F.col("norm")), F.lit(0.0)))
-    return df.select(F.col(f"`{id_col}`")).distinct().join(v, id_col, "left").select(id_col, F.coalesce(full, F.array_repeat(F.lit(0.0), dims)).alias("vector"))
+    ids = df.select(F.col(f"`{id_col}`"))
+    if not ids.groupBy(F.col(f"`{id_col}`")).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").isEmpty():
+        df = df.repartition(F.col(f"`{id_col}`")).sortWithinPartitions(F.col(f"`{id_col}`"))
+    most = max(1, (1 << 19) // dims)  # 4 MB of vectors at once
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind, done, vectors, features = None, [], [], None
+
+        def out() -> pa.RecordBatch:
+            flat = pa.array(np.concatenate(vectors))
+            return pa.RecordBatch.from_arrays([pa.array(done, kind), pa.ListArray.from_arrays(pa.array(np.arange(len(done) + 1, dtype=np.int32) * dims), flat)], [id_col, "vector"])
+
+        for b in batches:
+            kind = b.column(0).type
+            for key, line in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if features is None or key != done[-1]:
+                    if features is not None:
+                        vectors.append(_hashed(features, dims))
+                        if len(done) >= most:
+                            yield out()
+                            done, vectors = [], []
+                    done.append(key)
+                    features = Counter()
+                own = line.as_py().split()
+                features.update(own)
+                features.update(map(" ".join, zip(own, own[1:])))  # noqa: B905  one shorter
+        if features is not None:
+            vectors.append(_hashed(features, dims))
+            yield out()
+
+    schema = StructType([ids.schema[0], StructField("vector", ArrayType(DoubleType()))])
+    return df.select(F.col(f"`{id_col}`"), F.array_join(words, " ").alias("__w")).mapInArrow(run, schema)
 
 
 def embedded_by(chunks: DataFrame, provider: EmbeddingProvider, id_col: str, dims: int) -> DataFrame:

@@ -310,6 +310,14 @@ def test_documents(spark):
     assert all(len(r.vector) == 64 for r in v)
 
 
+@pytest.mark.parametrize("rows", [0, 1, 3000])
+def test_hashed_features_are_not_shuffled(spark, rows):
+    d = spark.range(rows).selectExpr("id", "concat('word ', id % 7, ' and ', id) as text")
+    v = documents.hashed_vectors(d, "id", dims=1024)
+    assert "Exchange" not in v._jdf.queryExecution().executedPlan().toString()
+    assert v.where("size(vector) = 1024").select("id").distinct().count() == v.count() == rows
+
+
 def parse_html(spark, html):
     """Title and blocks of a page; the title of one without blocks can't be seen."""
     rows = documents.html_blocks(spark.createDataFrame([(1, html)], "page_id long, html string")).orderBy("block").collect()

@@ -61,6 +61,12 @@ def test_cuts_of_a_split(spark, tmp_path, n):
     assert found == expected and len(found) == 3
 
 
+def test_hashed_texts_that_share_an_id(spark, tmp_path):
+    texts = [(1, "One two, one TWO"), (2, "two_3 über ½ 日本 one"), (1, "two one"), (None, "a b a"), (None, "b"), (3, None), (4, " .,"), (1, "one")]
+    found, expected = as_sql(spark, tmp_path, "hashed_vectors", documents=spark.createDataFrame(texts, "doc_id long, text string"))
+    assert found == expected and {r[1] for r in found} == {"1", "2", "None"}
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
