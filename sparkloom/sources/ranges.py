@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -106,10 +107,17 @@ class Csv:
         opens = opens[at < end - start]  # a run that begins behind the range is the next one's
         return {"to": [int(s[-1]) if len(s := _states(opens, k)) else k for k in (0, 1)]}
 
+    def after(self, state: int, look: dict) -> int:
+        return look["to"][state]
+
+    def joined(self, a: dict, b: dict) -> dict:
+        """The look of two ranges in a row."""
+        return {"to": [b["to"][k] for k in a["to"]]}
+
     def states(self, looks: list[dict]) -> list[int]:
         out = [0]
         for x in looks:
-            out.append(x["to"][out[-1]])
+            out.append(self.after(out[-1], x))
         if out[-1]:
             raise ParameterError("a quote is not closed")
         return out[:-1]
@@ -180,11 +188,18 @@ class JsonArray:
         quotes = int((np.append(_texts(np.append(data, np.uint8(0x20)), lead), 0))[len(data)])
         return {"turn": quotes, "deeper": [int(self._steps(data, lead, k)[1].sum()) for k in (0, 1)]}
 
+    def after(self, state: tuple[int, int], look: dict) -> tuple[int, int]:
+        inside, depth = state
+        return (inside + look["turn"]) & 1, depth + look["deeper"][inside]
+
+    def joined(self, a: dict, b: dict) -> dict:
+        """The look of two ranges in a row."""
+        return {"turn": a["turn"] ^ b["turn"], "deeper": [a["deeper"][k] + b["deeper"][(k + a["turn"]) & 1] for k in (0, 1)]}
+
     def states(self, looks: list[dict]) -> list[tuple[int, int]]:
         out = [(0, 0)]
         for x in looks:
-            inside, depth = out[-1]
-            out.append(((inside + x["turn"]) & 1, depth + x["deeper"][inside]))
+            out.append(self.after(out[-1], x))
         if out[-1] != (0, 0):
             raise ParameterError("the array is not closed")
         return out[:-1]
@@ -216,6 +231,10 @@ class JsonArray:
 # --- as a data source
 
 
+def _steps(start: int, end: int, size: int) -> list[tuple[int, int]]:
+    return [(a, min(a + size, end)) for a in range(start, end, size)]
+
+
 def _kind(options: dict) -> Csv | JsonArray:
     return Csv(options["delimiter"], options.get("fields"), options["header"]) if options["kind"] == "csv" else JsonArray()
 
@@ -250,26 +269,41 @@ class _RecordReader(DataSourceReader):
         if part.end <= part.start:
             return
         state = tuple(part.state) if isinstance(part.state, list) else part.state
-        try:
-            records, places = _kind(self.plan).records(_Bytes(part.path), part.start, part.end, state)
-        except ParameterError as e:
-            raise ParameterError(f"{part.path}: {e}") from None
-        for i in range(0, len(records), 10_000):
-            own = records[i : i + 10_000]
-            yield pa.RecordBatch.from_arrays([pa.array([part.path] * len(own)), pa.array(places[i : i + 10_000], pa.int64()), pa.array(own, pa.binary()).cast(pa.string())], ["file", "offset", "value"])
+        scan, f, records, places = _kind(self.plan), _Bytes(part.path), [], []
+        for a, b in _steps(part.start, part.end, self.plan["step"]):
+            try:
+                found, at = scan.records(f, a, b, state)
+            except ParameterError as e:
+                raise ParameterError(f"{part.path}: {e}") from None
+            if b < part.end:
+                state = scan.after(state, scan.look(f, a, b))
+            records += found
+            places += at
+            if len(records) < 10_000 and b < part.end:
+                continue
+            for i in range(0, len(records), 10_000):
+                own = records[i : i + 10_000]
+                yield pa.RecordBatch.from_arrays([pa.array([part.path] * len(own)), pa.array(places[i : i + 10_000], pa.int64()), pa.array(own, pa.binary()).cast(pa.string())], ["file", "offset", "value"])
+            records, places = [], []
 
 
 def records(spark: SparkSession, path: str, kind: str, delimiter: str = ",", fields: int | None = None, header: bool = True, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """file, offset, value of every record of CSV files or JSON arrays, a task for each range of bytes. fields: how many a
-    CSV record must have; another is an error that names its place."""
-    options = {"kind": kind, "delimiter": delimiter, "fields": fields, "header": header}
+    """file, offset, value of every record of CSV files or JSON arrays, by ranges of bytes. A task takes a range, or several
+    in a row where there are many small ones, up to RANGE_BYTES. fields: how many a CSV record must have; another is an
+    error that names its place."""
+    options = {"kind": kind, "delimiter": delimiter, "fields": fields, "header": header, "step": range_bytes}
     found = files(path)
-    ranges = [(p, a, min(a + range_bytes, n)) for p, n in found for a in range(0, n, range_bytes)]
+    tasks, steps = 4 * spark.sparkContext.defaultParallelism, sum(-(-n // range_bytes) for _, n in found)
+    span = range_bytes * max(1, min(RANGE_BYTES // range_bytes, -(-steps // tasks)))
+    ranges = [(p, a, b) for p, n in found for a, b in _steps(0, n, span)]
 
     def look(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scan = _kind(options)
         for p in parts:
-            own = [json.dumps(scan.look(_Bytes(path), int(a), int(b))) for path, a, b in zip(p["path"], p["a"], p["b"], strict=True)]
+            own = []
+            for path, a, b in zip(p["path"], p["a"], p["b"], strict=True):
+                f = _Bytes(path)
+                own.append(json.dumps(reduce(scan.joined, (scan.look(f, *x) for x in _steps(int(a), int(b), range_bytes)))))
             yield pd.DataFrame({"n": p["n"], "found": own})
 
     looks: list[dict] = []

@@ -94,6 +94,18 @@ def test_one_array_by_many_tasks(spark, tmp_path):
     assert readers.read_table(spark, str(p)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["csv", "json"])
+def test_small_ranges_share_tasks(spark, tmp_path, kind):
+    """Thousands of ranges don't become thousands of tasks; states go on from range to range within a task."""
+    rows = [(i, 'x, "y"\n' * (i % 9)) for i in range(2000)]
+    p = tmp_path / f"x.{kind}"
+    text = "id,t\n" + "\n".join(f'{i},"{t.replace(chr(34), chr(34) * 2)}"' for i, t in rows) if kind == "csv" else json.dumps([{"id": i, "t": t} for i, t in rows])
+    p.write_text(text)
+    df = readers.read_table(spark, str(p), range_bytes=32) if kind == "json" else readers.read_csv(spark, str(p), range_bytes=32)
+    assert p.stat().st_size > 2000 * 32 and df.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    assert sorted((r.id, r.t or "") for r in df.collect()) == rows
+
+
 def test_folders_and_empty_files(spark, tmp_path):
     spark.range(100).selectExpr("id", "concat('a', chr(10), id) t").repartition(3).write.option("header", True).option("escape", '"').csv(str(tmp_path / "d"))
     assert {tuple(r) for r in readers.read_csv(spark, str(tmp_path / "d"), range_bytes=64).collect()} == {(i, f"a\n{i}") for i in range(100)}
